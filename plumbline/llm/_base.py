@@ -56,11 +56,11 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/plumbline-{what}-{uuid.uuid4().hex}"
 
 
-def store(df: DataFrame, what: str = "t") -> DataFrame:
+def store(df: DataFrame, what: str = "t", codec: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = session(df)
     path = new_path(spark, what)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -146,9 +146,10 @@ def _cuts(b: np.ndarray, offs: np.ndarray) -> list[int]:
     return cuts
 
 
-def word_hashes(b: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the ASCII-lower-cased words between white space, and each row's word offsets."""
-    hashes, starts_all = [], []
+@np.errstate(over="ignore")
+def word_spans(b: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the ASCII-lower-cased words between white space, their starts and ends, and each row's word offsets."""
+    hashes, starts_all, ends_all = [], [], []
     cuts = _cuts(b, offs)
     space, low = space_table(), lower_table()
     for lo, hi in zip(cuts, cuts[1:]):
@@ -170,10 +171,18 @@ def word_hashes(b: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
         h = (total[e] - total[s]) * inv[s]
         hashes.append(mix(h ^ ((e - s).astype(np.uint64) * MULT[0])))
         starts_all.append(s + lo)
+        ends_all.append(e + lo)
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, none, np.zeros(len(offs), np.int64)
     starts = np.concatenate(starts_all)
-    return np.concatenate(hashes), np.searchsorted(starts, offs)
+    return np.concatenate(hashes), starts, np.concatenate(ends_all), np.searchsorted(starts, offs)
+
+
+def word_hashes(b: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """word_spans without the places."""
+    h, _, _, at = word_spans(b, offs)
+    return h, at
 
 
 def row_blocks(offs: np.ndarray, limit: int) -> list[tuple[int, int]]:

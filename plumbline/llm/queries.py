@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, mixing, near_dedup
+from . import decontamination, embedding_dedup, html_text, language_id, language_model, line_dedup, mixing, near_dedup, quality, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; see html_text."""
+    return html_text.extract(_table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kept lines of every document as a digest; see line_dedup."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -36,6 +41,26 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(joined.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted in flat token files; see token_counts."""
+    blocks, stop, kind = token_counts.write_tokens(_table(spark, sf_dir, "documents"))
+    return token_counts.count_tokens(blocks, stop, kind)
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from two thirds of them; see language_id."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = language_id.fold(F.col("doc_id"), 3) == 1
+    model = language_id.learn(docs.where(~held))
+    return language_id.predict(docs.withColumn("held_out", held), model, ["doc_id", "held_out"])
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document from weak labels; see quality."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score(docs, quality.fit(docs), ["doc_id"])
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents at 85 hundredths; see near_dedup."""
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
@@ -52,5 +77,18 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"), quality=weights).drop("source")
 
 
-QUERIES = {"op2_line_dedup": op2_line_dedup, "op3_decontamination": op3_decontamination, "op7_near_dedup": op7_near_dedup, "op8_mixing": op8_mixing}
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at cosine 0.95; see embedding_dedup."""
+    return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"), least=0.95)
+
+
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, learned from four fifths of them; see language_model."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = language_model.fold(F.col("doc_id"), 5) == 1
+    model = language_model.learn(docs.where(~held))
+    return language_model.score(docs.withColumn("held_out", held), model, ["doc_id", "held_out"])
+
+
+QUERIES = {"op1_html_text": op1_html_text, "op2_line_dedup": op2_line_dedup, "op3_decontamination": op3_decontamination, "op4_token_counts": op4_token_counts, "op5_language_id": op5_language_id, "op6_quality": op6_quality, "op7_near_dedup": op7_near_dedup, "op8_mixing": op8_mixing, "op9_embedding_dedup": op9_embedding_dedup, "op10_language_model": op10_language_model}
 SQL = {"op2_line_dedup": OP2_SQL, "op3_decontamination": decontamination.SQL, "op8_mixing": mixing.SQL}
