@@ -32,7 +32,7 @@ from . import _base as B
 BLOCK = 1 << 17
 FILES = "file long, block long, ids binary, doc_ids array<long>"
 # fixed value: the public pre-tokenizer pattern of this vocabulary
-PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def default_vocabulary() -> str:
