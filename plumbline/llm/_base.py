@@ -213,9 +213,8 @@ def components(edges: DataFrame) -> DataFrame:
         return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1000003)).first())
 
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
-    e = store(e, "cc")
-    before = sign(e)
-    while before[0]:
+    before = None
+    while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.distinct()
@@ -223,7 +222,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u > v").distinct()
         e = store(small, "cc")
         now = sign(e)
-        if now == before:
+        if now == before or not now[0]:
             break
         before = now
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("comp")).union(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())

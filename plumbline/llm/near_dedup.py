@@ -12,10 +12,10 @@ and text columns are read, so other columns can't clash.
 
 Scale. One pass makes signatures. Equal sets collapse into one class before any bucket is
 formed. Each bucket proposes star edges from a hub (the member that shares most buckets), so
-edges are linear in members. A hub leaves its bucket once compared with all members in other
-components; buckets whose members are all in one component are finished; what remains after
-the stars is compared pair by pair between components, so no pair that shares a bucket is
-left open. Edges are confirmed on the full sets.
+edges are linear in members. Edges are confirmed on the full sets. Buckets whose members are then
+all in one component are finished; the others are compared in pairs of blocks of about BLOCK
+members, each block pair a task of its own that returns no more links than join its components,
+so no pair that shares a bucket is left open and none is emitted as a row.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import _base as B
 
-BINS, ROWS, SHINGLE = 64, 4, 5
+BINS, ROWS, SHINGLE, BLOCK = 64, 4, 5, 256
 SIG = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"
 
 
@@ -118,12 +118,44 @@ def _confirm(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, star_rounds: int = 6) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id, kept), one for each row of docs.
+def _compare(percent: int):
+    """Links between the components of a block pair: enough of them to join what is linked."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, comp = table.column("node").to_numpy(), table.column("comp").to_numpy()
+        b, offs = B.text_buffers(table.column("text"))
+        sets = [x for lo, hi in B.row_blocks(offs, 2 * B.PIECE) for x in shingle_sets(b[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])]
+        size = np.array([len(x) for x in sets])
+        values, ids, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        rows = np.repeat(np.arange(len(sets)), size)
+        many = times[ids] > 1  # the others are in no intersection
+        place = (np.cumsum(times > 1) - 1)[ids[many]]
+        rows, both = rows[many], np.zeros((len(sets), len(sets)), np.float32)
+        order = np.argsort(place, kind="stable")
+        rows, place = rows[order], place[order]
+        for lo in range(0, int(place[-1]) + 1 if len(place) else 0, 4096):
+            p, q = np.searchsorted(place, [lo, lo + 4096])
+            part = np.zeros((len(sets), 4096), np.float32)
+            part[rows[p:q], place[p:q] - lo] = 1
+            both += part @ part.T
+        linked = (100 * both >= percent * (size[:, None] + size[None, :] - both)) & (both > 0)
+        links, top = [], {int(c): int(c) for c in comp}
+        for i, j in zip(*np.nonzero(np.triu(linked & (comp[:, None] != comp[None, :]), 1))):
+            x, y = int(comp[i]), int(comp[j])
+            while top[x] != x:
+                x = top[x]
+            while top[y] != y:
+                y = top[y]
+            if x != y:
+                top[max(x, y)] = min(x, y)
+                links.append((int(comp[i]), int(comp[j])))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
 
-    percent: least similarity in hundredths. star_rounds: how many hubs a bucket may try
-    before its open pairs are compared directly; it changes cost, not results.
-    """
+    return run
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id, kept), one for each row of docs. percent: least similarity in hundredths."""
     spark = B.session(docs)
     B.ship(spark)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -133,49 +165,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = rows.groupBy("band").agg(F.count("*").alias("cnt")).where("cnt > 1")
     members = B.store(rows.join(shared, "band"), "members")
     score = members.groupBy("node").agg(F.sum("cnt").alias("score"))
-    members = B.store(members.select("band", "node", "n").join(score, "node").withColumn("comp", F.col("node")), "members")
+    members = B.store(members.select("band", "node", "n").join(score, "node"), "members")
 
     nodes = members.select(F.col("node").alias("doc_id")).distinct()
     nodes = B.store(nodes, "nodes")
     texts = B.store(src.join(B.bounded_broadcast(nodes, nodes.count()), "doc_id", "left_semi"), "texts")
 
-    def confirmed(edges: DataFrame) -> DataFrame:
-        one = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-        two = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-        pairs = edges.join(one, "b").join(two, "a").select("a", "b", "ta", "tb")
-        return B.store(pairs.mapInArrow(_confirm(percent), "a long, b long"), "links")
-
-    near = F.expr(f"100 * least(n, other_n) >= {percent} * greatest(n, other_n)")
-    links = tested = comps = None
-    for turn in range(star_rounds + 1):
-        last = turn == star_rounds
-        if turn:
-            open_bands = members.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("k")).where("x <> y")
-            members = B.store(members.join(open_bands.select("band", "k"), "band").select("band", "node", "n", "score", "comp", "k"), "members")
-            size, most = members.agg(F.count("*"), F.sum(F.col("k"))).first()
-            if not size:
-                break
-            last = last or most <= 16 * size  # so few pairs that they can be compared at once
-        if last:
-            other = members.select("band", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("comp").alias("other_comp"))
-            cand = members.join(other, "band").where("comp < other_comp").where(near)
-        else:
-            hubs = members.groupBy("band").agg(F.max(F.struct("score", (-F.col("node")).alias("neg"), "node", "n", "comp")).alias("h"))
-            hubs = hubs.select("band", F.col("h.node").alias("other"), F.col("h.n").alias("other_n"), F.col("h.comp").alias("other_comp"))
-            cand = members.join(hubs, "band").where("comp <> other_comp").where(near)
-        edges = cand.select(F.col("other").alias("a"), F.col("node").alias("b")).distinct()
-        if tested is not None:
-            done = tested.select("a", "b").union(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            edges = edges.join(done, ["a", "b"], "left_anti")
-        edges = B.store(edges, "edges")
-        found = confirmed(edges)
-        tested = edges if tested is None else tested.union(edges)
-        links = found if links is None else links.union(found)
-        comps = B.store(B.components(links), "comps")
-        if last:
-            break
-        left = members.join(hubs.select("band", F.col("other").alias("node")), ["band", "node"], "left_anti")
-        members = left.drop("comp", "k").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    hubs = members.groupBy("band").agg(F.max(F.struct("score", (-F.col("node")).alias("neg"), "node", "n")).alias("h"))
+    hubs = hubs.select("band", F.col("h.node").alias("a"), F.col("h.n").alias("a_n"))
+    near = F.expr(f"100 * least(n, a_n) >= {percent} * greatest(n, a_n)")
+    edges = B.store(members.join(hubs, "band").where(near & (F.col("node") != F.col("a"))).select("a", F.col("node").alias("b")).distinct(), "edges")
+    one, two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
+    links = B.store(edges.join(one, "b").join(two, "a").select("a", "b", "ta", "tb").mapInArrow(_confirm(percent), "a long, b long"), "links")
+    comps = B.store(B.components(links), "comps")
+
+    # buckets that still hold several components are compared in blocks
+    known = members.select("band", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    open_ = known.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("k")).where("x <> y")
+    rest = known.join(open_.select("band", F.ceil(F.col("k") / BLOCK).alias("blocks")), "band")
+    rest = B.store(rest.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))), "rest")
+    met = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = met.select("band", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "node", "comp").join(texts.withColumnRenamed("doc_id", "node"), "node")
+    more = B.store(met.groupBy("band", "bi", "bj").applyInArrow(_compare(percent), "a long, b long").distinct(), "links")
+    above = B.store(B.components(more), "comps").select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+    joined = comps.join(above, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+    single = above.join(comps.select(F.col("node").alias("comp")), "comp", "left_anti").select(F.col("comp").alias("node"), F.col("top").alias("comp"))
+    comps = joined.union(single)
 
     merged = classes.select("h1", "h2", "n_shingles", F.col("rep").alias("node"), "copies").join(comps, "node", "left")
     merged = B.store(merged.where("copies > 1 or comp is not null").select("h1", "h2", "n_shingles", F.coalesce("comp", "node").alias("comp")), "merged")
