@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 
 from . import _base as B
 
-WORD = r"[^\x20\x09-\x0D]+"
+GAP = r"[\x20\x09-\x0D]+"
 HASH_SPAN = float(1 << 52)
 
 
 def words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")).cast("long")
 
 
 def uniform(key: Column) -> Column:
