@@ -26,10 +26,13 @@ from pyspark.sql import types as T
 from . import _base as B
 
 BUCKETS, SAMPLE, EPOCHS = 1 << 16, 4000, 60
-# fixed values: each labeller votes bad beyond the first bound and good within the second
+# fixed values: bad beyond the first bound, plain within the second
 SYMBOLS = b"#$%&*{}[]<>|\\^~=_@+`"
-BOUNDS = {"symbols": (0.05, 0.01), "capitals": (0.4, 0.2), "exclaims": (0.05, 0.01), "digits": (0.3, 0.1), "long_words": (14.0, 10.0), "repeated_lines": (0.3, 0.1), "repeated_words": (0.8, 0.65)}
-LABELLERS = list(BOUNDS)
+BOUNDS = {"symbols": (0.05, 0.01), "capitals": (0.4, 0.2), "exclaims": (0.05, 0.01), "digits": (0.3, 0.1), "long_words": (14.0, 10.0), "repeated_lines": (0.3, 0.1), "repeated_words": (0.8, 0.65), "echoes": (0.2, 0.06)}
+JUNK = list(BOUNDS)
+#: those with bounds vote bad or nothing, the last two vote good or nothing
+FORM, WORDS = ("symbols", "capitals", "exclaims", "digits"), ("long_words", "repeated_lines", "repeated_words", "echoes")
+LABELLERS = [*JUNK, "plain_form", "plain_words"]
 
 
 def _rates(b: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -45,12 +48,16 @@ def _rates(b: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     sym[list(SYMBOLS)] = True
     upper, lower = share((b >= 65) & (b <= 90)), share((b >= 97) & (b <= 122))
     length = np.concatenate([[0], np.cumsum(e - s)])
-    measures = np.zeros((len(n), len(LABELLERS)))
+    measures = np.zeros((len(n), len(JUNK)))
     measures[:, 0] = share(sym[b]) / n
     measures[:, 1] = upper / np.maximum(upper + lower, 1)
     measures[:, 2] = share(b == 33) / n
     measures[:, 3] = share((b >= 48) & (b <= 57)) / n
     measures[:, 4] = (length[at[1:]] - length[at[:-1]]) / np.maximum(n_words, 1)
+    echo = np.concatenate([[False], h[1:] == h[:-1]])[: len(h)]
+    echo[at[:-1][at[:-1] < len(h)]] = False  # a row's first word repeats nothing
+    run = np.concatenate([[0], np.cumsum(echo)])
+    measures[:, 7] = np.where(n_words >= 5, (run[at[1:]] - run[at[:-1]]) / np.maximum(n_words, 1), np.nan)
     for i in range(len(n)):
         lines = [x for x in b[offs[i] : offs[i + 1]].tobytes().split(b"\n") if x.strip()]
         measures[i, 5] = 1 - len(set(lines)) / len(lines) if len(lines) > 2 else np.nan
@@ -61,9 +68,12 @@ def _rates(b: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 def votes(b: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """-1 bad, 1 good, 0 no vote, for each row and labeller; number of words."""
     m, n, *_ = _rates(b, offs)
-    bad, good = (np.array([BOUNDS[x][k] for x in LABELLERS]) for k in (0, 1))
+    bad, plain = (np.array([BOUNDS[x][k] for x in JUNK]) for k in (0, 1))
     with np.errstate(invalid="ignore"):
-        v = np.where(m > bad, -1, np.where(m <= good, 1, 0))
+        v = np.where(m > bad, -1, 0)
+        fine = ~(m > plain)  # what can't be measured is fine
+    good = [fine[:, [JUNK.index(x) for x in group]].all(axis=1) for group in (FORM, WORDS)]
+    v = np.concatenate([v, np.stack(good, axis=1).astype(int)], axis=1)
     v[n == 0] = 0
     return v, n
 
@@ -75,7 +85,7 @@ def pattern(v: np.ndarray) -> np.ndarray:
 def em(v: np.ndarray, n: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
     """Posterior of good for each pattern; P(vote | class) as [labeller, class, vote]; share of good."""
     n = n.astype(float)
-    post = np.clip(0.5 + 0.5 * v.mean(axis=1) - 0.4 * (v < 0).any(axis=1), 0.02, 0.98)
+    post = np.where((v < 0).any(axis=1), 0.05, 0.9)  # a bad vote starts as bad
     table, good = np.zeros((v.shape[1], 2, 3)), 0.5
     for _ in range(rounds):
         w = np.stack([(1 - post) * n, post * n])
