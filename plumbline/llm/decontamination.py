@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import _base as B
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+CASED_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def ascii_lower(text: Column) -> Column:
@@ -44,7 +44,7 @@ def words(text: Column) -> Column:
 
 
 def n_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(ANY_WORD)), F.lit(0)).cast("long")
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), CASED_GAP), "")).cast("long")
 
 
 def with_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
