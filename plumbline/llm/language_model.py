@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from . import _base as B
 
 DEPTH, END, SPACE = 5, 10, 32
-MAX_GRAMS, MAX_WORDS, FLUSH = 1 << 20, 1 << 20, 1 << 21
+MAX_GRAMS, MAX_WORDS, FLUSH = 1 << 20, 1 << 20, 1 << 20
 END_WORD = np.uint64(0x6A09E667F3BCC909)
 
 
@@ -92,7 +92,7 @@ def _count(depth: int):
 
         for batch in batches:
             b, offs = B.text_buffers(batch.column(0))
-            for lo, hi in B.row_blocks(offs, 2 * B.PIECE):
+            for lo, hi in B.row_blocks(offs, B.PIECE):
                 code, _, h, at = stream(b[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], depth)
                 for kind, values in ((0, code), (1, h)):
                     k, c = np.unique(values, return_counts=True)
