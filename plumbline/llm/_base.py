@@ -27,6 +27,9 @@ def session(df: DataFrame) -> SparkSession:
 
 def ship(spark: SparkSession) -> None:
     """Give the executors this package once a context, wherever the driver found it."""
+    # texts are long: fewer rows in an Arrow batch keep a task's memory small
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") or 0) not in range(1, BATCH_ROWS + 1):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_plumbline_shipped", False):
         return
@@ -42,6 +45,31 @@ def ship(spark: SparkSession) -> None:
     sc._plumbline_shipped = True
 
 
+BATCH_ROWS = 1000
+
+
+def lean(run):
+    """run over Arrow batches, with freed memory given back to the system between and after tasks."""
+    import functools as ft
+
+    @ft.wraps(run)
+    def wrapped(batches):
+        import ctypes
+        import gc
+
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # another C library
+
+    return wrapped
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only where none is configured."""
     sc = spark.sparkContext

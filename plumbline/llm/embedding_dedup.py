@@ -133,14 +133,14 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         got = classes.select("v").limit(2).toArrow().column("v").combine_chunks()
     x, _ = _padded(got, dims)
     model = spark.sparkContext.broadcast(fit(unit(x), width * tables))  # dims x bits, whatever the input
-    coded = B.store(classes.select("rep", "v").mapInArrow(_keys(width, tables, dims, model), "rep long, dim int, code array<long>, keys array<long>, probes array<long>"), "codes")
+    coded = B.store(classes.select("rep", "v").mapInArrow(B.lean(_keys(width, tables, dims, model)), "rep long, dim int, code array<long>, keys array<long>, probes array<long>"), "codes")
     left = coded.select(F.col("rep").alias("a"), "dim", F.col("code").alias("ca"), F.explode("probes").alias("key"))
     right = coded.select(F.col("rep").alias("b"), F.col("dim").alias("dim_b"), F.col("code").alias("cb"), F.explode("keys").alias("key"))
     longs = -(-width * tables // 64)
     apart = sum((F.bit_count(F.element_at("ca", i + 1).bitwiseXOR(F.element_at("cb", i + 1))) for i in range(longs)), F.lit(0))
     pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("dim") == F.col("dim_b")) & (apart <= limit)).select("a", "b").distinct()
     one, two = classes.select(F.col("rep").alias("a"), F.col("v").alias("va")), classes.select(F.col("rep").alias("b"), F.col("v").alias("vb"))
-    links = pairs.join(one, "a").join(two, "b").select("a", "b", "va", "vb").mapInArrow(_rerank(least), "a long, b long")
+    links = pairs.join(one, "a").join(two, "b").select("a", "b", "va", "vb").mapInArrow(B.lean(_rerank(least)), "a long, b long")
     links = B.store(links, "links")
     comps = B.components(links)
     size = classes.select("rep", "copies")

@@ -285,4 +285,4 @@ def extract(pages: DataFrame, keep: list[str], html_col: str = "html", names: tu
                 texts = [main_text(h, model) for h in part.column(part.num_columns - 1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema.names)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(B.lean(run), schema)

@@ -87,7 +87,7 @@ def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", bucke
     """Languages in order, log prior, and log probability (languages x buckets)."""
     B.ship(B.session(rows))
     taught = rows.where(F.col(lang_col).isNotNull()).select(F.col(text_col), F.col(lang_col).cast("string"))
-    counts = taught.mapInArrow(_counts(buckets), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = taught.mapInArrow(B.lean(_counts(buckets)), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     counts = B.store(counts, "ngrams")
     langs = sorted(r[0] for r in counts.select("lang").distinct().limit(max_languages + 1).collect())
     if len(langs) > max_languages:
@@ -134,7 +134,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], ke
                 cols = [batch.column(c).slice(lo, hi - lo) for c in range(batch.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(pred, pa.string()), pa.array(post)], names_all)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(B.lean(run), schema)
 
 
 def fold(id_col: Column, folds: int) -> Column:

@@ -247,7 +247,7 @@ def _bounded(table: DataFrame, limit: int) -> tuple[int, DataFrame]:
 def learn(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, max_grams: int = MAX_GRAMS, max_words: int = MAX_WORDS):
     """The model: tree, frequent words, rare words (a table), and the token totals N and V."""
     B.ship(B.session(docs))
-    counts = docs.select(F.col(text_col)).mapInArrow(_count(depth), "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    counts = docs.select(F.col(text_col)).mapInArrow(B.lean(_count(depth)), "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     counts = B.store(counts, "counts")
     words = counts.where("kind = 1").select("key", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -315,7 +315,7 @@ def score(docs: DataFrame, model, keep: list[str], text_col: str = "text") -> Da
                 row += n
                 yield pa.RecordBatch.from_arrays(cols, schema.names)
 
-    rows = B.store(src.mapInArrow(run, schema), "scored")
+    rows = B.store(src.mapInArrow(B.lean(run), schema), "scored")
     met = rows.select("__row", F.explode(F.arrays_zip("__rare", "__times")).alias("x")).select("__row", F.col("x.__rare").alias("key"), F.col("x.__times").alias("times"))
     met = met.join(rare, "key").groupBy("__row").agg(F.sum("times").alias("__more"), F.sum(F.col("times") * (F.log10(F.col("n") + 0.5) - math.log10(0.5))).alias("__up"))
     out = rows.join(met, "__row", "left")

@@ -124,7 +124,7 @@ def build_index(docs: DataFrame, text_col: str, min_docs: int, min_chars: int =
     """Write the shards; returns their path and number."""
     spark = B.session(docs)
     B.ship(spark)
-    lines = docs.select(F.col(text_col)).mapInArrow(_count_lines(min_chars), "hi long, lo long, n long")
+    lines = docs.select(F.col(text_col)).mapInArrow(B.lean(_count_lines(min_chars)), "hi long, lo long, n long")
     often = B.store(lines.groupBy("hi", "lo").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs), "lines")
     shards = max(1, -(-often.count() // SHARD_KEYS))
     path = B.new_path(spark, "shards")
@@ -201,4 +201,4 @@ def line_dedup(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_
                 cols += [pa.array([len(ls) for ls in split], pa.int64()), pa.array([len(drop.get(i, ())) for i in range(len(split))], pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, [f.name for f in schema.fields])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(B.lean(run), schema)

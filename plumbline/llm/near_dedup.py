@@ -159,7 +159,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = B.session(docs)
     B.ship(spark)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sig = B.store(src.mapInArrow(_signatures, SIG), "sig")
+    sig = B.store(src.mapInArrow(B.lean(_signatures), SIG), "sig")
     classes = B.store(sig.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "classes")
     rows = classes.select(F.col("rep").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.count("*").alias("cnt")).where("cnt > 1")
@@ -176,7 +176,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = F.expr(f"100 * least(n, a_n) >= {percent} * greatest(n, a_n)")
     edges = B.store(members.join(hubs, "band").where(near & (F.col("node") != F.col("a"))).select("a", F.col("node").alias("b")).distinct(), "edges")
     one, two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    links = B.store(edges.join(one, "b").join(two, "a").select("a", "b", "ta", "tb").mapInArrow(_confirm(percent), "a long, b long"), "links")
+    links = B.store(edges.join(one, "b").join(two, "a").select("a", "b", "ta", "tb").mapInArrow(B.lean(_confirm(percent)), "a long, b long"), "links")
     comps = B.store(B.components(links), "comps")
 
     # buckets that still hold several components are compared in blocks

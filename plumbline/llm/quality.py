@@ -148,7 +148,7 @@ def _sampled(batches):
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE):
     """Posterior of each vote pattern, weights and bias of the scorer."""
     B.ship(B.session(docs))
-    seen = docs.select(F.col(text_col)).mapInArrow(_vote, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
+    seen = docs.select(F.col(text_col)).mapInArrow(B.lean(_vote), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
     got = seen.toArrow()  # at most 3 ** labellers rows
     k, n = got.column("pattern").to_numpy(), got.column("n").to_numpy()
     order = np.argsort(k)
@@ -159,7 +159,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     posterior[k] = post
     every = max(1, int(n.sum()) // sample)
     some = docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(every)) == 0).select(F.col(text_col))
-    got = some.mapInArrow(_sampled, "pattern long, ids array<int>, shares array<float>").toArrow().combine_chunks()
+    got = some.mapInArrow(B.lean(_sampled), "pattern long, ids array<int>, shares array<float>").toArrow().combine_chunks()
     weights, bias = np.zeros(BUCKETS), 0.0
     if len(got):
         y = posterior[got.column("pattern").to_numpy()]
@@ -203,4 +203,4 @@ def score(docs: DataFrame, model, keep: list[str], text_col: str = "text", least
                 cols = [batch.column(c).slice(lo, hi - lo) for c in range(batch.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(weak), pa.array(p), pa.array((n > 0) & (p >= least))], schema.names)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(B.lean(run), schema)

@@ -89,7 +89,7 @@ def write_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield from cut(True)
 
     src = docs.select(F.col(id_col).cast("long"), F.col(text_col))
-    return B.store(src.mapInArrow(run, FILES), "tokens", "zstd"), stop, kind
+    return B.store(src.mapInArrow(B.lean(run), FILES), "tokens", "zstd"), stop, kind
 
 
 def _scan(stop: int, kind: str):
@@ -110,7 +110,7 @@ def _scan(stop: int, kind: str):
 def count_tokens(blocks: DataFrame, stop: int, kind: str) -> DataFrame:
     """Rows (doc_id, n_tokens) from the flat files."""
     B.ship(B.session(blocks))
-    found = B.store(blocks.select("file", "block", "ids", "doc_ids").mapInArrow(_scan(stop, kind), "file long, block long, n long, tail long, lens array<long>, doc_ids array<long>"), "scan")
+    found = B.store(blocks.select("file", "block", "ids", "doc_ids").mapInArrow(B.lean(_scan(stop, kind)), "file long, block long, n long, tail long, lens array<long>, doc_ids array<long>"), "scan")
     before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     sums = found.select("file", "block", "n", F.coalesce(F.sum("tail").over(before), F.lit(0)).alias("upto"))
     carry = sums.select("file", "block", (F.col("upto") - F.coalesce(F.max(F.when(F.col("n") > 0, F.col("upto"))).over(before), F.lit(0))).alias("carry"))
