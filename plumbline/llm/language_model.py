@@ -160,7 +160,7 @@ class Tree:
                 else:
                     k, p, c0, c1 = below[j]
                     parent = np.searchsorted(keys[first], k & np.uint64((1 << (8 * d + j)) - 1))
-                    kids = np.bincount(parent, weights=p, minlength=len(first))
+                    kids = np.bincount(parent, weights=p, minlength=len(first)).astype(float)
                     r0 = n0 - np.bincount(parent, weights=c0, minlength=len(first))
                     r1 = n1 - np.bincount(parent, weights=c1, minlength=len(first))
                     kids += np.where(r0 + r1 > 0, _log_kt(np.maximum(r0, 0), np.maximum(r1, 0)), 0.0)
