@@ -46,9 +46,9 @@ def split_oversized(found: DataFrame, max_tokens: int = 500) -> DataFrame:
     packed = F.aggregate(F.split("content", r"\n\s*\n"), start, step, lambda a: F.when(X.trim(a["open"]) != "", F.concat(a["done"], F.array(X.trim(a["open"])))).otherwise(a["done"]))
     small = X.approx_tokens(F.col("content")) <= max_tokens
     parts = found.withColumn("parts", F.when(small, F.array("content")).otherwise(packed))
-    rows = parts.select(*[c for c in parts.columns if c not in ("content", "parts")], F.size("parts").alias("n"), F.posexplode("parts").alias("k", "content"))
-    ident = F.when(F.col("n") > 1, F.concat("section_id", F.lit("#"), (F.col("k") + 1).cast("string"))).otherwise(F.col("section_id"))
-    return rows.withColumn("section_id", ident).drop("n", "k")
+    rows = parts.select(*[c for c in parts.columns if c not in ("content", "parts")], F.size("parts").alias("__n"), F.posexplode("parts").alias("__k", "content"))
+    ident = F.when(F.col("__n") > 1, F.concat("section_id", F.lit("#"), (F.col("__k") + 1).cast("string"))).otherwise(F.col("section_id"))
+    return rows.withColumn("section_id", ident).drop("__n", "__k")
 
 
 def cosine(a: str, b: str) -> Column:
