@@ -39,14 +39,10 @@ def parse_to_mm(raw: Column) -> Column:
     def unit(u: str) -> str:
         return NUM + rf"\s*{u}{END}"
 
-    return (
-        F.when(_num(s, feet).isNotNull(), _num(s, feet) * FOOT + F.coalesce(_num(s, feet, 2), F.lit(0.0)) * INCH)
-        .when(_num(s, inch).isNotNull(), _num(s, inch) * INCH)
-        .when(_num(s, unit("mm")).isNotNull(), _num(s, unit("mm")))
-        .when(_num(s, unit("cm")).isNotNull(), _num(s, unit("cm")) * 10)
-        .when(_num(s, unit("m")).isNotNull(), _num(s, unit("m")) * 1000)
-        .otherwise(_num(s, NUM))
-    )
+    # the first unit that matches wins; each pattern runs once
+    return F.coalesce(
+        _num(s, feet) * FOOT + F.coalesce(_num(s, feet, 2), F.lit(0.0)) * INCH, _num(s, inch) * INCH, _num(s, unit("mm")), _num(s, unit("cm")) * 10, _num(s, unit("m")) * 1000, _num(s, NUM)
+    )
 
 
 def number_text(d: Column) -> Column:

@@ -83,8 +83,11 @@ def keyword_search(queries: DataFrame, chunks: DataFrame, limit: int, prefix: st
     """(query_id, id): chunks that hold any of a query's terms in content or title, first by id. queries: (query_id, query)."""
     terms = queries.select("query_id", F.explode(X.keyword_terms(F.col("query"))).alias("term"))
     pool = chunks.where(F.col("section_id").startswith(prefix)) if prefix else chunks
-    met = pool.join(terms, F.lower("content").contains(F.col("term")) | F.lower(F.coalesce("section_title", F.lit(""))).contains(F.col("term")))
-    met = met.select("query_id", "id").distinct()
+    # each text is lowered once and tested against the distinct terms, not against every query's
+    pool = pool.select("id", F.lower(F.concat_ws("\n", "content", "section_title")).alias("low"))
+    words = terms.select("term").distinct().agg(F.collect_set("term").alias("words"))  # a few terms a query
+    hits = pool.crossJoin(words).select("id", F.explode(F.filter("words", lambda t: F.col("low").contains(t))).alias("term"))
+    met = hits.join(terms, "term").select("query_id", "id").distinct()
     return met.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("id"))).where(F.col("rank") <= limit)
 
 
