@@ -13,14 +13,19 @@ with nothing to learn from every bit has probability one half; repeated rows sco
 empty table gives an empty result. Only the named columns are read, so others can't clash.
 
 Scale. All training documents are counted: tasks send (gram, n) and (word, n) rows, summed by
-Spark. The tree keeps the grams of at least a power of two of occurrences, the least that leaves
-at most MAX_GRAMS; what is left out is one more child with the rest of the counts. Words are
-split alike: at most MAX_WORDS frequent ones are broadcast with their counts, the counts of all
-others are joined exactly. Both broadcasts are thus of bounded size at any input.
+Spark. The tree holds every gram, whatever their number: what lies below depth SPLIT is cut by the
+hash of the nearest SPLIT bytes into buckets of about BUCKET grams, each a task's own subtree; above
+it are at most 256 ** SPLIT grams, broadcast. Probabilities of the grams with at least a power of
+two of occurrences, the least that leaves at most MAX_GRAMS, are broadcast too; those of all others
+are found in the subtrees, once for each distinct gram, and joined. Words are split alike: at most
+MAX_WORDS frequent ones are broadcast with their counts, the counts of all others are joined. The
+broadcasts are thus of bounded size at any input and what they leave out is joined exactly.
 """
 
 from __future__ import annotations
 
+import dataclasses
+import functools
 import math
 
 import numpy as np
@@ -32,7 +37,8 @@ from pyspark.sql import types as T
 
 from . import _base as B
 
-DEPTH, END, SPACE = 5, 10, 32
+DEPTH, END, SPACE, SPLIT = 5, 10, 32, 2
+BUCKET = 1 << 17
 MAX_GRAMS, MAX_WORDS, FLUSH = 1 << 20, 1 << 20, 1 << 20
 END_WORD = np.uint64(0x6A09E667F3BCC909)
 
@@ -116,9 +122,23 @@ def _count(depth: int):
 # --- the tree ------------------------------------------------------------------------------
 
 
+@functools.lru_cache(2)
+def _small(shift: float) -> np.ndarray:
+    return _lgamma(np.arange(1 << 12) + shift)
+
+
+def _lgamma_of(n: np.ndarray, shift: float) -> np.ndarray:
+    """Log gamma of whole numbers n plus shift."""
+    table = _small(shift)
+    out = table[np.minimum(n, len(table) - 1).astype(np.int64)]
+    big = n >= len(table)
+    out[big] = _lgamma(n[big] + shift)
+    return out
+
+
 def _log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """Log probability that the estimator gives a block with these counts."""
-    return _lgamma(n0 + 0.5) + _lgamma(n1 + 0.5) - _lgamma(n0 + n1 + 1.0) - math.log(math.pi)
+    return _lgamma_of(n0, 0.5) + _lgamma_of(n1, 0.5) - _lgamma_of(n0 + n1, 1.0) - math.log(math.pi)
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -135,16 +155,25 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return shift + (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r / 1680))) / x
 
 
+def _mask(bits: int) -> np.uint64:
+    return np.uint64((1 << bits) - 1)
+
+
 class Tree:
-    """Grams of each depth in order, their running counts, and the posterior weight of each of a gram's eight nodes."""
+    """Grams of the depths from `top` on in order, their running counts, and the posterior weight of each of a gram's eight nodes.
 
-    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]]):
+    below: block probabilities that the nodes of the last depth have from further ones, for each
+    bit (node, log probability, zeros, ones); totals: the same of the first depth's nodes.
+    """
+
+    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]], top: int = 0, below: list | None = None):
+        self.top = top
         self.grams = [g for g, _ in tables]
         self.cum = [np.concatenate([[0], np.cumsum(c)]) for _, c in tables]
-        self.weight = [np.ones((len(g), 8), np.float16) for g in self.grams]
-        below: list = [None] * 8
-        for d in range(len(tables) - 1, -1, -1):
-            g, cum = self.grams[d], self.cum[d]
+        self.weight = [np.ones((len(g), 8), np.float32) for g in self.grams]
+        below = below or [None] * 8
+        for i in range(len(tables) - 1, -1, -1):
+            g, cum = self.grams[i], self.cum[i]
             now: list = []
             for j in range(8):
                 keys = g >> np.uint64(8 - j)
@@ -159,7 +188,7 @@ class Tree:
                     w = np.ones(len(first))
                 else:
                     k, p, c0, c1 = below[j]
-                    parent = np.searchsorted(keys[first], k & np.uint64((1 << (8 * d + j)) - 1))
+                    parent = np.searchsorted(keys[first], k & _mask(8 * (top + i) + j))
                     kids = np.bincount(parent, weights=p, minlength=len(first)).astype(float)
                     r0 = n0 - np.bincount(parent, weights=c0, minlength=len(first))
                     r1 = n1 - np.bincount(parent, weights=c1, minlength=len(first))
@@ -167,36 +196,96 @@ class Tree:
                     total = np.logaddexp(own, kids) - math.log(2)
                     w = 1 / (1 + np.exp(np.clip(kids - own, -50, 50)))
                     w[np.bincount(parent, minlength=len(first)) == 0] = 1.0
-                self.weight[d][first, j] = w
+                self.weight[i][first, j] = w
                 now.append((keys[first], total, n0, n1))
             below = now
-
-    def log10(self, codes: np.ndarray) -> np.ndarray:
-        """log10 probability of each code's symbol after its context."""
+        self.totals = below
+
+    def mix(self, codes: np.ndarray, j: int, p: np.ndarray, deeper: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of bit j of each code, given that of further depths, and whether any depth has seen its context."""
+        on = ((codes >> np.uint64(7 - j)) & np.uint64(1)).astype(bool)
+        for i in range(len(self.grams) - 1, -1, -1):
+            g, cum = self.grams[i], self.cum[i]
+            if not len(g):
+                continue
+            key = (codes & _mask(8 * (self.top + i) + 8)) >> np.uint64(8 - j)
+            lo = np.searchsorted(g, key << np.uint64(8 - j))
+            hi = np.searchsorted(g, (key << np.uint64(8 - j)) | _mask(8 - j), side="right")
+            mid = np.searchsorted(g, ((key << np.uint64(1)) | np.uint64(1)) << np.uint64(7 - j))
+            n = cum[hi] - cum[lo]
+            n_on = np.where(on, cum[hi] - cum[mid], cum[mid] - cum[lo])
+            est = (n_on + 0.5) / (n + 1.0)
+            w = self.weight[i][np.minimum(lo, len(g) - 1), j].astype(float)
+            here = n > 0
+            p = np.where(here, np.where(deeper, w * est + (1 - w) * p, est), p)
+            deeper = deeper | here
+        return p, deeper
+
+    def log10(self, codes: np.ndarray, *above: Tree) -> np.ndarray:
+        """log10 probability of each code's symbol after its context; above: trees of the lesser depths."""
         out = np.zeros(len(codes))
         for j in range(8):
-            p = np.full(len(codes), 0.5)
-            on = ((codes >> np.uint64(7 - j)) & np.uint64(1)).astype(bool)
-            deeper = np.zeros(len(codes), bool)
-            for d in range(len(self.grams) - 1, -1, -1):
-                g, cum = self.grams[d], self.cum[d]
-                if not len(g):
-                    continue
-                key = (codes & np.uint64((1 << (8 * d + 8)) - 1)) >> np.uint64(8 - j)
-                lo = np.searchsorted(g, key << np.uint64(8 - j))
-                hi = np.searchsorted(g, (key << np.uint64(8 - j)) | np.uint64((1 << (8 - j)) - 1), side="right")
-                mid = np.searchsorted(g, ((key << np.uint64(1)) | np.uint64(1)) << np.uint64(7 - j))
-                n = cum[hi] - cum[lo]
-                n_on = np.where(on, cum[hi] - cum[mid], cum[mid] - cum[lo])
-                est = (n_on + 0.5) / (n + 1.0)
-                w = self.weight[d][np.minimum(lo, len(g) - 1), j].astype(float)
-                here = n > 0
-                p = np.where(here, np.where(deeper, w * est + (1 - w) * p, est), p)
-                deeper |= here
+            p, seen = np.full(len(codes), 0.5), np.zeros(len(codes), bool)
+            for tree in (self, *above):
+                p, seen = tree.mix(codes, j, p, seen)
             out += np.log10(p)
         return out
 
 
+def _subtree(table: pa.Table, depth: int) -> Tree:
+    """The tree of a bucket's grams from depth SPLIT on."""
+    keys, n = table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy()
+    return Tree([_summed([keys & _mask(8 * d + 8)], [n]) for d in range(SPLIT, depth + 1)], SPLIT)
+
+
+def _bucket_totals(depth: int):
+    def run(table: pa.Table) -> pa.Table:
+        out = []
+        for j, (k, p, n0, n1) in enumerate(_subtree(table, depth).totals):
+            nodes, at = np.unique(k & _mask(8 * (SPLIT - 1) + j), return_inverse=True)
+            out.append((np.full(len(nodes), j, np.int32), nodes.view(np.int64), *(np.bincount(at, weights=x) for x in (p, n0, n1))))
+        return pa.table({c: np.concatenate(x) for c, x in zip(("bit", "node", "p", "n0", "n1"), zip(*out))})
+
+    return run
+
+
+@dataclasses.dataclass
+class Model:
+    """grams: stored (bucket, key, n); top: the tree above SPLIT; known: probabilities of frequent grams; frequent: counts
+    of frequent words; rare: those of the others, a table; tokens and distinct: totals of the tokens."""
+
+    depth: int
+    grams: DataFrame
+    buckets: int
+    top: Tree
+    known: Lookup | None
+    frequent: Lookup
+    rare: DataFrame
+    tokens: int
+    distinct: int
+
+    def probabilities(self, codes: DataFrame) -> DataFrame:
+        """(key, p): log10 probability of each of the distinct codes (key), found in its bucket's subtree."""
+        top, depth = B.session(codes).sparkContext.broadcast(self.top), self.depth  # at most 256 ** SPLIT grams
+
+        def run(grams: pa.Table, wanted: pa.Table) -> pa.Table:
+            keys = wanted.column("key")
+            if not len(keys):
+                return pa.table({"key": pa.array([], pa.int64()), "p": pa.array([], pa.float64())})
+            asked = keys.to_numpy().view(np.uint64)
+            tree, out = _subtree(grams, depth), np.empty(len(asked))
+            for lo in range(0, len(asked), BUCKET):
+                out[lo : lo + BUCKET] = tree.log10(asked[lo : lo + BUCKET], top.value)
+            return pa.table({"key": keys, "p": out})
+
+        asked = codes.select(_bucket(self.buckets).alias("bucket"), "key")
+        return self.grams.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(run, "key long, p double")
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.shiftright("key", 8).bitwiseAND((1 << (8 * SPLIT)) - 1)), F.lit(buckets))
+
+
 class Lookup:
     """A hash table from uint64 keys to numbers, probed for whole arrays."""
 
@@ -244,8 +333,8 @@ def _bounded(table: DataFrame, limit: int) -> tuple[int, DataFrame]:
     return least, table.where(F.col("n") >= least)
 
 
-def learn(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, max_grams: int = MAX_GRAMS, max_words: int = MAX_WORDS):
-    """The model: tree, frequent words, rare words (a table), and the token totals N and V."""
+def learn(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, max_grams: int = MAX_GRAMS, max_words: int = MAX_WORDS) -> Model:
+    """The model of docs. depth: SPLIT to 7; max_grams and max_words bound what is broadcast, not what is learned."""
     B.ship(B.session(docs))
     counts = docs.select(F.col(text_col)).mapInArrow(B.lean(_count(depth)), "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     counts = B.store(counts, "counts")
@@ -255,73 +344,86 @@ def learn(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, max_grams
     got = often.toArrow()
     frequent = Lookup(got.column("key").to_numpy().view(np.uint64), got.column("n").to_numpy())
     rare = words.where(F.col("n") < least)
-    masks = F.array(*[F.struct(F.lit(d).alias("d"), F.col("key").bitwiseAND((1 << (8 * d + 8)) - 1 if d < 7 else -1).alias("gram")) for d in range(depth + 1)])
-    grams = counts.where("kind = 0").select(F.explode(masks).alias("x"), "n").groupBy("x.d", "x.gram").agg(F.sum("n").alias("n"))
-    _, kept = _bounded(B.store(grams, "grams"), max_grams)
-    got = kept.toArrow()
-    d, g, n = got.column("d").to_numpy(), got.column("gram").to_numpy().view(np.uint64), got.column("n").to_numpy()
-    tables = []
-    for k in range(depth + 1):
-        own, c = g[d == k], n[d == k]
-        order = np.argsort(own)
-        tables.append((own[order], c[order]))
-    tree = Tree(tables)
-    return tree, frequent, rare, int(total), int(distinct)
-
-
-def score(docs: DataFrame, model, keep: list[str], text_col: str = "text") -> DataFrame:
+
+    grams = counts.where("kind = 0").select("key", "n")
+    buckets = max(1, -(-grams.count() // BUCKET))
+    grams = B.store(grams.select(_bucket(buckets).alias("bucket"), "key", "n"), "grams")
+    kids = grams.groupBy("bucket").applyInArrow(_bucket_totals(depth), "bit int, node long, p double, n0 double, n1 double")
+    kids = kids.groupBy("bit", "node").agg(*[F.sum(c).alias(c) for c in ("p", "n0", "n1")]).toArrow()  # fewer than 256 ** SPLIT nodes
+    near = grams.groupBy(F.col("key").bitwiseAND((1 << (8 * SPLIT)) - 1).alias("key")).agg(F.sum("n").alias("n")).toArrow()  # at most 256 ** SPLIT
+    near, n = near.column("key").to_numpy().view(np.uint64), near.column("n").to_numpy()
+    bit, node, *sums = (kids.column(c).to_numpy() for c in ("bit", "node", "p", "n0", "n1"))
+    below = [(node[bit == j].view(np.uint64), *(x[bit == j] for x in sums)) for j in range(8)]
+    top = Tree([_summed([near & _mask(8 * d + 8)], [n]) for d in range(SPLIT)], 0, below)
+    model = Model(depth, grams, buckets, top, None, frequent, rare, int(total), int(distinct))
+    _, often = _bounded(grams, max_grams)
+    got = model.probabilities(often).toArrow()  # at most max_grams rows
+    model.known = Lookup(got.column("key").to_numpy().view(np.uint64), got.column("p").to_numpy())
+    return model
+
+
+def _listed(values: np.ndarray, odd: np.ndarray, at: np.ndarray) -> tuple[pa.ListArray, pa.ListArray]:
+    """Each row's distinct values among those at the places `odd`, and how often they occur; at: the rows' offsets."""
+    row_of = np.searchsorted(at, odd, side="right") - 1
+    order = np.lexsort((values[odd], row_of))
+    r, v = row_of[order], values[odd][order]
+    first = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (v[1:] != v[:-1])])) if len(r) else np.zeros(0, np.int64)
+    cuts = pa.array(np.searchsorted(r[first], np.arange(len(at))).astype(np.int32))
+    times = np.diff(np.append(first, len(r))).astype(np.int32)
+    return pa.ListArray.from_arrays(cuts, pa.array(v[first].view(np.int64))), pa.ListArray.from_arrays(cuts, pa.array(times))
+
+
+def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns `keep` of docs, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte."""
     spark = B.session(docs)
     B.ship(spark)
-    tree, frequent, rare, total, distinct = model
-    top = tree.grams[-1]
-    known = Lookup(top, tree.log10(top).astype(np.float32))
-    shared = spark.sparkContext.broadcast((tree, known, frequent))  # at most MAX_GRAMS and MAX_WORDS entries
-    below = math.log10(total + 0.5 * (distinct + 1))
+    depth = model.depth
+    shared = spark.sparkContext.broadcast((model.known, model.frequent))  # at most max_grams and max_words entries
+    below = math.log10(model.tokens + 0.5 * (model.distinct + 1))
     never = math.log10(0.5) - below
     src = docs.select(*keep, F.col(text_col).alias("__text"))
-    extra = "__row long, __tokens long, __known long, __base double, __score double, __bytes long, __rare array<long>, __times array<int>"
+    extra = "__row long, __tokens long, __known long, __base double, __score double, __bytes long, __rare array<long>, __times array<int>, __codes array<long>, __often array<int>"
     schema = T.StructType([*src.schema.fields[:-1], *T.StructType.fromDDL(extra).fields])
 
     def run(batches):
-        tree, known, frequent = shared.value
+        known, frequent = shared.value
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             b, offs = B.text_buffers(batch.column(batch.num_columns - 1))
             for lo, hi in B.row_blocks(offs, B.PIECE):
                 n = hi - lo
-                code, at, h, word_at = stream(b[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], len(tree.grams) - 1)
+                code, at, h, word_at = stream(b[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], depth)
                 p, ok = known.get(code)
-                p = p.astype(float)
-                if not ok.all():
-                    new, back = np.unique(code[~ok], return_inverse=True)
-                    p[~ok] = tree.log10(new)[back]
-                run_sum = np.concatenate([[0.0], np.cumsum(p)])
+                p_sum = np.concatenate([[0.0], np.cumsum(np.where(ok, p, 0.0))])
+                codes, often = _listed(code, np.flatnonzero(~ok), at)
                 c, ok = frequent.get(h)
                 base = np.where(ok, np.log10(c + 0.5) - below, never)
                 end_c, end_ok = frequent.get(np.array([END_WORD]))
                 end = math.log10((int(end_c[0]) if end_ok[0] else 0) + 0.5) - below
                 base_sum, ok_sum = np.concatenate([[0.0], np.cumsum(base)]), np.concatenate([[0], np.cumsum(ok)])
-                odd = np.flatnonzero(~ok)
-                row_of = np.searchsorted(word_at, odd, side="right") - 1
-                order = np.lexsort((h[odd], row_of))
-                r, w = row_of[order], h[odd][order]
-                first = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (w[1:] != w[:-1])])) if len(r) else np.zeros(0, np.int64)
-                times = np.diff(np.append(first, len(r))).astype(np.int32)
-                cuts = pa.array(np.searchsorted(r[first], np.arange(n + 1)).astype(np.int32))
+                words, times = _listed(h, np.flatnonzero(~ok), word_at)
                 cols = [batch.column(i).slice(lo, n) for i in range(batch.num_columns - 1)]
                 cols += [pa.array(row + np.arange(n)), pa.array(np.diff(word_at) + 1), pa.array(np.diff(ok_sum[word_at]) + int(end_ok[0])), pa.array(np.diff(base_sum[word_at]) + end)]
-                cols += [pa.array(np.diff(run_sum[at])), pa.array(np.diff(at)), pa.ListArray.from_arrays(cuts, pa.array(w[first].view(np.int64))), pa.ListArray.from_arrays(cuts, pa.array(times))]
+                cols += [pa.array(np.diff(p_sum[at])), pa.array(np.diff(at)), words, times, codes, often]
                 row += n
                 yield pa.RecordBatch.from_arrays(cols, schema.names)
 
     rows = B.store(src.mapInArrow(B.lean(run), schema), "scored")
-    met = rows.select("__row", F.explode(F.arrays_zip("__rare", "__times")).alias("x")).select("__row", F.col("x.__rare").alias("key"), F.col("x.__times").alias("times"))
-    met = met.join(rare, "key").groupBy("__row").agg(F.sum("times").alias("__more"), F.sum(F.col("times") * (F.log10(F.col("n") + 0.5) - math.log10(0.5))).alias("__up"))
-    out = rows.join(met, "__row", "left")
+
+    def entries(keys: str, times: str) -> DataFrame:
+        met = rows.select("__row", F.explode(F.arrays_zip(keys, times)).alias("x"))
+        return met.select("__row", F.col(f"x.{keys}").alias("key"), F.col(f"x.{times}").alias("times"))
+
+    words = entries("__rare", "__times").join(model.rare, "key")
+    words = words.groupBy("__row").agg(F.sum("times").alias("__more"), F.sum(F.col("times") * (F.log10(F.col("n") + 0.5) - math.log10(0.5))).alias("__up"))
+    codes = entries("__codes", "__often")
+    found = B.store(model.probabilities(codes.select("key").distinct()), "probabilities")
+    codes = codes.join(found, "key").groupBy("__row").agg(F.sum(F.col("times") * F.col("p")).alias("__odd"))
+    out = rows.drop("__rare", "__times", "__codes", "__often").join(words, "__row", "left").join(codes, "__row", "left")
+    total = F.col("__score") + F.coalesce("__odd", F.lit(0.0))
     return out.select(
-        *keep, F.col("__tokens").alias("n_tokens"), (F.col("__known") + F.coalesce("__more", F.lit(0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("__base") + F.coalesce("__up", F.lit(0.0))).alias("base_score"), F.col("__score").alias("score"), (-F.col("__score") / math.log10(2) / F.col("__bytes")).alias("bits_per_byte"),
+        *keep, F.col("__tokens").alias("n_tokens"), (F.col("__known") + F.coalesce("__more", F.lit(0))).cast("long").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
+        (F.col("__base") + F.coalesce("__up", F.lit(0.0))).alias("base_score"), total.alias("score"), (-total / math.log10(2) / F.col("__bytes")).alias("bits_per_byte"),
     )
 
 

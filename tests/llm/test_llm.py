@@ -176,6 +176,24 @@ def test_language_model_split_words_and_grams(spark):
     a = {r.doc_id: r for r in language_model.score(docs, language_model.learn(docs), ["doc_id"]).collect()}
     b = {r.doc_id: r for r in language_model.score(docs, language_model.learn(docs, max_words=500, max_grams=20000), ["doc_id"]).collect()}
     assert all(a[i].n_known == b[i].n_known and a[i].base_score == pytest.approx(b[i].base_score, rel=1e-9) for i in a)
+    assert all(a[i].score == pytest.approx(b[i].score, rel=1e-9) for i in a)
+
+
+def test_language_model_whole_tree(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    own = docs.where("doc_id % 3 <> 0")
+    monkeypatch.setattr(language_model, "BUCKET", 5000)
+    got = {r.doc_id: r.score for r in language_model.score(docs, language_model.learn(own, max_grams=3000), ["doc_id"]).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+
+    def codes(text):
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        return language_model.stream(raw, np.array([0, len(raw)]))[0]
+
+    every = np.concatenate([codes(t) for i, t in texts.items() if i % 3])
+    tree = language_model.Tree([np.unique(every & np.uint64((1 << (8 * d + 8)) - 1), return_counts=True) for d in range(language_model.DEPTH + 1)])
+    for i in list(texts)[::7]:
+        assert got[i] == pytest.approx(tree.log10(codes(texts[i])).sum(), rel=1e-5)
 
 
 def test_probabilities_sum_to_one():
