@@ -28,7 +28,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id; rows that repeat it collapse to one."""
+    """One document of each group: the one with the smallest doc_id; rows that repeat this id are the same document and stay."""
     found = near_dedup.near_duplicates(docs, percent=80)
     rest = B.store(found.where("not kept").select("doc_id").distinct(), "repeats")
     return docs.join(B.bounded_broadcast(rest, rest.count()), "doc_id", "left_anti").select(*docs.columns)
