@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from . import _base as B
 
-DEPTH, END, SPACE, SPLIT = 5, 10, 32, 2
+DEPTH, END, SPACE, SPLIT = 6, 10, 32, 2
 BUCKET = 1 << 17
 MAX_GRAMS, MAX_WORDS, FLUSH = 1 << 20, 1 << 20, 1 << 20
 END_WORD = np.uint64(0x6A09E667F3BCC909)
