@@ -13,7 +13,10 @@ Scale. The rotation is fitted on a sample of about `sample` classes by hash of t
 vectors are indexed. Code parts are about log2(rows) bits wide, so a bucket holds about
 one unrelated vector at any size; the number of tables follows from the threshold and the width. A
 vector probes its own bucket and those one bit away in each table. Candidates must be close
-in the whole code before any vector is fetched.
+in the whole code before any vector is fetched. Buckets of more than HOT vectors emit no pairs:
+their probers and owners are compared in blocks of about BLOCK, each block pair a task of its
+own that returns one row a vector (its links, and the smallest vector they join it with). A pair
+counts in the first such table that it meets in; pairs that meet in one are left out elsewhere.
 """
 
 from __future__ import annotations
@@ -28,6 +31,9 @@ from pyspark.sql import functions as F
 from . import _base as B
 
 SAMPLE, ROUNDS, MISS = 16384, 30, 0.03
+HOT, BLOCK = 32, 1024
+FEW, CROWD = 32, 0.8
+TAG = 48  # a key holds its table from this bit on
 
 
 def plan(rows: int, least: float) -> tuple[int, int, int]:
@@ -46,21 +52,33 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def fit(x: np.ndarray, bits: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Projection (dimensions x bits) and thresholds that make each bit balanced on the sample."""
+    """Projection (dimensions x bits) and thresholds that make each bit balanced on the sample.
+
+    A group of similar vectors counts as about one, so that no threshold runs through a large one; where
+    fewer than FEW are left, all thresholds are 0.
+    """
     rng = np.random.default_rng(seed)
     d, parts, cuts = x.shape[1], [], []
-    mean = x.mean(axis=0)
+    crowd = np.concatenate([(x[lo : lo + 256] @ x.T >= CROWD).sum(axis=1) for lo in range(0, len(x), 256)])
+    thin = x[rng.random(len(x)) * crowd < 1]
+    few = len(thin) < FEW
+    x = x if few else thin
+    mean = np.zeros(d) if few else x.mean(axis=0)
+
+    def middle(z: np.ndarray) -> np.ndarray:
+        return np.zeros(z.shape[1]) if few else np.median(z, axis=0)
+
     _, axes = np.linalg.eigh(np.cov((x - mean).T).reshape(d, d))
     v = (x - mean) @ axes
     while sum(p.shape[1] for p in parts) < bits:
         r, _ = np.linalg.qr(rng.normal(size=(d, d)))
         for _ in range(ROUNDS):
             z = v @ r
-            u, _, wt = np.linalg.svd(np.sign(z - np.median(z, axis=0)).T @ v)
+            u, _, wt = np.linalg.svd(np.sign(z - middle(z)).T @ v)
             r = (u @ wt).T
         w = axes @ r
         parts.append(w)
-        cuts.append(np.median(x @ w, axis=0))
+        cuts.append(middle(x @ w))
     return np.concatenate(parts, axis=1)[:, :bits], np.concatenate(cuts)[:bits]
 
 
@@ -77,16 +95,19 @@ def _padded(col: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
 def _keys(width: int, tables: int, dims: int, model):
     weights = np.uint64(1) << np.arange(width, dtype=np.uint64)
     flips = np.concatenate([[np.uint64(0)], weights])
-    longs = -(-width * tables // 64)
+    per = 64 // width
 
     def run(batches):
         w, cut = model.value
         for batch in batches:
             x, sizes = _padded(batch.column(1), dims)
             on = unit(x) @ w > cut
-            parts = np.stack([(on[:, t * width : (t + 1) * width] * weights).sum(axis=1, dtype=np.uint64) | (np.uint64(t) << np.uint64(48)) for t in range(tables)], axis=1)
+            parts = np.stack([(on[:, t * width : (t + 1) * width] * weights).sum(axis=1, dtype=np.uint64) for t in range(tables)], axis=1)
+            packed = np.zeros((len(x), -(-tables // per)), np.uint64)
+            for t in range(tables):
+                packed[:, t // per] |= parts[:, t] << np.uint64(width * (t % per))
+            parts |= np.arange(tables, dtype=np.uint64) << np.uint64(TAG)
             probes = (parts[:, :, None] ^ flips).reshape(len(x), -1)
-            packed = np.packbits(np.pad(on, ((0, 0), (0, longs * 64 - on.shape[1]))), axis=1).view(np.int64)
 
             def lists(m):
                 return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(np.ascontiguousarray(m).reshape(-1).view(np.int64)))
@@ -115,6 +136,67 @@ def _rerank(least: float):
     return run
 
 
+def _dense(least: float, width: int):
+    """Links between the probers (side 0) and owners (side 1) of a hot bucket's block pair, summed by vector."""
+    per, mask = 64 // width, np.uint64((1 << width) - 1)
+
+    def run(table: pa.Table) -> pa.Table:
+        side, rep, dim, copies = (table.column(c).to_numpy() for c in ("side", "rep", "dim", "copies"))
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        x = unit(_padded(table.column("v").combine_chunks(), int(dim.max()))[0])
+        cos = x[left] @ x[right].T
+        for i, j in zip(*np.nonzero(np.abs(cos - least) < 1e-12)):  # the same whatever the block
+            cos[i, j] = math.fsum(x[left[i]] * x[right[j]])
+        i, j = np.nonzero((cos >= least) & (rep[left][:, None] < rep[right]) & (dim[left][:, None] == dim[right]))
+        i, j = left[i], right[j]
+        code = table.column("code").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(rep), -1)
+        lists = table.column("hot").combine_chunks()
+        tables = int(table.column("key")[0].as_py()) >> TAG
+        hot = np.zeros((len(rep), per * code.shape[1]), bool)
+        hot[np.repeat(np.arange(len(rep)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()] = True
+        for t in range(tables):
+            part = (code[:, t // per] >> np.uint64(width * (t % per))) & mask
+            far = part[i] ^ part[j]
+            new = ~hot[j, t] | ((far & (far - np.uint64(1))) != 0)
+            i, j = i[new], j[new]
+        nodes, at = np.unique(rep, return_inverse=True)
+        p, q = at[i], at[j]
+        n = np.bincount(p, weights=copies[j], minlength=len(nodes)) + np.bincount(q, weights=copies[i], minlength=len(nodes))
+        top = np.arange(len(nodes))
+        while (top[p] != top[q]).any():
+            least_top = np.minimum(top[p], top[q])
+            new = top.copy()
+            np.minimum.at(new, top[p], least_top)
+            np.minimum.at(new, top[q], least_top)
+            top = new[new]
+        on = n > 0
+        return pa.table({"rep": nodes[on], "n": n[on].astype(np.int64), "top": nodes[top[on]]})
+
+    return run
+
+
+def _hot_links(coded: DataFrame, hot: DataFrame, classes: DataFrame, least: float, width: int) -> DataFrame:
+    """(rep, n, top) rows of all links between a vector and the owners of the hot buckets (key, owners) that it probes."""
+    found = B.bounded_broadcast(hot, hot.count())
+    probing = coded.select("rep", F.explode("probes").alias("key")).join(found, "key")
+    probing = B.store(probing, "probing")
+    size = probing.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("li"), F.ceil(F.first("owners") / BLOCK).alias("ri"))
+    size = B.store(size, "blocks")
+    size = B.bounded_broadcast(size, size.count())
+    own = coded.select("rep", F.explode("keys").alias("key")).join(size, "key")
+
+    def every(blocks: str):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
+
+    def block(blocks: str):
+        return F.pmod(F.xxhash64("rep"), F.col(blocks))
+
+    left = probing.select("key", "rep").join(size, "key").select("key", "rep", F.lit(0).alias("side"), block("li").alias("i"), every("ri").alias("j"))
+    right = own.select("key", "rep", F.lit(1).alias("side"), every("li").alias("i"), block("ri").alias("j"))
+    members = left.union(right).join(coded.select("rep", "dim", "code", "hot"), "rep").join(classes.select("rep", "v", "copies"), "rep")
+    return members.groupBy("key", "i", "j").applyInArrow(_dense(least, width), "rep long, n long, top long")
+
+
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, sample: int = SAMPLE) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept), one for each row of vectors."""
     spark = B.session(vectors)
@@ -134,18 +216,28 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     x, _ = _padded(got, dims)
     model = spark.sparkContext.broadcast(fit(unit(x), width * tables))  # dims x bits, whatever the input
     coded = B.store(classes.select("rep", "v").mapInArrow(B.lean(_keys(width, tables, dims, model)), "rep long, dim int, code array<long>, keys array<long>, probes array<long>"), "codes")
+    owners = coded.select("rep", F.explode("keys").alias("key"))
+    hot = B.store(owners.groupBy("key").agg(F.count("*").alias("owners")).where(F.col("owners") > HOT), "hot")
+    table = F.shiftright("key", TAG).cast("int")
+    marks = owners.join(B.bounded_broadcast(hot, hot.count()), "key").groupBy("rep").agg(F.collect_list(table).alias("hot"))
+    coded = B.store(coded.join(marks, "rep", "left").withColumn("hot", F.coalesce("hot", F.array().cast("array<int>"))), "codes")
+    dense = B.store(_hot_links(coded, hot, classes, least, width), "dense")
+    cold = F.filter("keys", lambda k: ~F.array_contains("hot", F.shiftright(k, TAG).cast("int")))
     left = coded.select(F.col("rep").alias("a"), "dim", F.col("code").alias("ca"), F.explode("probes").alias("key"))
-    right = coded.select(F.col("rep").alias("b"), F.col("dim").alias("dim_b"), F.col("code").alias("cb"), F.explode("keys").alias("key"))
-    longs = -(-width * tables // 64)
-    apart = sum((F.bit_count(F.element_at("ca", i + 1).bitwiseXOR(F.element_at("cb", i + 1))) for i in range(longs)), F.lit(0))
-    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("dim") == F.col("dim_b")) & (apart <= limit)).select("a", "b").distinct()
+    right = coded.select(F.col("rep").alias("b"), F.col("dim").alias("dim_b"), F.col("code").alias("cb"), "hot", F.explode(cold).alias("key"))
+    per = 64 // width
+    apart = sum((F.bit_count(F.element_at("ca", i + 1).bitwiseXOR(F.element_at("cb", i + 1))) for i in range(-(-tables // per))), F.lit(0))
+    differ = f"shiftright(element_at(ca, cast(t div {per} as int) + 1) ^ element_at(cb, cast(t div {per} as int) + 1), (t % {per}) * {width}) & {(1 << width) - 1}L"
+    counted = F.expr(f"exists(hot, t -> bit_count({differ}) <= 1)")
+    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("dim") == F.col("dim_b")) & (apart <= limit) & ~counted).select("a", "b").distinct()
     one, two = classes.select(F.col("rep").alias("a"), F.col("v").alias("va")), classes.select(F.col("rep").alias("b"), F.col("v").alias("vb"))
     links = pairs.join(one, "a").join(two, "b").select("a", "b", "va", "vb").mapInArrow(B.lean(_rerank(least)), "a long, b long")
     links = B.store(links, "links")
-    comps = B.components(links)
+    comps = B.components(links.union(dense.where("rep <> top").select("top", "rep")))
     size = classes.select("rep", "copies")
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.join(size.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("others"))
+    degree = both.join(size.withColumnRenamed("rep", "b"), "b").select(F.col("a").alias("rep"), F.col("copies").alias("n"))
+    degree = degree.union(dense.select("rep", "n")).groupBy("rep").agg(F.sum("n").alias("others"))
     facts = size.join(degree, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     facts = facts.select("rep", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("comp", "rep").alias("comp")).where("n > 0")
     facts = B.store(facts.join(classes.select("rep", "v"), "rep").select("v", "n", "comp"), "facts")

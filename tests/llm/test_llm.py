@@ -158,6 +158,25 @@ def test_embeddings_brute_force(spark):
     assert embedding_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_embeddings_hot_buckets(spark, monkeypatch):
+    """A dense group is compared in blocks: never fewer links than by pairs, never more than there are."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=32)
+    x = np.concatenate([base + 0.22 * rng.normal(size=(260, 32)), rng.normal(size=(60, 32))])
+    x = np.concatenate([x, x[:30]])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    n = (u @ u.T >= 0.95).sum(axis=1) - 1
+    monkeypatch.setattr(embedding_dedup, "HOT", 1 << 30)
+    pairs = {r.vec_id: r for r in embedding_dedup.near_vectors(df).collect()}
+    monkeypatch.setattr(embedding_dedup, "HOT", 3)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 20)
+    blocks = {r.vec_id: r for r in embedding_dedup.near_vectors(df).collect()}
+    assert all(pairs[i].n_links <= blocks[i].n_links <= n[i] for i in range(len(x)))
+    assert 0 < n[:260].sum() < 260 * 289 and sum(r.n_links for r in blocks.values()) >= 0.9 * n.sum()
+    assert all(blocks[i].component_id <= pairs[i].component_id for i in pairs)
+
+
 def test_language_model(spark, odd, none):
     got = {r.doc_id: r for r in queries.op10_language_model(spark, SF).collect()}
     tokens = {r.doc_id: [*re.findall(WORDS, lower(r.text)), None] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
@@ -217,6 +236,21 @@ def test_html(spark):
     assert all(r.n_chars == len(r.text) for r in got)
 
 
+def test_pipeline_odd(spark, odd, none):
+    """Every stage on nulls, empties, repeated rows, further columns, and no rows."""
+    import corpus_pipeline as C
+
+    for docs in (odd.withColumn("size", F.lit("clash")).withColumn("n_hit", F.lit(1)).withColumn("key", F.lit(2)), none):
+        columns = docs.columns
+        for name, stage in C.STAGES:
+            out = B.store(stage(spark, docs, SF), name)
+            if name != C.STAGES[-1][0]:
+                assert out.columns == columns and out.count() <= docs.count()
+                docs = out
+            else:
+                assert out.count() == docs.count()
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as C
 
