@@ -236,21 +236,6 @@ def test_html(spark):
     assert all(r.n_chars == len(r.text) for r in got)
 
 
-def test_pipeline_odd(spark, odd, none):
-    """Every stage on nulls, empties, repeated rows, further columns, and no rows."""
-    import corpus_pipeline as C
-
-    for docs in (odd.withColumn("size", F.lit("clash")).withColumn("n_hit", F.lit(1)).withColumn("key", F.lit(2)), none):
-        columns = docs.columns
-        for name, stage in C.STAGES:
-            out = B.store(stage(spark, docs, SF), name)
-            if name != C.STAGES[-1][0]:
-                assert out.columns == columns and out.count() <= docs.count()
-                docs = out
-            else:
-                assert out.count() == docs.count()
-
-
 def test_pipeline_stages(spark):
     import corpus_pipeline as C
 
