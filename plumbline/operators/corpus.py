@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions import text as X
 
@@ -60,14 +61,143 @@ def cosine(a: str, b: str) -> Column:
     return F.try_divide(dot, norms[0] * norms[1])
 
 
+#: rows packed into one block, queries that may be broadcast, and matches a task holds before it passes them on
+BLOCK, BROADCAST, HELD = 1024, 20_000, 1 << 18
+
+
+def _packed(df: DataFrame) -> DataFrame:
+    """df in blocks of at most BLOCK rows, each an Arrow stream in one binary."""
+    size = BLOCK
+
+    def run(batches):
+        import pyarrow as pa
+
+        def row(parts):
+            sink = pa.BufferOutputStream()
+            table = pa.Table.from_batches(parts)
+            with pa.ipc.new_stream(sink, table.schema) as w:
+                w.write_table(table.combine_chunks())
+            return pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block"])
+
+        held, n = [], 0
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                part = batch.slice(at, size - n)
+                held, n, at = [*held, part], n + part.num_rows, at + part.num_rows
+                if n == size:
+                    yield row(held)
+                    held, n = [], 0
+        if held:
+            yield row(held)
+
+    return df.mapInArrow(run, "block binary")
+
+
+def _best(threshold: float, count: int, names: list[str]):
+    """Over pairs of blocks: each query's best matches, ties by id, among all chunks that this task has met."""
+    limit = HELD
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def opened(raw, vector):
+            table = pa.ipc.open_stream(raw).read_all().combine_chunks()
+            v = table.column(vector).combine_chunks()
+            n = np.where(v.is_null().to_numpy(False), 0, v.value_lengths().fill_null(0).to_numpy(False))
+            flat = v.flatten()
+            whole = np.ones(len(v), bool)
+            whole[np.repeat(np.arange(len(v)), n)[flat.is_null().to_numpy(False)]] = False  # a null makes the similarity null
+            start = np.concatenate([[0], np.cumsum(n)])
+            return table.drop_columns([vector]), flat.fill_null(0.0).to_numpy(False), start, np.where(whole, n, 0)
+
+        def norms(x):
+            total = np.zeros(len(x))
+            for j in range(x.shape[1]):
+                total += x[:, j] * x[:, j]
+            return np.sqrt(total)
+
+        @np.errstate(all="ignore")
+        def matches(q, c):
+            """Positions and similarities, summed in the order of the elements as SQL does."""
+            (_, xs, xa, xn), (_, ys, ya, yn) = q, c
+            for d in set(xn) & set(yn) - {0}:
+                right = np.flatnonzero(yn == d)
+                y = np.ascontiguousarray(ys[ya[right][:, None] + np.arange(d)].T)
+                size = norms(y.T)
+                rows = np.flatnonzero(xn == d)
+                for left in (rows[k : k + 64] for k in range(0, len(rows), 64)):
+                    x = xs[xa[left][:, None] + np.arange(d)]
+                    dot, one = np.zeros((len(left), len(right))), np.empty((len(left), len(right)))
+                    for j in range(d):
+                        dot += np.multiply(x[:, j, None], y[j], out=one)
+                    over = norms(x)[:, None] * size
+                    sim = dot / over
+                    some = ((sim > threshold) | np.isnan(sim)) & (over != 0)
+                    for r in range(len(left)):
+                        at = np.flatnonzero(some[r])
+                        if len(at) > count:  # chunks are sorted by id
+                            at = at[np.argsort(-np.where(np.isnan(sim[r, at]), np.inf, sim[r, at]), kind="stable")[:count]]
+                        yield np.full(len(at), left[r]), right[at], sim[r, at]
+
+        def reduced(parts):
+            table = pa.Table.from_batches(parts).combine_chunks()
+            query = pc.dictionary_encode(table.column("query_id"), null_encoding="encode").combine_chunks().indices.to_numpy(False)
+            sim = table.column("similarity").to_numpy()
+            ids = pc.rank(table.column("id"), sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy(False)
+            order = np.lexsort((ids, -np.where(np.isnan(sim), np.inf, sim), query))
+            own = query[order]
+            first = np.searchsorted(own, own)
+            return table.take(pa.array(order[np.arange(len(own)) - first < count])).combine_chunks().to_batches()
+
+        held, n, last = [], 0, (None, None)
+        for batch in batches:
+            for qb, cb in zip(batch.column(0), batch.column(1)):
+                raw = cb.as_buffer()
+                if last[0] is None or not raw.equals(last[0]):
+                    table, flat, start, size = opened(raw, "embedding")
+                    order = pc.array_sort_indices(table.column("id").combine_chunks(), null_placement="at_start")
+                    at = order.to_numpy(False)
+                    last = raw, (table.take(order), flat, start[:-1][at], size[at])
+                q, c = opened(qb.as_buffer(), "q"), last[1]
+                found = list(matches(q, c))
+                if not found:
+                    continue
+                i, j, sim = (np.concatenate(x) for x in zip(*found))
+                left, right = q[0].take(pa.array(i)), c[0].take(pa.array(j))
+                cols = {**dict(zip(right.column_names, right.columns)), **dict(zip(left.column_names, left.columns)), "similarity": pa.chunked_array([sim])}
+                held += pa.table({k: cols[k] for k in names}).combine_chunks().to_batches()
+                n += len(i)
+                if n > limit:
+                    held = reduced(held)
+                    n = sum(b.num_rows for b in held)
+                    if 2 * n > limit:
+                        yield from held
+                        held, n = [], 0
+        if n:
+            yield from reduced(held)
+
+    return run
+
+
 def similar(queries: DataFrame, chunks: DataFrame, threshold: float = 0.5, count: int = 10) -> DataFrame:
     """(query_id, id, similarity, rank) of the most similar chunks above the threshold, ties by id.
 
-    queries: (query_id, q), a handful of rows; Spark broadcasts them when their size allows.
+    queries: (query_id, q), any number of them. Blocks of queries meet blocks of chunks; a task passes on
+    the best `count` of each query, and only those reach the window. Up to BROADCAST queries are broadcast.
     """
-    met = chunks.crossJoin(queries).withColumn("similarity", cosine("embedding", "q")).where(F.col("similarity") > threshold)
-    ranked = met.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "id")))
-    return ranked.where(F.col("rank") <= count).drop("q", "embedding")
+    n = queries.count()
+    few = n <= BROADCAST
+    queries = queries.withColumn("q", F.col("q").cast("array<double>"))
+    chunks = chunks.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    schema = T.StructType([f for f in [*chunks.schema.fields, *queries.schema.fields] if f.name not in ("q", "embedding")]).add("similarity", "double")
+    left, right = _packed(chunks).toDF("chunks"), _packed(queries.repartition(n // 128 + 1) if few else queries.repartition("query_id")).toDF("queries")
+    met = left.crossJoin(F.broadcast(right) if few else right).select("queries", "chunks")
+    best = met.mapInArrow(_best(threshold, count, schema.names), schema)
+    ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "id")))
+    return ranked.where(F.col("rank") <= count)
 
 
 def similar_in_part(queries: DataFrame, chunks: DataFrame, prefix: str | None, k: int, threshold: float) -> DataFrame:

@@ -285,6 +285,29 @@ def multi_category_dedupe(spark, sf):
     return C.first_seen(C.similar(probes(spark, sf, 5), chunks(spark, sf), 0.1, 20), ["id"], ["query_id", "rank"]).select("id", "query_id")
 
 
+# The three searches above take the first vectors, as their SQL does; those below every vector whose id is divisible by 100.
+EVERY = SIM.replace("a.vec_id < {n}", "a.vec_id % 100 = 0")
+
+
+def every_probe(spark, sf):
+    return run(spark, sf, "SELECT vec_id AS query_id, embedding AS q FROM embeddings").where("query_id % 100 = 0")
+
+
+@query(f"WITH {EVERY.format(t=0.1)} SELECT query_id, id, round(sim, 6) AS similarity, rank FROM r WHERE rank <= 10")
+def vector_topk_every(spark, sf):
+    return C.similar(every_probe(spark, sf), chunks(spark, sf), 0.1, 10).select("query_id", "id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {EVERY.format(t=0.05)}, o AS (SELECT *, starts_with(section_id, '9.') AS own, max(starts_with(section_id, '9.')) OVER (PARTITION BY query_id) AS any_own FROM r WHERE rank <= 64) SELECT query_id, id, k::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM o WHERE own OR NOT any_own) WHERE k <= 8")
+def vector_overfetch_prefix_every(spark, sf):
+    return C.similar_in_part(every_probe(spark, sf), chunks(spark, sf), "9.", 8, 0.05).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {EVERY.format(t=0.1)} SELECT id, query_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY query_id, rank) AS n FROM r WHERE rank <= 20) WHERE n = 1")
+def multi_category_dedupe_every(spark, sf):
+    return C.first_seen(C.similar(every_probe(spark, sf), chunks(spark, sf), 0.1, 20), ["id"], ["query_id", "rank"]).select("id", "query_id")
+
+
 STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
 TERMS = f"tk AS (SELECT {{k}} AS query_id, unnest(regexp_split_to_array(lower({{q}}), '[^a-z0-9]+')) AS t, unnest(range(len(regexp_split_to_array(lower({{q}}), '[^a-z0-9]+')))) AS p FROM {{f}}), tf AS (SELECT query_id, t, min(p) AS p FROM tk WHERE length(t) >= 4 AND t NOT IN ({STOP}) GROUP BY query_id, t), terms AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p) AS n FROM tf) WHERE n <= 4)"
 

@@ -17,3 +17,28 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_search_takes_every_hundredth_vector(spark, tmp_path, monkeypatch):
+    """Ids that start far above 0, copies, and vectors that match nothing, over several blocks, by brute force."""
+    import numpy as np
+    from plumbline.operators import corpus as C
+
+    monkeypatch.setattr(C, "BLOCK", 100)
+    monkeypatch.setattr(C, "HELD", 200)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(900, 8))
+    x[300:360] = x[0]
+    rows = [(1000 + i, [float(v) for v in r], i % 5) for i, r in enumerate(x)] + [(2000, None, 0), (2100, [0.0] * 8, 0), (2200, [1.0, None], 0), (2300, [], 0), (None, [1.0] * 8, 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    x = x.astype(np.float32).astype(float)
+    u = np.concatenate([x, np.ones((1, 8))])
+    u /= np.sqrt((u * u).sum(axis=1, keepdims=True))
+    ids, want = [*range(1000, 1900), None], set()
+    for i in range(0, 900, 100):
+        best = sorted((-round(float(s), 9), -1 if k is None else k) for s, k in zip(u @ u[i], ids) if s > 0.1)[:10]
+        want |= {(1000 + i, None if k < 0 else k, n + 1) for n, (_, k) in enumerate(best)}
+    for limit in (C.BROADCAST, 0):
+        monkeypatch.setattr(C, "BROADCAST", limit)
+        got = Q.QUERIES["vector_topk_every"](spark, str(tmp_path)).collect()
+        assert {(r.query_id, r.id, r["rank"]) for r in got} == want and len(got) == len(want) == 90
