@@ -8,7 +8,8 @@ enclosing elements say (menu, footer, notice, comments, ...; article). A decisio
 the small labelled pages below keeps or drops it. Kept blocks are joined by two line feeds.
 
 Cases: null, empty or textless html gives an empty text; unclosed and stray tags, unfinished
-comments and scripts are read to the end as browsers do; repeated rows give repeated results;
+comments, scripts and other raw text are read to the end as browsers do; an unclosed button, object,
+video or the like hides what follows up to the next block only; repeated rows give repeated results;
 an empty table an empty one. Only the named columns are read, so others can't clash.
 
 Scale. Pages are independent: one scan, no shuffle. The scanner is linear in the page's length.
@@ -29,7 +30,8 @@ from pyspark.sql import types as T
 from . import _base as B
 
 # fixed values: element names of HTML
-RAW = "script style noscript template svg math iframe object textarea select button title datalist canvas audio video head".split()
+RAW = "script style noscript template iframe textarea title head".split()
+PARTS = "svg math object select button datalist canvas audio video".split()
 BLOCK = "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 NESTED = "address article aside blockquote body dd details dialog div dl dt fieldset figure footer form header hgroup li main menu nav ol p section search table td th tr ul".split()
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
@@ -56,8 +58,48 @@ _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORDS = re.compile(r"[\s_\-:]+")
 _SPACE = re.compile(r"\s+")
-_RAW, _BLOCK, _NESTED, _VOID, _HEADINGS, _ASIDE, _HINTS, _KEEP, _WHOLE = map(frozenset, (RAW, BLOCK, NESTED, VOID, HEADINGS, ASIDE, HINTS, KEEP_HINTS, WHOLE))
+_RAW, _PARTS, _BLOCK, _NESTED, _VOID, _HEADINGS, _ASIDE, _HINTS, _KEEP, _WHOLE = map(frozenset, (RAW, PARTS, BLOCK, NESTED, VOID, HEADINGS, ASIDE, HINTS, KEEP_HINTS, WHOLE))
 _RAW_END = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for n in RAW}
+_EVENT = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{'|'.join(n for n in RAW if n != 'head')})(?=[\s/>]).*?(?:</(?P=raw)(?=[\s/>])|\Z)|<(?P<end>/?)(?P<name>{'|'.join([*PARTS, *NESTED])})(?=[\s/>])", re.S | re.I)
+
+
+class _Ends:
+    """Where the invisible parts of a page end: each end tag belongs to the last open start tag of its name."""
+
+    def __init__(self, html: str):
+        self.html, self.events, self.at, self.partner = html, [], {}, {}
+        opened: dict[str, list[int]] = {}
+        for m in _EVENT.finditer(html):
+            if m["name"] is None:
+                continue
+            name, k = m["name"].lower(), len(self.events)
+            self.events.append((m.start(), bool(m["end"]), name))
+            if name not in _PARTS:
+                continue
+            if not m["end"]:
+                self.at[m.start()] = k
+                if name not in ("svg", "math") or html[html.find(">", m.end()) - 1] != "/":
+                    opened.setdefault(name, []).append(k)
+            elif opened.get(name):
+                self.partner[opened[name].pop()] = k
+
+    def end(self, lt: int, around: set[str]) -> int:
+        """The end of the part that starts at lt: behind its end tag, or before that of a block around it; -1 if it has none."""
+        k = self.at.get(lt, -1)
+        last = self.partner.get(k, -1)
+        if last < 0:
+            return -1
+        inside: dict[str, int] = {}
+        for e in range(k + 1, last):
+            pos, end, name = self.events[e]
+            if not end:
+                inside[name] = inside.get(name, 0) + 1
+            elif inside.get(name):
+                inside[name] -= 1
+            elif name in around:
+                return pos
+        gt = self.html.find(">", self.events[last][0])
+        return gt + 1 if gt >= 0 else len(self.html)
 
 
 @functools.lru_cache(65536)
@@ -85,7 +127,7 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     stack: list[tuple[str, bool, bool, bool]] = []  # name, bad, good, invisible
     bad = good = gone = False
     in_link, heading, gone_inline = False, False, ""
-    pos, n = 0, len(html)
+    pos, n, ends = 0, len(html), None
 
     def flush():
         nonlocal parts, linked
@@ -122,15 +164,24 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         end = bool(m["end"] or m["end2"])
         attrs = m["attrs"] or m["attrs2"] or ""
         if name in _RAW and not end:
-            if not attrs.endswith("/") or name not in ("svg", "math"):
-                if name == "head":
-                    close = re.compile(r"</head(?=[\s/>])[^>]*>|(?=<body[\s>])", re.I).search(html, pos)
-                    pos = close.end() if close else pos
-                else:
-                    close = _RAW_END[name].search(html, pos)
-                    pos = close.end() if close else n
+            if name == "head":
+                close = re.compile(r"</head(?=[\s/>])[^>]*>|(?=<body[\s>])", re.I).search(html, pos)
+                pos = close.end() if close else pos
+            else:
+                close = _RAW_END[name].search(html, pos)
+                pos = close.end() if close else n
             add(" ")
             continue
+        if name in _PARTS and not end:
+            add(" ")
+            if not attrs.endswith("/") or name not in ("svg", "math"):
+                ends = ends or _Ends(html)
+                to = ends.end(lt, {s[0] for s in stack})
+                if to >= 0:
+                    pos = to
+                elif not gone_inline:
+                    gone_inline = name  # never closed: it ends with the next block
+            continue
         if name == "a":
             in_link = not end
             if in_link:
@@ -150,7 +201,8 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
                 gone_inline = name
             continue
         flush()
-        gone_inline = ""
+        if gone_inline not in ("select", "datalist") or name not in ("option", "optgroup"):
+            gone_inline = ""
         if name in _HEADINGS:
             heading = not end
             if not end:

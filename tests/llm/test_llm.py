@@ -252,3 +252,18 @@ def test_pipeline_stages(spark):
     assert got.where("not kept").count() == 0
     hits = decontamination.decontaminate(docs, spark.read.parquet(f"{SF}/benchmark.parquet"))
     assert hits.where("n_hit > 0").count() == 0
+
+
+def test_html_unclosed_parts():
+    """Only raw text is read to the end; other invisible parts end with their block or, unclosed, at the next one."""
+    article = "<article><h1>A title</h1><p>" + "words of the article go on and on " * 8 + "</p></article>"
+    want = html_text.main_text(article)
+    assert "go on" in want
+    for name in html_text.PARTS:
+        for before in (f"<{name}>", f"<div><{name}>x</div>", f"<{name}>x<{name}>y</{name}>", f"<div><{name}>x</div></{name}>", f"<{name}><p>x</p></{name}>"):
+            assert html_text.main_text(before + article) == want, before
+        assert html_text.main_text(f"<div><{name}>x</div>{article}</{name}>") == want
+    assert html_text.main_text("<object>a<object>b</object>c</object>" + article) == want
+    assert html_text.main_text("<select><option>a<option>b" + article) == want
+    assert html_text.main_text("<script>x" + article) == html_text.main_text("<textarea>x" + article) == ""
+    assert html_text.main_text("<p>one <button><div>x</div></button> two") == "one two"
