@@ -234,6 +234,17 @@ def consistency_conflicts(spark, sf):
     return R.conflicts(e).withColumn("value_a", F.round("value_a", 6)).withColumn("value_b", F.round("value_b", 6))
 
 
+# consistency_conflicts folds the orders into two sheets, as its SQL does; here a sheet is an order.
+OWN_SHEETS = "e2 AS (SELECT DISTINCT sheet, type, split_part(id, '-', 2) || '-' || split_part(id, '-', 3) AS id, attribute, value_mm FROM el WHERE value_mm IS NOT NULL)"
+
+
+@query(f"WITH {ELEMENTS}, {OWN_SHEETS} SELECT DISTINCT a.type, a.id, a.attribute, a.sheet AS sheet_a, round(a.value_mm, 6) AS value_a, b.sheet AS sheet_b, round(b.value_mm, 6) AS value_b FROM e2 a JOIN e2 b ON a.type = b.type AND a.id = b.id AND a.attribute = b.attribute AND a.sheet < b.sheet AND a.value_mm <> b.value_mm")
+def consistency_conflicts_orders(spark, sf):
+    e = elements(spark, sf).where("value_mm is not null")
+    e = e.withColumn("id", F.concat_ws("-", F.split_part("id", F.lit("-"), F.lit(2)), F.split_part("id", F.lit("-"), F.lit(3)))).select("sheet", "type", "id", "attribute", "value_mm").distinct()
+    return R.conflicts(e).withColumn("value_a", F.round("value_a", 6)).withColumn("value_b", F.round("value_b", 6))
+
+
 PROJECT = "SELECT DISTINCT o_custkey % 50 AS project, concat('S-', o_orderkey % 7) AS sheet, o_orderpriority AS type, concat(o_custkey, '') AS id FROM orders"
 
 

@@ -1,5 +1,6 @@
 import pytest
 from plumbline.plans import queries as Q
+from pyspark.sql import functions as F
 
 
 @pytest.mark.parametrize("name", sorted(Q.SQL))
@@ -42,3 +43,19 @@ def test_search_takes_every_hundredth_vector(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(C, "BROADCAST", limit)
         got = Q.QUERIES["vector_topk_every"](spark, str(tmp_path)).collect()
         assert {(r.query_id, r.id, r["rank"]) for r in got} == want and len(got) == len(want) == 90
+
+
+def test_conflicts_between_orders_of_one_parity(spark, tmp_path):
+    for name, sql in {
+        "customer": "SELECT 1L AS c_custkey, 'BUILDING' AS c_mktsegment",
+        "orders": "SELECT explode(array(2L, 4L, 5L)) AS o_orderkey, 1L AS o_custkey",
+        "lineitem": "SELECT explode(array(2L, 4L, 4L)) AS l_orderkey, 7L AS l_partkey, 3L AS l_suppkey, 1 AS l_linenumber, 1.0D * 10 AS l_quantity",
+    }.items():
+        spark.sql(sql).write.parquet(str(tmp_path / f"{name}.parquet"))
+    lines = spark.read.parquet(str(tmp_path / "lineitem.parquet"))
+    lines.withColumn("l_quantity", F.when(F.col("l_orderkey") == 2, 10.0).otherwise(20.0)).write.parquet(str(tmp_path / "new"))
+    (tmp_path / "lineitem.parquet").rename(tmp_path / "old")
+    (tmp_path / "new").rename(tmp_path / "lineitem.parquet")
+    got = Q.QUERIES["consistency_conflicts_orders"](spark, str(tmp_path)).collect()
+    assert got and {(r.id, r.sheet_a, r.value_a, r.sheet_b, r.value_b) for r in got} == {("7-3", "S-2", 700.0, "S-4", 900.0)}
+    assert Q.QUERIES["consistency_conflicts"](spark, str(tmp_path)).count() == 0
