@@ -267,3 +267,60 @@ def test_html_unclosed_parts():
     assert html_text.main_text("<select><option>a<option>b" + article) == want
     assert html_text.main_text("<script>x" + article) == html_text.main_text("<textarea>x" + article) == ""
     assert html_text.main_text("<p>one <button><div>x</div></button> two") == "one two"
+
+
+def test_pipeline_odd(spark, odd, none):
+    """Every stage on nulls, empties, repeated rows, further columns, and no rows."""
+    import corpus_pipeline as C
+
+    for docs in (odd.withColumn("size", F.lit("clash")).withColumn("n_hit", F.lit(1)).withColumn("key", F.lit(2)), none):
+        columns = docs.columns
+        for name, stage in C.STAGES:
+            out = B.store(stage(spark, docs, SF), name)
+            if name != C.STAGES[-1][0]:
+                assert out.columns == columns and out.count() <= docs.count()
+                docs = out
+            else:
+                assert out.count() == docs.count()
+
+
+def test_pipeline_brute_force(spark, odd, tmp_path):
+    """run() on a fixture, its rows compared with those of stages written out in plain Python."""
+    import corpus_pipeline as C
+
+    said = "a line that many documents have"
+    words = {k: [f"{k}{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)] for k in ("copy", "leak", "mine")}
+    copy, leak = " ".join(words["copy"]), " ".join(words["leak"])
+    rows = [(i, f"{said}\n" + " ".join(f"own{chr(97 + i)}{w}" for w in words["mine"]), "en", "a", 1) for i in range(12)]
+    rows += [(20, None, None, None, None), (21, "", "en", "a", 0), (22, " 12 \n\t!", "en", "a", 7), (23, said, "en", "b", 31)]
+    rows += [(30, copy, "en", "a", 1), (30, copy, "en", "a", 1), (31, copy.upper(), "en", None, 1), (32, copy + " extra", "en", "b", 1), (33, "x", "en", "b", 1)]
+    rows += [(40, "before " + " ".join(words["leak"][5:20]) + " after", "en", "b", 1), (41, " ".join(words["leak"][:9]), "en", "b", 1)]
+    spark.createDataFrame(rows, DOC).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+
+    left = [r for r in rows if re.search("[^\\W\\d_]", r[1] or "")]
+    often = Counter(k for r in left for k in {lower(x.strip(" \t\n\x0b\x0c\r")) for x in r[1].split("\n")})
+    cut = []
+    for r in left:
+        kept = [x for x in r[1].split("\n") if often[lower(x.strip(" \t\n\x0b\x0c\r"))] < 10]
+        text = "\n".join(kept)
+        if text.strip(" \t\n\x0b\x0c\r") or len(kept) == r[1].count("\n") + 1:
+            cut.append((r[0], text, r[3]))
+    comp, _ = brute_components([(i, x) for i, x, _ in cut], 80)
+    cut = [r for r in cut if comp[r[0]] == r[0]]
+    grams = {tuple(words["leak"][i : i + 10]) for i in range(51)}
+    cut = [r for r in cut if not any(tuple(w[i : i + 10]) in grams for w in [re.findall(WORDS, lower(r[1]))] for i in range(len(w)))]
+    want = sorted((i, repr(s), len(re.findall(WORDS, x))) for i, x, s in cut)
+    assert [i for i, _, _ in want] == [*range(12), 30, 30, 33, 41]
+    got = C.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, repr(r.source), r["size"]) for r in got) == want
+
+
+@pytest.mark.parametrize("block", [64, token_counts.BLOCK])
+def test_token_counts_long_word(odd, block):
+    """The text that test_token_counts leaves out: one word of 320,000 characters."""
+    enc = token_counts.encoder(token_counts.default_vocabulary())
+    long = odd.where("doc_id = 8")
+    got = token_counts.count_tokens(*token_counts.write_tokens(long, block=block)).collect()
+    assert [(r.doc_id, r.n_tokens) for r in got] == [(8, len(enc.encode_ordinary(long.first().text)))]
