@@ -31,7 +31,7 @@ SPACE = b" \t\n\x0b\x0c\r"
 SHARD_KEYS = 1 << 16
 CACHE = 64 << 20
 GAMMA = 2.0
-SHARD = "shard long, n long, sizes array<long>, bits binary, fps binary, counts binary"
+SHARD = "shard long, n long, sizes array<long>, bits binary, fps binary, counts binary, spill binary"
 
 
 def line_key(line: bytes) -> bytes:
@@ -114,10 +114,12 @@ def _build_shard(table: pa.Table) -> pa.Table:
     n = table.column("n").to_numpy()
     keys = hi ^ B.mix(lo)
     _, first = np.unique(keys, return_index=True)  # 64-bit ties of 128-bit hashes: the rest go to spill slots
+    rest = np.setdiff1d(np.arange(len(keys)), first)
+    spill = np.stack([keys[rest], lo[rest], n[rest].astype(np.uint64)], axis=1)
     sizes, bits, index = mph_build(keys[first])
     fps, counts = np.zeros(len(first), np.uint64), np.zeros(len(first), np.int64)
     fps[index], counts[index] = lo[first], n[first]
-    return pa.table({"shard": [table.column("shard")[0].as_py()], "n": [len(first)], "sizes": [sizes], "bits": [np.packbits(bits).tobytes()], "fps": [fps.tobytes()], "counts": [counts.tobytes()]}, schema=pa.schema([("shard", pa.int64()), ("n", pa.int64()), ("sizes", pa.list_(pa.int64())), ("bits", pa.binary()), ("fps", pa.binary()), ("counts", pa.binary())]))
+    return pa.table({"shard": [table.column("shard")[0].as_py()], "n": [len(first)], "sizes": [sizes], "bits": [np.packbits(bits).tobytes()], "fps": [fps.tobytes()], "counts": [counts.tobytes()], "spill": [spill.tobytes()]}, schema=pa.schema([("shard", pa.int64()), ("n", pa.int64()), ("sizes", pa.list_(pa.int64())), ("bits", pa.binary()), ("fps", pa.binary()), ("counts", pa.binary()), ("spill", pa.binary())]))
 
 
 def build_index(docs: DataFrame, text_col: str, min_docs: int, min_chars: int = 1) -> tuple[str, int]:
@@ -149,8 +151,8 @@ def _shards(path: str):
         for row in batch.to_pylist():
             bits = np.unpackbits(np.frombuffer(row["bits"], np.uint8), count=sum(row["sizes"])).astype(bool)
             ranks = (np.cumsum(bits) - 1).astype(np.int32)
-            found = row["shard"], row["sizes"], bits, ranks, np.frombuffer(row["fps"], np.uint64), np.frombuffer(row["counts"], np.int64)
-            total += bits.nbytes + ranks.nbytes + 16 * row["n"]
+            found = row["shard"], row["sizes"], bits, ranks, np.frombuffer(row["fps"], np.uint64), np.frombuffer(row["counts"], np.int64), np.frombuffer(row["spill"], np.uint64).reshape(-1, 3)
+            total += bits.nbytes + ranks.nbytes + 16 * row["n"] + len(row["spill"])
             kept = [*kept, found] if total <= CACHE else []
             yield found
     if total <= CACHE:
@@ -166,13 +168,15 @@ def probe(digests: list[bytes], path: str, shards: int) -> np.ndarray:
     order = np.argsort(of, kind="stable")
     hi, lo = raw[order, 0].view(np.uint64), raw[order, 1].view(np.uint64)
     keys, of = hi ^ B.mix(lo), of[order]
-    for shard, sizes, bits, ranks, fps, counts in _shards(path):
+    for shard, sizes, bits, ranks, fps, counts, spill in _shards(path):
         a, z = np.searchsorted(of, shard), np.searchsorted(of, shard, side="right")
         if a == z:
             continue
         at = mph_find(keys[a:z], sizes, bits, ranks)
         ok = (at >= 0) & (fps[at] == lo[a:z])
         out[order[a:z][ok]] = counts[at[ok]]
+        for key, fp, count in spill:
+            out[order[a:z][(keys[a:z] == key) & (lo[a:z] == fp)]] = count
     return out
 
 

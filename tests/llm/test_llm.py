@@ -324,3 +324,17 @@ def test_token_counts_long_word(odd, block):
     long = odd.where("doc_id = 8")
     got = token_counts.count_tokens(*token_counts.write_tokens(long, block=block)).collect()
     assert [(r.doc_id, r.n_tokens) for r in got] == [(8, len(enc.encode_ordinary(long.first().text)))]
+
+
+def test_line_index_keeps_ties(tmp_path):
+    """Line hashes that share their 64-bit key keep their own counts."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    lo = np.arange(1, 7, dtype=np.uint64)
+    hi = np.uint64(77) ^ B.mix(lo)
+    hi[4:] += np.uint64(1)
+    table = pa.table({"hi": hi.view(np.int64), "lo": lo.view(np.int64), "n": np.arange(10, 16), "shard": np.zeros(6, np.int64)})
+    pq.write_table(line_dedup._build_shard(table), str(tmp_path / "part.parquet"))
+    digests = [np.array([h, x], np.uint64).tobytes() for h, x in [*zip(hi, lo), (hi[0], lo[1]), (hi[5], np.uint64(99))]]
+    assert line_dedup.probe(digests, str(tmp_path), 1).tolist() == [10, 11, 12, 13, 14, 15, 0, 0]
