@@ -5,11 +5,12 @@ Contract. Vectors of equal length are linked if their cosine in double precision
 Pairs are retrieved by binary codes and reranked with the original vectors, so no link is below
 `least`; retrieval is approximate above it (expected recall 0.97 at the threshold, more above).
 
-Cases: exact copies form one class and are expanded by count alone; rows that repeat an id are
-one vertex; a null id links with nothing; an empty table gives an empty result; only the id
-and vector columns are read.
+Cases: exact copies form one class and are expanded by count alone; each row is a vector of its
+own, so rows that repeat an id are linked, counted and kept by their own vectors, equal or not, and share a
+component only where links join them; a null id links with nothing; ties at `least` are links; an
+empty table gives an empty result; only the id and vector columns are read, so others can't clash.
 
-Scale. The rotation is fitted on a sample of about `sample` classes by hash of the id; all
+Scale. The rotation is fitted on a sample of about `sample` classes by hash of the vector; all
 vectors are indexed. Code parts are about log2(rows) bits wide, so a bucket holds about
 one unrelated vector at any size; the number of tables follows from the threshold and the width. A
 vector probes its own bucket and those one bit away in each table. Candidates must be close
@@ -68,7 +69,7 @@ def fit(x: np.ndarray, bits: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray
     def middle(z: np.ndarray) -> np.ndarray:
         return np.zeros(z.shape[1]) if few else np.median(z, axis=0)
 
-    _, axes = np.linalg.eigh(np.cov((x - mean).T).reshape(d, d))
+    axes = np.eye(d) if few else np.linalg.eigh(np.cov((x - mean).T).reshape(d, d))[1]
     v = (x - mean) @ axes
     while sum(p.shape[1] for p in parts) < bits:
         r, _ = np.linalg.qr(rng.normal(size=(d, d)))
@@ -112,7 +113,7 @@ def _keys(width: int, tables: int, dims: int, model):
             def lists(m):
                 return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(np.ascontiguousarray(m).reshape(-1).view(np.int64)))
 
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes.astype(np.int32)), lists(packed), lists(parts), lists(probes)], ["rep", "dim", "code", "keys", "probes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes.astype(np.int32)), lists(packed), lists(parts), lists(probes)], ["node", "dim", "code", "keys", "probes"])
 
     return run
 
@@ -141,25 +142,25 @@ def _dense(least: float, width: int):
     per, mask = 64 // width, np.uint64((1 << width) - 1)
 
     def run(table: pa.Table) -> pa.Table:
-        side, rep, dim, copies = (table.column(c).to_numpy() for c in ("side", "rep", "dim", "copies"))
+        side, node, dim, copies = (table.column(c).to_numpy() for c in ("side", "node", "dim", "copies"))
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         x = unit(_padded(table.column("v").combine_chunks(), int(dim.max()))[0])
         cos = x[left] @ x[right].T
         for i, j in zip(*np.nonzero(np.abs(cos - least) < 1e-12)):  # the same whatever the block
             cos[i, j] = math.fsum(x[left[i]] * x[right[j]])
-        i, j = np.nonzero((cos >= least) & (rep[left][:, None] < rep[right]) & (dim[left][:, None] == dim[right]))
+        i, j = np.nonzero((cos >= least) & (node[left][:, None] < node[right]) & (dim[left][:, None] == dim[right]))
         i, j = left[i], right[j]
-        code = table.column("code").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(rep), -1)
+        code = table.column("code").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
         lists = table.column("hot").combine_chunks()
         tables = int(table.column("key")[0].as_py()) >> TAG
-        hot = np.zeros((len(rep), per * code.shape[1]), bool)
-        hot[np.repeat(np.arange(len(rep)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()] = True
+        hot = np.zeros((len(node), per * code.shape[1]), bool)
+        hot[np.repeat(np.arange(len(node)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()] = True
         for t in range(tables):
             part = (code[:, t // per] >> np.uint64(width * (t % per))) & mask
             far = part[i] ^ part[j]
             new = ~hot[j, t] | ((far & (far - np.uint64(1))) != 0)
             i, j = i[new], j[new]
-        nodes, at = np.unique(rep, return_inverse=True)
+        nodes, at = np.unique(node, return_inverse=True)
         p, q = at[i], at[j]
         n = np.bincount(p, weights=copies[j], minlength=len(nodes)) + np.bincount(q, weights=copies[i], minlength=len(nodes))
         top = np.arange(len(nodes))
@@ -170,31 +171,31 @@ def _dense(least: float, width: int):
             np.minimum.at(new, top[q], least_top)
             top = new[new]
         on = n > 0
-        return pa.table({"rep": nodes[on], "n": n[on].astype(np.int64), "top": nodes[top[on]]})
+        return pa.table({"node": nodes[on], "n": n[on].astype(np.int64), "top": nodes[top[on]]})
 
     return run
 
 
 def _hot_links(coded: DataFrame, hot: DataFrame, classes: DataFrame, least: float, width: int) -> DataFrame:
-    """(rep, n, top) rows of all links between a vector and the owners of the hot buckets (key, owners) that it probes."""
+    """(node, n, top) rows of all links between a vector and the owners of the hot buckets (key, owners) that it probes."""
     found = B.bounded_broadcast(hot, hot.count())
-    probing = coded.select("rep", F.explode("probes").alias("key")).join(found, "key")
+    probing = coded.select("node", F.explode("probes").alias("key")).join(found, "key")
     probing = B.store(probing, "probing")
     size = probing.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("li"), F.ceil(F.first("owners") / BLOCK).alias("ri"))
     size = B.store(size, "blocks")
     size = B.bounded_broadcast(size, size.count())
-    own = coded.select("rep", F.explode("keys").alias("key")).join(size, "key")
+    own = coded.select("node", F.explode("keys").alias("key")).join(size, "key")
 
     def every(blocks: str):
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
 
     def block(blocks: str):
-        return F.pmod(F.xxhash64("rep"), F.col(blocks))
+        return F.pmod(F.xxhash64("node"), F.col(blocks))
 
-    left = probing.select("key", "rep").join(size, "key").select("key", "rep", F.lit(0).alias("side"), block("li").alias("i"), every("ri").alias("j"))
-    right = own.select("key", "rep", F.lit(1).alias("side"), every("li").alias("i"), block("ri").alias("j"))
-    members = left.union(right).join(coded.select("rep", "dim", "code", "hot"), "rep").join(classes.select("rep", "v", "copies"), "rep")
-    return members.groupBy("key", "i", "j").applyInArrow(_dense(least, width), "rep long, n long, top long")
+    left = probing.select("key", "node").join(size, "key").select("key", "node", F.lit(0).alias("side"), block("li").alias("i"), every("ri").alias("j"))
+    right = own.select("key", "node", F.lit(1).alias("side"), every("li").alias("i"), block("ri").alias("j"))
+    members = left.union(right).join(coded.select("node", "dim", "code", "hot"), "node").join(classes.select("node", "v", "copies"), "node")
+    return members.groupBy("key", "i", "j").applyInArrow(_dense(least, width), "node long, n long, top long")
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, sample: int = SAMPLE) -> DataFrame:
@@ -204,43 +205,59 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     src = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     src = src.withColumn("v", F.when(F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)), F.col("v")))
-    classes = B.store(src.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vectors")
+    classes = B.store(src.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()), "vectors")
     rows, dims = classes.agg(F.count("*"), F.max(F.size("v"))).first()
     if not rows:
         return src.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     width, tables, limit = plan(rows, least)
     every = max(1, rows // sample)
-    got = classes.where(F.pmod(F.xxhash64("rep"), F.lit(every)) == 0).select("v").toArrow().column("v").combine_chunks()
+    got = classes.where(F.pmod(F.xxhash64("v"), F.lit(every)) == 0).select("v").toArrow().column("v").combine_chunks()
     if len(got) < 2:
         got = classes.select("v").limit(2).toArrow().column("v").combine_chunks()
     x, _ = _padded(got, dims)
+    x = x[np.lexsort(x.T)]  # the same model whatever the order of rows
     model = spark.sparkContext.broadcast(fit(unit(x), width * tables))  # dims x bits, whatever the input
-    coded = B.store(classes.select("rep", "v").mapInArrow(B.lean(_keys(width, tables, dims, model)), "rep long, dim int, code array<long>, keys array<long>, probes array<long>"), "codes")
-    owners = coded.select("rep", F.explode("keys").alias("key"))
+    coded = B.store(classes.select("node", "v").mapInArrow(B.lean(_keys(width, tables, dims, model)), "node long, dim int, code array<long>, keys array<long>, probes array<long>"), "codes")
+    owners = coded.select("node", F.explode("keys").alias("key"))
     hot = B.store(owners.groupBy("key").agg(F.count("*").alias("owners")).where(F.col("owners") > HOT), "hot")
     table = F.shiftright("key", TAG).cast("int")
-    marks = owners.join(B.bounded_broadcast(hot, hot.count()), "key").groupBy("rep").agg(F.collect_list(table).alias("hot"))
-    coded = B.store(coded.join(marks, "rep", "left").withColumn("hot", F.coalesce("hot", F.array().cast("array<int>"))), "codes")
+    marks = owners.join(B.bounded_broadcast(hot, hot.count()), "key").groupBy("node").agg(F.collect_list(table).alias("hot"))
+    coded = B.store(coded.join(marks, "node", "left").withColumn("hot", F.coalesce("hot", F.array().cast("array<int>"))), "codes")
     dense = B.store(_hot_links(coded, hot, classes, least, width), "dense")
     cold = F.filter("keys", lambda k: ~F.array_contains("hot", F.shiftright(k, TAG).cast("int")))
-    left = coded.select(F.col("rep").alias("a"), "dim", F.col("code").alias("ca"), F.explode("probes").alias("key"))
-    right = coded.select(F.col("rep").alias("b"), F.col("dim").alias("dim_b"), F.col("code").alias("cb"), "hot", F.explode(cold).alias("key"))
+    left = coded.select(F.col("node").alias("a"), "dim", F.col("code").alias("ca"), F.explode("probes").alias("key"))
+    right = coded.select(F.col("node").alias("b"), F.col("dim").alias("dim_b"), F.col("code").alias("cb"), "hot", F.explode(cold).alias("key"))
     per = 64 // width
     apart = sum((F.bit_count(F.element_at("ca", i + 1).bitwiseXOR(F.element_at("cb", i + 1))) for i in range(-(-tables // per))), F.lit(0))
     differ = f"shiftright(element_at(ca, cast(t div {per} as int) + 1) ^ element_at(cb, cast(t div {per} as int) + 1), (t % {per}) * {width}) & {(1 << width) - 1}L"
     counted = F.expr(f"exists(hot, t -> bit_count({differ}) <= 1)")
     pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("dim") == F.col("dim_b")) & (apart <= limit) & ~counted).select("a", "b").distinct()
-    one, two = classes.select(F.col("rep").alias("a"), F.col("v").alias("va")), classes.select(F.col("rep").alias("b"), F.col("v").alias("vb"))
+    one, two = classes.select(F.col("node").alias("a"), F.col("v").alias("va")), classes.select(F.col("node").alias("b"), F.col("v").alias("vb"))
     links = pairs.join(one, "a").join(two, "b").select("a", "b", "va", "vb").mapInArrow(B.lean(_rerank(least)), "a long, b long")
     links = B.store(links, "links")
-    comps = B.components(links.union(dense.where("rep <> top").select("top", "rep")))
-    size = classes.select("rep", "copies")
+    comps = B.components(links.union(dense.where("node <> top").select("top", "node")))
+    size = classes.select("node", "copies")
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.join(size.withColumnRenamed("rep", "b"), "b").select(F.col("a").alias("rep"), F.col("copies").alias("n"))
-    degree = degree.union(dense.select("rep", "n")).groupBy("rep").agg(F.sum("n").alias("others"))
-    facts = size.join(degree, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    facts = facts.select("rep", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("comp", "rep").alias("comp")).where("n > 0")
-    facts = B.store(facts.join(classes.select("rep", "v"), "rep").select("v", "n", "comp"), "facts")
+    degree = both.join(size.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), F.col("copies").alias("n"))
+    degree = degree.union(dense.select("node", "n")).groupBy("node").agg(F.sum("n").alias("others"))
+    # a component is named by the smallest id of its classes
+    ids = classes.select("node", "rep")
+    named = comps.join(ids, "node").groupBy("comp").agg(F.min("rep").alias("least_id"))
+    comps = comps.join(named, "comp").select("node", "least_id")
+    facts = classes.join(degree, "node", "left").join(comps, "node", "left")
+    facts = facts.select("v", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("least_id", "rep").alias("comp")).where("n > 0")
+    facts = B.store(facts, "facts")
     out = src.join(facts, "v", "left")
     comp = F.coalesce("comp", "vec_id")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.coalesce(F.col("vec_id") == comp, F.lit(True)).alias("kept"))
+
+
+SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0),
+u AS (SELECT * FROM v WHERE len(list_filter(x, lambda t: t IS NULL OR NOT isfinite(t))) = 0 AND len(list_filter(x, lambda t: t <> 0)) > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.95),
+r(vec_id, reach) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, e.b FROM r JOIN e ON r.reach = e.a),
+c AS (SELECT vec_id, min(reach) AS comp FROM r GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n FROM e GROUP BY a)
+SELECT c.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, comp AS component_id, c.vec_id = comp AS kept FROM c LEFT JOIN n ON c.vec_id = n.vec_id
+"""

@@ -5,10 +5,11 @@ is its distinct 5-word shingles (fewer words: the whole sequence is one shingle)
 at least one word and intersection/union >= threshold are linked; a component's id is its
 smallest doc_id.
 
-Cases: null, empty or blank text has an empty set and is linked with nothing (it is its own
-component); rows that repeat a doc_id are one vertex and get the same component; a null doc_id
-keeps its row, with a null component, and is kept. An empty table gives an empty result. Only the id
-and text columns are read, so other columns can't clash.
+Cases: null, empty or blank text has an empty set and is linked with nothing (the row is its own
+component); rows with words that repeat a doc_id, with equal or other texts, are one vertex: the links of all their
+texts are its links and they get the same component; a null doc_id keeps its row, with a null component, and is
+kept. Ties at the threshold are links. An empty table gives an empty result. Only the id and text columns are
+read, so other columns can't clash.
 
 Scale. One pass makes signatures. Equal sets collapse into one class before any bucket is
 formed. Each bucket proposes star edges from a hub (the member that shares most buckets), so
@@ -160,7 +161,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     B.ship(spark)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sig = B.store(src.mapInArrow(B.lean(_signatures), SIG), "sig")
-    classes = B.store(sig.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "classes")
+    worded = sig.where("n_shingles > 0 and doc_id is not null")
+    classes = B.store(worded.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "classes")
+    own = F.struct("h1", "h2", "n_shingles")
+    again = worded.groupBy("doc_id").agg(F.count("*").alias("rows"), (F.min(own) != F.max(own)).alias("apart")).where("rows > 1").select("doc_id", "apart")
+    again = B.store(again, "again")
+    repeats = again.count()
     rows = classes.select(F.col("rep").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.count("*").alias("cnt")).where("cnt > 1")
     members = B.store(rows.join(shared, "band"), "members")
@@ -169,7 +175,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     nodes = members.select(F.col("node").alias("doc_id")).distinct()
     nodes = B.store(nodes, "nodes")
-    texts = B.store(src.join(B.bounded_broadcast(nodes, nodes.count()), "doc_id", "left_semi"), "texts")
+    texts = src.join(B.bounded_broadcast(nodes, nodes.count()), "doc_id", "left_semi")
+    if repeats:  # each text of a repeated id once
+        seen = B.bounded_broadcast(again.select("doc_id"), repeats)
+        texts = texts.join(seen, "doc_id", "left_anti").union(texts.join(seen, "doc_id", "left_semi").distinct())
+    texts = B.store(texts, "texts")
 
     hubs = members.groupBy("band").agg(F.max(F.struct("score", (-F.col("node")).alias("neg"), "node", "n")).alias("h"))
     hubs = hubs.select("band", F.col("h.node").alias("a"), F.col("h.n").alias("a_n"))
@@ -177,6 +187,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = B.store(members.join(hubs, "band").where(near & (F.col("node") != F.col("a"))).select("a", F.col("node").alias("b")).distinct(), "edges")
     one, two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     links = B.store(edges.join(one, "b").join(two, "a").select("a", "b", "ta", "tb").mapInArrow(B.lean(_confirm(percent)), "a long, b long"), "links")
+    if repeats:  # a document whose texts are in several classes joins them
+        several = B.bounded_broadcast(again.where("apart").select("doc_id"), repeats)
+        ties = worded.join(several, "doc_id", "left_semi").select("doc_id", "h1", "h2", "n_shingles").distinct().join(classes, ["h1", "h2", "n_shingles"])
+        links = links.union(ties.where("doc_id <> rep").select("rep", "doc_id"))
     comps = B.store(B.components(links), "comps")
 
     # buckets that still hold several components are compared in blocks
@@ -197,3 +211,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = sig.join(merged, ["h1", "h2", "n_shingles"], "left")
     comp = F.coalesce(F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("comp")), F.col("doc_id"))
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
+
+
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 5, 0) + 2)) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS met FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT a, b FROM p JOIN n x ON p.a = x.doc_id JOIN n y ON p.b = y.doc_id WHERE 100 * met >= 85 * (x.n + y.n - met)),
+r(doc_id, reach) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.reach = e.a),
+c AS (SELECT doc_id, min(reach) AS comp FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.comp AS component_id, d.doc_id = c.comp AS kept
+FROM d JOIN c ON d.doc_id = c.doc_id LEFT JOIN n ON d.doc_id = n.doc_id
+"""

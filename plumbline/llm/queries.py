@@ -91,4 +91,4 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_html_text": op1_html_text, "op2_line_dedup": op2_line_dedup, "op3_decontamination": op3_decontamination, "op4_token_counts": op4_token_counts, "op5_language_id": op5_language_id, "op6_quality": op6_quality, "op7_near_dedup": op7_near_dedup, "op8_mixing": op8_mixing, "op9_embedding_dedup": op9_embedding_dedup, "op10_language_model": op10_language_model}
-SQL = {"op2_line_dedup": OP2_SQL, "op3_decontamination": decontamination.SQL, "op8_mixing": mixing.SQL}
+SQL = {"op2_line_dedup": OP2_SQL, "op3_decontamination": decontamination.SQL, "op7_near_dedup": near_dedup.SQL, "op8_mixing": mixing.SQL, "op9_embedding_dedup": embedding_dedup.SQL}

@@ -338,3 +338,30 @@ def test_line_index_keeps_ties(tmp_path):
     pq.write_table(line_dedup._build_shard(table), str(tmp_path / "part.parquet"))
     digests = [np.array([h, x], np.uint64).tobytes() for h, x in [*zip(hi, lo), (hi[0], lo[1]), (hi[5], np.uint64(99))]]
     assert line_dedup.probe(digests, str(tmp_path), 1).tolist() == [10, 11, 12, 13, 14, 15, 0, 0]
+
+
+def test_near_dedup_repeated_ids(spark):
+    """Rows that repeat an id with equal and with other texts: one vertex, and as many rows as came in."""
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    rows = [(3, a), (5, a), (5, c), (5, c), (6, b), (7, c + " tail"), (8, b), (8, a + " end"), (9, None), (9, b), (2, "x"), (2, "y"), (2, "y")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect()
+    want = [(3, 3), (5, 3), (5, 3), (5, 3), (6, 3), (7, 3), (8, 3), (8, 3), (9, 9), (9, 3), (2, 2), (2, 2), (2, 2)]
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted(want)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_embeddings_repeated_ids(spark):
+    """Each row is a vector of its own, whether its id repeats with an equal or with another vector."""
+    rng = np.random.default_rng(4)
+    v, w = rng.normal(size=16), rng.normal(size=16)
+    rows = [(5, v), (5, v + 0.01), (6, v - 0.01), (7, w), (7, w), (5, w + 0.01), (9, rng.normal(size=16)), (9, rng.normal(size=16)), (4, w)]
+    got = embedding_dedup.near_vectors(spark.createDataFrame([(i, [float(t) for t in x]) for i, x in rows], "vec_id long, embedding array<double>")).collect()
+    want = [(5, 2, 5), (5, 2, 5), (6, 2, 5), (7, 3, 4), (7, 3, 4), (5, 3, 4), (4, 3, 4), (9, 0, 9), (9, 0, 9)]
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == sorted(want)
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got)
+
+
+def test_embeddings_clashing_columns(spark):
+    rows = [(1, [1.0, 0.0], 7, "x"), (2, [1.0, 0.0], 8, "y"), (3, None, 9, "z")]
+    got = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, node int, component_id string")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 1, 1), (2, 1, 1), (3, 0, 3)]
