@@ -100,16 +100,48 @@ def test_minimal_perfect_hash():
 def test_decontamination_odd(spark, odd, none):
     items = spark.createDataFrame([(1, None), (2, "!!"), (3, "WORD3 word4"), (None, "word9"), (5, " ".join(f"word{i}" for i in range(10, 25)))], "item_id long, text string")
     got = {r.doc_id: r for r in decontamination.decontaminate(odd, items).collect()}
-    assert got[4].n_hit == 2 + 1 + 15 and got[4]["items"] == ["3", "5"] and got[1].n_words == 0 and got[7].n_hit == 0
+    assert got[4].n_hit == 2 + 1 + 15 and got[4]["items"] == ["3", "5"] and got[1].n_words == 0 and got[7].n_hit == 0 and got[4].near == ["3", "5"]
     assert decontamination.decontaminate(none, items).count() == 0
     assert decontamination.decontaminate(odd, items.where("false")).where("n_hit > 0").count() == 0
 
 
-def test_phrase_and_proximity(spark):
-    docs = spark.createDataFrame([(1, "a b c a b"), (2, "a x b"), (3, None)], "doc_id long, text string")
-    index = decontamination.postings(docs, spark.createDataFrame([("a",), ("b",)], "term string"), 2)
-    assert sorted((r.doc_id, r.start) for r in decontamination.phrases(index, ["a", "b"]).collect()) == [(1, 0), (1, 3)]
-    assert {r.doc_id for r in decontamination.proximity(index, ["a", "b"], 2).collect()} == {1, 2}
+def brute_runs(docs, items, width, near):
+    """{document: (hit places, items, near items)} by looking at every place."""
+
+    def ws(x):
+        return re.findall("[0-9a-z\x80-\U0010ffff]+", lower(x))
+
+    texts, tests = {i: ws(x) for i, x in docs}, {i: ws(x) for i, x in items if ws(x)}
+    n, out = Counter(w for x in texts.values() for w in x), {}
+    for doc, text in texts.items():
+        hit, met, close = set(), set(), set()
+        for item, words in tests.items():
+            size = min(width, len(words))
+            for lo in range(len(words) - size + 1):
+                win = words[lo : lo + size]
+                places = [p for p in range(len(text) - size + 1) if text[p : p + size] == win]
+                hit |= {p + k for p in places for k in range(size)}
+                met |= {item} if places else set()
+                rarest = min(range(size), key=lambda k: (n[win[k]], k))
+                if any(w == win[rarest] and set(win) <= set(text[max(0, p - near) : p + near + 1]) for p, w in enumerate(text)):
+                    close.add(item)
+        out[doc] = len(hit), *(sorted(str(i) for i in x if i is not None) for x in (met, close))  # an item without id is not listed
+    return out
+
+
+@pytest.mark.parametrize("listed", [1_000_000, 0])
+def test_phrases_and_proximity_brute_force(spark, monkeypatch, listed):
+    """Few words, so that lists are long and windows overlap; items of one frequent word, of two, and shuffled passages."""
+    monkeypatch.setattr(decontamination, "LISTED", listed)
+    rng = np.random.default_rng(11)
+    vocabulary = [f"v{i}" for i in range(25)]
+    items = [(i, " ".join(rng.choice(vocabulary, 14))) for i in range(6)] + [(6, "v1"), (7, "v2 v3"), (8, "V4 v4 v4"), (9, "v5 absent v6"), (None, "v7"), (10, "")]
+    docs = [(i, " ".join(rng.choice(vocabulary, int(rng.integers(0, 150))))) for i in range(40)]
+    docs += [(40 + i, f"v9 {items[i][1]}. v1 v4 v4 v4 v4") for i in range(6)] + [(50, " ".join(reversed(items[0][1].split()))), (51, None), (52, "v4 " * 30), (53, items[1][1][:30])]
+    got = decontamination.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), width=6).collect()
+    want = brute_runs(docs, items, 6, 12)
+    assert {r.doc_id: (r.n_hit, r["items"], r.near) for r in got} == want and len(got) == len(docs)
+    assert any(set(x[2]) > set(x[1]) for x in want.values())
 
 
 def test_mixing_odd(spark, odd, none):
