@@ -2,15 +2,17 @@
 
 Contract. A page's blocks are the runs of text between block-level tags; scripts, styles, form
 parts, comments, markup and invisible parts give no text; character references are decoded,
-white space inside a block becomes one space, blocks are trimmed and empty ones go. Each block has its number
-of words and the share of them inside links, the same of its neighbours, and what its
-enclosing elements say (menu, footer, notice, comments, ...; article). A decision tree learned from
-the small labelled pages below keeps or drops it. Kept blocks are joined by two line feeds.
+white space inside a block becomes one space, blocks are trimmed and empty ones go. A block's features are its
+number of words and the share of them inside links, the same of the blocks before and after it, whether it is a
+heading, whether it lies in an article, and how strongly its nearest containers are named as something else (menu,
+footer, notice, comments, ...) with their share of the page's words. The names of the page's body and of
+whatever holds the article say nothing about the blocks inside. A decision tree learned from the small labelled pages
+below keeps or drops a block. Kept blocks are joined by two line feeds.
 
 Cases: null, empty or textless html gives an empty text; unclosed and stray tags, unfinished
 comments, scripts and other raw text are read to the end as browsers do; an unclosed button, object,
-video or the like hides what follows up to the next block only; repeated rows give repeated results;
-an empty table an empty one. Only the named columns are read, so others can't clash.
+video or the like hides what follows up to the next block only; very long pages are read whole; repeated rows give
+repeated results; an empty table an empty one. Only the named columns are read, so others can't clash.
 
 Scale. Pages are independent: one scan, no shuffle. The scanner is linear in the page's length.
 """
@@ -46,6 +48,8 @@ HINTS = (
 ).split()
 # fixed values: hints that count only as a whole name, being parts of the article's own names as well
 WHOLE = "header meta tag tags legal search hidden text".split()
+# fixed values: first parts of names that say what a page has or lacks, not what the element is
+ABOUT = "has no not is with without hide show".split()
 KEEP_HINTS = "article content main post story entry body text articlebody".split()
 
 _TAG = re.compile(
@@ -58,7 +62,7 @@ _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORDS = re.compile(r"[\s_\-:]+")
 _SPACE = re.compile(r"\s+")
-_RAW, _PARTS, _BLOCK, _NESTED, _VOID, _HEADINGS, _ASIDE, _HINTS, _KEEP, _WHOLE = map(frozenset, (RAW, PARTS, BLOCK, NESTED, VOID, HEADINGS, ASIDE, HINTS, KEEP_HINTS, WHOLE))
+_RAW, _PARTS, _BLOCK, _NESTED, _VOID, _HEADINGS, _ASIDE, _HINTS, _KEEP, _WHOLE, _ABOUT = map(frozenset, (RAW, PARTS, BLOCK, NESTED, VOID, HEADINGS, ASIDE, HINTS, KEEP_HINTS, WHOLE, ABOUT))
 _RAW_END = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for n in RAW}
 _EVENT = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{'|'.join(n for n in RAW if n != 'head')})(?=[\s/>]).*?(?:</(?P=raw)(?=[\s/>])|\Z)|<(?P<end>/?)(?P<name>{'|'.join([*PARTS, *NESTED])})(?=[\s/>])", re.S | re.I)
 
@@ -103,29 +107,45 @@ class _Ends:
 
 
 @functools.lru_cache(65536)
-def _attributes(attrs: str) -> tuple[bool, bool, bool]:
-    """Says: not the article; the article; invisible."""
-    bad = good = gone = False
+def _attributes(attrs: str) -> tuple[int, bool, bool]:
+    """How strongly the names say that this isn't the article (0; 1: by a part; 2: as a whole); the article; invisible."""
+    level, good, gone = 0, False, False
     for k, v in _ATTR.findall(attrs):
         k, v = k.lower(), v.strip("\"'")
         if k == "hidden" or k == "aria-hidden" and v.lower() == "true" or k == "style" and _HIDDEN.search(v):
             gone = True
-        elif k in ("class", "id", "role"):
-            parts = [x for x in v.lower().split() if x] if k != "role" else [v.lower()]
-            for p in parts:
+        elif k == "role":
+            level = max(level, 2 * (v.lower() in _HINTS))
+        elif k in ("class", "id"):
+            for p in v.lower().split():
                 pieces = _WORDS.split(p)
-                bad |= p in _HINTS or any(x in _HINTS and x not in _WHOLE for x in pieces)
-                good |= any(x in _KEEP for x in pieces)
-    return bad, good and not bad, gone
+                if p in _HINTS:
+                    level = 2
+                elif pieces[0] not in _ABOUT:
+                    if any(x in _HINTS and x not in _WHOLE for x in pieces):
+                        level = max(level, 1)
+                    good |= pieces[-1] in _KEEP
+    return level, good, gone
 
 
-def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
-    """(text, words, linked words, in a part that isn't the article, in the article, heading) in page order."""
+class Element:
+    """An element that may hold blocks: its parent (-1: none), hint level, whether it is an article by tag (2) or name (1)."""
+
+    __slots__ = ("name", "parent", "level", "article", "gone", "words", "wraps")
+
+    def __init__(self, name: str, parent: int, level: int, article: int, gone: bool):
+        self.name, self.parent, self.level, self.article, self.gone = name, parent, level, article, gone
+        self.words, self.wraps = 0, False
+
+
+def blocks(html: str) -> tuple[list[tuple[str, int, int, int, bool]], list[Element]]:
+    """(text, words, linked words, innermost element, heading) in page order, and the elements, parents first."""
     out: list = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, bad, good, invisible
-    bad = good = gone = False
+    elements: list[Element] = []
+    stack: list[int] = []
+    gone = False
     in_link, heading, gone_inline = False, False, ""
     pos, n, ends = 0, len(html), None
 
@@ -134,7 +154,7 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         if parts:
             text = _SPACE.sub(" ", html_lib.unescape("".join(parts))).strip()
             if text:
-                out.append((text, text.count(" ") + 1, len(html_lib.unescape("".join(linked)).split()), bad, good, heading))
+                out.append((text, text.count(" ") + 1, len(html_lib.unescape("".join(linked)).split()), stack[-1] if stack else -1, heading))
             parts, linked = [], []
 
     def add(s: str):
@@ -176,7 +196,7 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             add(" ")
             if not attrs.endswith("/") or name not in ("svg", "math"):
                 ends = ends or _Ends(html)
-                to = ends.end(lt, {s[0] for s in stack})
+                to = ends.end(lt, {elements[e].name for e in stack})
                 if to >= 0:
                     pos = to
                 elif not gone_inline:
@@ -212,72 +232,143 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         if name not in _NESTED:
             continue
         if end:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
+            at = next((i for i in range(len(stack) - 1, -1, -1) if elements[stack[i]].name == name), -1)
             if at >= 0:
                 del stack[at:]
                 in_link = False
         else:
-            if name in ("p", "li", "td", "th", "tr", "dd", "dt") or stack and stack[-1][0] == "p":
-                if stack and stack[-1][0] in ("p", name):
+            if name in ("p", "li", "td", "th", "tr", "dd", "dt") or stack and elements[stack[-1]].name == "p":
+                if stack and elements[stack[-1]].name in ("p", name):
                     stack.pop()  # its end tag may be left out
-            b, g, h = _attributes(attrs) if attrs else (False, False, False)
-            inside = any(s[0] == "article" or s[0] == "main" for s in stack)
-            b |= name in _ASIDE or name == "header" and not inside
-            g |= name in ("article", "main") and not b
-            up = stack[-1] if stack else ("", False, False, False)
-            stack.append((name, up[1] or b, (up[2] or g) and not (up[1] or b), up[3] or h))
-        _, bad, good, gone = stack[-1] if stack else ("", False, False, False)
+            level, named, hidden = _attributes(attrs) if attrs else (0, False, False)
+            if name in _ASIDE or name == "header" and not any(elements[e].name in ("article", "main") for e in stack):
+                level = 2
+            article = 2 if name in ("article", "main") else int(named)
+            up = stack[-1] if stack else -1
+            elements.append(Element(name, up, 0 if name in ("html", "body", "main") else level, article, hidden or up >= 0 and elements[up].gone))
+            stack.append(len(elements) - 1)
+        gone = bool(stack) and elements[stack[-1]].gone
     flush()
-    return out
+    return out, elements
+
+
+def surroundings(found: list, elements: list[Element]) -> np.ndarray:
+    """For each block: hint level of its containers, the share of the page's unlinked words in the hinted one, and 1
+    in an article, -1 outside where the page marks one by its tag, else 0."""
+    for _, words, linked, e, _ in found:
+        if e >= 0:
+            elements[e].words += words - min(words, linked)
+    for e in reversed(elements):
+        if e.parent >= 0:
+            elements[e.parent].words += e.words
+    page = sum(f[1] - min(f[1], f[2]) for f in found)
+    # the article: the one with most words that is neither named as something else nor inside such a part
+    clear = [False] * len(elements)
+    best = -1
+    for i, e in enumerate(elements):
+        clear[i] = not e.level and (e.parent < 0 or clear[e.parent] or e.article == 2 and elements[e.parent].level < 2)
+        if e.article and e.words and clear[i] and (best < 0 or (e.article, e.words) > (elements[best].article, elements[best].words)):
+            best = i
+    at = best
+    while at >= 0:
+        elements[at].wraps = True
+        at = elements[at].parent
+    # (level, share, in an article) of each element from its own and its parent's
+    known: list[tuple[int, float, bool]] = []
+    for e in elements:
+        level, share, article = known[e.parent] if e.parent >= 0 else (0, 0.0, False)
+        if e.level and not e.wraps and e.level >= level:
+            level, share = e.level, 0.0 if best >= 0 else e.words / max(page, 1)
+        known.append((level, share, article or e.article > 0))
+    x = np.array([known[e] if e >= 0 else (0, 0.0, False) for *_, e, _ in found], float).reshape(-1, 3)
+    if best >= 0 and elements[best].article == 2:
+        x[x[:, 2] == 0, 2] = -1
+    return x
+
 
+FEATURES = "words, linked share, words before, linked share before, words after, linked share after, hint level, share of the hinted container, in an article, heading".split(", ")
 
-def table(found: list) -> np.ndarray:
+
+def table(found: list, elements: list[Element]) -> np.ndarray:
     """A row of features for each block."""
     n = len(found)
     words = np.array([f[1] for f in found], float)
     dense = np.array([f[2] for f in found], float) / np.maximum(words, 1)
-    x = np.zeros((n, 9))
+    x = np.zeros((n, len(FEATURES)))
     x[:, 0], x[:, 1] = words, dense
     x[1:, 2], x[1:, 3] = words[:-1], dense[:-1]
     x[:-1, 4], x[:-1, 5] = words[1:], dense[1:]
-    x[:, 6], x[:, 7], x[:, 8] = [f[3] for f in found], [f[4] for f in found], [f[5] for f in found]
+    x[:, 6:9] = surroundings(found, elements)
+    x[:, 9] = [f[4] for f in found]
     return x
 
 
 # --- the labelled table ---------------------------------------------------------------------
 # Small pages whose blocks are labelled: a block that starts with "+" belongs to the article.
+_SAID = "here the page says a few things more in one sentence of some words "
 _LONG = "this is a sentence of the article that says something at length and goes on for a while so that it counts as text "
 LABELLED = [
-    "<nav><ul><li><a>home</a></li><li><a>news</a></li><li><a>about us</a></li></ul></nav><div class='ad'>buy this now and save a lot.</div><article><h1>+a title</h1><p>+{L}</p><p>+short one.</p><p>+{L}{L}</p></article><footer>all rights of the owner reserved and so on.</footer>",
-    "<header><div>the name of the site</div><ul><li><a>one</a></li><li><a>two</a></li></ul></header><main><h1>+title</h1><p>+{L}</p><ul><li>+a point</li><li>+another point</li></ul><h2>+part</h2><p>+{L} <a>with a link</a></p></main><aside><p>more from us and other places that you may like to see.</p><p>{L}</p></aside><footer><p>{L}</p></footer>",
-    "<div><a>home</a> <a>news</a> <a>sports</a></div><div><h1>+the title of it</h1><p>+{L}{L}</p><p>+{L}</p><p>+yes.</p><p>+{L}{L}</p></div><div><a>privacy</a> <a>terms</a></div>",
-    "<div><ul><li><a>first link here</a></li><li><a>second link here</a></li><li><a>third link here</a></li></ul></div><p>+{L}{L}</p><p>+{L}</p><div><a>next page</a></div>",
-    "<article><header><h1>+title</h1></header><p>+{L}</p><blockquote>+a quote of words</blockquote><p>+{L}{L}</p><div class='comments'><p>i think that {L}</p><p>nice one</p></div></article><div class='sidebar'><p>{L}</p><ul><li><a>read this</a></li></ul></div>",
-    "<div class='cookie'>we use cookies on this site to make it work. {L}</div><div class='content'><p>+{L}</p><p>+no.</p><pre>+some code</pre><p>+{L}{L}</p></div><form><label>your name</label><p>{L}</p></form>",
-    "<article><p>+one.</p></article>",
-    "<div class='notice'><p>{L}</p></div><article><h1>+title</h1><p>+word</p><p>+{L}</p><p>+<a>a link alone</a></p></article><section id='comments'><h2>comments</h2><p>{L}{L}</p></section>",
-    "<nav><a>home</a></nav><article><p>+word</p></article>",
-    "<nav><a>home</a><a>more</a></nav><article><p>+{L}</p></article>",
-    "<nav><a>home</a><a>more</a></nav><p>+a few words here.</p>",
+    # nothing is named: words and links of a block and of those around it tell
+    "<div><a>home</a> <a>news</a> <a>sports</a></div><h1>+the title of it</h1><p>+{L}</p><p>+yes.</p><p>+{X}</p><p>+{M}</p><div>all rights reserved</div><div><a>privacy</a> <a>terms</a></div>",
+    "<ul><li><a>first link here</a></li><li><a>second link here</a></li><li><a>third link here</a></li></ul><p>+{X}</p><p>+{L}</p><div><a>next page</a></div>",
     "<div><a>home</a> <a>more</a></div><p>+{L}</p>",
-    "<article><h1>+title</h1><p>+<a>a link alone</a></p><p>+{L}</p><ul><li>+<a>one</a></li><li>+<a>two</a></li></ul></article>",
+    "<div><a>home</a><a>more</a></div><p>+a few words here.</p>",
     "<p>+{L}</p>",
     "<p>+short text.</p>",
-    "<p>+{L}</p><p>+short text.</p><p>+{L}{L}</p><p>+a few words here.</p>",
-    "<h1>+title</h1><p>+{L}</p><h2>+part two</h2><p>+short text.</p><div><a>back</a></div>",
+    "<p>+{X}</p><p>+short text.</p><p>+{L}</p><p>+a few words here.</p>",
+    "<h1>+title</h1><p>+{L}</p><h2>+part two</h2><p>+{M}</p><p>+short text.</p><p>+{L}</p><div><a>back</a></div>",
     "<div><a>menu</a></div><h1>+title</h1><p>+short text.</p><p>+another one.</p>",
+    "<div><a>home</a> <a>about</a></div><div>you are here</div><div><a>news</a> <a>today</a></div><h1>+title of it</h1><p>+{L}</p><p>+{X}</p><div>read on</div><div><a>one more title</a></div><div><a>yet another title</a></div>",
+    "<div>site name</div><div><a>home</a> <a>news</a> <a>contact</a></div><p>+{X}</p><p>+{L}</p><p>+no.</p><p>+{L}</p><div>share this</div><div><a>one place</a> <a>another place</a></div><div>copyright of the owner</div>",
+    "<div>the name of the site</div><div><a>home</a></div><div><a>news</a></div><h1>+a title</h1><p>+{M}</p><p>+{L}</p><p>+{M}</p><div>most read</div><div><a>a title of something</a></div><div><a>and one more</a></div><div>all rights reserved</div>",
+    "<div>welcome</div><div><a>log in</a> <a>join</a></div><p>+{L}</p><p>+{X}<a>+with a link</a></p><div>tags</div><div><a>one</a> <a>two</a></div><div>copyright</div>",
+    "<p>+{L}</p><p>+{M}</p><p>+{L}</p>",
+    "<p>+{M}</p><p>+{L}</p><p>+{X}</p><p>+{M}</p>",
+    "<p>+{L}</p><p>+{L}</p><p>+yes, of course it is.</p>",
+    "<h1>+title</h1><p>+{M}</p><p>+{L}</p><p>+{M}</p><p>+one more.</p>",
+    "<p>+{M}</p><p>+{M}</p>",
+    "<table><tr><td><a>home</a></td><td><a>news</a></td></tr></table><table><tr><td>+{L}</td></tr><tr><td>+{M}</td></tr></table><div>by the owner</div><div><a>top</a></div>",
+    # an article, with and without names around it
+    "<article><p>+one.</p></article>",
+    "<article><h1>+title</h1><p>+<a>a link alone</a></p><p>+{L}</p><ul><li>+<a>one</a></li><li>+<a>two</a></li></ul><p>+end</p></article><div>all rights reserved</div>",
+    "<div><a>home</a></div><div>your site</div><article><p>+word</p><p>+{L}</p><p>+no.</p></article><div>copyright</div><div><a>top</a></div>",
+    "<div>a notice of few words</div><main><h1>+title</h1><p>+{L}</p><p>+{M}</p></main><div>all rights reserved</div>",
+    "<nav><ul><li><a>home</a></li><li><a>about us</a></li></ul></nav><div class='ad'>buy this now and save a lot.</div><article><h1>+a title</h1><p>+{L}</p><p>+short one.</p><p>+{X}</p></article><footer>all rights of the owner reserved and so on.</footer>",
+    "<header><div>the name of the site</div><ul><li><a>one</a></li><li><a>two</a></li></ul></header><main><h1>+title</h1><p>+{L}</p><ul><li>+a point</li><li>+another point</li></ul><h2>+part</h2><p>+{L} <a>with a link</a></p></main><aside><p>more from us and other places that you may like to see.</p><p>{L}</p></aside><footer><p>{L}</p></footer>",
+    "<article><header><h1>+title</h1></header><p>+{L}</p><blockquote>+a quote of words</blockquote><p>+{X}</p><div class='comments'><p>i think that {L}</p><p>nice one</p></div></article><div class='sidebar'><p>{L}</p><ul><li><a>read this</a></li></ul></div>",
+    "<div class='notice'><p>{L}</p></div><article><h1>+title</h1><p>+word</p><p>+{L}</p><p>+<a>a link alone</a></p></article><section id='comments'><h2>comments</h2><p>{X}</p><p>{L}</p></section>",
+    "<h1>+title</h1><article><p>+{L}</p><p>+{M}</p></article><div>{M}</div>",
+    "<div>{L}</div><article><h1>+title</h1><p>+{M}</p></article><div><h2>more of it</h2><p>{L}</p></div>",
+    "<nav><a>home</a></nav><article><p>+word</p></article><div class='related-posts'><p>{M}</p><a>a title</a></div>",
+    "<div class='cookie-banner'>we use cookies on this site. {L}</div><div class='content'><p>+{L}</p><p>+no.</p><pre>+some code</pre><p>+{X}</p></div><form><label>your name</label><p>{L}</p></form>",
+    "<div class='content'><h1>+title</h1><p>+{M}</p></div><div id='comments'><p>{X}</p><p>{L}</p><p>{L}</p></div>",
+    # names that say nothing, since nearly all that the page says lies inside
+    "<div class='content-sidebar-wrap'><h1>+title</h1><p>+{L}</p><p>+{M}</p><p>+{X}</p></div><div><a>home</a> <a>top</a></div>",
+    "<div class='comments-open'><p>+{X}</p><p>+short one.</p><p>+{L}</p></div><p>{M}</p>",
+    "<div class='widget-page'><div class='sidebar'><p>{M}</p></div><p>+{X}</p><p>+{L}</p><p>+yes.</p><p>+{X}</p></div>",
+    "<div class='modal'><p>+{X}</p><p>+{L}</p></div>",
+    "<div class='popup-page'><h1>+title</h1><p>+{L}</p></div>",
+    "<div class='header-story'><p>+{L}</p><p>+{X}</p></div>",
+    "<div id='tracking-news'><h2>+part</h2><p>+{M}</p><p>+{L}</p></div><div><a>home</a></div>",
+    # names that say something, with no article named
+    "<div class='cookie-banner'>{L}</div><h1>+title</h1><p>+{L}</p><p>+{X}</p>",
+    "<div class='top-banner'>{X}</div><p>+{L}</p><p>+{X}</p><p>+{L}</p>",
+    "<div class='share-this'><p>{M}</p></div><p>+{L}</p><p>+{X}</p><div class='footer-text'><p>{L}</p></div>",
+    "<h1>+title</h1><p>+{X}</p><p>+{L}</p><div class='comment-list'><p>{L}</p><p>{M}</p></div>",
+    "<h1>+title</h1><p>+{L}</p><p>+{M}</p><div id='comments'><p>{X}</p><p>{L}</p><p>{L}</p></div><footer><p>{L}</p></footer>",
+    "<aside><p>{X}</p><p>{L}</p></aside><p>+{L}</p>",
 ]
 
 
 class Tree:
     """A classification tree grown by Gini impurity."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 6):
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 8):
         self.label, self.at, self.cut = bool(y.mean() >= 0.5), -1, 0.0
         if depth == 0 or y.all() or not y.any():
             return
         best = 2 * y.mean() * (1 - y.mean()) - 1e-9
-        for j in (6, 7, 1, 0, 3, 5, 2, 4, 8):
+        for j in range(x.shape[1]):
             values = np.unique(x[:, j])
             for cut in (values[1:] + values[:-1]) / 2:
                 left = x[:, j] <= cut
@@ -297,28 +388,28 @@ class Tree:
         out[left], out[~left] = self.low.keep(x[left]), self.high.keep(x[~left])
         return out
 
-    def rule(self, row: np.ndarray) -> bool:
-        node = self
-        while node.at >= 0:
-            node = node.low if row[node.at] <= node.cut else node.high
-        return node.label
+    def text(self, depth: int = 0) -> str:
+        """The tree's splits, one a line."""
+        if self.at < 0:
+            return "  " * depth + ("keep" if self.label else "drop")
+        return f"{'  ' * depth}{FEATURES[self.at]} <= {self.cut:g}\n{self.low.text(depth + 1)}\n{'  ' * depth}else\n{self.high.text(depth + 1)}"
 
 
 @functools.lru_cache(1)
 def tree() -> Tree:
     xs, ys = [], []
     for page in LABELLED:
-        found = blocks(page.format(L=_LONG))
-        xs.append(table(found))
+        found, elements = blocks(page.format(M=_SAID, L=_LONG, X=_LONG + _SAID + _LONG))
+        xs.append(table(found, elements))
         ys += [f[0].startswith("+") for f in found]
     return Tree(np.concatenate(xs), np.array(ys, bool))
 
 
 def main_text(html: str | None, model: Tree | None = None) -> str:
-    found = blocks(html) if html else []
+    found, elements = blocks(html) if html else ([], [])
     if not found:
         return ""
-    keep = (model or tree()).keep(table(found))
+    keep = (model or tree()).keep(table(found, elements))
     return "\n\n".join(f[0] for f, k in zip(found, keep) if k)
 
 

@@ -397,3 +397,80 @@ def test_embeddings_clashing_columns(spark):
     rows = [(1, [1.0, 0.0], 7, "x"), (2, [1.0, 0.0], 8, "y"), (3, None, 9, "z")]
     got = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, node int, component_id string")).collect()
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 1, 1), (2, 1, 1), (3, 0, 3)]
+
+
+_SENTENCES = [f"this is sentence {i} of the article and it goes on for some more words than a menu has." for i in range(6)]
+
+
+def _page(before="", inside="{}", after=""):
+    return before + inside.format("<h1>A title</h1>" + "".join(f"<p>{x}</p>" for x in _SENTENCES)) + after
+
+
+@pytest.mark.parametrize("inside", [
+    "<body class='page has-sidebar'><article>{}</article>", "<div class='content-sidebar-wrap'><article>{}</article></div>", "<div id='no-comments'>{}</div>", "<div class='popular-science-article'>{}</div>",
+    "<article class='post has-share-buttons'>{}</article>", "<body id='comments-page'><div class='sidebar-left layout'><main>{}</main></div>", "<div class='content-sidebar-wrap'>{}</div>", "<div><div>{}</div></div>", "<td>{}</td>", "{}",
+])
+@pytest.mark.parametrize("before,after", [
+    ("", ""), ("<nav><a>home</a> <a>news</a></nav>", "<footer>rights of the owner</footer>"), ("<div><a>home</a> <a>news</a> <a>contact us</a></div>", "<div><a>privacy</a> <a>terms of use</a></div>"),
+    ("<header>name of the site</header><div class='cookie-notice'><p>we use cookies for this and that and more.</p></div>", "<div id='comments'><p>i think so.</p><p>me too, and I say it at some length here.</p></div><aside><p>read more of it</p></aside><form><p>your name</p></form>"),
+])
+def test_html_keeps_the_article(inside, before, after):
+    """Names of the body and of wrappers of the article don't decide; menus, notices, comments and the like go."""
+    assert html_text.main_text(_page(before, inside, after)) == "\n\n".join(["A title", *_SENTENCES])
+
+
+def test_html_tree_reads_neighbours():
+    """The learned tree splits on words and links of a block and of its neighbours, and fits its small table."""
+    text = html_text.tree().text()
+    assert all(f"{name} <=" in text for name in ("words", "linked share", "words after", "linked share after", "linked share before"))
+    misses = total = 0
+    for page in html_text.LABELLED:
+        found, elements = html_text.blocks(page.format(M=html_text._SAID, L=html_text._LONG, X=html_text._LONG * 2))
+        keep = html_text.tree().keep(html_text.table(found, elements))
+        misses, total = misses + sum(f[0].startswith("+") != k for f, k in zip(found, keep)), total + len(found)
+    assert misses <= 0.05 * total
+
+
+def test_html_blocks_brute_force(spark):
+    """All blocks of the test pages against a parser of another kind, and the articles' own paragraphs as the result."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.inside, self.raw = [""], False, False
+
+        def handle_starttag(self, tag, attrs):
+            self.inside |= tag == "article"
+            self.raw |= tag in ("script", "style")
+            if tag in html_text.BLOCK:
+                self.out.append("")
+            elif tag == "br":
+                self.out[-1] += " "
+
+        def handle_endtag(self, tag):
+            self.inside &= tag != "article"
+            self.raw &= tag not in ("script", "style")
+            if tag in html_text.BLOCK:
+                self.out.append("")
+
+        def handle_data(self, data):
+            if self.inside and not self.raw:
+                self.out[-1] += data
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in html_text.extract(pages, ["page_id"]).collect()}
+    for r in pages.collect():
+        parser = Article()
+        parser.feed(r.html)
+        want = [" ".join(x.split()) for x in parser.out]
+        assert got[r.page_id] == "\n\n".join(x for x in want if x)
+
+
+def test_html_odd(spark):
+    """An empty table, clashing column names, nulls, ties and a very long page."""
+    rows = [(1, "u", None, "t"), (2, None, "", "t"), (3, "u", _page(), "t"), (3, "u", _page(), "t"), (4, "u", "<article>" + "<p>word &amp; more</p>" * 60000 + "</article>", "t"), (5, "u", "<p>" * 50000 + "x", "t")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = html_text.extract(pages, ["page_id", "url"]).collect()
+    assert [(r.page_id, r.n_chars) for r in got] == [(1, 0), (2, 0), (3, len(got[2].text)), (3, len(got[2].text)), (4, 60000 * 13 - 2), (5, 1)]
+    assert html_text.extract(pages.where("false"), ["page_id", "url"]).count() == 0
