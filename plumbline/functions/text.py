@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NUM = r"(-?\d+(?:\.\d+)?)"
 END = r"(?![A-Za-z0-9_])"  # an ASCII word border
 SPACE = r"[\s ]"
+WHITE = " \t\n\x0b\f\r\u00a0"  # what SPACE matches
 INCH, FOOT = 25.4, 304.8
+# fixed values: the line on a sheet's use
+STATED, CITE_PART = "Stated occupancy/building type: ", ". Cite sections from the matching NBC Part only."
+UNSTATED = "NOT SPECIFIED. Treat as ambiguous and note this in any width-threshold violations rather than assuming Part 3 or Part 9."
 # fixed values: words that keyword search leaves out
 STOP_WORDS = "the and or for of to a an in on at by with from is are be requirements minimum maximum width length".split()
 
 
 def trim(c: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def squeeze(c: Column) -> Column:
@@ -31,25 +35,44 @@ def _num(s: Column, pattern: str, group: int = 1) -> Column:
 
 
 def parse_to_mm(raw: Column) -> Column:
-    """Millimetres of a dimension text: feet and inches, inches, mm, cm, m, else a bare number; null if none."""
+    """Millimetres of a dimension text: feet and inches, inches, mm, cm, m, else a bare number; null if none.
+
+    The first unit that matches wins; a pattern runs only on texts that hold its unit's sign.
+    """
     s = F.lower(trim(raw))
     feet = NUM + r"\s*'\s*[-\s]?\s*(\d+(?:\.\d+)?)?\s*\"?"
     inch = NUM + rf"\s*(?:\"|in{END}|inch(?:es)?)"
 
-    def unit(u: str) -> str:
-        return NUM + rf"\s*{u}{END}"
+    def unit(u: str) -> Column:
+        return F.when(s.contains(u), _num(s, NUM + rf"\s*{u}{END}"))
 
-    # the first unit that matches wins; each pattern runs once
     return F.coalesce(
-        _num(s, feet) * FOOT + F.coalesce(_num(s, feet, 2), F.lit(0.0)) * INCH, _num(s, inch) * INCH, _num(s, unit("mm")), _num(s, unit("cm")) * 10, _num(s, unit("m")) * 1000, _num(s, NUM)
+        F.when(s.contains("'"), _num(s, feet) * FOOT + F.coalesce(_num(s, feet, 2), F.lit(0.0)) * INCH), F.when(s.contains('"') | s.contains("in"), _num(s, inch) * INCH),
+        unit("mm"), unit("cm") * 10, unit("m") * 1000, _num(s, NUM),
     )
 
 
+def parsed(df: DataFrame, raw: Column, name: str = "value_mm") -> DataFrame:
+    """df with the millimetres of raw, without the rows that have none.
+
+    The value passes through a generator, which Spark neither merges with filters nor repeats in them: it is
+    computed once a row.
+    """
+    return df.select("*", F.explode(F.array_compact(F.array(parse_to_mm(raw)))).alias(name))
+
+
 def number_text(d: Column) -> Column:
-    """Shortest text of a double, without a trailing .0 and without an exponent for common sizes."""
-    plain = F.regexp_replace(d.cast("string"), r"\.0$", "")
-    big = (F.abs(d) >= 1e7) & (F.abs(d) < 1e15) & (d == F.floor(d))
-    return F.when(big, d.cast("decimal(20,0)").cast("string")).otherwise(plain)
+    """Text of a double: the shortest digits; an exponent only from 1e21 on and below 1e-6."""
+    text = d.cast("string")
+    sign, digits = F.regexp_extract(text, "^(-?)", 1), F.regexp_replace(F.regexp_extract(text, r"^-?([\d.]+)E", 1), r"\.0$|\.", "")
+    power = F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int")
+    size = F.length(digits)
+    whole = F.rpad(digits, power + 1, "0")
+    split = F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, size))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    far = F.concat(F.substring(digits, 1, 1), F.when(size > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), size))).otherwise(""), F.lit("e"), F.when(power > 0, "+").otherwise(""), power.cast("string"))
+    spread = F.when((power >= 21) | (power < -6), far).when(power < 0, small).when(size <= power + 1, whole).otherwise(split)
+    return F.when(text.contains("E"), F.concat(sign, spread)).otherwise(F.regexp_replace(text, r"\.0$", ""))
 
 
 def building_part(occupancy: Column, building: Column) -> Column:
@@ -138,10 +161,41 @@ def citation(jurisdiction: Column, part: Column, section: Column, title: Column)
     return F.concat(F.lit("NBC "), jurisdiction, F.lit(" Part "), F.coalesce(part, F.lit("9")), F.lit(", "), section, F.when(title != "", F.concat(F.lit(" — "), title)).otherwise(""))
 
 
+def _sql(spark: SparkSession, body: Column, *names: str) -> str:
+    """The SQL of an expression over text columns."""
+    one = spark.createDataFrame([], ", ".join(f"{n} string" for n in names)).select(body.alias("x"))
+    return one._jdf.queryExecution().analyzed().expressions().apply(0).child().sql()
+
+
 def register(spark: SparkSession) -> None:
-    """SQL functions parse_to_mm, building_part and dimension_attribute of this session."""
-    spark.sql(
-        """CREATE OR REPLACE TEMPORARY FUNCTION building_part(occupancy STRING, building STRING) RETURNS STRING RETURN
-        CASE WHEN lower(concat(coalesce(occupancy,''),' ',coalesce(building,''))) rlike r'part\\s*9|house|dwelling|residential\\s*(small|low)|small\\s*building' THEN 'Part9'
-        WHEN lower(concat(coalesce(occupancy,''),' ',coalesce(building,''))) rlike r'part\\s*3|assembly|business|mercantile|industrial|institutional|high[-\\s]?rise' THEN 'Part3' END"""
-    )
+    """SQL functions parse_to_mm(raw), building_part(occupancy, building) and dimension_attribute(label) ("type.attribute")
+    of this session."""
+    target = dimension_target(F.col("label"))
+    made = {
+        "parse_to_mm(raw STRING) RETURNS DOUBLE": _sql(spark, parse_to_mm(F.col("raw")), "raw"),
+        "building_part(occupancy STRING, building STRING) RETURNS STRING": _sql(spark, building_part(F.col("occupancy"), F.col("building")), "occupancy", "building"),
+        "dimension_attribute(label STRING) RETURNS STRING": _sql(spark, F.concat(target["type"], F.lit("."), target["attribute"]), "label"),
+    }
+    for head, body in made.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
+
+
+def occupancy_label(occupancy: Column, building: Column) -> Column:
+    """What a sheet says of its use: the parts that aren't empty, "" if none."""
+    return F.concat_ws(" / ", blank_null(occupancy), blank_null(building))
+
+
+def occupancy_line(occupancy: Column, building: Column) -> Column:
+    """The line that tells a model what a sheet says of its use."""
+    label = occupancy_label(occupancy, building)
+    return F.when(label != "", F.concat(F.lit(STATED), label, F.lit(CITE_PART))).otherwise(F.lit(STATED + UNSTATED))
+
+
+def embedding_text(section: Column, title: Column, content: Column) -> Column:
+    """What is embedded of a chunk."""
+    return F.concat(section, F.lit(" "), title, F.lit("\n"), content)
+
+
+def hint_text(text: Column, pages: bool = True) -> Column:
+    """The part of a sheet's own text that goes with a page's image, or with a text-only call."""
+    return F.left(text, F.lit(6000 if pages else 12000))

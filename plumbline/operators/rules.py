@@ -14,60 +14,73 @@ SHEET = (
     "egress_paths array<struct<`from`:string,`to`:string,width:string>>, dimensions array<struct<element:string,value:string,unit:string>>, "
     "annotations struct<rooms:array<string>,doors:array<string>,dimensions:array<string>,levels:array<string>,totals:array<string>,sections:array<string>,other:array<string>>, occupancy_type string, building_type string"
 )
-#: fixed values: the nine curated rules (section, title, element, attribute, operator, value, upper value, severity)
+# fixed values: the nine curated rules (id, section, title, element, attribute, operator, value, upper value, severity, message)
 CURATED = [
-    ("9.8.4.1", "Rise of Steps", "stair", "rise_mm", "between", 125.0, 200.0, "major"),
-    ("9.8.4.2", "Run of Steps", "stair", "run_depth_mm", "gte", 255.0, None, "major"),
-    ("9.8.2.1", "Minimum Width of Stairs", "stair", "width_mm", "gte", 860.0, None, "major"),
-    ("9.8.2.2", "Stair Headroom", "stair", "headroom_mm", "gte", 1950.0, None, "major"),
-    ("9.5.3", "Doorway Width", "door", "width_mm", "gte", 810.0, None, "minor"),
-    ("9.9.3.3", "Corridor Width", "corridor", "width_mm", "gte", 1100.0, None, "minor"),
-    ("9.5.3.1", "Ceiling Height", "room", "ceiling_height_mm", "gte", 1950.0, None, "minor"),
-    ("9.8.8.3", "Height of Guards", "guard", "height_mm", "gte", 900.0, None, "critical"),
-    ("9.9.3.2", "Egress Width", "egress", "width_mm", "gte", 900.0, None, "major"),
+    ("nbc-9.8.4.1-rise", "9.8.4.1", "Rise of Steps", "stair", "rise_mm", "between", 125.0, 200.0, "major", "Stair rise {value}mm is outside the permitted {min}-{max}mm range (NBC §9.8.4.1, Table 9.8.4.1). Public stairs are further limited to a 180mm maximum."),
+    ("nbc-9.8.4.2-run", "9.8.4.2", "Run of Steps", "stair", "run_depth_mm", "gte", 255.0, None, "major", "Stair run {value}mm is below the {min}mm minimum for private stairs (NBC §9.8.4.2, Table 9.8.4.2). Public stairs require at least 280mm."),
+    ("nbc-9.8.2.1-width", "9.8.2.1", "Minimum Width of Stairs", "stair", "width_mm", "gte", 860.0, None, "major", "Stair width {value}mm is below the {min}mm minimum (NBC §9.8.2.1). Required exit/public stairs serving non-residential occupancies require more."),
+    ("nbc-9.8.2.2-headroom", "9.8.2.2", "Stair Headroom", "stair", "headroom_mm", "gte", 1950.0, None, "major", "Stair headroom {value}mm is below the {min}mm minimum (NBC §9.8.2.2); headroom must be at least 1950mm plus the height of one riser."),
+    ("nbc-9.5.3-doorway-width", "9.5.3", "Doorway Width", "door", "width_mm", "gte", 810.0, None, "minor", "Door width {value}mm is below the {min}mm minimum for required/barrier-free doorways (NBC §9.5.3). Verify the doorway's role before actioning."),
+    ("nbc-9.9.3.3-corridor-width", "9.9.3.3", "Width of Corridors", "corridor", "width_mm", "gte", 1100.0, None, "minor", "Corridor width {value}mm is below the {min}mm minimum for a public, public-use or exit corridor (NBC §9.9.3.3). In-suite corridors are exempt."),
+    ("nbc-9.5.3.1-ceiling-height", "9.5.3.1", "Room Ceiling Heights", "room", "ceiling_height_mm", "gte", 1950.0, None, "minor", "Ceiling height {value}mm is below the {min}mm absolute minimum (NBC §9.5.3.1, Table 9.5.3.1). Most habitable rooms require 2100mm over the required area."),
+    ("nbc-9.8.8.3-guard-height", "9.8.8.3", "Height of Guards", "guard", "height_mm", "gte", 900.0, None, "critical", "Guard height {value}mm is below the {min}mm minimum (NBC §9.8.8.3). Guards other than within a dwelling unit must be at least 1070mm high."),
+    ("nbc-9.9.3.2-exit-width", "9.9.3.2", "Exit Width", "egress", "width_mm", "gte", 900.0, None, "major", "Exit facility width {value}mm is below the {min}mm minimum (NBC §9.9.3.2)."),
 ]
-MESSAGE = "{value}mm against {min}mm to {max}mm"
+JURISDICTION = "NBC_Alberta_2019"  # fixed value: of rules that name none
+#: rules that may be broadcast; beyond, a rule is dealt to SALT parts of its elements
+RULES, SALT = 10_000, 64
 
 
 def curated_rules(spark: SparkSession) -> DataFrame:
-    rows = [(f"nbc-{s}-{a}", s, t, "9", "AB", e, a, op, v, m, None, sev, MESSAGE) for s, t, e, a, op, v, m, sev in CURATED]
+    rows = [(i, s, t, "9", JURISDICTION, e, a, op, v, m, None, sev, message) for i, s, t, e, a, op, v, m, sev, message in CURATED]
     return spark.createDataFrame(rows, RULE)
 
 
 def with_defaults(rules: DataFrame) -> DataFrame:
     """Loaded rules with the default jurisdiction and empty conditions."""
-    return rules.withColumn("jurisdiction", F.coalesce("jurisdiction", F.lit("AB"))).withColumn("value", F.col("value").cast("double")).withColumn("value_max", F.col("value_max").cast("double"))
+    none = F.struct(F.lit(None).cast("string").alias("occupancy_type"), F.lit(None).cast("string").alias("building_part"))
+    numbers = {c: F.col(c).cast("double") for c in ("value", "value_max")}
+    return rules.withColumns({"jurisdiction": F.coalesce("jurisdiction", F.lit(JURISDICTION)), "conditions": F.coalesce("conditions", none), **numbers})
 
 
 def flatten_sheets(sheets: DataFrame) -> DataFrame:
     """Measured elements in long form: (sheet, type, id, attribute, value_mm, occupancy, building_part).
 
-    Rooms are measured only through labelled dimensions; a row appears for each attribute that parses.
+    Rooms are measured only through labelled dimensions; a row appears for each attribute that parses. Each sheet is read
+    once: its five arrays become one array of raw measures, in their order.
     """
-    base = sheets.withColumn("building_part", X.building_part(F.col("occupancy_type"), F.col("building_type")))
-    head = [F.col("sheet_name").alias("sheet"), F.col("occupancy_type").alias("occupancy"), "building_part"]
-
-    def kind(array: str, name: str, fields: dict[str, str], ident) -> DataFrame:
-        rows = base.select(*head, F.posexplode(array).alias("i", "e"))
-        long = F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(f"e.{f}").alias("raw")) for f, a in fields.items()])
-        rows = rows.select(*[c if isinstance(c, str) else c for c in ("sheet", "occupancy", "building_part")], F.lit(name).alias("type"), ident.alias("id"), F.explode(long).alias("m"))
-        return rows.select("sheet", "type", "id", F.col("m.attribute").alias("attribute"), X.parse_to_mm(F.col("m.raw")).alias("value_mm"), "occupancy", "building_part")
-
-    def numbered(name: str) -> Column:
-        return F.coalesce(X.blank_null(F.col("e.location")), F.concat(F.lit(f"{name}#"), F.col("i").cast("string")))
-
-    a, b = F.col("e.from"), F.col("e.to")
-    either = F.coalesce(a != "", F.lit(False)) | F.coalesce(b != "", F.lit(False))
-    route = F.when(either, F.concat(F.coalesce(a, F.lit("?")), F.lit("→"), F.coalesce(b, F.lit("?")))).otherwise(F.concat(F.lit("egress#"), F.col("i").cast("string")))
-    out = kind("stairs", "stair", {"width": "width_mm", "rise": "rise_mm", "run": "run_depth_mm"}, numbered("stair"))
-    out = out.unionByName(kind("doors", "door", {"width": "width_mm"}, numbered("door")))
-    out = out.unionByName(kind("corridors", "corridor", {"width": "width_mm", "length": "length_mm"}, numbered("corridor")))
-    out = out.unionByName(kind("egress_paths", "egress", {"width": "width_mm"}, route))
-    dims = base.select(*head, F.posexplode("dimensions").alias("i", "e")).withColumn("t", X.dimension_target(F.col("e.element"))).where("t is not null")
-    text = X.trim(F.concat(F.coalesce("e.value", F.lit("")), F.lit(" "), F.coalesce("e.unit", F.lit(""))))
-    label = F.coalesce(X.blank_null(F.col("e.element")), F.concat(F.col("t.type"), F.lit("#dim"), F.col("i").cast("string")))
-    dims = dims.select("sheet", F.col("t.type").alias("type"), label.alias("id"), F.col("t.attribute").alias("attribute"), X.parse_to_mm(text).alias("value_mm"), "occupancy", "building_part")
-    return out.unionByName(dims).where("value_mm is not null")
+    def measure(kind, ident, attribute, raw) -> Column:
+        return F.struct(kind.alias("type"), ident.alias("id"), attribute.alias("attribute"), raw.alias("raw"))
+
+    def each(array: str, make) -> Column:
+        none = F.array().cast("array<struct<type:string,id:string,attribute:string,raw:string>>")
+        return F.coalesce(F.flatten(F.transform(array, lambda e, i: F.array(*make(e, i)))), none)
+
+    def placed(array: str, kind: str, fields: dict[str, str]) -> Column:
+        def make(e, i):
+            ident = F.coalesce(X.blank_null(e["location"]), F.concat(F.lit(f"{kind}#"), i.cast("string")))
+            return [measure(F.lit(kind), ident, F.lit(a), e[f]) for f, a in fields.items()]
+
+        return each(array, make)
+
+    def route(e, i):
+        a, b = e["from"], e["to"]
+        either = F.coalesce(a != "", F.lit(False)) | F.coalesce(b != "", F.lit(False))
+        ident = F.when(either, F.concat(F.coalesce(a, F.lit("?")), F.lit("→"), F.coalesce(b, F.lit("?")))).otherwise(F.concat(F.lit("egress#"), i.cast("string")))
+        return [measure(F.lit("egress"), ident, F.lit("width_mm"), e["width"])]
+
+    def labelled(e, i):
+        t = X.dimension_target(e["element"])
+        ident = F.coalesce(X.blank_null(e["element"]), F.concat(t["type"], F.lit("#dim"), i.cast("string")))
+        return [measure(t["type"], ident, t["attribute"], X.trim(F.concat(F.coalesce(e["value"], F.lit("")), F.lit(" "), F.coalesce(e["unit"], F.lit("")))))]
+
+    every = F.concat(
+        placed("stairs", "stair", {"width": "width_mm", "rise": "rise_mm", "run": "run_depth_mm"}), placed("doors", "door", {"width": "width_mm"}),
+        placed("corridors", "corridor", {"width": "width_mm", "length": "length_mm"}), each("egress_paths", route), each("dimensions", labelled),
+    )
+    part = X.building_part(F.col("occupancy_type"), F.col("building_type"))
+    rows = sheets.select(F.col("sheet_name").alias("sheet"), F.col("occupancy_type").alias("occupancy"), part.alias("building_part"), F.explode(every).alias("m")).where("m.type is not null")
+    return X.parsed(rows, F.col("m.raw")).select("sheet", "m.type", "m.id", "m.attribute", "value_mm", "occupancy", "building_part")
 
 
 def passes(value: Column, operator: Column, low: Column, high: Column) -> Column:
@@ -89,9 +102,20 @@ def fill(message: Column, value: Column, low: Column, high: Column) -> Column:
 
 
 def violations(elements: DataFrame, rules: DataFrame) -> DataFrame:
-    """Elements that fail a rule. Rules are few; Spark broadcasts them when their size allows."""
+    """Elements that fail a rule.
+
+    Rules are counted; up to RULES of them are broadcast, so that elements, of which a few types and attributes hold
+    all, are not shuffled. More rules are joined in SALT parts of each type and attribute.
+    """
     e, r = elements.alias("e"), rules.alias("r")
-    on = (F.col("e.type") == F.col("r.element_type")) & (F.col("e.attribute") == F.col("r.attribute"))
+    if _few(rules):
+        r = F.broadcast(r)
+        on = F.lit(True)
+    else:
+        e = elements.withColumn("__part", F.pmod(F.xxhash64("sheet", "id"), F.lit(SALT)).cast("int")).alias("e")
+        r = rules.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))).alias("r")
+        on = F.col("e.__part") == F.col("r.__part")
+    on = on & (F.col("e.type") == F.col("r.element_type")) & (F.col("e.attribute") == F.col("r.attribute"))
     on = on & applies(F.col("r.conditions.building_part"), F.col("e.building_part"), F.col("r.conditions.occupancy_type"), F.col("e.occupancy"))
     value, low, high = F.col("e.value_mm"), F.col("r.value"), F.col("r.value_max")
     met = e.join(r, on & ~passes(value, F.col("r.operator"), low, high))
@@ -101,6 +125,10 @@ def violations(elements: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
+def _few(rules: DataFrame) -> bool:
+    return not rules.isStreaming and len(rules.select("id").take(RULES + 1)) <= RULES
+
+
 def covered_sections(found: DataFrame) -> DataFrame:
     return found.select(F.explode("affected_sheets").alias("sheet"), "section_id").distinct()
 
@@ -127,9 +155,18 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
-def summary(found: DataFrame) -> DataFrame:
+def summary(found: DataFrame, *by: str) -> DataFrame:
+    """Counts by severity and by type, of all or for each value of `by`."""
     one = [F.count_if(F.col("severity") == s).alias(s) for s in ("critical", "major", "minor")]
-    return found.agg(*one, *[F.count_if(F.col("type") == t).alias(t) for t in ("compliance", "consistency")])
+    return found.groupBy(*by).agg(*one, *[F.count_if(F.col("type") == t).alias(t) for t in ("compliance", "consistency")])
+
+
+def checked(rules: DataFrame) -> DataFrame:
+    """The rules, numbered by i; raises with all errors that validate finds."""
+    errors = [r["error"] for r in validate(rules).orderBy("i").limit(1000).collect()]
+    if errors:
+        raise ValueError("\n".join(errors))
+    return rules
 
 
 def select_violations(found: DataFrame, severity: str = "all", kind: str = "all") -> DataFrame:
@@ -139,11 +176,18 @@ def select_violations(found: DataFrame, severity: str = "all", kind: str = "all"
 
 
 def conflicts(elements: DataFrame) -> DataFrame:
-    """The same element with different values on two sheets: (type, id, attribute, sheet_a, value_a, sheet_b, value_b)."""
-    a, b = elements.alias("a"), elements.alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("type", "id", "attribute")]
+    """The same element with different values on two sheets: (type, id, attribute, sheet_a, value_a, sheet_b, value_b).
+
+    Only elements with several values are paired, each sheet and value once; both sides share one shuffle.
+    """
+    key = ["type", "id", "attribute"]
+    once = elements.select(*key, "sheet", "value_mm").distinct()
+    several = once.groupBy(*key).agg((F.min("value_mm") < F.max("value_mm")).alias("differ")).where("differ").select(*key)
+    once = once.join(several, key, "left_semi")
+    a, b = once.alias("a"), once.alias("b")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in key]
     met = a.join(b, same[0] & same[1] & same[2] & (F.col("a.sheet") < F.col("b.sheet")) & (F.col("a.value_mm") != F.col("b.value_mm")))
-    return met.select("a.type", "a.id", "a.attribute", F.col("a.sheet").alias("sheet_a"), F.col("a.value_mm").alias("value_a"), F.col("b.sheet").alias("sheet_b"), F.col("b.value_mm").alias("value_b")).distinct()
+    return met.select("a.type", "a.id", "a.attribute", F.col("a.sheet").alias("sheet_a"), F.col("a.value_mm").alias("value_a"), F.col("b.sheet").alias("sheet_b"), F.col("b.value_mm").alias("value_b"))
 
 
 def missing_elements(elements: DataFrame, project: str) -> DataFrame:

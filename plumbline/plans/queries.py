@@ -51,9 +51,10 @@ KIND = "CASE kind WHEN 0 THEN 'stair' WHEN 1 THEN 'door' WHEN 2 THEN 'corridor'
 ATTR = "CASE kind WHEN 4 THEN 'ceiling_height_mm' WHEN 5 THEN 'height_mm' ELSE 'width_mm' END"
 PART = r"CASE WHEN regexp_matches({b}, 'part\s*9|house|dwelling|residential\s*(small|low)|small\s*building') THEN 'Part9' WHEN regexp_matches({b}, 'part\s*3|assembly|business|mercantile|industrial|institutional|high[-\s]?rise') THEN 'Part3' END"
 ELEMENTS = f"x AS ({ELEMENT_INPUT}), el AS (SELECT sheet, {KIND} AS type, id, {ATTR} AS attribute, {mm_sql('raw')} AS value_mm, occupancy, {PART.format(b=chr(34) + 'blob' + chr(34))} AS building_part FROM (SELECT *, lower(coalesce(occupancy, '') || ' ') AS blob FROM x) z)"
-CURATED = "rules(section, title, element_type, attribute, op, value, value_max, severity) AS (VALUES " + ", ".join("(" + ", ".join("NULL::DOUBLE" if v is None else f"{v}::DOUBLE" if isinstance(v, float) else f"'{v}'" for v in r) + ")" for r in R.CURATED) + ")"
+CURATED = "rules(id, section, title, element_type, attribute, op, value, value_max, severity, message) AS (VALUES " + ", ".join("(" + ", ".join("NULL::DOUBLE" if v is None else f"{v}::DOUBLE" if isinstance(v, float) else "'" + v.replace("'", "''") + "'" for v in r) + ")" for r in R.CURATED) + ")"
 PASS = "(CASE op WHEN 'gte' THEN value_mm >= value WHEN 'lte' THEN value_mm <= value WHEN 'eq' THEN value_mm = value WHEN 'between' THEN coalesce(value_mm >= value AND value_mm <= value_max, false) ELSE true END)"
-VIOLATIONS = f"{ELEMENTS}, {CURATED}, v AS (SELECT 'compliance' AS type, severity, {num_sql('value_mm')} || 'mm against ' || {num_sql('value')} || 'mm to ' || coalesce({num_sql('value_max')}, '') || 'mm' AS description, section AS section_id, 'NBC AB Part 9, ' || section || ' — ' || title AS code_citation, sheet, id AS location_hint FROM (SELECT * FROM el WHERE value_mm IS NOT NULL) e JOIN rules r ON e.type = r.element_type AND e.attribute = r.attribute WHERE NOT {PASS})"
+MESSAGE = f"replace(replace(replace(message, '{{value}}', {num_sql('value_mm')}), '{{min}}', {num_sql('value')}), '{{max}}', coalesce({num_sql('value_max')}, ''))"
+VIOLATIONS = f"{ELEMENTS}, {CURATED}, v AS (SELECT 'compliance' AS type, severity, {MESSAGE} AS description, section AS section_id, 'NBC {R.JURISDICTION} Part 9, ' || section || ' — ' || title AS code_citation, sheet, e.id AS location_hint FROM (SELECT * FROM el WHERE value_mm IS NOT NULL) e JOIN rules r ON e.type = r.element_type AND e.attribute = r.attribute WHERE NOT {PASS})"
 LINES = "ln AS (SELECT doc_id, unnest(string_split(\"text\", chr(10))) AS line, unnest(range(len(string_split(\"text\", chr(10))))) AS i FROM documents)"
 CODE = f"{LINES}, code AS (SELECT doc_id, string_agg((CASE WHEN i % 3 = 1 THEN '9.' || (doc_id % 10) || '.' || i || ' Stair width' || chr(10) ELSE '' END) || line || (CASE WHEN i % 4 = 0 THEN chr(10) ELSE '' END), chr(10) ORDER BY i) AS body FROM ln GROUP BY doc_id)"
 TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
@@ -67,14 +68,16 @@ SECTIONS = (
 
 
 def elements(spark: SparkSession, sf: str) -> DataFrame:
+    """Elements with a measure."""
     x = run(spark, sf, ELEMENT_INPUT)
     kind = F.element_at(F.array(*[F.lit(k) for k in ("stair", "door", "corridor", "egress", "room", "guard")]), F.col("kind") + 1)
     attribute = F.when(F.col("kind") == 4, "ceiling_height_mm").when(F.col("kind") == 5, "height_mm").otherwise("width_mm")
-    return x.select("sheet", kind.alias("type"), "id", attribute.alias("attribute"), X.parse_to_mm(F.col("raw")).alias("value_mm"), "occupancy", X.building_part(F.col("occupancy"), F.lit(None).cast("string")).alias("building_part"))
+    part = X.building_part(F.col("occupancy"), F.lit(None).cast("string"))
+    return X.parsed(x, F.col("raw")).select("sheet", kind.alias("type"), "id", attribute.alias("attribute"), "value_mm", "occupancy", part.alias("building_part"))
 
 
 def found(spark: SparkSession, sf: str) -> DataFrame:
-    return R.violations(elements(spark, sf).where("value_mm is not null"), R.curated_rules(spark))
+    return R.violations(elements(spark, sf), R.curated_rules(spark))
 
 
 def code_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -159,7 +162,7 @@ def rule_conditions(spark, sf):
     rules = R.curated_rules(spark).where("element_type = 'door'")
     conds = spark.createDataFrame([(i, p, o) for i, (p, o) in enumerate(COND)], "n long, p string, o string")
     rules = rules.crossJoin(F.broadcast(conds)).withColumn("conditions", F.struct(F.col("o").alias("occupancy_type"), F.col("p").alias("building_part"))).withColumn("section", F.col("n").cast("string")).withColumn("message", F.lit("{value}"))
-    out = R.violations(elements(spark, sf).where("value_mm is not null"), rules)
+    out = R.violations(elements(spark, sf), rules)
     return out.groupBy(F.col("section_id").cast("long").alias("n")).agg(F.count("*").alias("violations"), F.round(F.sum(F.col("description").cast("double")), 3).alias("total"))
 
 
@@ -229,7 +232,7 @@ PAIRS = "e2 AS (SELECT 'S-' || (TRY_CAST(split_part(sheet, '-', 2) AS BIGINT) %
 
 @query(f"WITH {ELEMENTS}, {PAIRS} SELECT DISTINCT a.type, a.id, a.attribute, a.sheet AS sheet_a, round(a.value_mm, 6) AS value_a, b.sheet AS sheet_b, round(b.value_mm, 6) AS value_b FROM e2 a JOIN e2 b ON a.type = b.type AND a.id = b.id AND a.attribute = b.attribute AND a.sheet < b.sheet AND a.value_mm <> b.value_mm")
 def consistency_conflicts(spark, sf):
-    e = elements(spark, sf).where("value_mm is not null")
+    e = elements(spark, sf)
     e = e.withColumn("sheet", F.concat(F.lit("S-"), (F.split_part("sheet", F.lit("-"), F.lit(2)).cast("long") % 2).cast("string"))).withColumn("id", F.concat_ws("-", F.split_part("id", F.lit("-"), F.lit(2)), F.split_part("id", F.lit("-"), F.lit(3))))
     return R.conflicts(e).withColumn("value_a", F.round("value_a", 6)).withColumn("value_b", F.round("value_b", 6))
 
@@ -240,7 +243,7 @@ OWN_SHEETS = "e2 AS (SELECT DISTINCT sheet, type, split_part(id, '-', 2) || '-'
 
 @query(f"WITH {ELEMENTS}, {OWN_SHEETS} SELECT DISTINCT a.type, a.id, a.attribute, a.sheet AS sheet_a, round(a.value_mm, 6) AS value_a, b.sheet AS sheet_b, round(b.value_mm, 6) AS value_b FROM e2 a JOIN e2 b ON a.type = b.type AND a.id = b.id AND a.attribute = b.attribute AND a.sheet < b.sheet AND a.value_mm <> b.value_mm")
 def consistency_conflicts_orders(spark, sf):
-    e = elements(spark, sf).where("value_mm is not null")
+    e = elements(spark, sf)
     e = e.withColumn("id", F.concat_ws("-", F.split_part("id", F.lit("-"), F.lit(2)), F.split_part("id", F.lit("-"), F.lit(3)))).select("sheet", "type", "id", "attribute", "value_mm").distinct()
     return R.conflicts(e).withColumn("value_a", F.round("value_a", 6)).withColumn("value_b", F.round("value_b", 6))
 
