@@ -9,9 +9,10 @@ from pyspark.sql import types as T
 
 from plumbline.functions import text as X
 
+# fixed values: what a heading line looks like
 HEADING = r"^\s*(\d+(?:\.\d+){1,4})\s+(.{2,160}?)\s*$"
 ARTICLE = r"(?i)^\s*Article\s+(\d+(?:\.\d+){0,4})\s*[—:-]?\s*(.{2,160}?)\s*$"
-#: fixed values: the five retrieval categories
+# fixed values: the five retrieval categories
 CATEGORIES = {
     "egress": "egress width requirements corridor minimum exit access travel distance",
     "doors": "door width swing direction fire-rated assembly opening protectives",
@@ -61,8 +62,12 @@ def cosine(a: str, b: str) -> Column:
     return F.try_divide(dot, norms[0] * norms[1])
 
 
+# fixed values: between blocks, and where there are none
+BETWEEN, NONE_FOUND = "\n\n---\n\n", "(no code sections retrieved)"
 #: rows packed into one block, queries that may be broadcast, and matches a task holds before it passes them on
 BLOCK, BROADCAST, HELD = 1024, 20_000, 1 << 18
+#: keyword terms that may be broadcast, cited texts in one array
+TERMS, CITED = 200_000, 256
 
 
 def _packed(df: DataFrame) -> DataFrame:
@@ -210,17 +215,111 @@ def similar_in_part(queries: DataFrame, chunks: DataFrame, prefix: str | None, k
 
 
 def keyword_search(queries: DataFrame, chunks: DataFrame, limit: int, prefix: str | None = None) -> DataFrame:
-    """(query_id, id): chunks that hold any of a query's terms in content or title, first by id. queries: (query_id, query)."""
-    terms = queries.select("query_id", F.explode(X.keyword_terms(F.col("query"))).alias("term"))
+    """(query_id, id, rank): chunks that hold any of a query's terms in content or title, first by id.
+
+    queries: (query_id, query), or (query_id, query, prefix) where each has a prefix of its own, or null. A term is a run
+    of ASCII letters and digits, so it lies within one such run of a text: the parts of each distinct run that are as long as some
+    term meet the terms in a hash join, whose work doesn't grow with the number of terms.
+    """
+    own = "prefix" in queries.columns
+    terms = queries.select("query_id", *["prefix"] * own, F.explode(X.keyword_terms(F.col("query"))).alias("term"))
     pool = chunks.where(F.col("section_id").startswith(prefix)) if prefix else chunks
-    # each text is lowered once and tested against the distinct terms, not against every query's
-    pool = pool.select("id", F.lower(F.concat_ws("\n", "content", "section_title")).alias("low"))
-    words = terms.select("term").distinct().agg(F.collect_set("term").alias("words"))  # a few terms a query
-    hits = pool.crossJoin(words).select("id", F.explode(F.filter("words", lambda t: F.col("low").contains(t))).alias("term"))
-    met = hits.join(terms, "term").select("query_id", "id").distinct()
+    sizes = F.array(*[F.lit(r[0]) for r in terms.select(F.length("term")).distinct().collect()] or [F.lit(0)])
+    low = F.lower(F.concat_ws("\n", "content", "section_title"))
+    runs = F.array_distinct(F.filter(F.split(low, "[^a-z0-9]+"), lambda w: F.length(w) >= F.array_min(sizes)))
+    words = pool.select("id", *["section_id"] * own, F.explode(runs).alias("word"))
+    starts = F.filter(sizes, lambda n: n <= F.length("word"))
+    parts = F.flatten(F.transform(starts, lambda n: F.transform(F.sequence(F.lit(1), F.length("word") - n + 1), lambda i: F.substring(F.col("word"), i, n))))
+    parts = words.select("id", *["section_id"] * own, F.explode(parts).alias("term"))
+    listed = terms.count()
+    met = parts.join(F.broadcast(terms) if listed <= TERMS else terms, "term")
+    if own:
+        met = met.where(F.col("prefix").isNull() | F.coalesce("section_id", F.lit("")).startswith(F.col("prefix")))
+    met = met.select("query_id", "id").distinct()
     return met.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("id"))).where(F.col("rank") <= limit)
 
 
+def category_queries(sheets: DataFrame, key: str) -> DataFrame:
+    """(key, category, place, query_id, query, prefix): the retrieval queries of each sheet, with the hint of its code part.
+
+    sheets: key, occupancy_type, building_type. Sheets of one part share their queries: query_id stands for the text.
+    """
+    part = X.building_part(F.col("occupancy_type"), F.col("building_type"))
+    every = F.posexplode(F.array(*[F.struct(F.lit(k).alias("category"), F.lit(q).alias("words")) for k, q in CATEGORIES.items()])).alias("place", "c")
+    rows = sheets.select(key, X.part_hint(part).alias("hint"), X.part_prefix(part).alias("prefix"), every)
+    rows = rows.withColumn("query", F.concat("hint", "c.words"))
+    return rows.select(key, F.col("c.category").alias("category"), "place", F.col("query").alias("query_id"), "query", "prefix")
+
+
+def retrieve(queries: DataFrame, chunks: DataFrame, k: int = 10, threshold: float = 0.5) -> DataFrame:
+    """(query_id, id, section_id, rank, path): what each query retrieves.
+
+    queries: (query_id, query, q, prefix), q null where no vector is at hand; chunks: (id, section_id, section_title, content,
+    embedding). Vectors fetch more than k where a prefix is set, and keep those of the prefix, or all if none is; a
+    query that no vector answers falls back on its keywords within its prefix.
+    """
+    wide = max(8 * k, 40)
+    asked = queries.where("q is not null").select("query_id", "q", "prefix")
+    near = similar(asked, chunks.select("id", "section_id", "embedding"), threshold, wide)
+    near = near.where(F.col("prefix").isNotNull() | (F.col("rank") <= k))
+    own = F.coalesce(F.coalesce(F.col("section_id"), F.lit("")).startswith(F.col("prefix")), F.lit(True))
+    near = near.withColumn("own", own).withColumn("any_own", F.max("own").over(W.partitionBy("query_id"))).where("own or not any_own")
+    near = near.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("rank"))).where(F.col("rank") <= k)
+    near = near.select("query_id", "id", "section_id", "rank", F.lit("vector").alias("path"))
+    rest = queries.join(near.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "query", "prefix")
+    words = keyword_search(rest, chunks.select("id", "section_id", "section_title", "content"), k)
+    words = words.join(chunks.select("id", "section_id"), "id").select("query_id", "id", "section_id", "rank", F.lit("keyword").alias("path"))
+    return near.unionByName(words)
+
+
+def retrieve_for_sheets(sheets: DataFrame, vectors: DataFrame, chunks: DataFrame, key: str, k: int = 8, threshold: float = 0.3) -> DataFrame:
+    """(key, id, section_id, category, rank, path): a sheet's chunks over all categories, each once, where first found.
+
+    vectors: (query, q), the embedded query texts; a text without one is searched by its keywords.
+    """
+    asked = category_queries(sheets, key)
+    texts = asked.select("query_id", "query", "prefix").distinct()  # a few for each code part, however many sheets
+    found = retrieve(texts.join(vectors, "query", "left"), chunks, k, threshold)
+    found = asked.select(key, "category", "place", "query_id").join(found, "query_id")
+    return first_seen(found, [key, "id"], ["place", "rank"]).select(key, "id", "section_id", "category", "rank", "path")
+
+
+def register_match(spark, view: str = "building_code_chunks") -> None:
+    """The SQL table function match_code_chunks(query_embedding, match_threshold, match_count) over a view of chunks."""
+    def total(x: str) -> str:
+        return f"aggregate({x}, 0D, (s, t) -> s + t)"
+
+    def size(v: str) -> str:
+        return f"sqrt({total(f'transform(cast({v} as array<double>), t -> t * t)')})"
+
+    dot = total("zip_with(cast(embedding as array<double>), cast(query_embedding as array<double>), (x, y) -> x * y)")
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION match_code_chunks(query_embedding ARRAY<FLOAT>, match_threshold DOUBLE DEFAULT 0.5D, match_count INT DEFAULT 10)
+        RETURNS TABLE(id STRING, section_id STRING, section_title STRING, content STRING, similarity DOUBLE) RETURN
+        SELECT id, section_id, section_title, content, similarity FROM (SELECT *, row_number() OVER (ORDER BY similarity DESC, id) AS n FROM
+        (SELECT cast(id as string) AS id, section_id, section_title, content, try_divide({dot}, {size('embedding')} * {size('query_embedding')}) AS similarity FROM {view}) WHERE similarity > match_threshold) WHERE n <= match_count""")
+
+
+def cited_in(cited: DataFrame, docs: DataFrame, column: str, text: str) -> DataFrame:
+    """cited with `found`: whether its text occurs in any document, whatever the case.
+
+    Documents stream past the cited texts, which are dealt to arrays of about CITED; up to BROADCAST of them are sent to all
+    tasks.
+    """
+    once = cited.select(F.lower(column).alias("low")).where("low is not null").distinct()
+    n = once.count()
+    blocks = once.groupBy(F.pmod(F.xxhash64("low"), F.lit(n // CITED + 1)).alias("block")).agg(F.collect_list("low").alias("words")).select("words")
+    blocks = F.broadcast(blocks) if n <= BROADCAST else blocks
+    texts = docs.select(F.lower(text).alias("body"))
+    seen = texts.crossJoin(blocks).select(F.explode(F.filter("words", lambda w: F.col("body").contains(w))).alias("low")).distinct()
+    marked = cited.withColumn("low", F.lower(column)).join(seen.withColumn("found", F.lit(True)), "low", "left")
+    return marked.withColumn("found", F.coalesce("found", F.lit(False))).drop("low")
+
+
+def verified(cited: DataFrame) -> DataFrame:
+    """Counts of the cited texts that were found and of those that weren't."""
+    return cited.agg(F.count_if("found").alias("real"), F.count_if(~F.col("found")).alias("fake"))
+
+
 def first_seen(found: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key."""
     return found.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
@@ -250,6 +349,13 @@ def format_chunks(section: Column, title: Column, content: Column) -> Column:
     return F.concat(F.lit("["), F.coalesce(section, F.lit("unknown")), F.lit("] "), F.coalesce(title, F.lit("")), F.lit("\n"), body)
 
 
+def context(blocks: DataFrame, keys: DataFrame, key: str, order: list[str], block: str = "block") -> DataFrame:
+    """(key, context): the blocks of each key in order, joined, or a line that says there are none."""
+    own = blocks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(block).alias("__block")))).alias("__all"))
+    text = F.array_join(F.transform("__all", lambda x: x["__block"]), BETWEEN)
+    return keys.join(own, key, "left").select(key, F.coalesce(text, F.lit(NONE_FOUND)).alias("context"))
+
+
 def rule_draft(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, pos, section, direction, value, unit, snippet): dimensional clauses with the last section named so far."""
     clauses = docs.select(key, F.posexplode(F.split(text, r"(?<=[.;:])\s+|\n{2,}")).alias("pos", "clause"))

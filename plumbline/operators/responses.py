@@ -1,7 +1,12 @@
-"""Model responses as input tables: choice of attempt, JSON repair, normalised findings, page merge."""
+"""Model responses as input tables: choice of attempt, JSON repair, normalised findings, page merge.
+
+Repair runs in one Arrow UDF: Spark's own JSON functions accept text after a value and refuse repeated keys, which strict
+parsing does the other way round.
+"""
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import sys
@@ -18,6 +23,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no
 
 FINDING = "array<struct<type:string,severity:string,description:string,section_id:string,code_citation:string,affected_sheets:array<string>,location_hint:string>>"
 _FENCE = re.compile(r"```(?:json)?\s*([\s\S]*?)```", re.I)
+_OUTER = re.compile(r"[\[{].*[\]}]", re.S)  # from the first opening to the last closing bracket
 _TEXT_FIELDS = ("section_id", "code_citation", "location_hint")
 
 
@@ -28,56 +34,45 @@ def choose_attempt(attempts: DataFrame, keys: list[str]) -> DataFrame:
     return a.withColumn("n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("n = 1").drop("n")
 
 
+def _refuse(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
 def _load(s: str):
+    """(value, True), or (None, False) for what isn't strict JSON or is nested too deeply."""
     try:
-        return json.loads(s), True
-    except ValueError:
+        return json.loads(s, parse_constant=_refuse), True
+    except (ValueError, RecursionError):
         return None, False
 
 
+#: an escaped sign, a string with what is left of an open one, or a brace
+_TOKEN = re.compile(r'\\.|"(?:[^"\\]|\\.)*(?:"|\\?\Z)|[{}]', re.S)
+
+
 def complete_objects(s: str) -> list[str]:
-    """Top-level objects of a truncated array that are closed, strings respected."""
-    found, depth, start, quoted, skip = [], 0, -1, False, False
-    for i, ch in enumerate(s):
-        if skip:
-            skip = False
-        elif ch == "\\":
-            skip = True
-        elif ch == '"':
-            quoted = not quoted
-        elif not quoted and ch == "{":
-            start = i if depth == 0 else start
-            depth += 1
-        elif not quoted and ch == "}":
-            depth -= 1
-            if depth == 0 and start >= 0:
-                found.append(s[start : i + 1])
-                start = -1
-    return found
+    """The closed objects at the top level of a truncated array, braces inside strings left out."""
+    braces = [(m.start(), 1 if m[0] == "{" else -1) for m in _TOKEN.finditer(s) if m[0] in ("{", "}")]
+    depths = list(itertools.accumulate((d for _, d in braces), initial=0))
+    starts = (at for (at, d), before in zip(braces, depths) if d > 0 and before == 0)
+    ends = (at for (at, d), after in zip(braces, depths[1:]) if d < 0 and after == 0)
+    return [s[a : z + 1] for a, z in zip(starts, ends)]  # they alternate; the last start may have no end
 
 
 def repair(raw: str | None):
     """The JSON value in a model's text, an empty list if there is none."""
-    if not raw:
-        return []
-    body = raw.strip()
+    body = raw.strip() if raw else ""
     fence = _FENCE.search(body)
     body = fence[1].strip() if fence else body
-    value, ok = _load(body)
-    if ok:
-        return value
-    first = min((i for i in (body.find("["), body.find("{")) if i >= 0), default=-1)
-    last = max(body.rfind("]"), body.rfind("}"))
-    if 0 <= first < last:
-        value, ok = _load(body[first : last + 1])
-        if ok:
-            return value
+    inner = _OUTER.search(body)
+    tries = [body, inner[0] if inner else None, None]
     if body.startswith("["):
         parts = complete_objects(body[1:])
-        if parts:
-            value, ok = _load("[" + ",".join(parts) + "]")
-            if ok:
-                return value
+        tries[2] = "[" + ",".join(parts) + "]" if parts else None
+    for attempt in filter(None, tries):
+        value, ok = _load(attempt)
+        if ok:
+            return value
     return []
 
 

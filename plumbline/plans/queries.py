@@ -10,6 +10,7 @@ from plumbline.operators import annotations as A
 from plumbline.operators import corpus as C
 from plumbline.operators import responses as P
 from plumbline.operators import rules as R
+from plumbline.operators import sheets as H
 from plumbline.plans.inputs import ELEMENT_INPUT, run
 from plumbline.sources import files as S
 
@@ -360,8 +361,7 @@ CITES = "SELECT concat('th', n_nationkey % 5, 'e') AS cited FROM nation UNION SE
 @query(f"WITH c AS ({CITES}) SELECT count(*) FILTER (ok)::BIGINT AS real, count(*) FILTER (NOT ok)::BIGINT AS fake FROM (SELECT cited, EXISTS (SELECT 1 FROM documents WHERE contains(lower(\"text\"), cited)) AS ok FROM c)")
 def citation_verify(spark, sf):
     cited, docs = run(spark, sf, CITES), run(spark, sf, "SELECT text FROM documents")
-    real = cited.join(docs, F.lower("text").contains(F.col("cited")), "left_semi").withColumn("ok", F.lit(True))
-    return cited.join(real, "cited", "left").agg(F.count_if(F.coalesce("ok", F.lit(False))).alias("real"), F.count_if(F.col("ok").isNull()).alias("fake"))
+    return C.verified(C.cited_in(cited, docs, "cited", "text"))
 
 
 @query("SELECT doc_id, '[' || coalesce(lang, 'unknown') || '] ' || coalesce(source, '') || chr(10) || substr(trim(regexp_replace(coalesce(\"text\", ''), '\\s+', ' ', 'g')), 1, 1200) AS block FROM documents")
@@ -369,7 +369,18 @@ def format_chunks(spark, sf):
     return run(spark, sf, "SELECT doc_id, lang, source, text FROM documents").select("doc_id", C.format_chunks(F.col("lang"), F.col("source"), F.col("text")).alias("block"))
 
 
-@query()
+DRAFT_MARK = "regexp_replace(regexp_replace(body || '. The width shall be not less than ' || (doc_id % 900) || ' mm; maximum 2.5 m.', '([.;:])\\s+', '\\1' || chr(1), 'g'), '\\n{{2,}}', chr(1), 'g')".replace("{{", "{").replace("}}", "}")
+DRAFT_SQL = (
+    f"WITH {CODE}, dc AS (SELECT doc_id, unnest(string_split({DRAFT_MARK}, chr(1))) AS clause, unnest(range(len(string_split({DRAFT_MARK}, chr(1))))) AS pos FROM code), "
+    r"dn AS (SELECT *, regexp_extract_all(clause, '\b9\.\d+(?:\.\d+){0,3}\b')[-1] AS named FROM dc), "
+    "dl AS (SELECT *, last_value(named IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section FROM dn) "
+    r"SELECT doc_id, pos, coalesce(section, '9.?') AS section, CASE WHEN regexp_matches(lower(clause), 'not\s+less\s+than|at\s+least|minimum|min\.') THEN 'min' WHEN regexp_matches(lower(clause), 'not\s+more\s+than|maximum|max\.') THEN 'max' ELSE 'unknown' END AS direction, "
+    r"regexp_extract(clause, '(?i)(\d+(?:\.\d+)?)\s*(mm|m\b)', 1)::DOUBLE * CASE lower(regexp_extract(clause, '(?i)(\d+(?:\.\d+)?)\s*(mm|m\b)', 2)) WHEN 'm' THEN 1000 ELSE 1 END AS value, 'mm' AS unit, substr(trim(regexp_replace(clause, '\s+', ' ', 'g')), 1, 240) AS snippet FROM dl "
+    r"WHERE regexp_matches(clause, '(?i)not\s+less\s+than|not\s+more\s+than|at\s+least|minimum|maximum|min\.|max\.') AND regexp_matches(clause, '(?i)(\d+(?:\.\d+)?)\s*(mm|m\b)')"
+)
+
+
+@query(DRAFT_SQL)
 def rule_draft(spark, sf):
     d = code_text(spark, sf).withColumn("body", F.concat("body", F.lit(". The width shall be not less than "), (F.col("doc_id") % 900).cast("string"), F.lit(" mm; maximum 2.5 m.")))
     return C.rule_draft(d, "doc_id", "body")
@@ -424,7 +435,8 @@ def warnings_flagged(spark, sf):
 @query("SELECT o_custkey, array_to_string(v[1:8], ',') AS shown, greatest(len(v) - 8, 0)::BIGINT AS more FROM (SELECT o_custkey, list_sort(list(o_orderkey)) AS v FROM orders GROUP BY o_custkey)")
 def display_caps(spark, sf):
     x = run(spark, sf, "SELECT o_custkey, sort_array(collect_list(o_orderkey)) AS v FROM orders GROUP BY o_custkey")
-    return x.select("o_custkey", F.array_join(F.slice("v", 1, 8).cast("array<string>"), ",").alias("shown"), F.greatest(F.size("v") - 8, F.lit(0)).cast("long").alias("more"))
+    shown, more = H.capped(F.col("v").cast("array<string>"), 8)
+    return x.select("o_custkey", F.array_join(shown, ",").alias("shown"), more.alias("more"))
 
 
 # --- responses -----------------------------------------------------------------------------------

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import sys
-from decimal import ROUND_HALF_UP, Decimal
+from decimal import ROUND_HALF_UP, Context, Decimal
 
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
 
 ACCEPTED = "pdf dxf dwg png jpg jpeg tif tiff".split()
-DWG_ERROR = "DWG files are not supported; convert to DXF or PDF"
+# fixed value: what is said of DWG files
+DWG_ERROR = "DWG files are proprietary and not supported. Please convert to DXF and re-upload."
 
 
 def extension(name: Column) -> Column:
@@ -42,8 +44,28 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
     return with_defaults(spark.read.option("multiLine", True).schema(RULE).json(path))
 
 
+def uploads(requests: DataFrame) -> DataFrame:
+    """(request, project_name, name, content, error): the files of each upload form, and an error for a form without any.
+
+    requests: request, project_name, parts (array of name, content; a part without a file has no name).
+    """
+    files = F.filter(F.coalesce("parts", F.array().cast(requests.schema["parts"].dataType)), lambda p: p["name"].isNotNull())
+    named = F.coalesce(F.when(F.col("project_name") != "", F.col("project_name")), F.lit("Untitled Project"))
+    rows = requests.select("request", named.alias("project_name"), F.explode_outer(files).alias("f"))
+    return rows.select("request", "project_name", "f.name", "f.content", F.when(F.col("f").isNull(), "no files uploaded").alias("error"))
+
+
 def _fixed2(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: None if v is None or v != v else str(Decimal(float(v)).quantize(Decimal("0.01"), ROUND_HALF_UP)))
+    wide = Context(prec=400)
+
+    def one(v):
+        if v is None or v != v:
+            return None
+        if abs(v) == float("inf"):
+            return "Infinity" if v > 0 else "-Infinity"
+        return str(Decimal(float(v)).quantize(Decimal("0.01"), ROUND_HALF_UP, wide))
+
+    return x.map(one)
 
 
 def fixed2(x: Column) -> Column:
@@ -51,6 +73,25 @@ def fixed2(x: Column) -> Column:
     return F.pandas_udf(_fixed2, "string")(x)
 
 
+# fixed values: group codes of drawing files
+CODES = {"8": "layer", "10": "x0", "20": "y0", "11": "x1", "21": "y1", "42": "measurement", "1": "text"}
+
+
+def dxf_entities(files: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, id, type, layer, x0, y0, x1, y1, measurement, text) of the entities of drawing files, which are pairs of lines:
+    a group code and its value. Code 0 starts an entity or a section; an entity's own codes follow it, the first of each counts.
+    """
+    lines = files.select(key, F.posexplode(F.split(text, r"\r?\n")).alias("i", "line"))
+    pairs = lines.groupBy(key, F.floor(F.col("i") / 2).alias("pair")).agg(F.max(F.when(F.col("i") % 2 == 0, F.trim("line"))).alias("code"), F.max(F.when(F.col("i") % 2 == 1, F.trim("line"))).alias("value"))
+    along = W.partitionBy(key).orderBy("pair").rowsBetween(W.unboundedPreceding, 0)
+    section = F.when((F.col("code") == "2") & (F.lag("value").over(W.partitionBy(key).orderBy("pair")) == "SECTION"), F.col("value"))
+    pairs = pairs.withColumn("section", section).withColumn("section", F.last("section", ignorenulls=True).over(along))
+    pairs = pairs.withColumn("id", F.count_if(F.col("code") == "0").over(along)).where("section = 'ENTITIES'")
+    fields = [F.min_by(F.when(F.col("code") == c, F.col("value")), F.when(F.col("code") == c, F.col("pair"))).alias(n) for c, n in {"0": "type", **CODES}.items()]
+    out = pairs.groupBy(key, "id").agg(*fields).where(F.col("type").isNotNull() & ~F.col("type").isin("SECTION", "ENDSEC", "EOF"))
+    return out.withColumns({c: F.col(c).try_cast("double") for c in ("x0", "y0", "x1", "y1", "measurement")})
+
+
 def dxf_dimensions(entities: DataFrame) -> DataFrame:
     """Measured lines and dimensions. entities: (id, type, layer, x0, y0, x1, y1, measurement, text)."""
     line = F.sqrt((F.col("x1") - F.col("x0")) * (F.col("x1") - F.col("x0")) + (F.col("y1") - F.col("y0")) * (F.col("y1") - F.col("y0")))
