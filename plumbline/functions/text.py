@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,18 +92,11 @@ def part_hint(part: Column) -> Column:
     return F.when(part == "Part9", "Part 9 housing dwelling unit small building ").when(part == "Part3", "Part 3 fire protection major occupancy ").otherwise("")
 
 
-def dimension_target(label: Column) -> Column:
-    """(type, attribute) that a free label measures, null if none."""
+def _dimension(label: Column, to) -> Column:
     t = F.lower(F.coalesce(label, F.lit("")))
 
     def has(*words: str) -> Column:
-        c = F.lit(False)
-        for w in words:
-            c = c | t.contains(w)
-        return c
-
-    def to(kind: str, attribute: str) -> Column:
-        return F.struct(F.lit(kind).alias("type"), F.lit(attribute).alias("attribute"))
+        return functools.reduce(Column.__or__, [t.contains(w) for w in words])
 
     return (
         F.when(has("ceiling"), to("room", "ceiling_height_mm")).when(has("guard"), to("guard", "height_mm")).when(has("handrail"), to("stair", "handrail_height_mm"))
@@ -110,6 +105,16 @@ def dimension_target(label: Column) -> Column:
     )
 
 
+def dimension_target(label: Column) -> Column:
+    """(type, attribute) that a free label measures, null if none."""
+    return _dimension(label, lambda kind, attribute: F.struct(F.lit(kind).alias("type"), F.lit(attribute).alias("attribute")))
+
+
+def dimension_attribute(label: Column) -> Column:
+    """The same as one text, "type.attribute"."""
+    return _dimension(label, lambda kind, attribute: F.lit(f"{kind}.{attribute}"))
+
+
 def coerce_type(raw: Column, fallback: str = "compliance") -> Column:
     v = F.lower(raw)
     return F.when(v.contains("consist"), "consistency").when(v.contains("compli"), "compliance").otherwise(fallback)
@@ -170,11 +175,10 @@ def _sql(spark: SparkSession, body: Column, *names: str) -> str:
 def register(spark: SparkSession) -> None:
     """SQL functions parse_to_mm(raw), building_part(occupancy, building) and dimension_attribute(label) ("type.attribute")
     of this session."""
-    target = dimension_target(F.col("label"))
     made = {
         "parse_to_mm(raw STRING) RETURNS DOUBLE": _sql(spark, parse_to_mm(F.col("raw")), "raw"),
         "building_part(occupancy STRING, building STRING) RETURNS STRING": _sql(spark, building_part(F.col("occupancy"), F.col("building")), "occupancy", "building"),
-        "dimension_attribute(label STRING) RETURNS STRING": _sql(spark, F.concat(target["type"], F.lit("."), target["attribute"]), "label"),
+        "dimension_attribute(label STRING) RETURNS STRING": _sql(spark, dimension_attribute(F.col("label")), "label"),
     }
     for head, body in made.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")

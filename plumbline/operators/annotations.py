@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as X
 
+# fixed values: names on one sample drawing, which a caller may replace by those of its own
+NAMES = ("elvis alcequiez", "chesnut residence")
 # fixed values: vocabulary of title blocks and legends that carries no measurement
 BOILERPLATE = (
-    r"freecadfloorplans|copyright|drawing title|sheet number|cad drawing|scale\s*not\s*to\s*scale|educational or personal use|redistribute|resell|republish|elvis alcequiez|chesnut residence|architectural plan|symbology|wall axis|"
+    r"freecadfloorplans|copyright|drawing title|sheet number|cad drawing|scale\s*not\s*to\s*scale|educational or personal use|redistribute|resell|republish|architectural plan|symbology|wall axis|"
     r"cut[- ]off indicator|rainwater drainage|level change|level in elevations|access signal|inside elevation indicator|finished floor level|width of doors\s*$|n\.p\.t\.\s*$|b\.a\.p\s*$|hemi\s*$"
 )
 BUCKETS = ["rooms", "doors", "dimensions", "levels", "totals", "sections", "other"]
+# fixed values: what is matched. A word border is an ASCII look-around, since Java's \b takes accented letters for word signs.
 GRID = r"^[A-Ga-g]'?$|^(0?\d|1[0-7])$"
 WIDE_GRID = r"^[A-Ga-g][\s,]+[A-Ga-g]"
 JUNK = r"^[\d.\s,'\"\-+/\[\]ftm²]+$"
@@ -46,14 +51,15 @@ def bucket(atom: Column) -> Column:
     return out.when(atom.rlike(LENGTH) & (F.length(atom) < 60), to("dimensions")).when(F.length(atom) <= 80, to("other"))
 
 
-def noise(atom: Column) -> Column:
+def noise(atom: Column, names: tuple[str, ...] = NAMES) -> Column:
+    """Whether an atom carries nothing: title blocks, the given names, grid references, short numbers."""
     grid = atom.rlike(GRID) | (atom.rlike(WIDE_GRID) & (F.length(atom) < 20))
-    return (F.length(atom) < 2) | atom.rlike("(?i)" + BOILERPLATE) | grid | (atom.rlike(JUNK) & (F.length(atom) < 6))
+    return (F.length(atom) < 2) | atom.rlike("(?i)" + "|".join([BOILERPLATE, *map(re.escape, names)])) | grid | (atom.rlike(JUNK) & (F.length(atom) < 6))
 
 
-def categorize(notes: DataFrame, key: str, text: str) -> DataFrame:
+def categorize(notes: DataFrame, key: str, text: str, names: tuple[str, ...] = NAMES) -> DataFrame:
     """(key, entry, part, bucket, text): atoms without noise, the first of each spelling, routed to buckets."""
-    kept = atoms(notes, key, text).where(~noise(F.col("atom")))
+    kept = atoms(notes, key, text).where(~noise(F.col("atom"), names))
     first = W.partitionBy(key, F.lower("atom")).orderBy("entry", "part")
     kept = kept.withColumn("n", F.row_number().over(first)).where("n = 1").withColumn("b", bucket(F.col("atom"))).where("b is not null")
     return kept.select(key, "entry", "part", F.col("b.bucket").alias("bucket"), F.col("b.text").alias("text"))

@@ -124,8 +124,8 @@ TARGET = (
 
 @query(f"SELECT p_partkey, label, {TARGET} AS target FROM (SELECT p_partkey, {LABEL} AS label, lower({LABEL}) AS t FROM part)")
 def classify_dimension(spark, sf):
-    x = run(spark, sf, f"SELECT p_partkey, {LABEL} AS label FROM part").withColumn("t", X.dimension_target(F.col("label")))
-    return x.select("p_partkey", "label", F.concat("t.type", F.lit("."), "t.attribute").alias("target"))
+    x = run(spark, sf, f"SELECT p_partkey, {LABEL} AS label FROM part")
+    return x.select("p_partkey", "label", X.dimension_attribute(F.col("label")).alias("target"))
 
 
 @query(f"WITH {ELEMENTS} SELECT sheet, type, id, attribute, round(value_mm, 6) AS value_mm, occupancy, building_part FROM el WHERE value_mm IS NOT NULL")

@@ -1,5 +1,5 @@
 import pytest
-from plumbline.plans import queries as Q
+from plumbline.plans import every as Q
 from pyspark.sql import functions as F
 
 

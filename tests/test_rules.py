@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from plumbline.functions import text as X
@@ -6,8 +7,12 @@ from plumbline.operators import annotations as A
 from plumbline.operators import corpus as C
 from plumbline.operators import responses as P
 from plumbline.operators import rules as R
+from plumbline.operators import sheets as H
+from plumbline.plans import queries as Q
+from plumbline.sources import files, sinks
 from pyspark.sql import functions as F
 
+SF = "/root/testdata/sf0.001"
 UNITS = [("900mm", 900), ("0.9 m", 900), ("900", 900), ('36"', 914.4), ("90cm", 900), ("3'-0\"", 914.4000000000001), ("varies", None), ("", None), ("850-900mm", -900), ("1,100 mm", 100), ('36 1/2"', 50.8), ("3'-6 1/2\"", 1066.8), ("12 m²", 12000), ("3 ft", 3), (".9 m", 9000), ("2.03 m", 2029.9999999999998), ("7 feet 6 inches", 152.4), (None, None)]
 SHEET = {
     "sheet_name": "A", "file_type": "pdf", "doors": [{"location": "Main exit", "width": "600 mm"}, {"location": "Bedroom 1", "width": "500 mm"}], "corridors": [{"location": "Hallway", "width": "700 mm", "length": "5 m"}],
@@ -42,11 +47,22 @@ def test_stream_gives_the_same(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 8
 
 
-def test_rules_join_is_a_hash_join(spark):
-    from plumbline.plans import queries as Q
+@pytest.mark.parametrize("few,join", [(10_000, "BroadcastHashJoin"), (0, "SortMergeJoin")])
+def test_rules_join(spark, monkeypatch, few, join):
+    """Few rules are broadcast on type and attribute, whatever Spark knows of their size; many meet parts of the elements."""
+    monkeypatch.setattr(R, "RULES", few)
+    plan = Q.found(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    own = [x for x in plan.split("\n") if "element_type" in x and "Join" in x]
+    assert own and all(join in x and "attribute" in x for x in own) and "Cartesian" not in plan and "NestedLoop" not in plan
+    assert plan.count("hashpartitioning(type") == 0
+    # each unit's pattern stands once in the plan: measures are not parsed again by a filter
+    assert sum("inch(?:es)?" in x for x in plan.split("\n")) == 1
 
-    plan = Q.found(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+def test_many_rules_give_the_same(spark, monkeypatch):
+    want = sorted(map(str, Q.found(spark, SF).collect()))
+    monkeypatch.setattr(R, "RULES", 0)
+    assert sorted(map(str, Q.found(spark, SF).collect())) == want
 
 
 def test_headings(spark):
@@ -72,3 +88,168 @@ def test_annotation_routes(spark):
     notes = spark.createDataFrame([(1, 0, "A Bedroom\nKitchen NPT = +0.15   Basement plan\n900 mm\n1.25 m\nP1 0.9 m\nkitchen NPT = +0.15")], "k int, pos int, text string")
     got = {(r.bucket, r.text) for r in A.categorize(notes, "k", "text").collect()}
     assert got == {("levels", "NPT = +0.15"), ("other", "Kitchen"), ("totals", "Basement plan"), ("other", "900 mm"), ("dimensions", "1.25 m"), ("doors", "P1 0.9 m")}
+
+
+def blank(name, **parts):
+    return {"sheet_name": name, "file_type": "pdf", "occupancy_type": "residential dwelling", **{c: [] for c in H.ARRAYS}, **parts}
+
+
+# fixed values: the rules and sheets of the rule engine's own test, (section, element, attribute, operator, value, upper, severity)
+TEST_RULES = [
+    ("9.8.4.2", "stair", "run_depth_mm", "gte", 235, None, "major"), ("9.8.4.1", "stair", "rise_mm", "between", 125, 200, "major"), ("9.8.3.1", "stair", "width_mm", "gte", 860, None, "major"), ("9.6.3.1", "door", "width_mm", "gte", 810, None, "major"),
+    ("9.9.3.3", "corridor", "width_mm", "gte", 860, None, "minor"), ("9.5.3.1", "room", "ceiling_height_mm", "gte", 2030, None, "major"), ("9.8.8.3", "guard", "height_mm", "gte", 900, None, "critical"),
+]
+VIOLATING = [
+    blank("v1", stairs=[{"location": "S-1", "run": "220mm"}]), blank("v2", stairs=[{"location": "S-2", "rise": "210mm"}]), blank("v3", stairs=[{"location": "S-3", "rise": "110mm"}]), blank("v4", stairs=[{"location": "S-4", "width": "800mm"}]),
+    blank("v5", doors=[{"location": "D-1", "width": "750mm"}]), blank("v6", doors=[{"location": "D-2", "width": '30"'}]), blank("v7", corridors=[{"location": "C-1", "width": "0.8 m"}]), blank("v8", dimensions=[{"element": "ceiling height", "value": "1.9", "unit": "m"}]),
+    blank("v9", dimensions=[{"element": "guard height", "value": "850", "unit": "mm"}]), blank("v10", stairs=[{"location": "S-5", "run": "200mm", "width": "820mm"}]),
+]
+CLEAN = [
+    blank("p1", stairs=[{"location": "S-1", "run": "255mm"}]), blank("p2", stairs=[{"location": "S-2", "rise": "180mm"}]), blank("p3", stairs=[{"location": "S-3", "width": "900mm"}]), blank("p4", doors=[{"location": "D-1", "width": "900mm"}]),
+    blank("p5", doors=[{"location": "D-2", "width": '36"'}]), blank("p6", corridors=[{"location": "C-1", "width": "1.1 m"}]), blank("p7", dimensions=[{"element": "ceiling height", "value": "2.4", "unit": "m"}]),
+    blank("p8", dimensions=[{"element": "guard height", "value": "1070", "unit": "mm"}]), blank("p9", stairs=[{"location": "S-5", "run": "280mm", "rise": "180mm", "width": "900mm"}]), blank("p10", rooms=[{"name": "Bedroom", "area": "12 m²"}]),
+]
+
+
+@pytest.mark.parametrize("curated", [False, True])
+def test_violating_and_clean_sheets(spark, tmp_path, curated):
+    """Eleven violations on ten sheets and none on ten others, under the test's rules and under the curated ones."""
+    rows = [(f"t{i}", s, None, "9", None, e, a, op, float(v), None if m is None else float(m), None, sev, "{value}") for i, (s, e, a, op, v, m, sev) in enumerate(TEST_RULES)]
+    rules = R.curated_rules(spark) if curated else R.with_defaults(spark.createDataFrame(rows, R.RULE))
+    found = R.violations(R.flatten_sheets(sheets(spark, tmp_path, *VIOLATING, *CLEAN)), rules).collect()
+    per = {s["sheet_name"]: sum(r.affected_sheets == [s["sheet_name"]] for r in found) for s in [*VIOLATING, *CLEAN]}
+    assert per == {**{f"v{i}": 1 for i in range(1, 10)}, "v10": 2, **{f"p{i}": 0 for i in range(1, 11)}}
+    if not curated:
+        assert {r.description for r in found if r.affected_sheets == ["v6"]} == {"762"} and all("NBC_Alberta_2019 Part 9" in r.code_citation for r in found)
+
+
+def test_planted_contradictions(spark, tmp_path):
+    """Two sheets of a project: a door's width differs and a stair is on one of them only."""
+    a = blank("A-1", doors=[{"location": "D-01", "width": "900mm"}, {"location": "D-02", "width": "800mm"}], corridors=[{"location": "Hall A-1", "width": "1100mm", "length": "6000mm"}], dimensions=[{"element": "Bedroom 1 ceiling", "value": "2500", "unit": "mm"}])
+    b = blank("A-2", doors=[{"location": "D-01", "width": "850mm"}, {"location": "D-02", "width": "800mm"}], stairs=[{"location": "S-1", "width": "900mm", "rise": "180mm", "run": "250mm"}], dimensions=[{"element": "Bedroom 1 ceiling", "value": "2400", "unit": "mm"}])
+    e = R.flatten_sheets(sheets(spark, tmp_path, a, b))
+    got = {(r.type, r.id, r.sheet_a, r.value_a, r.sheet_b, r.value_b) for r in R.conflicts(e).collect()}
+    assert got == {("door", "D-01", "A-1", 900.0, "A-2", 850.0), ("room", "Bedroom 1 ceiling", "A-1", 2500.0, "A-2", 2400.0)}
+    lacks = {(r.type, r.id, r.sheet) for r in R.missing_elements(e.withColumn("project", F.lit(1)), "project").collect()}
+    assert ("stair", "S-1", "A-1") in lacks and ("corridor", "Hall A-1", "A-2") in lacks and not any(i == "D-01" for _, i, _ in lacks)
+    found = R.violations(e, R.curated_rules(spark))
+    assert sorted((r.affected_sheets[0], r.location_hint, r.section_id) for r in found.collect()) == [("A-1", "D-02", "9.5.3"), ("A-2", "D-02", "9.5.3"), ("A-2", "S-1", "9.8.4.2")]
+
+
+def test_rules_from_json(spark, tmp_path):
+    """The curated rules, written as a JSON array, read back with their ids, messages and defaults; upsert validates."""
+    rows = [{"id": i, "section": s, "title": t, "part": "9", "element_type": e, "attribute": a, "operator": op, "value": v, **({} if m is None else {"value_max": m}), "severity": sev, "message": msg} for i, s, t, e, a, op, v, m, sev, msg in R.CURATED]
+    (tmp_path / "rules.json").write_text(json.dumps(rows, indent=2))
+    got = files.read_rules(spark, str(tmp_path / "rules.json"))
+    assert sorted(map(str, got.drop("conditions").collect())) == sorted(map(str, R.curated_rules(spark).drop("conditions").collect()))
+    old = str(tmp_path / "old")
+    got.where("element_type = 'stair'").withColumn("message", F.lit("old")).write.parquet(old)
+    assert sinks.upsert_rules(spark, got, old, str(tmp_path / "new")) == 9
+    new = spark.read.parquet(str(tmp_path / "new"))
+    assert new.count() == 9 and new.where("message = 'old'").count() == 0
+    with pytest.raises(ValueError, match="bad operator"):
+        sinks.upsert_rules(spark, got.withColumn("operator", F.lit("near")), old, str(tmp_path / "never"))
+    assert not (tmp_path / "never").exists()
+
+
+def test_number_text(spark):
+    want = {900.0: "900", 914.4000000000001: "914.4000000000001", 1e7: "10000000", 12345678.5: "12345678.5", 1.5e20: "150000000000000000000", 1e21: "1e+21", 0.0005: "0.0005", 1.5e-5: "0.000015", 1e-6: "0.000001", 1.5e-7: "1.5e-7", -2.5e-4: "-0.00025", 0.0: "0"}
+    got = spark.createDataFrame([(v,) for v in want], "d double").select("d", X.number_text(F.col("d")).alias("t")).collect()
+    assert {r.d: r.t for r in got} == want
+
+
+def test_sql_functions(spark):
+    X.register(spark)
+    row = spark.sql("SELECT parse_to_mm('3 m') a, parse_to_mm(NULL) b, building_part('assembly', NULL) c, dimension_attribute('Stair RISE') d, dimension_attribute('x') e").first()
+    assert tuple(row) == (3000.0, None, "Part3", "stair.rise_mm", None)
+    spark.createDataFrame([("a", "9.1", "t", "c", [1.0, 0.0]), ("b", "9.2", "t", "c", [0.8, 0.6]), ("z", "9.3", "t", "c", [0.0, 0.0])], "id string, section_id string, section_title string, content string, embedding array<float>").createOrReplaceTempView("probe_chunks")
+    C.register_match(spark, "probe_chunks")
+    assert [r.id for r in spark.sql("SELECT * FROM match_code_chunks(array(1F, 0F)) ORDER BY similarity DESC").collect()] == ["a", "b"]
+    assert spark.sql("SELECT * FROM match_code_chunks(array(0F, 0F), 0.0D, 1)").count() == 0  # similarity with nothing is null
+    assert [r.id for r in spark.sql("SELECT * FROM match_code_chunks(array(1F, 0F), 0.0D, 1)").collect()] == ["a"]
+
+
+def test_retrieve_branches(spark):
+    """Prefix kept, prefix without a match, no vector above the threshold, no vector at all, and nothing found."""
+    chunks = spark.createDataFrame([("a", "9.1", "Stairs", "rise and run", [1.0, 0.0]), ("b", "3.1", "Doors", "swing of the door", [0.9, 0.1]), ("c", "3.2", "Exits", "corridor width", [0.0, 1.0]), ("d", None, "Door", "door", None)], "id string, section_id string, section_title string, content string, embedding array<float>")
+    queries = spark.createDataFrame([("own", "x", [1.0, 0.0], "3."), ("none", "x", [1.0, 0.0], "5."), ("free", "x", [1.0, 0.0], None), ("low", "door swing", [-1.0, 0.0], "3."), ("words", "the door", None, None), ("nothing", "zzzz", None, "9.")], "query_id string, query string, q array<float>, prefix string")
+    got = {}
+    for r in C.retrieve(queries, chunks, 8, 0.3).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.id, r.path))
+    assert {k: [i for _, i, _ in sorted(v)] for k, v in got.items()} == {"own": ["b"], "none": ["a", "b"], "free": ["a", "b"], "low": ["b"], "words": ["b", "d"]}
+    assert {k for k, v in got.items() if v[0][2] == "keyword"} == {"low", "words"}
+    one = C.retrieve(queries.where("query_id = 'free'"), chunks, 1, 0.3).collect()
+    assert [r.id for r in one] == ["a"]
+
+
+def test_category_queries(spark):
+    s = spark.createDataFrame([(1, "dwelling", None), (2, "assembly", None), (3, None, None)], "k int, occupancy_type string, building_type string")
+    got = C.category_queries(s, "k").withColumn("terms", X.keyword_terms(F.col("query"))).collect()
+    assert {(r.k, r.prefix) for r in got} == {(1, "9."), (2, "3."), (3, None)} and len(got) == 15
+    assert {tuple(r.terms) for r in got if r.k == 1} == {("part", "housing", "dwelling", "unit")} and {tuple(r.terms) for r in got if r.k == 2} == {("part", "fire", "protection", "major")}
+    assert [r.terms for r in sorted(got, key=lambda r: r.place) if r.k == 3] == [["egress", "corridor", "exit", "access"], ["door", "swing", "direction", "fire"], ["corridor", "dead", "fire", "separation"], ["stair", "rise", "handrail", "guardrail"], ["occupancy", "classification", "group", "major"]]
+
+
+@pytest.mark.parametrize("raw,want", [
+    ("[" * 200000, []), ("{" * 3000, []), ("[NaN]", []), ('{"a": Infinity}', []), ('[{"a":{"x":"}{"}},{"b":"\\"}"},{"c":"uncl{}\\', [{"a": {"x": "}{"}}, {"b": '"}'}]), ('[ } {"a":1}, {', []), ('[{"a":1}} {"b":2}, {', [{"a": 1}]),
+    ('{"a":1,"a":2}', {"a": 2}), ('{"a":1} [2]', []), ("```JSON\n{}\n```", {}), ("x ] [", []), ("", []),
+])
+def test_repair_odd(raw, want):
+    assert P.repair(raw) == want
+
+
+def test_split_brute_force(spark):
+    """Greedy packing of paragraphs, against a loop."""
+    def packed(content, limit):
+        if -(-len(content) // 4) <= limit // 4:
+            return [content]
+        parts, now = [], ""
+        for p in re.split(r"\n\s*\n", content):
+            if now and len(now) + len(p) + 2 > limit:
+                parts.append(now.strip())
+                now = ""
+            now += p + "\n\n"
+        return parts + [now.strip()] * bool(now.strip())
+
+    whole = C.sections(Q.code_text(spark, SF), "doc_id", "body")
+    got = {}
+    for r in C.split_oversized(whole, 100).collect():
+        got.setdefault((r.doc_id, r.ordinal), []).append((r.section_id, r.content))
+    for r in whole.collect():
+        parts = packed(r.content, 400)
+        want = [(f"{r.section_id}#{k + 1}" if len(parts) > 1 else r.section_id, p) for k, p in enumerate(parts)]
+        assert sorted(got[r.doc_id, r.ordinal]) == sorted(want)
+    assert any(len(v) > 1 for v in got.values())
+
+
+def test_stored_tables(spark, tmp_path):
+    """Appends add up, the last state holds, ids repeat on reruns, drafts and counts read back."""
+    up = spark.createDataFrame([(1, "House", "a.pdf"), (1, "House", "b.pdf"), (2, "", "c.dxf"), (3, "x", None)], "request int, project_name string, file_name string")
+    made, path = sinks.plans(up), str(tmp_path / "plans")
+    sinks.append(made, path)
+    sinks.append(sinks.completed(made.where("project_name = 'House'")), path)
+    now = sinks.current(spark.read.parquet(path)).collect()
+    assert {(r.project_name, r.status) for r in now} == {("House", "complete"), ("Untitled Project", "processing")} and {r.id for r in now} == {r.id for r in sinks.plans(up).collect()}
+    sheet = H.failed(spark.createDataFrame([("a.dwg", "dwg", files.DWG_ERROR)], "sheet_name string, file_type string, error string"))
+    rows = sinks.plan_sheets(sheet.select(F.lit("p").alias("plan_id"), F.lit("p/a.dwg").alias("storage_path"), F.struct(*sheet.columns).alias("sheet")))
+    sinks.append(rows, str(tmp_path / "sheets"))
+    back = spark.read.parquet(str(tmp_path / "sheets")).first()
+    assert back.extracted_data.annotations.other == ["PARSE_ERROR: " + files.DWG_ERROR] and back.extracted_data.doors == []
+    assert json.loads(spark.read.parquet(str(tmp_path / "sheets")).select(H.as_json(F.col("extracted_data")).alias("j")).first().j)["sheet_name"] == "a.dwg"
+    assert sinks.count_chunks(spark, str(tmp_path / "no such")) == -1 and sinks.count_chunks(spark, path) == 3
+    sinks.write_drafts(C.rule_draft(spark.createDataFrame([(1, "See 9.8.2.1. Width shall be at least 0.9 m.")], "k int, t string"), "k", "t"), str(tmp_path / "drafts"))
+    assert spark.read.json(str(tmp_path / "drafts")).first().asDict() == {"section": "9.8.2.1", "direction": "min", "value": 900.0, "unit": "mm", "snippet": "Width shall be at least 0.9 m."}
+    bad = sinks.errors(spark.createDataFrame([(400, "no files uploaded", None)], "status int, error string, detail string")).first()
+    assert (bad.status, json.loads(bad.result)) == (400, {"error": "no files uploaded"})
+
+
+def test_files_and_sizes(spark, tmp_path):
+    for name in ("a.PDF", "b.dwg", "c.tiff"):
+        (tmp_path / name).write_bytes(b"x" * 5)
+    got = {r.path.rsplit("/", 1)[1]: r for r in files.read_files(spark, str(tmp_path)).collect()}
+    assert {k: r.file_type for k, r in got.items()} == {"a.PDF": "pdf", "b.dwg": "dwg", "c.tiff": "image"} and got["b.dwg"].error == files.DWG_ERROR and bytes(got["a.PDF"].content) == b"xxxxx"
+    nums = [(1.005, "1.00"), (2.675, "2.67"), (0.125, "0.13"), (1e30, "1000000000000000019884624838656.00"), (float("inf"), "Infinity"), (None, None)]
+    rows = spark.createDataFrame([(v, w) for v, w in nums], "v double, w string").select("w", files.fixed2(F.col("v")).alias("g")).collect()
+    assert [(r.w, r.g) for r in rows if r.w != r.g] == []
+    codes = spark.createDataFrame([(200,), (429,), (503,), (404,), (None,)], "s int").select("s", X.is_transient(F.col("s")).alias("t")).collect()
+    assert [r.s for r in codes if r.t] == [429, 503]
