@@ -16,8 +16,8 @@ Scale. All training documents are counted: tasks send (gram, n) and (word, n) ro
 Spark. The tree holds every gram, whatever their number: what lies below depth SPLIT is cut by the
 hash of the nearest SPLIT bytes into buckets of about BUCKET grams, each a task's own subtree; above
 it are at most 256 ** SPLIT grams, broadcast. Probabilities of the grams with at least a power of
-two of occurrences, the least that leaves at most MAX_GRAMS, are broadcast too; those of all others
-are found in the subtrees, once for each distinct gram, and joined. Words are split alike: at most
+two of occurrences, the least that leaves at most MAX_GRAMS, are broadcast too; all others of a text go to
+their subtrees, in parts of about ASKED, and come back as one sum for each row. Words are split alike: at most
 MAX_WORDS frequent ones are broadcast with their counts, the counts of all others are joined. The
 broadcasts are thus of bounded size at any input and what they leave out is joined exactly.
 """
@@ -37,8 +37,8 @@ from pyspark.sql import types as T
 
 from . import _base as B
 
-DEPTH, END, SPACE, SPLIT = 5, 10, 32, 2
-BUCKET = 1 << 17
+DEPTH, END, SPACE, SPLIT = 6, 10, 32, 2
+BUCKET, ASKED = 1 << 17, 1 << 20  # grams of a subtree, and codes that it is asked at once
 MAX_GRAMS, MAX_WORDS, FLUSH = 1 << 20, 1 << 20, 1 << 20
 END_WORD = np.uint64(0x6A09E667F3BCC909)
 
@@ -251,7 +251,7 @@ def _bucket_totals(depth: int):
 
 @dataclasses.dataclass
 class Model:
-    """grams: stored (bucket, key, n); top: the tree above SPLIT; known: probabilities of frequent grams; frequent: counts
+    """grams: (bucket, key, n) of a stored table; top: the tree above SPLIT; known: probabilities of frequent grams; frequent: counts
     of frequent words; rare: those of the others, a table; tokens and distinct: totals of the tokens."""
 
     depth: int
@@ -281,6 +281,26 @@ class Model:
         asked = codes.select(_bucket(self.buckets).alias("bucket"), "key")
         return self.grams.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(run, "key long, p double")
 
+    def row_sums(self, codes: DataFrame, entries: int) -> DataFrame:
+        """(row, total): log10 probabilities of codes (row, key, times) summed by row. entries: their number."""
+        top, depth = B.session(codes).sparkContext.broadcast(self.top), self.depth
+        parts = -(-entries // (self.buckets * ASKED)) or 1
+
+        def run(grams: pa.Table, wanted: pa.Table) -> pa.Table:
+            if not len(wanted):
+                return pa.table({"row": pa.array([], pa.int64()), "total": pa.array([], pa.float64())})
+            keys, at = np.unique(wanted.column("key").to_numpy().view(np.uint64), return_inverse=True)
+            tree, p = _subtree(grams, depth), np.empty(len(keys))
+            for lo in range(0, len(keys), BUCKET):
+                p[lo : lo + BUCKET] = tree.log10(keys[lo : lo + BUCKET], top.value)
+            rows, place = np.unique(wanted.column("row").to_numpy(), return_inverse=True)
+            return pa.table({"row": rows, "total": np.bincount(place, weights=p[at] * wanted.column("times").to_numpy())})
+
+        asked = codes.select(_bucket(self.buckets).alias("bucket"), F.pmod(F.xxhash64("row"), F.lit(parts)).alias("part"), "row", "key", "times")
+        grams = self.grams.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+        found = grams.groupBy("bucket", "part").cogroup(asked.groupBy("bucket", "part")).applyInArrow(run, "row long, total double")
+        return found.groupBy("row").agg(F.sum("total").alias("total"))
+
 
 def _bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64(F.shiftright("key", 8).bitwiseAND((1 << (8 * SPLIT)) - 1)), F.lit(buckets))
@@ -337,7 +357,7 @@ def learn(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, max_grams
     """The model of docs. depth: SPLIT to 7; max_grams and max_words bound what is broadcast, not what is learned."""
     B.ship(B.session(docs))
     counts = docs.select(F.col(text_col)).mapInArrow(B.lean(_count(depth)), "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    counts = B.store(counts, "counts")
+    counts = B.store(counts, "counts", "zstd")
     words = counts.where("kind = 1").select("key", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     least, often = _bounded(words, max_words)
@@ -347,7 +367,7 @@ def learn(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, max_grams
 
     grams = counts.where("kind = 0").select("key", "n")
     buckets = max(1, -(-grams.count() // BUCKET))
-    grams = B.store(grams.select(_bucket(buckets).alias("bucket"), "key", "n"), "grams")
+    grams = grams.select(_bucket(buckets).alias("bucket"), "key", "n")
     kids = grams.groupBy("bucket").applyInArrow(_bucket_totals(depth), "bit int, node long, p double, n0 double, n1 double")
     kids = kids.groupBy("bit", "node").agg(*[F.sum(c).alias(c) for c in ("p", "n0", "n1")]).toArrow()  # fewer than 256 ** SPLIT nodes
     near = grams.groupBy(F.col("key").bitwiseAND((1 << (8 * SPLIT)) - 1).alias("key")).agg(F.sum("n").alias("n")).toArrow()  # at most 256 ** SPLIT
@@ -408,7 +428,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
                 row += n
                 yield pa.RecordBatch.from_arrays(cols, schema.names)
 
-    rows = B.store(src.mapInArrow(B.lean(run), schema), "scored")
+    rows = B.store(src.mapInArrow(B.lean(run), schema), "scored", "zstd")
 
     def entries(keys: str, times: str) -> DataFrame:
         met = rows.select("__row", F.explode(F.arrays_zip(keys, times)).alias("x"))
@@ -416,9 +436,9 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
 
     words = entries("__rare", "__times").join(model.rare, "key")
     words = words.groupBy("__row").agg(F.sum("times").alias("__more"), F.sum(F.col("times") * (F.log10(F.col("n") + 0.5) - math.log10(0.5))).alias("__up"))
-    codes = entries("__codes", "__often")
-    found = B.store(model.probabilities(codes.select("key").distinct()), "probabilities")
-    codes = codes.join(found, "key").groupBy("__row").agg(F.sum(F.col("times") * F.col("p")).alias("__odd"))
+    codes = entries("__codes", "__often").select(F.col("__row").alias("row"), "key", "times")
+    n = rows.agg(F.coalesce(F.sum(F.size("__codes")), F.lit(0))).first()[0]
+    codes = model.row_sums(codes, n).select(F.col("row").alias("__row"), F.col("total").alias("__odd"))
     out = rows.drop("__rare", "__times", "__codes", "__often").join(words, "__row", "left").join(codes, "__row", "left")
     total = F.col("__score") + F.coalesce("__odd", F.lit(0.0))
     return out.select(
