@@ -12,9 +12,9 @@ Cases: null, empty and blank texts are one end token; bytes never seen get the r
 with nothing to learn from every bit has probability one half; repeated rows score alike; an
 empty table gives an empty result. Only the named columns are read, so others can't clash.
 
-Scale. All training documents are counted: tasks send (gram, n) and (word, n) rows, summed by
-Spark. The tree holds every gram, whatever their number: what lies below depth SPLIT is cut by the
-hash of the nearest SPLIT bytes into buckets of about BUCKET grams, each a task's own subtree; above
+Scale. All training documents are counted: tasks send (word, n) rows, summed by Spark, and their grams of each
+bucket as packed lists, which a task for each bucket merges. The tree holds every gram, whatever their number: what lies below depth SPLIT is cut by the
+hash of the nearest SPLIT bytes into buckets, one for each SHARE bytes of text, each a task's own subtree; above
 it are at most 256 ** SPLIT grams, broadcast. Probabilities of the grams with at least a power of
 two of occurrences, the least that leaves at most MAX_GRAMS, are broadcast too; all others of a text go to
 their subtrees, in parts of about ASKED, and come back as one sum for each row. Words are split alike: at most
@@ -34,11 +34,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import _base as B
 
 DEPTH, END, SPACE, SPLIT = 6, 10, 32, 2
-BUCKET, ASKED = 1 << 17, 1 << 20  # grams of a subtree, and codes that it is asked at once
+SHARE, ASKED = 1 << 22, 1 << 20  # bytes of text for each subtree, and codes that a subtree is asked at once
+BUCKET, ROW = 1 << 17, 1 << 20  # codes looked up at once, and grams in a stored row
 MAX_GRAMS, MAX_WORDS, FLUSH = 1 << 20, 1 << 20, 1 << 20
 END_WORD = np.uint64(0x6A09E667F3BCC909)
 
@@ -85,7 +87,42 @@ def _summed(keys: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
     return k[first], np.add.reduceat(c, first) if len(k) else c
 
 
-def _count(depth: int):
+def _bucket(codes: np.ndarray, buckets: int) -> np.ndarray:
+    """The subtree of each code: by its nearest SPLIT context bytes."""
+    return (B.mix((codes >> np.uint64(8)) & _mask(8 * SPLIT)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _mask(bits: int) -> np.uint64:
+    return np.uint64((1 << bits) - 1)
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as their steps, which compress well."""
+    return np.diff(keys, prepend=np.uint64(0)).tobytes()
+
+
+def _unpacked(col: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.cumsum(np.frombuffer(x.as_buffer(), np.uint64), dtype=np.uint64) for x in col]
+
+
+def _numbers(col: pa.ChunkedArray, kind) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), kind) for x in col]
+
+
+def _by_bucket(codes: np.ndarray, buckets: int):
+    """(bucket, places) of the codes of each bucket that has some, in the order that they came in."""
+    of = _bucket(codes, buckets)
+    order = np.argsort(of, kind="stable")
+    cuts = np.flatnonzero(np.diff(of[order], prepend=-1)) if len(of) else np.zeros(0, np.int64)
+    for lo, hi in zip(cuts, [*cuts[1:], len(of)]):
+        yield int(of[order[lo]]), order[lo:hi]
+
+
+GRAMS = "bucket long, keys binary, counts binary"
+
+
+def _count(depth: int, buckets: int):
+    """Words (bucket null: key, n) and grams (a bucket's keys and counts, packed) of all batches."""
     def run(batches):
         held: dict[int, tuple[list, list]] = {0: ([], []), 1: ([], [])}
         kept = {0: 0, 1: 0}
@@ -94,8 +131,15 @@ def _count(depth: int):
             k, c = _summed(*held[kind])
             held[kind] = ([], [])
             kept[kind] = 0
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), pa.array(k.view(np.int64)), pa.array(c)], ["kind", "key", "n"])
-
+            if kind:
+                none = pa.nulls(len(k), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c), pa.nulls(len(k), pa.int64()), none, none], names)
+                return
+            parts = [(b, _packed(k[at]), c[at].astype(np.int64).tobytes()) for b, at in _by_bucket(k, buckets)]
+            none = pa.nulls(len(parts), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array([x[0] for x in parts], pa.int64()), pa.array([x[1] for x in parts], pa.binary()), pa.array([x[2] for x in parts], pa.binary())], names)
+
+        names = ["key", "n", "bucket", "keys", "counts"]
         for batch in batches:
             b, offs = B.text_buffers(batch.column(0))
             for lo, hi in B.row_blocks(offs, B.PIECE):
@@ -111,14 +155,21 @@ def _count(depth: int):
                         k, c = _summed(*held[kind])
                         held[kind], kept[kind] = ([k], [c]), len(k)
                         if len(k) > FLUSH // 2:
-                            yield rows(kind)
+                            yield from rows(kind)
         for kind in (0, 1):
             if kept[kind]:
-                yield rows(kind)
+                yield from rows(kind)
 
     return run
 
 
+def _merge(table: pa.Table) -> pa.Table:
+    """The grams of a bucket as one list, in rows of at most ROW grams."""
+    k, c = _summed(_unpacked(table.column("keys")), _numbers(table.column("counts"), np.int64))
+    cuts = range(0, len(k), ROW)
+    return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()] * len(cuts), pa.int64()), "keys": pa.array([_packed(k[i : i + ROW]) for i in cuts], pa.binary()), "counts": pa.array([c[i : i + ROW].tobytes() for i in cuts], pa.binary())})
+
+
 # --- the tree ------------------------------------------------------------------------------
 
 
@@ -155,10 +206,6 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return shift + (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r / 1680))) / x
 
 
-def _mask(bits: int) -> np.uint64:
-    return np.uint64((1 << bits) - 1)
-
-
 class Tree:
     """Grams of the depths from `top` on in order, their running counts, and the posterior weight of each of a gram's eight nodes.
 
@@ -232,26 +279,44 @@ class Tree:
         return out
 
 
-def _subtree(table: pa.Table, depth: int) -> Tree:
+def _listed_grams(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    keys, n = _unpacked(table.column("keys")), _numbers(table.column("counts"), np.int64)
+    return (np.concatenate(keys), np.concatenate(n)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def _subtree(keys: np.ndarray, n: np.ndarray, depth: int) -> Tree:
     """The tree of a bucket's grams from depth SPLIT on."""
-    keys, n = table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy()
     return Tree([_summed([keys & _mask(8 * d + 8)], [n]) for d in range(SPLIT, depth + 1)], SPLIT)
 
 
 def _bucket_totals(depth: int):
+    """Of a bucket, by kind: what the nodes of depth SPLIT - 1 have below (bit 0 to 7), how often their grams occur (8), and
+    how many grams occur at least 2 ** node times (9)."""
     def run(table: pa.Table) -> pa.Table:
+        keys, n = _listed_grams(table)
         out = []
-        for j, (k, p, n0, n1) in enumerate(_subtree(table, depth).totals):
+        for j, (k, p, n0, n1) in enumerate(_subtree(keys, n, depth).totals):
             nodes, at = np.unique(k & _mask(8 * (SPLIT - 1) + j), return_inverse=True)
             out.append((np.full(len(nodes), j, np.int32), nodes.view(np.int64), *(np.bincount(at, weights=x) for x in (p, n0, n1))))
+        near, c = _summed([keys & _mask(8 * SPLIT)], [n])
+        out.append((np.full(len(near), 8, np.int32), near.view(np.int64), np.zeros(len(near)), c.astype(float), np.zeros(len(near))))
+        often = np.array([(n >= (1 << k)).sum() for k in range(48)], float)
+        out.append((np.full(48, 9, np.int32), np.arange(48), np.zeros(48), often, np.zeros(48)))
         return pa.table({c: np.concatenate(x) for c, x in zip(("bit", "node", "p", "n0", "n1"), zip(*out))})
 
     return run
 
 
+def _log10(tree: Tree, keys: np.ndarray, top: Tree) -> np.ndarray:
+    out = np.empty(len(keys))
+    for lo in range(0, len(keys), BUCKET):
+        out[lo : lo + BUCKET] = tree.log10(keys[lo : lo + BUCKET], top)
+    return out
+
+
 @dataclasses.dataclass
 class Model:
-    """grams: (bucket, key, n) of a stored table; top: the tree above SPLIT; known: probabilities of frequent grams; frequent: counts
+    """grams: stored (bucket, keys, counts); top: the tree above SPLIT; known: probabilities of frequent grams; frequent: counts
     of frequent words; rare: those of the others, a table; tokens and distinct: totals of the tokens."""
 
     depth: int
@@ -264,48 +329,37 @@ class Model:
     tokens: int
     distinct: int
 
-    def probabilities(self, codes: DataFrame) -> DataFrame:
-        """(key, p): log10 probability of each of the distinct codes (key), found in its bucket's subtree."""
-        top, depth = B.session(codes).sparkContext.broadcast(self.top), self.depth  # at most 256 ** SPLIT grams
+    def frequent_grams(self, least: int) -> DataFrame:
+        """(key, p): log10 probability of each gram that occurs at least so often."""
+        top, depth = B.session(self.grams).sparkContext.broadcast(self.top), self.depth  # at most 256 ** SPLIT grams
 
-        def run(grams: pa.Table, wanted: pa.Table) -> pa.Table:
-            keys = wanted.column("key")
-            if not len(keys):
-                return pa.table({"key": pa.array([], pa.int64()), "p": pa.array([], pa.float64())})
-            asked = keys.to_numpy().view(np.uint64)
-            tree, out = _subtree(grams, depth), np.empty(len(asked))
-            for lo in range(0, len(asked), BUCKET):
-                out[lo : lo + BUCKET] = tree.log10(asked[lo : lo + BUCKET], top.value)
-            return pa.table({"key": keys, "p": out})
-
-        asked = codes.select(_bucket(self.buckets).alias("bucket"), "key")
-        return self.grams.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(run, "key long, p double")
+        def run(table: pa.Table) -> pa.Table:
+            keys, n = _listed_grams(table)
+            asked = keys[n >= least]
+            p = _log10(_subtree(keys, n, depth), asked, top.value) if len(asked) else np.zeros(0)
+            return pa.table({"key": asked.view(np.int64), "p": p})
+
+        return self.grams.groupBy("bucket").applyInArrow(run, "key long, p double")
 
     def row_sums(self, codes: DataFrame, entries: int) -> DataFrame:
-        """(row, total): log10 probabilities of codes (row, key, times) summed by row. entries: their number."""
+        """(row, total): log10 probabilities of codes summed by row. codes: (bucket, rows, keys, times), packed; entries: how many."""
         top, depth = B.session(codes).sparkContext.broadcast(self.top), self.depth
         parts = -(-entries // (self.buckets * ASKED)) or 1
 
         def run(grams: pa.Table, wanted: pa.Table) -> pa.Table:
             if not len(wanted):
                 return pa.table({"row": pa.array([], pa.int64()), "total": pa.array([], pa.float64())})
-            keys, at = np.unique(wanted.column("key").to_numpy().view(np.uint64), return_inverse=True)
-            tree, p = _subtree(grams, depth), np.empty(len(keys))
-            for lo in range(0, len(keys), BUCKET):
-                p[lo : lo + BUCKET] = tree.log10(keys[lo : lo + BUCKET], top.value)
-            rows, place = np.unique(wanted.column("row").to_numpy(), return_inverse=True)
-            return pa.table({"row": rows, "total": np.bincount(place, weights=p[at] * wanted.column("times").to_numpy())})
-
-        asked = codes.select(_bucket(self.buckets).alias("bucket"), F.pmod(F.xxhash64("row"), F.lit(parts)).alias("part"), "row", "key", "times")
+            keys, at = np.unique(np.concatenate(_numbers(wanted.column("keys"), np.uint64)), return_inverse=True)
+            p = _log10(_subtree(*_listed_grams(grams), depth), keys, top.value)
+            rows, place = np.unique(np.concatenate(_numbers(wanted.column("rows"), np.int64)), return_inverse=True)
+            return pa.table({"row": rows, "total": np.bincount(place, weights=p[at] * np.concatenate(_numbers(wanted.column("times"), np.int32)))})
+
+        asked = codes.select("bucket", F.pmod(F.xxhash64("keys"), F.lit(parts)).alias("part"), "rows", "keys", "times")
         grams = self.grams.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
         found = grams.groupBy("bucket", "part").cogroup(asked.groupBy("bucket", "part")).applyInArrow(run, "row long, total double")
         return found.groupBy("row").agg(F.sum("total").alias("total"))
 
 
-def _bucket(buckets: int) -> Column:
-    return F.pmod(F.xxhash64(F.shiftright("key", 8).bitwiseAND((1 << (8 * SPLIT)) - 1)), F.lit(buckets))
-
-
 class Lookup:
     """A hash table from uint64 keys to numbers, probed for whole arrays."""
 
@@ -356,28 +410,28 @@ def _bounded(table: DataFrame, limit: int) -> tuple[int, DataFrame]:
 def learn(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, max_grams: int = MAX_GRAMS, max_words: int = MAX_WORDS) -> Model:
     """The model of docs. depth: SPLIT to 7; max_grams and max_words bound what is broadcast, not what is learned."""
     B.ship(B.session(docs))
-    counts = docs.select(F.col(text_col)).mapInArrow(B.lean(_count(depth)), "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    counts = B.store(counts, "counts", "zstd")
-    words = counts.where("kind = 1").select("key", "n")
+    texts = docs.select(F.col(text_col).alias("text"))
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = int(min(max(1, size // SHARE), 256**SPLIT))
+    counts = B.store(texts.mapInArrow(B.lean(_count(depth, buckets)), "key long, n long, " + GRAMS), "counts", "zstd")
+    words = B.store(counts.where("bucket is null").groupBy("key").agg(F.sum("n").alias("n")), "words")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     least, often = _bounded(words, max_words)
     got = often.toArrow()
     frequent = Lookup(got.column("key").to_numpy().view(np.uint64), got.column("n").to_numpy())
     rare = words.where(F.col("n") < least)
 
-    grams = counts.where("kind = 0").select("key", "n")
-    buckets = max(1, -(-grams.count() // BUCKET))
-    grams = grams.select(_bucket(buckets).alias("bucket"), "key", "n")
-    kids = grams.groupBy("bucket").applyInArrow(_bucket_totals(depth), "bit int, node long, p double, n0 double, n1 double")
-    kids = kids.groupBy("bit", "node").agg(*[F.sum(c).alias(c) for c in ("p", "n0", "n1")]).toArrow()  # fewer than 256 ** SPLIT nodes
-    near = grams.groupBy(F.col("key").bitwiseAND((1 << (8 * SPLIT)) - 1).alias("key")).agg(F.sum("n").alias("n")).toArrow()  # at most 256 ** SPLIT
-    near, n = near.column("key").to_numpy().view(np.uint64), near.column("n").to_numpy()
-    bit, node, *sums = (kids.column(c).to_numpy() for c in ("bit", "node", "p", "n0", "n1"))
+    grams = counts.where("bucket is not null").select("bucket", "keys", "counts")
+    grams = B.store(grams.groupBy("bucket").applyInArrow(_merge, GRAMS), "grams", "zstd")
+    sums = grams.groupBy("bucket").applyInArrow(_bucket_totals(depth), "bit int, node long, p double, n0 double, n1 double")
+    sums = sums.groupBy("bit", "node").agg(*[F.sum(c).alias(c) for c in ("p", "n0", "n1")]).toArrow()  # at most 256 ** SPLIT nodes a kind
+    bit, node, *sums = (sums.column(c).to_numpy() for c in ("bit", "node", "p", "n0", "n1"))
     below = [(node[bit == j].view(np.uint64), *(x[bit == j] for x in sums)) for j in range(8)]
+    near, n = node[bit == 8].view(np.uint64), sums[1][bit == 8].astype(np.int64)
     top = Tree([_summed([near & _mask(8 * d + 8)], [n]) for d in range(SPLIT)], 0, below)
     model = Model(depth, grams, buckets, top, None, frequent, rare, int(total), int(distinct))
-    _, often = _bounded(grams, max_grams)
-    got = model.probabilities(often).toArrow()  # at most max_grams rows
+    least = min((1 << int(k) for k, x in zip(node[bit == 9], sums[1][bit == 9]) if x <= max_grams), default=1)
+    got = model.frequent_grams(least).toArrow()  # at most max_grams rows
     model.known = Lookup(got.column("key").to_numpy().view(np.uint64), got.column("p").to_numpy())
     return model
 
@@ -402,8 +456,10 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
     below = math.log10(model.tokens + 0.5 * (model.distinct + 1))
     never = math.log10(0.5) - below
     src = docs.select(*keep, F.col(text_col).alias("__text"))
-    extra = "__row long, __tokens long, __known long, __base double, __score double, __bytes long, __rare array<long>, __times array<int>, __codes array<long>, __often array<int>"
-    schema = T.StructType([*src.schema.fields[:-1], *T.StructType.fromDDL(extra).fields])
+    extra = "__row long, __tokens long, __known long, __base double, __score double, __bytes long, __rare array<long>, __times array<int>, __bucket long, __rows binary, __keys binary, __often binary"
+    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in src.schema.fields[:-1]], *T.StructType.fromDDL(extra).fields])
+    arrow = to_arrow_schema(schema)
+    buckets = model.buckets
 
     def run(batches):
         known, frequent = shared.value
@@ -424,11 +480,21 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
                 words, times = _listed(h, np.flatnonzero(~ok), word_at)
                 cols = [batch.column(i).slice(lo, n) for i in range(batch.num_columns - 1)]
                 cols += [pa.array(row + np.arange(n)), pa.array(np.diff(word_at) + 1), pa.array(np.diff(ok_sum[word_at]) + int(end_ok[0])), pa.array(np.diff(base_sum[word_at]) + end)]
-                cols += [pa.array(np.diff(p_sum[at])), pa.array(np.diff(at)), words, times, codes, often]
-                row += n
+                cols += [pa.array(np.diff(p_sum[at])), pa.array(np.diff(at)), words, times]
+                cols += [pa.nulls(n, f.type) for f in list(arrow)[len(cols) :]]
                 yield pa.RecordBatch.from_arrays(cols, schema.names)
+                # the other grams, packed by subtree
+                of = row + np.repeat(np.arange(n), np.diff(codes.offsets.to_numpy()))
+                flat, often = codes.values.to_numpy().view(np.uint64), often.values.to_numpy()
+                parts = [(k, of[x].tobytes(), flat[x].tobytes(), often[x].tobytes()) for k, x in _by_bucket(flat, buckets)]
+                row += n
+                if parts:
+                    cols = [pa.nulls(len(parts), f.type) for f in list(arrow)[:-4]]
+                    cols += [pa.array([x[i] for x in parts], f.type) for i, f in enumerate(list(arrow)[-4:])]
+                    yield pa.RecordBatch.from_arrays(cols, schema.names)
 
-    rows = B.store(src.mapInArrow(B.lean(run), schema), "scored", "zstd")
+    stored = B.store(src.mapInArrow(B.lean(run), schema), "scored", "zstd")
+    rows = stored.where("__bucket is null").drop("__bucket", "__rows", "__keys", "__often")
 
     def entries(keys: str, times: str) -> DataFrame:
         met = rows.select("__row", F.explode(F.arrays_zip(keys, times)).alias("x"))
@@ -436,10 +502,10 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
 
     words = entries("__rare", "__times").join(model.rare, "key")
     words = words.groupBy("__row").agg(F.sum("times").alias("__more"), F.sum(F.col("times") * (F.log10(F.col("n") + 0.5) - math.log10(0.5))).alias("__up"))
-    codes = entries("__codes", "__often").select(F.col("__row").alias("row"), "key", "times")
-    n = rows.agg(F.coalesce(F.sum(F.size("__codes")), F.lit(0))).first()[0]
-    codes = model.row_sums(codes, n).select(F.col("row").alias("__row"), F.col("total").alias("__odd"))
-    out = rows.drop("__rare", "__times", "__codes", "__often").join(words, "__row", "left").join(codes, "__row", "left")
+    codes = stored.where("__bucket is not null").select(*[F.col(f"__{a}").alias(b) for a, b in (("bucket", "bucket"), ("rows", "rows"), ("keys", "keys"), ("often", "times"))])
+    n = codes.agg(F.coalesce(F.sum(F.octet_length("times") / 4), F.lit(0))).first()[0]
+    codes = model.row_sums(codes, int(n)).select(F.col("row").alias("__row"), F.col("total").alias("__odd"))
+    out = rows.drop("__rare", "__times").join(words, "__row", "left").join(codes, "__row", "left")
     total = F.col("__score") + F.coalesce("__odd", F.lit(0.0))
     return out.select(
         *keep, F.col("__tokens").alias("n_tokens"), (F.col("__known") + F.coalesce("__more", F.lit(0))).cast("long").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),

@@ -233,7 +233,9 @@ def test_language_model_split_words_and_grams(spark):
 def test_language_model_whole_tree(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     own = docs.where("doc_id % 3 <> 0")
-    monkeypatch.setattr(language_model, "BUCKET", 5000)
+    monkeypatch.setattr(language_model, "SHARE", 20000)
+    monkeypatch.setattr(language_model, "ASKED", 500)
+    monkeypatch.setattr(language_model, "ROW", 700)
     got = {r.doc_id: r.score for r in language_model.score(docs, language_model.learn(own, max_grams=3000), ["doc_id"]).collect()}
     texts = {r.doc_id: r.text for r in docs.collect()}
 
@@ -474,3 +476,65 @@ def test_html_odd(spark):
     got = html_text.extract(pages, ["page_id", "url"]).collect()
     assert [(r.page_id, r.n_chars) for r in got] == [(1, 0), (2, 0), (3, len(got[2].text)), (3, len(got[2].text)), (4, 60000 * 13 - 2), (5, 1)]
     assert html_text.extract(pages.where("false"), ["page_id", "url"]).count() == 0
+
+
+def brute_tree(text_codes, depth):
+    """log2 probabilities by context-tree weighting written as a recursion over dictionaries."""
+    counts = Counter()
+    for context, symbol in text_codes:
+        for d in range(depth + 1):
+            for j in range(8):
+                counts[d, context[:d], j, symbol >> (8 - j), (symbol >> (7 - j)) & 1] += 1
+
+    def n(d, c, j, prefix):
+        return counts[d, c, j, prefix, 0], counts[d, c, j, prefix, 1]
+
+    def log_kt(a, b):
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    kids = {}
+    for d, c, j, prefix, _ in list(counts):
+        if d:
+            kids.setdefault((d - 1, c[:-1], j, prefix), set()).add(c)
+
+    def weighted(d, c, j, prefix):
+        """(block log probability, weight of the own estimate)"""
+        own = log_kt(*n(d, c, j, prefix))
+        below = kids.get((d, c, j, prefix))
+        if not below:
+            return own, 1.0
+        rest = sum(weighted(d + 1, k, j, prefix)[0] for k in below)
+        return np.logaddexp(own, rest) - math.log(2), 1 / (1 + math.exp(min(50, max(-50, rest - own))))
+
+    def score(context, symbol):
+        out = 0.0
+        for j in range(8):
+            prefix, bit, p = symbol >> (8 - j), (symbol >> (7 - j)) & 1, None
+            for d in range(depth, -1, -1):
+                a = n(d, context[:d], j, prefix)
+                if sum(a):
+                    est = (a[bit] + 0.5) / (sum(a) + 1)
+                    w = weighted(d, context[:d], j, prefix)[1]
+                    p = est if p is None else w * est + (1 - w) * p
+            out += math.log10(0.5 if p is None else p)
+        return out
+
+    return score
+
+
+def test_language_model_brute_force(spark, odd):
+    """Scores of short texts against the recursion, which shares no code with the model; further columns may clash."""
+    depth, texts = 3, ["the cat sat on the mat", "the hat", "a cat and a hat", "", None, "été", "THE  cat\n", "zz top", "on the mat the cat"]
+
+    def coded(text):
+        raw = [*" ".join(re.findall(WORDS, lower(text))).encode()]
+        raw = [*raw, 10] if raw else [10]
+        padded = [10] * depth + raw
+        return [(tuple(padded[i - 1 : i - 1 - depth : -1] if i - 1 - depth >= 0 else padded[i - 1 :: -1]), padded[i]) for i in range(depth, len(padded))]
+
+    score = brute_tree([x for t in texts[:5] for x in coded(t)], depth)
+    docs = spark.createDataFrame([(i, t, "x", i) for i, t in enumerate(texts)], "doc_id long, text string, __bucket string, score long")
+    model = language_model.learn(docs.where("doc_id < 5"), depth=depth)
+    got = {r.doc_id: r.score for r in language_model.score(docs, model, ["doc_id"]).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(sum(score(*x) for x in coded(t)), rel=1e-5)
