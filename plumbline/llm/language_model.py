@@ -40,7 +40,7 @@ from . import _base as B
 
 DEPTH, END, SPACE, SPLIT = 6, 10, 32, 2
 SHARE, ASKED = 1 << 22, 1 << 20  # bytes of text for each subtree, and codes that a subtree is asked at once
-BUCKET, ROW = 1 << 17, 1 << 20  # codes looked up at once, and grams in a stored row
+BUCKET, ROW, SUMMED = 1 << 17, 1 << 20, 1 << 15  # codes looked up at once, grams in a stored row, rows summed by a task
 MAX_GRAMS, MAX_WORDS, FLUSH = 1 << 20, 1 << 20, 1 << 20
 END_WORD = np.uint64(0x6A09E667F3BCC909)
 
@@ -96,17 +96,23 @@ def _mask(bits: int) -> np.uint64:
     return np.uint64((1 << bits) - 1)
 
 
-def _packed(keys: np.ndarray) -> bytes:
-    """Sorted keys as their steps, which compress well."""
-    return np.diff(keys, prepend=np.uint64(0)).tobytes()
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, all lowest bytes first: what is the same in all compresses to nothing."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
 
-def _unpacked(col: pa.ChunkedArray) -> list[np.ndarray]:
-    return [np.cumsum(np.frombuffer(x.as_buffer(), np.uint64), dtype=np.uint64) for x in col]
+def _numbers(col: pa.ChunkedArray, kind) -> list[np.ndarray]:
+    size = np.dtype(kind).itemsize
+    return [np.ascontiguousarray(np.frombuffer(x.as_buffer(), np.uint8).reshape(size, -1).T).view(kind).ravel() for x in col]
 
 
-def _numbers(col: pa.ChunkedArray, kind) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), kind) for x in col]
+def _steps(x: np.ndarray) -> bytes:
+    """Ascending numbers as their steps."""
+    return _planes(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def _climbed(col: pa.ChunkedArray, kind) -> list[np.ndarray]:
+    return [np.cumsum(x, dtype=kind) for x in _numbers(col, kind)]
 
 
 def _by_bucket(codes: np.ndarray, buckets: int):
@@ -135,7 +141,7 @@ def _count(depth: int, buckets: int):
                 none = pa.nulls(len(k), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c), pa.nulls(len(k), pa.int64()), none, none], names)
                 return
-            parts = [(b, _packed(k[at]), c[at].astype(np.int64).tobytes()) for b, at in _by_bucket(k, buckets)]
+            parts = [(b, _steps(k[at]), _planes(c[at].astype(np.int64))) for b, at in _by_bucket(k, buckets)]
             none = pa.nulls(len(parts), pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, pa.array([x[0] for x in parts], pa.int64()), pa.array([x[1] for x in parts], pa.binary()), pa.array([x[2] for x in parts], pa.binary())], names)
 
@@ -165,9 +171,9 @@ def _count(depth: int, buckets: int):
 
 def _merge(table: pa.Table) -> pa.Table:
     """The grams of a bucket as one list, in rows of at most ROW grams."""
-    k, c = _summed(_unpacked(table.column("keys")), _numbers(table.column("counts"), np.int64))
+    k, c = _summed(_climbed(table.column("keys"), np.uint64), _numbers(table.column("counts"), np.int64))
     cuts = range(0, len(k), ROW)
-    return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()] * len(cuts), pa.int64()), "keys": pa.array([_packed(k[i : i + ROW]) for i in cuts], pa.binary()), "counts": pa.array([c[i : i + ROW].tobytes() for i in cuts], pa.binary())})
+    return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()] * len(cuts), pa.int64()), "keys": pa.array([_steps(k[i : i + ROW]) for i in cuts], pa.binary()), "counts": pa.array([_planes(c[i : i + ROW]) for i in cuts], pa.binary())})
 
 
 # --- the tree ------------------------------------------------------------------------------
@@ -280,7 +286,7 @@ class Tree:
 
 
 def _listed_grams(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    keys, n = _unpacked(table.column("keys")), _numbers(table.column("counts"), np.int64)
+    keys, n = _climbed(table.column("keys"), np.uint64), _numbers(table.column("counts"), np.int64)
     return (np.concatenate(keys), np.concatenate(n)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
@@ -341,23 +347,34 @@ class Model:
 
         return self.grams.groupBy("bucket").applyInArrow(run, "key long, p double")
 
-    def row_sums(self, codes: DataFrame, entries: int) -> DataFrame:
-        """(row, total): log10 probabilities of codes summed by row. codes: (bucket, rows, keys, times), packed; entries: how many."""
+    def row_sums(self, codes: DataFrame, entries: int, rows: int) -> DataFrame:
+        """(row, total): log10 probabilities of codes summed by row.
+
+        codes: (bucket, rows, keys, times), packed; entries: how many codes; rows: how many rows. A subtree packs its sums for
+        about SUMMED rows at a time, so that what it sends doesn't grow with rows x subtrees.
+        """
         top, depth = B.session(codes).sparkContext.broadcast(self.top), self.depth
-        parts = -(-entries // (self.buckets * ASKED)) or 1
+        parts, shares = -(-entries // (self.buckets * ASKED)) or 1, max(8, -(-rows // SUMMED))
 
         def run(grams: pa.Table, wanted: pa.Table) -> pa.Table:
             if not len(wanted):
-                return pa.table({"row": pa.array([], pa.int64()), "total": pa.array([], pa.float64())})
+                return pa.table({"share": pa.array([], pa.int64()), "rows": pa.array([], pa.binary()), "totals": pa.array([], pa.binary())})
             keys, at = np.unique(np.concatenate(_numbers(wanted.column("keys"), np.uint64)), return_inverse=True)
             p = _log10(_subtree(*_listed_grams(grams), depth), keys, top.value)
-            rows, place = np.unique(np.concatenate(_numbers(wanted.column("rows"), np.int64)), return_inverse=True)
-            return pa.table({"row": rows, "total": np.bincount(place, weights=p[at] * np.concatenate(_numbers(wanted.column("times"), np.int32)))})
+            rows, place = np.unique(np.concatenate(_climbed(wanted.column("rows"), np.int64)), return_inverse=True)
+            totals = np.bincount(place, weights=p[at] * np.concatenate(_numbers(wanted.column("times"), np.int32)))
+            of = rows % shares
+            own = [np.flatnonzero(of == k) for k in np.unique(of)]
+            return pa.table({"share": pa.array([of[x[0]] for x in own], pa.int64()), "rows": pa.array([_steps(rows[x]) for x in own], pa.binary()), "totals": pa.array([_planes(totals[x]) for x in own], pa.binary())})
+
+        def total(table: pa.Table) -> pa.Table:
+            rows, at = np.unique(np.concatenate(_climbed(table.column("rows"), np.int64)), return_inverse=True)
+            return pa.table({"row": rows, "total": np.bincount(at, weights=np.concatenate(_numbers(table.column("totals"), np.float64)))})
 
         asked = codes.select("bucket", F.pmod(F.xxhash64("keys"), F.lit(parts)).alias("part"), "rows", "keys", "times")
         grams = self.grams.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-        found = grams.groupBy("bucket", "part").cogroup(asked.groupBy("bucket", "part")).applyInArrow(run, "row long, total double")
-        return found.groupBy("row").agg(F.sum("total").alias("total"))
+        found = grams.groupBy("bucket", "part").cogroup(asked.groupBy("bucket", "part")).applyInArrow(run, "share long, rows binary, totals binary")
+        return found.groupBy("share").applyInArrow(total, "row long, total double")
 
 
 class Lookup:
@@ -486,7 +503,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
                 # the other grams, packed by subtree
                 of = row + np.repeat(np.arange(n), np.diff(codes.offsets.to_numpy()))
                 flat, often = codes.values.to_numpy().view(np.uint64), often.values.to_numpy()
-                parts = [(k, of[x].tobytes(), flat[x].tobytes(), often[x].tobytes()) for k, x in _by_bucket(flat, buckets)]
+                parts = [(k, _steps(of[x]), _planes(flat[x]), _planes(often[x])) for k, x in _by_bucket(flat, buckets)]
                 row += n
                 if parts:
                     cols = [pa.nulls(len(parts), f.type) for f in list(arrow)[:-4]]
@@ -504,7 +521,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
     words = words.groupBy("__row").agg(F.sum("times").alias("__more"), F.sum(F.col("times") * (F.log10(F.col("n") + 0.5) - math.log10(0.5))).alias("__up"))
     codes = stored.where("__bucket is not null").select(*[F.col(f"__{a}").alias(b) for a, b in (("bucket", "bucket"), ("rows", "rows"), ("keys", "keys"), ("often", "times"))])
     n = codes.agg(F.coalesce(F.sum(F.octet_length("times") / 4), F.lit(0))).first()[0]
-    codes = model.row_sums(codes, int(n)).select(F.col("row").alias("__row"), F.col("total").alias("__odd"))
+    codes = model.row_sums(codes, int(n), rows.count()).select(F.col("row").alias("__row"), F.col("total").alias("__odd"))
     out = rows.drop("__rare", "__times").join(words, "__row", "left").join(codes, "__row", "left")
     total = F.col("__score") + F.coalesce("__odd", F.lit(0.0))
     return out.select(
