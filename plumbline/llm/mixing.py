@@ -13,16 +13,14 @@ that repeat an id share a key and are ordered by size; null ids and null qualiti
 (hash of the empty string; quality 1); an empty table gives an empty result. All internal
 columns live in a table of their own, so other columns can't clash.
 
-Scale. Words are counted once into a narrow stored table. Prefix sums run in two levels: keys
-fall into about sqrt(rows) buckets, sums run over (source, bucket) and within each, so no task
-sorts a whole source however large. The table of sources is broadcast by Spark only where its
-stored size is within the session's limit.
+Scale. Words are counted once into a narrow stored table. Prefix sums run in two levels: rows are dealt to ranges of
+(source, key) of about RANGE rows by sampled bounds, whatever the weights, sums run over the ranges and within each, so
+no task sorts a whole source however large. Sources are ranked and summed the same way, however many. The table of
+sources is broadcast by Spark only where its stored size is within the session's limit.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,6 +29,7 @@ from . import _base as B
 
 GAP = r"[\x20\x09-\x0D]+"
 HASH_SPAN = float(1 << 52)
+RANGE = 200_000  # rows in one sorted range
 
 
 def words(text: Column) -> Column:
@@ -43,20 +42,36 @@ def uniform(key: Column) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / HASH_SPAN
 
 
+def ranges(df: DataFrame, *order: Column) -> DataFrame:
+    """df, stored, with `part`: the place of a row's range in this order; a range holds about RANGE rows."""
+    parts = df.count() // RANGE + 1
+    return B.store(df.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "ranges")
+
+
+def running(df: DataFrame, order: list[Column], **values: Column) -> DataFrame:
+    """df with, for each value, the sum over all rows before in this order."""
+    rows = ranges(df.withColumns(values), *order)
+    every = rows.groupBy("part").agg(*[F.sum(v).alias(f"{v}_in") for v in values])
+    up = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row for each range
+    every = every.select("part", *[F.coalesce(F.sum(f"{v}_in").over(up), F.lit(0)).alias(f"{v}_up") for v in values])
+    within = W.partitionBy("part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    return rows.join(every, "part").select(*df.columns, *[(F.col(f"{v}_up") + F.coalesce(F.sum(v).over(within), F.lit(0))).alias(v) for v in values])
+
+
 def targets(sources: DataFrame, weights: tuple[int, ...], share: float, most: int) -> DataFrame:
     """sources (src, source_size) with target: fill to the limits in the order of limit / weight."""
-    place = W.orderBy(F.col("src").asc_nulls_last())
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.row_number().over(place) - 1, F.lit(len(weights))) + 1).cast("int"))
-    ranked = sources.withColumn("w", w).withColumn("cap", F.col("source_size") * F.lit(most)).withColumn("ratio", F.col("cap") / F.col("w"))
-    total = ranked.agg(F.sum("source_size").alias("total"))
-    order = W.orderBy("ratio", F.col("src").asc_nulls_last())
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    after = order.rowsBetween(W.currentRow, W.unboundedFollowing)
-    level = (F.lit(share) * F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("w").over(after)
+    by_name = F.col("src").asc_nulls_last()
+    ranked = running(sources, [by_name], place=F.lit(1).cast("long"))
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod("place", F.lit(len(weights))) + 1).cast("int"))
+    ranked = ranked.withColumn("w", w).withColumn("cap", F.col("source_size") * F.lit(most)).withColumn("ratio", F.col("cap") / F.col("w")).drop("place")
+    before = running(ranked, [F.col("ratio").asc(), by_name], cap_before=F.col("cap"), w_before=F.col("w"))
+    total = ranked.agg(F.sum("source_size").alias("total"), F.sum("w").alias("w_total"))
+    level = (F.lit(share) * F.col("total") - F.col("cap_before")) / (F.col("w_total") - F.col("w_before"))
     # the first source whose limit is not below its share sets the level for all that follow
-    found = ranked.crossJoin(F.broadcast(total)).withColumn("level", level)  # total: one row
-    final = F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.struct("ratio", "level"))).over(W.partitionBy()).getField("level")
-    return found.withColumn("final", final).select("src", "source_size", F.least(F.coalesce(F.col("final") * F.col("w"), F.col("cap").cast("double")), F.col("cap").cast("double")).alias("target"))
+    found = B.store(before.crossJoin(F.broadcast(total)).withColumn("level", level), "levels")  # total: one row
+    final = found.agg(F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.struct("ratio", "level"))).getField("level").alias("final"))
+    target = F.least(F.coalesce(F.col("final") * F.col("w"), F.col("cap").cast("double")), F.col("cap").cast("double"))
+    return found.crossJoin(F.broadcast(final)).select("src", "source_size", target.alias("target"))  # final: one row
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: DataFrame | None = None, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
@@ -76,9 +91,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     goal = B.store(goal.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "goal")
 
-    buckets = max(1, math.isqrt(rows.count()))
-    bucket = F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * buckets).cast("long")
-    keyed = rows.withColumn("bucket", bucket)
+    by_name = F.col("src").asc_nulls_last()
+    keyed = ranges(rows, by_name, F.col("key"), F.col("doc_id"), F.col("size")).withColumnRenamed("part", "bucket")
     sums = keyed.groupBy("src", "bucket").agg(F.sum("size").alias("in_bucket"))
     earlier = sums.select("src", "bucket", F.coalesce(F.sum("in_bucket").over(W.partitionBy("src").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
     earlier = B.store(earlier, "prefix")

@@ -538,3 +538,58 @@ def test_language_model_brute_force(spark, odd):
     got = {r.doc_id: r.score for r in language_model.score(docs, model, ["doc_id"]).collect()}
     for i, t in enumerate(texts):
         assert got[i] == pytest.approx(sum(score(*x) for x in coded(t)), rel=1e-5)
+
+
+def brute_mix(rows, weights=(5, 2, 1), share=1.5, most=2):
+    """{(doc_id, size): taken} and targets, by sorting each source. rows: (doc_id, text, source, quality)."""
+    import hashlib
+
+    sized = []
+    for i, text, source, q in rows:
+        u = (int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+        sized.append((source, -math.log(u) / max(1.0 if q is None else q, 1e-6), i, len(re.findall(WORDS, text or ""))))
+    names = sorted({r[0] for r in sized}, key=lambda s: (s is None, s or ""))
+    size = {s: sum(r[3] for r in sized if r[0] == s) for s in names}
+    w = {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    open_, left, target = set(names), share * sum(size.values()), {}
+    while True:
+        level = left / sum(w[s] for s in open_) if open_ else 0
+        full = [s for s in open_ if most * size[s] < level * w[s]]
+        if not full:
+            break
+        for s in full:
+            target[s] = float(most * size[s])
+            left -= most * size[s]
+            open_.remove(s)
+    target |= {s: level * w[s] for s in open_}
+    taken = {}
+    for s in names:
+        own = sorted((r for r in sized if r[0] == s), key=lambda r: (r[1], -1 if r[2] is None else r[2], r[3]))
+        epochs = int(target[s] // size[s]) if size[s] else 0
+        rest, upto, more = target[s] - epochs * size[s], 0, set()
+        for k, r in enumerate(own):
+            if upto + r[3] > rest:
+                break
+            upto += r[3]
+            more.add(k)
+        gap = rest - upto
+        late = [(abs(r[3] - gap), k) for k, r in enumerate(own) if k >= len(more) and r[3] and abs(r[3] - gap) < gap]
+        more |= {min(late)[1]} if late else set()
+        for k, r in enumerate(own):
+            taken[r[2], s] = r[3] * (epochs + (k in more))
+    return target, taken
+
+
+@pytest.mark.parametrize("span", [200_000, 7])
+def test_mixing_brute_force(spark, monkeypatch, span):
+    """Many sources, one of them huge, low, null and unlike qualities, sources without words; ranges of any size."""
+    monkeypatch.setattr(mixing, "RANGE", span)
+    rng = np.random.default_rng(6)
+    rows = [(i, "w " * int(rng.integers(0, 30)), "huge" if i % 3 else f"s{i % 13}", [None, 0.01, 0.01, 2.0, 1e-9][i % 5]) for i in range(240)]
+    rows += [(300, None, "empty", None), (301, "", "empty", 1.0), (302, "a b", None, None), (303, "a b c", None, 3.0), (None, "x y", "s1", None)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, source string").repartition(5)
+    quality = spark.createDataFrame([(r[0], r[3]) for r in rows if r[0] is not None], "doc_id long, q double")
+    target, taken = brute_mix(rows)
+    got = mixing.mix(docs, quality=quality).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.source): r.taken for r in got} == taken
+    assert all(r.target == pytest.approx(target[r.source]) for r in got)
