@@ -71,17 +71,32 @@ def lean(run):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is configured."""
+    """The cluster's shared folder; a temporary one only on a local master where none is configured."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_plumbline_dir", None)
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = sc._plumbline_dir = "file://" + os.path.realpath(tempfile.mkdtemp(prefix="plumbline-"))
         sc.setCheckpointDir(found)
     return found
 
 
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/plumbline-{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/plumbline-{what}-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    sc._plumbline_paths = [*getattr(sc, "_plumbline_paths", []), path]
+    return path
+
+
+def clean(spark: SparkSession) -> int:
+    """Delete what this session has stored in the shared folder, once its results are written; returns how many tables."""
+    sc = spark.sparkContext
+    paths, sc._plumbline_paths = getattr(sc, "_plumbline_paths", []), []
+    for p in paths:
+        path = sc._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
 
 
 def store(df: DataFrame, what: str = "t", codec: str = "snappy") -> DataFrame:

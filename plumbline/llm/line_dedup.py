@@ -4,7 +4,7 @@ Contract. A text is split at line feeds (null or empty: one empty line). A line'
 line without ASCII white space at both ends and with A-Z lower-cased. Keys of at least
 min_chars code points that occur in at least min_docs documents lose all their lines.
 
-Cases: null text counts as one empty line and becomes an empty text; every row is a document
+Cases: a key in exactly min_docs documents goes; null text counts as one empty line and becomes an empty text; every row is a document
 of its own, also where ids repeat; an empty table stays empty; added columns carry a prefix
 that the caller chooses, so other columns can't clash; the text's other columns pass untouched.
 
@@ -13,7 +13,7 @@ that reach min_docs are dealt to shards of bounded size; each becomes a minimal
 (levels of bit arrays with ranks) over compact arrays: 64-bit fingerprints and counts. Hashes
 below min_docs need no slot: a probe that meets no fingerprint keeps its line. Lines never
 take part in a join: tasks stream the shards from the shared folder and keep them only while
-they fit in CACHE bytes.
+they fit in CACHE bytes; a larger index is streamed once for the lines of PASS bytes of text.
 """
 
 from __future__ import annotations
@@ -29,8 +29,9 @@ from . import _base as B
 
 SPACE = b" \t\n\x0b\x0c\r"
 SHARD_KEYS = 1 << 16
-CACHE = 64 << 20
+CACHE, PASS = 64 << 20, 256 << 20
 GAMMA = 2.0
+KEY_BYTES = 32  # of a key in a decoded shard, about
 SHARD = "shard long, n long, sizes array<long>, bits binary, fps binary, counts binary, spill binary"
 
 
@@ -137,7 +138,7 @@ def build_index(docs: DataFrame, text_col: str, min_docs: int, min_chars: int =
 _CACHED: dict[str, list] = {}
 
 
-def _shards(path: str):
+def _shards(path: str, cache: int):
     """Decoded shards of the index, one at a time; kept in this process if they are small."""
     if path in _CACHED:
         yield from _CACHED[path]
@@ -153,14 +154,14 @@ def _shards(path: str):
             ranks = (np.cumsum(bits) - 1).astype(np.int32)
             found = row["shard"], row["sizes"], bits, ranks, np.frombuffer(row["fps"], np.uint64), np.frombuffer(row["counts"], np.int64), np.frombuffer(row["spill"], np.uint64).reshape(-1, 3)
             total += bits.nbytes + ranks.nbytes + 16 * row["n"] + len(row["spill"])
-            kept = [*kept, found] if total <= CACHE else []
+            kept = [*kept, found] if total <= cache else []
             yield found
-    if total <= CACHE:
+    if total <= cache:
         _CACHED.clear()
         _CACHED[path] = kept
 
 
-def probe(digests: list[bytes], path: str, shards: int) -> np.ndarray:
+def probe(digests: list[bytes], path: str, shards: int, cache: int = CACHE) -> np.ndarray:
     """Document count of each line hash, 0 where the index has none."""
     out = np.zeros(len(digests), np.int64)
     raw = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
@@ -168,7 +169,7 @@ def probe(digests: list[bytes], path: str, shards: int) -> np.ndarray:
     order = np.argsort(of, kind="stable")
     hi, lo = raw[order, 0].view(np.uint64), raw[order, 1].view(np.uint64)
     keys, of = hi ^ B.mix(lo), of[order]
-    for shard, sizes, bits, ranks, fps, counts, spill in _shards(path):
+    for shard, sizes, bits, ranks, fps, counts, spill in _shards(path, cache):
         a, z = np.searchsorted(of, shard), np.searchsorted(of, shard, side="right")
         if a == z:
             continue
@@ -180,29 +181,49 @@ def probe(digests: list[bytes], path: str, shards: int) -> np.ndarray:
     return out
 
 
-def line_dedup(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_chars: int = 1, prefix: str = "") -> DataFrame:
-    """docs with text_col replaced by the kept lines, plus <prefix>n_lines and <prefix>n_dropped."""
+def line_dedup(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_chars: int = 1, prefix: str = "", cache: int = CACHE, span: int = PASS) -> DataFrame:
+    """docs with text_col replaced by the kept lines, plus <prefix>n_lines and <prefix>n_dropped.
+
+    cache: bytes of an index that a Python worker keeps; span: bytes of text for each pass over a larger one.
+    """
     path, shards = build_index(docs, text_col, min_docs, min_chars)
     names = [f"{prefix}n_lines", f"{prefix}n_dropped"]
     schema = T.StructType([f if f.name != text_col else T.StructField(text_col, T.StringType()) for f in docs.schema.fields] + [T.StructField(n, T.LongType()) for n in names])
     k = docs.columns.index(text_col)
+    at_once = span if shards * SHARD_KEYS * KEY_BYTES > cache else 0
+
+    def keyed(part):
+        split = [_lines(v) for v in _binary(part.column(k))]
+        return split, [(i, j, key) for i, ls in enumerate(split) for j, key in enumerate(map(line_key, ls)) if long_enough(key, min_chars)]
+
+    def emit(parts):
+        digests = [[xxhash.xxh3_128_digest(x[2]) for x in keyed(part)[1]] for part in parts]
+        flat = [d for own in digests for d in own]
+        often, at = probe(flat, path, shards, cache) >= min_docs if flat else [], 0
+        for part, own in zip(parts, digests):
+            split, lines = keyed(part)
+            drop: dict[int, set[int]] = {}
+            for (i, j, _), bad in zip(lines, often[at : at + len(own)]):
+                if bad:
+                    drop.setdefault(i, set()).add(j)
+            at += len(own)
+            texts = [b"\n".join(ls if i not in drop else [x for j, x in enumerate(ls) if j not in drop[i]]) for i, ls in enumerate(split)]
+            cols = [part.column(c) for c in range(part.num_columns)]
+            cols[k] = pa.array(texts, pa.binary()).cast(pa.string())
+            cols += [pa.array([len(ls) for ls in split], pa.int64()), pa.array([len(drop.get(i, ())) for i in range(len(split))], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, [f.name for f in schema.fields])
 
     def run(batches):
+        held, size = [], 0
         for batch in batches:
             _, offs = B.text_buffers(batch.column(k))
             for lo, hi in B.row_blocks(offs, 16 * B.PIECE):
-                part = batch.slice(lo, hi - lo)
-                split = [_lines(v) for v in _binary(part.column(k))]
-                keyed = [(i, j, key) for i, ls in enumerate(split) for j, key in enumerate(map(line_key, ls)) if long_enough(key, min_chars)]
-                often = probe([xxhash.xxh3_128_digest(x[2]) for x in keyed], path, shards) >= min_docs if keyed else []
-                drop: dict[int, set[int]] = {}
-                for (i, j, _), bad in zip(keyed, often):
-                    if bad:
-                        drop.setdefault(i, set()).add(j)
-                texts = [b"\n".join(ls if i not in drop else [x for j, x in enumerate(ls) if j not in drop[i]]) for i, ls in enumerate(split)]
-                cols = [part.column(c) for c in range(part.num_columns)]
-                cols[k] = pa.array(texts, pa.binary()).cast(pa.string())
-                cols += [pa.array([len(ls) for ls in split], pa.int64()), pa.array([len(drop.get(i, ())) for i in range(len(split))], pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, [f.name for f in schema.fields])
+                held.append(batch.slice(lo, hi - lo))
+                size += int(offs[hi] - offs[lo])
+                if size >= at_once:
+                    yield from emit(held)
+                    held, size = [], 0
+        if held:
+            yield from emit(held)
 
     return docs.mapInArrow(B.lean(run), schema)

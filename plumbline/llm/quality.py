@@ -4,7 +4,7 @@ Contract. Heuristic labellers vote good, bad or nothing on each text. Expectatio
 estimates how often each labeller gives each vote in either class and the classes' shares;
 each pattern of votes gets its posterior. A linear scorer over hashed word features learns
 the posteriors of a bounded sample and scores every text from 0 to 1; `kept` means its score is
-at least `least`.
+at least `least`; ties of posteriors and scores at their bounds count as good.
 
 Cases: null, empty and wordless texts have no votes and no features: weak label and score are 0
 and they aren't kept; an empty table gives an empty result; repeated rows score alike. Only
@@ -12,7 +12,8 @@ the named columns are read.
 
 Scale. Votes over all documents are summed by pattern, of which there are 3 ** labellers at
 most; only these sums reach the driver. The scorer is fitted on about `sample` documents by hash
-of the id, the single bounded step; its weights are one array of `BUCKETS` numbers.
+of id and text, twice as many at most and each by its FEATURES most frequent features at most: the single bounded
+step. Its weights are one array of `BUCKETS` numbers. All texts are scored whole.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 
 from . import _base as B
 
-BUCKETS, SAMPLE, EPOCHS = 1 << 16, 4000, 60
+BUCKETS, SAMPLE, EPOCHS, FEATURES = 1 << 16, 4000, 60, 2048
 # fixed values: bad beyond the first bound, plain within the second
 SYMBOLS = b"#$%&*{}[]<>|\\^~=_@+`"
 BOUNDS = {"symbols": (0.05, 0.01), "capitals": (0.4, 0.2), "exclaims": (0.05, 0.01), "digits": (0.3, 0.1), "long_words": (14.0, 10.0), "repeated_lines": (0.3, 0.1), "repeated_words": (0.8, 0.65), "echoes": (0.2, 0.06)}
@@ -140,6 +141,9 @@ def _sampled(batches):
             ids, shares = [], []
             for i in range(hi - lo):
                 k, c = np.unique(f[3 * at[i] : 3 * at[i + 1]], return_counts=True)
+                if len(k) > FEATURES:
+                    top = np.sort(np.argsort(-c, kind="stable")[:FEATURES])
+                    k, c = k[top], c[top]
                 ids.append(k.astype(np.int32))
                 shares.append((c / max(1, 3 * n[i])).astype(np.float32))
             yield pa.RecordBatch.from_arrays([pa.array(pattern(v)), pa.array(ids, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], ["pattern", "ids", "shares"])
@@ -158,7 +162,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     posterior = np.zeros(3 ** len(LABELLERS))
     posterior[k] = post
     every = max(1, int(n.sum()) // sample)
-    some = docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(every)) == 0).select(F.col(text_col))
+    some = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(every)) == 0).select(F.col(text_col)).limit(2 * sample)
     got = some.mapInArrow(B.lean(_sampled), "pattern long, ids array<int>, shares array<float>").toArrow().combine_chunks()
     weights, bias = np.zeros(BUCKETS), 0.0
     if len(got):

@@ -169,9 +169,9 @@ def test_quality(spark, odd, none):
 @pytest.mark.parametrize("block", [3, 64, token_counts.BLOCK])
 def test_token_counts(odd, none, block):
     enc = token_counts.encoder(token_counts.default_vocabulary())
-    got = token_counts.count_tokens(*token_counts.write_tokens(odd.where("doc_id <> 8"), block=block)).collect()
-    want = sorted((r.doc_id, len(enc.encode_ordinary(r.text or ""))) for r in odd.where("doc_id <> 8").collect())
-    assert sorted((r.doc_id, r.n_tokens) for r in got) == want
+    got = token_counts.count_tokens(*token_counts.write_tokens(odd, block=block)).collect()
+    want = sorted((str(r.doc_id), len(enc.encode_ordinary(r.text or ""))) for r in odd.collect())
+    assert sorted((str(r.doc_id), r.n_tokens) for r in got) == want
     assert token_counts.count_tokens(*token_counts.write_tokens(none, block=block)).count() == 0
 
 
@@ -351,15 +351,6 @@ def test_pipeline_brute_force(spark, odd, tmp_path):
     assert sorted((r.doc_id, repr(r.source), r["size"]) for r in got) == want
 
 
-@pytest.mark.parametrize("block", [64, token_counts.BLOCK])
-def test_token_counts_long_word(odd, block):
-    """The text that test_token_counts leaves out: one word of 320,000 characters."""
-    enc = token_counts.encoder(token_counts.default_vocabulary())
-    long = odd.where("doc_id = 8")
-    got = token_counts.count_tokens(*token_counts.write_tokens(long, block=block)).collect()
-    assert [(r.doc_id, r.n_tokens) for r in got] == [(8, len(enc.encode_ordinary(long.first().text)))]
-
-
 def test_line_index_keeps_ties(tmp_path):
     """Line hashes that share their 64-bit key keep their own counts."""
     import pyarrow as pa
@@ -593,3 +584,100 @@ def test_mixing_brute_force(spark, monkeypatch, span):
     got = mixing.mix(docs, quality=quality).collect()
     assert len(got) == len(rows) and {(r.doc_id, r.source): r.taken for r in got} == taken
     assert all(r.target == pytest.approx(target[r.source]) for r in got)
+
+
+@pytest.mark.parametrize("keys,cache,span", [(1 << 16, 1 << 26, 0), (3, 0, 1), (3, 0, 1 << 20), (5, 1 << 26, 1 << 20)])
+def test_line_dedup_brute_force(spark, monkeypatch, keys, cache, span):
+    """One shard and many, kept and streamed, several blocks a pass; keys in exactly min_docs documents, ties and odd spaces."""
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", keys)
+    rng = np.random.default_rng(8)
+    lines = [f"Line {i}" for i in range(30)] + ["", " \t", "  line 3\v", "É é"]
+    texts = ["\n".join(rng.choice(lines, int(rng.integers(1, 8)))) for _ in range(40)] + [None, "", "a\r\nb", "LINE 3"] + ["once " + str(i) + "\nexactly four" for i in range(4)] + ["only three"] * 3
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string").repartition(4)
+
+    def key(x):
+        return lower(x.strip(" \t\n\v\f\r"))
+
+    n = Counter(k for x in texts for k in {key(y) for y in (x or "").split("\n")} if len(k) >= 1)
+    got = {r.doc_id: r for r in line_dedup.line_dedup(docs, min_docs=4, cache=cache, span=span).collect()}
+    for i, x in enumerate(texts):
+        own = (x or "").split("\n")
+        kept = [y for y in own if n[key(y)] < 4]
+        assert (got[i].text, got[i].n_lines, got[i].n_dropped) == ("\n".join(kept), len(own), len(own) - len(kept))
+    assert n["exactly four"] == 4 and got[44].n_dropped == 1 and got[48].text == "only three"
+
+
+def test_shared_folder(spark, monkeypatch, tmp_path):
+    """Stored tables can be deleted; without a shared folder only a local master gets a temporary one."""
+    from types import SimpleNamespace
+
+    B.store(spark.range(3), "mine")
+    paths = list(spark.sparkContext._plumbline_paths)
+    import os
+
+    assert os.path.isdir(paths[-1].removeprefix("file:").replace("//", "/", 1)) and B.clean(spark) == len(paths)
+    assert not os.path.isdir(paths[-1].removeprefix("file:").replace("//", "/", 1))
+    conf = SimpleNamespace(get=lambda k: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        B.shared_dir(SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://somewhere:7077")))
+
+
+def test_language_id_brute_force(spark, odd):
+    """Counts, prior and posterior of naive Bayes over the same features, by dictionaries; further columns may clash."""
+    rows = [(i, x, g, "c") for i, (x, g) in enumerate([("the cat sat", "en"), ("a cat", "en"), ("le chat noir", "fr"), ("été", "fr"), ("der Hund", "de"), (None, "de"), ("the dog", None), ("123", "en"), ("", None)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
+    import pyarrow as pa
+
+    def grams(x):
+        return list(language_id.features(pa.array([x], pa.string()), 64)[0])
+
+    langs = sorted({g for _, _, g, _ in rows if g})
+    counts = {g: Counter(f for _, x, h, _ in rows if h == g for f in grams(x)) for g in langs}
+    prior = {g: 1 + sum(h == g for *_, h, _ in rows) for g in langs}
+    got = {r.doc_id: r for r in language_id.predict(docs, language_id.learn(docs, buckets=64), ["doc_id"]).collect()}
+    for i, x, _, _ in rows:
+        f = grams(x)
+        logs = {g: math.log(prior[g] / sum(prior.values())) + sum(math.log((counts[g][k] + 0.5) / (sum(counts[g].values()) + 0.5 * 64)) for k in f) for g in langs}
+        top = max(logs.values())
+        want = max(langs, key=lambda g: logs[g]) if f else "und"
+        assert got[i].lang_pred == want and got[i].score == pytest.approx(1 / sum(math.exp(v - top) for v in logs.values()) if f else 0.0, rel=1e-4)
+
+
+def test_quality_em_brute_force():
+    """EM over patterns against EM over rows, and a likelihood that never falls."""
+    rng = np.random.default_rng(1)
+    v = rng.integers(-1, 2, (12, 4))
+    n = rng.integers(1, 9, 12)
+    post, table, good = quality.em(v, n, rounds=7)
+    rows = np.repeat(np.arange(12), n)
+    p = np.array([0.05 if (v[r] < 0).any() else 0.9 for r in rows])
+    for _ in range(7):
+        share = min(0.99, max(0.01, p.mean()))
+        est = [[[(sum((w if c else 1 - w) for r, w in zip(rows, p) if v[r, j] == x) + 1) for x in (-1, 0, 1)] for c in (0, 1)] for j in range(4)]
+        est = [[[x / sum(own) for x in own] for own in both] for both in est]
+        p = np.array([(b := math.prod([share, *(est[j][1][v[r, j] + 1] for j in range(4))])) / (b + math.prod([1 - share, *(est[j][0][v[r, j] + 1] for j in range(4))])) for r in rows])
+    assert [post[r] for r in rows] == pytest.approx(list(p), rel=1e-6) and good == pytest.approx(share)
+
+
+def test_quality_odd(spark, odd, none):
+    """Scores by hand, a sample within its bound though one id repeats, and clashing columns."""
+    docs = odd.withColumn("score", F.lit("c")).withColumn("kept", F.lit(1))
+    model = quality.fit(docs.union(docs.where("doc_id = 4")), sample=4)
+    got = {r.doc_id: r for r in quality.score(docs, model, ["doc_id"]).collect()}
+    posterior, weights, bias = model
+    raw = np.frombuffer(b"x", np.uint8)
+    h, s, e, _ = B.word_spans(raw, np.array([0, 1]))
+    assert got[7].score == pytest.approx(1 / (1 + math.exp(-(weights[quality.features(raw, h, s, e)].sum() / 3 + bias))))
+    assert got[1].score == 0 and not got[2].kept and len(got) == 10
+
+
+def test_clashing_columns(spark, odd):
+    """Tokens and vectors of tables whose further columns are named as the results or as what is used inside."""
+    docs = odd.withColumn("n_tokens", F.lit("c")).withColumn("block", F.lit(1)).withColumn("file", F.lit(2))
+    got = token_counts.count_tokens(*token_counts.write_tokens(docs, block=64)).collect()
+    assert len(got) == 11 and {r.doc_id: r.n_tokens for r in got}[1] == 0
+    items = spark.createDataFrame([(1, "word3 word4", 5)], "item_id long, text string, pos int")
+    hit = decontamination.decontaminate(docs.withColumn("pos", F.lit(1)).withColumn("term", F.lit("t")).withColumn("item", F.lit(3)), items).collect()
+    assert {r.doc_id: r.n_hit for r in hit}[4] == 2
+    assert near_dedup.near_duplicates(docs.withColumn("band", F.lit(1)).withColumn("kept", F.lit(0)).withColumn("node", F.lit(0))).count() == 11
+    assert mixing.mix(docs.withColumn("src", F.lit(1)).withColumn("key", F.lit(0)).withColumn("part", F.lit(0))).count() == 11
