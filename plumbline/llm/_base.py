@@ -48,24 +48,42 @@ def ship(spark: SparkSession) -> None:
 BATCH_ROWS = 1000
 
 
+def trim() -> None:
+    """Give freed memory back to the system."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def lean(run):
     """run over Arrow batches, with freed memory given back to the system between and after tasks."""
     import functools as ft
 
     @ft.wraps(run)
     def wrapped(batches):
-        import ctypes
-        import gc
-
         pa.set_memory_pool(pa.system_memory_pool())
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):
-                pass  # another C library
+            trim()
+
+    return wrapped
+
+
+def lean_group(run):
+    """The same for a function of one group."""
+
+    def wrapped(table: pa.Table) -> pa.Table:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            return run(table)
+        finally:
+            trim()
 
     return wrapped
 

@@ -148,7 +148,7 @@ def _count(depth: int, buckets: int):
         names = ["key", "n", "bucket", "keys", "counts"]
         for batch in batches:
             b, offs = B.text_buffers(batch.column(0))
-            for lo, hi in B.row_blocks(offs, B.PIECE):
+            for lo, hi in B.row_blocks(offs, B.PIECE // 4):
                 code, _, h, at = stream(b[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], depth)
                 for kind, values in ((0, code), (1, h)):
                     k, c = np.unique(values, return_counts=True)
@@ -345,7 +345,7 @@ class Model:
             p = _log10(_subtree(keys, n, depth), asked, top.value) if len(asked) else np.zeros(0)
             return pa.table({"key": asked.view(np.int64), "p": p})
 
-        return self.grams.groupBy("bucket").applyInArrow(run, "key long, p double")
+        return self.grams.groupBy("bucket").applyInArrow(B.lean_group(run), "key long, p double")
 
     def row_sums(self, codes: DataFrame, entries: int, rows: int) -> DataFrame:
         """(row, total): log10 probabilities of codes summed by row.
@@ -367,21 +367,27 @@ class Model:
             own = [np.flatnonzero(of == k) for k in np.unique(of)]
             return pa.table({"share": pa.array([of[x[0]] for x in own], pa.int64()), "rows": pa.array([_steps(rows[x]) for x in own], pa.binary()), "totals": pa.array([_planes(totals[x]) for x in own], pa.binary())})
 
+        def trimmed(grams: pa.Table, wanted: pa.Table) -> pa.Table:
+            try:
+                return run(grams, wanted)
+            finally:
+                B.trim()
+
         def total(table: pa.Table) -> pa.Table:
             rows, at = np.unique(np.concatenate(_climbed(table.column("rows"), np.int64)), return_inverse=True)
             return pa.table({"row": rows, "total": np.bincount(at, weights=np.concatenate(_numbers(table.column("totals"), np.float64)))})
 
         asked = codes.select("bucket", F.pmod(F.xxhash64("keys"), F.lit(parts)).alias("part"), "rows", "keys", "times")
         grams = self.grams.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-        found = grams.groupBy("bucket", "part").cogroup(asked.groupBy("bucket", "part")).applyInArrow(run, "share long, rows binary, totals binary")
-        return found.groupBy("share").applyInArrow(total, "row long, total double")
+        found = grams.groupBy("bucket", "part").cogroup(asked.groupBy("bucket", "part")).applyInArrow(trimmed, "share long, rows binary, totals binary")
+        return found.groupBy("share").applyInArrow(B.lean_group(total), "row long, total double")
 
 
 class Lookup:
     """A hash table from uint64 keys to numbers, probed for whole arrays."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(4, (2 * len(keys)).bit_length())
+        bits = max(4, (2 * len(keys) - 1).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys, self.values, self.used = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, values.dtype), np.zeros(1 << bits, bool)
         left, at = np.arange(len(keys)), self.slot(keys)
@@ -439,8 +445,8 @@ def learn(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, max_grams
     rare = words.where(F.col("n") < least)
 
     grams = counts.where("bucket is not null").select("bucket", "keys", "counts")
-    grams = B.store(grams.groupBy("bucket").applyInArrow(_merge, GRAMS), "grams", "zstd")
-    sums = grams.groupBy("bucket").applyInArrow(_bucket_totals(depth), "bit int, node long, p double, n0 double, n1 double")
+    grams = B.store(grams.groupBy("bucket").applyInArrow(B.lean_group(_merge), GRAMS), "grams", "zstd")
+    sums = grams.groupBy("bucket").applyInArrow(B.lean_group(_bucket_totals(depth)), "bit int, node long, p double, n0 double, n1 double")
     sums = sums.groupBy("bit", "node").agg(*[F.sum(c).alias(c) for c in ("p", "n0", "n1")]).toArrow()  # at most 256 ** SPLIT nodes a kind
     bit, node, *sums = (sums.column(c).to_numpy() for c in ("bit", "node", "p", "n0", "n1"))
     below = [(node[bit == j].view(np.uint64), *(x[bit == j] for x in sums)) for j in range(8)]
@@ -483,7 +489,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             b, offs = B.text_buffers(batch.column(batch.num_columns - 1))
-            for lo, hi in B.row_blocks(offs, B.PIECE):
+            for lo, hi in B.row_blocks(offs, B.PIECE // 2):
                 n = hi - lo
                 code, at, h, word_at = stream(b[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], depth)
                 p, ok = known.get(code)

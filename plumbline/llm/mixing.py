@@ -43,8 +43,10 @@ def uniform(key: Column) -> Column:
 
 
 def ranges(df: DataFrame, *order: Column) -> DataFrame:
-    """df, stored, with `part`: the place of a row's range in this order; a range holds about RANGE rows."""
+    """df with `part`: the place of a row's range in this order; a range holds about RANGE rows, and several are stored."""
     parts = df.count() // RANGE + 1
+    if parts == 1:
+        return df.withColumn("part", F.lit(0))
     return B.store(df.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "ranges")
 
 
@@ -68,7 +70,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...], share: float, most: in
     total = ranked.agg(F.sum("source_size").alias("total"), F.sum("w").alias("w_total"))
     level = (F.lit(share) * F.col("total") - F.col("cap_before")) / (F.col("w_total") - F.col("w_before"))
     # the first source whose limit is not below its share sets the level for all that follow
-    found = B.store(before.crossJoin(F.broadcast(total)).withColumn("level", level), "levels")  # total: one row
+    found = before.crossJoin(F.broadcast(total)).withColumn("level", level)  # total: one row
     final = found.agg(F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.struct("ratio", "level"))).getField("level").alias("final"))
     target = F.least(F.coalesce(F.col("final") * F.col("w"), F.col("cap").cast("double")), F.col("cap").cast("double"))
     return found.crossJoin(F.broadcast(final)).select("src", "source_size", target.alias("target"))  # final: one row
