@@ -109,20 +109,31 @@ def new_path(spark: SparkSession, what: str) -> str:
 
 def clean(spark: SparkSession) -> int:
     """Delete what this session has stored in the shared folder, once its results are written; returns how many tables."""
-    sc = spark.sparkContext
-    paths, sc._plumbline_paths = getattr(sc, "_plumbline_paths", []), []
+    paths = list(getattr(spark.sparkContext, "_plumbline_paths", []))
     for p in paths:
-        path = sc._jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, p)
     return len(paths)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a stored table that nothing will read again."""
+    sc = spark.sparkContext
+    sc._plumbline_paths = [p for p in getattr(sc, "_plumbline_paths", []) if p != path]
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def store(df: DataFrame, what: str = "t", codec: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
+    return stored(df, what, codec)[0]
+
+
+def stored(df: DataFrame, what: str = "t", codec: str = "snappy") -> tuple[DataFrame, str]:
+    """store, with the path, for tables to be removed before the end."""
     spark = session(df)
     path = new_path(spark, what)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def bounded_broadcast(df: DataFrame, rows: int, limit: int = 1_000_000) -> DataFrame:

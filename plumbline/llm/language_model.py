@@ -436,7 +436,7 @@ def learn(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, max_grams
     texts = docs.select(F.col(text_col).alias("text"))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = int(min(max(1, size // SHARE), 256**SPLIT))
-    counts = B.store(texts.mapInArrow(B.lean(_count(depth, buckets)), "key long, n long, " + GRAMS), "counts", "zstd")
+    counts, path = B.stored(texts.mapInArrow(B.lean(_count(depth, buckets)), "key long, n long, " + GRAMS), "counts", "zstd")
     words = B.store(counts.where("bucket is null").groupBy("key").agg(F.sum("n").alias("n")), "words")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     least, often = _bounded(words, max_words)
@@ -446,6 +446,7 @@ def learn(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, max_grams
 
     grams = counts.where("bucket is not null").select("bucket", "keys", "counts")
     grams = B.store(grams.groupBy("bucket").applyInArrow(B.lean_group(_merge), GRAMS), "grams", "zstd")
+    B.remove(B.session(docs), path)  # words and grams are stored on their own
     sums = grams.groupBy("bucket").applyInArrow(B.lean_group(_bucket_totals(depth)), "bit int, node long, p double, n0 double, n1 double")
     sums = sums.groupBy("bit", "node").agg(*[F.sum(c).alias(c) for c in ("p", "n0", "n1")]).toArrow()  # at most 256 ** SPLIT nodes a kind
     bit, node, *sums = (sums.column(c).to_numpy() for c in ("bit", "node", "p", "n0", "n1"))
