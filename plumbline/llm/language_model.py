@@ -118,6 +118,7 @@ def _climbed(col: pa.ChunkedArray, kind) -> list[np.ndarray]:
 def _by_bucket(codes: np.ndarray, buckets: int):
     """(bucket, places) of the codes of each bucket that has some, in the order that they came in."""
     of = _bucket(codes, buckets)
+    of = of.astype(np.int16) if buckets < 1 << 15 else of  # sorted by radix
     order = np.argsort(of, kind="stable")
     cuts = np.flatnonzero(np.diff(of[order], prepend=-1)) if len(of) else np.zeros(0, np.int64)
     for lo, hi in zip(cuts, [*cuts[1:], len(of)]):
@@ -350,7 +351,7 @@ class Model:
     def row_sums(self, codes: DataFrame, entries: int, rows: int) -> DataFrame:
         """(row, total): log10 probabilities of codes summed by row.
 
-        codes: (bucket, rows, keys, times), packed; entries: how many codes; rows: how many rows. A subtree packs its sums for
+        codes: (bucket, rows, keys), packed; entries: how many codes; rows: how many rows. A subtree packs its sums for
         about SUMMED rows at a time, so that what it sends doesn't grow with rows x subtrees.
         """
         top, depth = B.session(codes).sparkContext.broadcast(self.top), self.depth
@@ -362,7 +363,7 @@ class Model:
             keys, at = np.unique(np.concatenate(_numbers(wanted.column("keys"), np.uint64)), return_inverse=True)
             p = _log10(_subtree(*_listed_grams(grams), depth), keys, top.value)
             rows, place = np.unique(np.concatenate(_climbed(wanted.column("rows"), np.int64)), return_inverse=True)
-            totals = np.bincount(place, weights=p[at] * np.concatenate(_numbers(wanted.column("times"), np.int32)))
+            totals = np.bincount(place, weights=p[at])
             of = rows % shares
             own = [np.flatnonzero(of == k) for k in np.unique(of)]
             return pa.table({"share": pa.array([of[x[0]] for x in own], pa.int64()), "rows": pa.array([_steps(rows[x]) for x in own], pa.binary()), "totals": pa.array([_planes(totals[x]) for x in own], pa.binary())})
@@ -377,7 +378,7 @@ class Model:
             rows, at = np.unique(np.concatenate(_climbed(table.column("rows"), np.int64)), return_inverse=True)
             return pa.table({"row": rows, "total": np.bincount(at, weights=np.concatenate(_numbers(table.column("totals"), np.float64)))})
 
-        asked = codes.select("bucket", F.pmod(F.xxhash64("keys"), F.lit(parts)).alias("part"), "rows", "keys", "times")
+        asked = codes.select("bucket", F.pmod(F.xxhash64("keys"), F.lit(parts)).alias("part"), "rows", "keys")
         grams = self.grams.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
         found = grams.groupBy("bucket", "part").cogroup(asked.groupBy("bucket", "part")).applyInArrow(trimmed, "share long, rows binary, totals binary")
         return found.groupBy("share").applyInArrow(B.lean_group(total), "row long, total double")
@@ -480,7 +481,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
     below = math.log10(model.tokens + 0.5 * (model.distinct + 1))
     never = math.log10(0.5) - below
     src = docs.select(*keep, F.col(text_col).alias("__text"))
-    extra = "__row long, __tokens long, __known long, __base double, __score double, __bytes long, __rare array<long>, __times array<int>, __bucket long, __rows binary, __keys binary, __often binary"
+    extra = "__row long, __tokens long, __known long, __base double, __score double, __bytes long, __rare array<long>, __times array<int>, __bucket long, __rows binary, __keys binary"
     schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in src.schema.fields[:-1]], *T.StructType.fromDDL(extra).fields])
     arrow = to_arrow_schema(schema)
     buckets = model.buckets
@@ -495,7 +496,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
                 code, at, h, word_at = stream(b[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], depth)
                 p, ok = known.get(code)
                 p_sum = np.concatenate([[0.0], np.cumsum(np.where(ok, p, 0.0))])
-                codes, often = _listed(code, np.flatnonzero(~ok), at)
+                odd = np.flatnonzero(~ok)
                 c, ok = frequent.get(h)
                 base = np.where(ok, np.log10(c + 0.5) - below, never)
                 end_c, end_ok = frequent.get(np.array([END_WORD]))
@@ -508,17 +509,16 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
                 cols += [pa.nulls(n, f.type) for f in list(arrow)[len(cols) :]]
                 yield pa.RecordBatch.from_arrays(cols, schema.names)
                 # the other grams, packed by subtree
-                of = row + np.repeat(np.arange(n), np.diff(codes.offsets.to_numpy()))
-                flat, often = codes.values.to_numpy().view(np.uint64), often.values.to_numpy()
-                parts = [(k, _steps(of[x]), _planes(flat[x]), _planes(often[x])) for k, x in _by_bucket(flat, buckets)]
+                of, flat = row + np.searchsorted(at, odd, side="right") - 1, code[odd]
+                parts = [(k, _steps(of[x]), _planes(flat[x])) for k, x in _by_bucket(flat, buckets)]
                 row += n
                 if parts:
-                    cols = [pa.nulls(len(parts), f.type) for f in list(arrow)[:-4]]
-                    cols += [pa.array([x[i] for x in parts], f.type) for i, f in enumerate(list(arrow)[-4:])]
+                    cols = [pa.nulls(len(parts), f.type) for f in list(arrow)[:-3]]
+                    cols += [pa.array([x[i] for x in parts], f.type) for i, f in enumerate(list(arrow)[-3:])]
                     yield pa.RecordBatch.from_arrays(cols, schema.names)
 
     stored = B.store(src.mapInArrow(B.lean(run), schema), "scored", "zstd")
-    rows = stored.where("__bucket is null").drop("__bucket", "__rows", "__keys", "__often")
+    rows = stored.where("__bucket is null").drop("__bucket", "__rows", "__keys")
 
     def entries(keys: str, times: str) -> DataFrame:
         met = rows.select("__row", F.explode(F.arrays_zip(keys, times)).alias("x"))
@@ -526,8 +526,8 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
 
     words = entries("__rare", "__times").join(model.rare, "key")
     words = words.groupBy("__row").agg(F.sum("times").alias("__more"), F.sum(F.col("times") * (F.log10(F.col("n") + 0.5) - math.log10(0.5))).alias("__up"))
-    codes = stored.where("__bucket is not null").select(*[F.col(f"__{a}").alias(b) for a, b in (("bucket", "bucket"), ("rows", "rows"), ("keys", "keys"), ("often", "times"))])
-    n = codes.agg(F.coalesce(F.sum(F.octet_length("times") / 4), F.lit(0))).first()[0]
+    codes = stored.where("__bucket is not null").select(*[F.col(f"__{c}").alias(c) for c in ("bucket", "rows", "keys")])
+    n = codes.agg(F.coalesce(F.sum(F.octet_length("keys") / 8), F.lit(0))).first()[0]
     codes = model.row_sums(codes, int(n), rows.count()).select(F.col("row").alias("__row"), F.col("total").alias("__odd"))
     out = rows.drop("__rare", "__times").join(words, "__row", "left").join(codes, "__row", "left")
     total = F.col("__score") + F.coalesce("__odd", F.lit(0.0))
