@@ -41,7 +41,7 @@ from . import _base as B
 DEPTH, END, SPACE, SPLIT = 6, 10, 32, 2
 SHARE, ASKED = 1 << 22, 1 << 20  # bytes of text for each subtree, and codes that a subtree is asked at once
 BUCKET, ROW, SUMMED = 1 << 17, 1 << 20, 1 << 15  # codes looked up at once, grams in a stored row, rows summed by a task
-MAX_GRAMS, MAX_WORDS, FLUSH = 1 << 20, 1 << 20, 1 << 20
+MAX_GRAMS, MAX_WORDS, FLUSH = 1 << 20, 1 << 20, 1 << 19
 END_WORD = np.uint64(0x6A09E667F3BCC909)
 
 
@@ -491,7 +491,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             b, offs = B.text_buffers(batch.column(batch.num_columns - 1))
-            for lo, hi in B.row_blocks(offs, B.PIECE // 2):
+            for lo, hi in B.row_blocks(offs, B.PIECE // 4):
                 n = hi - lo
                 code, at, h, word_at = stream(b[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], depth)
                 p, ok = known.get(code)
