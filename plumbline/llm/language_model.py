@@ -41,7 +41,8 @@ from . import _base as B
 DEPTH, END, SPACE, SPLIT = 6, 10, 32, 2
 SHARE, ASKED = 1 << 22, 1 << 20  # bytes of text for each subtree, and codes that a subtree is asked at once
 BUCKET, ROW, SUMMED = 1 << 17, 1 << 20, 1 << 15  # codes looked up at once, grams in a stored row, rows summed by a task
-MAX_GRAMS, MAX_WORDS, FLUSH = 1 << 20, 1 << 20, 1 << 19
+MAX_GRAMS, MAX_WORDS, FLUSH = 1 << 20, 1 << 20, 1 << 20
+READ = 256  # rows that the Parquet reader takes at once
 END_WORD = np.uint64(0x6A09E667F3BCC909)
 
 
@@ -431,9 +432,16 @@ def _bounded(table: DataFrame, limit: int) -> tuple[int, DataFrame]:
     return least, table.where(F.col("n") >= least)
 
 
+def _short_reads(spark) -> None:
+    """Packed rows are long: the Parquet reader takes fewer of them at once."""
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    spark.conf.set(name, str(min(READ, int(spark.conf.get(name)))))
+
+
 def learn(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, max_grams: int = MAX_GRAMS, max_words: int = MAX_WORDS) -> Model:
     """The model of docs. depth: SPLIT to 7; max_grams and max_words bound what is broadcast, not what is learned."""
     B.ship(B.session(docs))
+    _short_reads(B.session(docs))
     texts = docs.select(F.col(text_col).alias("text"))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = int(min(max(1, size // SHARE), 256**SPLIT))
@@ -476,6 +484,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
     """The columns `keep` of docs, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte."""
     spark = B.session(docs)
     B.ship(spark)
+    _short_reads(spark)
     depth = model.depth
     shared = spark.sparkContext.broadcast((model.known, model.frequent))  # at most max_grams and max_words entries
     below = math.log10(model.tokens + 0.5 * (model.distinct + 1))
@@ -491,7 +500,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             b, offs = B.text_buffers(batch.column(batch.num_columns - 1))
-            for lo, hi in B.row_blocks(offs, B.PIECE // 4):
+            for lo, hi in B.row_blocks(offs, B.PIECE // 2):
                 n = hi - lo
                 code, at, h, word_at = stream(b[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], depth)
                 p, ok = known.get(code)
