@@ -228,22 +228,12 @@ def filter_violations(spark, sf):
     return out.select(F.element_at("affected_sheets", 1).alias("sheet"), "section_id", "location_hint", "description")
 
 
-PAIRS = "e2 AS (SELECT 'S-' || (TRY_CAST(split_part(sheet, '-', 2) AS BIGINT) % 2) AS sheet, type, split_part(id, '-', 2) || '-' || split_part(id, '-', 3) AS id, attribute, value_mm FROM el WHERE value_mm IS NOT NULL)"
-
-
-@query(f"WITH {ELEMENTS}, {PAIRS} SELECT DISTINCT a.type, a.id, a.attribute, a.sheet AS sheet_a, round(a.value_mm, 6) AS value_a, b.sheet AS sheet_b, round(b.value_mm, 6) AS value_b FROM e2 a JOIN e2 b ON a.type = b.type AND a.id = b.id AND a.attribute = b.attribute AND a.sheet < b.sheet AND a.value_mm <> b.value_mm")
-def consistency_conflicts(spark, sf):
-    e = elements(spark, sf)
-    e = e.withColumn("sheet", F.concat(F.lit("S-"), (F.split_part("sheet", F.lit("-"), F.lit(2)).cast("long") % 2).cast("string"))).withColumn("id", F.concat_ws("-", F.split_part("id", F.lit("-"), F.lit(2)), F.split_part("id", F.lit("-"), F.lit(3))))
-    return R.conflicts(e).withColumn("value_a", F.round("value_a", 6)).withColumn("value_b", F.round("value_b", 6))
-
-
-# consistency_conflicts folds the orders into two sheets, as its SQL does; here a sheet is an order.
+# A sheet is an order.
 OWN_SHEETS = "e2 AS (SELECT DISTINCT sheet, type, split_part(id, '-', 2) || '-' || split_part(id, '-', 3) AS id, attribute, value_mm FROM el WHERE value_mm IS NOT NULL)"
 
 
 @query(f"WITH {ELEMENTS}, {OWN_SHEETS} SELECT DISTINCT a.type, a.id, a.attribute, a.sheet AS sheet_a, round(a.value_mm, 6) AS value_a, b.sheet AS sheet_b, round(b.value_mm, 6) AS value_b FROM e2 a JOIN e2 b ON a.type = b.type AND a.id = b.id AND a.attribute = b.attribute AND a.sheet < b.sheet AND a.value_mm <> b.value_mm")
-def consistency_conflicts_orders(spark, sf):
+def consistency_conflicts(spark, sf):
     e = elements(spark, sf)
     e = e.withColumn("id", F.concat_ws("-", F.split_part("id", F.lit("-"), F.lit(2)), F.split_part("id", F.lit("-"), F.lit(3)))).select("sheet", "type", "id", "attribute", "value_mm").distinct()
     return R.conflicts(e).withColumn("value_a", F.round("value_a", 6)).withColumn("value_b", F.round("value_b", 6))
@@ -278,49 +268,27 @@ def chunks(spark, sf):
     return run(spark, sf, "SELECT vec_id AS id, embedding, concat(CASE WHEN label % 2 = 0 THEN '9.' ELSE '3.' END, label) AS section_id FROM embeddings")
 
 
-def probes(spark, sf, n):
-    return run(spark, sf, "SELECT vec_id AS query_id, embedding AS q FROM embeddings").where(F.col("query_id") < n)
+# The vectors whose id is divisible by 100 are the queries, against all vectors.
+def probes(spark, sf):
+    return run(spark, sf, "SELECT vec_id AS query_id, embedding AS q FROM embeddings").where("query_id % 100 = 0")
 
 
-SIM = "s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, concat(CASE WHEN b.label % 2 = 0 THEN '9.' ELSE '3.' END, b.label) AS section_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim FROM embeddings a, embeddings b WHERE a.vec_id < {n}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM s WHERE sim > {t})"
+SIM = "s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, concat(CASE WHEN b.label % 2 = 0 THEN '9.' ELSE '3.' END, b.label) AS section_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM s WHERE sim > {t})"
 
 
-@query(f"WITH {SIM.format(n=1, t=0.1)} SELECT id, round(sim, 6) AS similarity, rank FROM r WHERE rank <= 10")
+@query(f"WITH {SIM.format(t=0.1)} SELECT query_id, id, round(sim, 6) AS similarity, rank FROM r WHERE rank <= 10")
 def vector_topk(spark, sf):
-    return C.similar(probes(spark, sf, 1), chunks(spark, sf), 0.1, 10).select("id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
+    return C.similar(probes(spark, sf), chunks(spark, sf), 0.1, 10).select("query_id", "id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"WITH {SIM.format(n=5, t=0.05)}, o AS (SELECT *, starts_with(section_id, '9.') AS own, max(starts_with(section_id, '9.')) OVER (PARTITION BY query_id) AS any_own FROM r WHERE rank <= 64) SELECT query_id, id, k::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM o WHERE own OR NOT any_own) WHERE k <= 8")
+@query(f"WITH {SIM.format(t=0.05)}, o AS (SELECT *, starts_with(section_id, '9.') AS own, max(starts_with(section_id, '9.')) OVER (PARTITION BY query_id) AS any_own FROM r WHERE rank <= 64) SELECT query_id, id, k::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM o WHERE own OR NOT any_own) WHERE k <= 8")
 def vector_overfetch_prefix(spark, sf):
-    return C.similar_in_part(probes(spark, sf, 5), chunks(spark, sf), "9.", 8, 0.05).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
+    return C.similar_in_part(probes(spark, sf), chunks(spark, sf), "9.", 8, 0.05).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"WITH {SIM.format(n=5, t=0.1)} SELECT id, query_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY query_id, rank) AS n FROM r WHERE rank <= 20) WHERE n = 1")
+@query(f"WITH {SIM.format(t=0.1)} SELECT id, query_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY query_id, rank) AS n FROM r WHERE rank <= 20) WHERE n = 1")
 def multi_category_dedupe(spark, sf):
-    return C.first_seen(C.similar(probes(spark, sf, 5), chunks(spark, sf), 0.1, 20), ["id"], ["query_id", "rank"]).select("id", "query_id")
-
-
-# The three searches above take the first vectors, as their SQL does; those below every vector whose id is divisible by 100.
-EVERY = SIM.replace("a.vec_id < {n}", "a.vec_id % 100 = 0")
-
-
-def every_probe(spark, sf):
-    return run(spark, sf, "SELECT vec_id AS query_id, embedding AS q FROM embeddings").where("query_id % 100 = 0")
-
-
-@query(f"WITH {EVERY.format(t=0.1)} SELECT query_id, id, round(sim, 6) AS similarity, rank FROM r WHERE rank <= 10")
-def vector_topk_every(spark, sf):
-    return C.similar(every_probe(spark, sf), chunks(spark, sf), 0.1, 10).select("query_id", "id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
-
-
-@query(f"WITH {EVERY.format(t=0.05)}, o AS (SELECT *, starts_with(section_id, '9.') AS own, max(starts_with(section_id, '9.')) OVER (PARTITION BY query_id) AS any_own FROM r WHERE rank <= 64) SELECT query_id, id, k::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM o WHERE own OR NOT any_own) WHERE k <= 8")
-def vector_overfetch_prefix_every(spark, sf):
-    return C.similar_in_part(every_probe(spark, sf), chunks(spark, sf), "9.", 8, 0.05).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
-
-
-@query(f"WITH {EVERY.format(t=0.1)} SELECT id, query_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY query_id, rank) AS n FROM r WHERE rank <= 20) WHERE n = 1")
-def multi_category_dedupe_every(spark, sf):
-    return C.first_seen(C.similar(every_probe(spark, sf), chunks(spark, sf), 0.1, 20), ["id"], ["query_id", "rank"]).select("id", "query_id")
+    return C.first_seen(C.similar(probes(spark, sf), chunks(spark, sf), 0.1, 20), ["id"], ["query_id", "rank"]).select("id", "query_id")
 
 
 STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
