@@ -40,7 +40,7 @@ from . import _base as B
 
 DEPTH, END, SPACE, SPLIT = 6, 10, 32, 2
 SHARE, ASKED = 1 << 22, 1 << 20  # bytes of text for each subtree, and codes that a subtree is asked at once
-BUCKET, ROW, SUMMED = 1 << 17, 1 << 20, 1 << 15  # codes looked up at once, grams in a stored row, rows summed by a task
+BUCKET, ROW, SUMMED = 1 << 15, 1 << 20, 1 << 15  # codes looked up at once, grams in a stored row, rows summed by a task
 MAX_GRAMS, MAX_WORDS, FLUSH = 1 << 20, 1 << 20, 1 << 20
 READ = 256  # rows that the Parquet reader takes at once
 END_WORD = np.uint64(0x6A09E667F3BCC909)
@@ -256,34 +256,46 @@ class Tree:
             below = now
         self.totals = below
 
-    def mix(self, codes: np.ndarray, j: int, p: np.ndarray, deeper: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Probability of bit j of each code, given that of further depths, and whether any depth has seen its context."""
-        on = ((codes >> np.uint64(7 - j)) & np.uint64(1)).astype(bool)
-        for i in range(len(self.grams) - 1, -1, -1):
-            g, cum = self.grams[i], self.cum[i]
-            if not len(g):
-                continue
-            key = (codes & _mask(8 * (self.top + i) + 8)) >> np.uint64(8 - j)
-            lo = np.searchsorted(g, key << np.uint64(8 - j))
-            hi = np.searchsorted(g, (key << np.uint64(8 - j)) | _mask(8 - j), side="right")
-            mid = np.searchsorted(g, ((key << np.uint64(1)) | np.uint64(1)) << np.uint64(7 - j))
-            n = cum[hi] - cum[lo]
-            n_on = np.where(on, cum[hi] - cum[mid], cum[mid] - cum[lo])
-            est = (n_on + 0.5) / (n + 1.0)
-            w = self.weight[i][np.minimum(lo, len(g) - 1), j].astype(float)
-            here = n > 0
-            p = np.where(here, np.where(deeper, w * est + (1 - w) * p, est), p)
-            deeper = deeper | here
-        return p, deeper
-
     def log10(self, codes: np.ndarray, *above: Tree) -> np.ndarray:
-        """log10 probability of each code's symbol after its context; above: trees of the lesser depths."""
-        out = np.zeros(len(codes))
-        for j in range(8):
-            p, seen = np.full(len(codes), 0.5), np.zeros(len(codes), bool)
-            for tree in (self, *above):
-                p, seen = tree.mix(codes, j, p, seen)
-            out += np.log10(p)
+        """log10 probability of each code's symbol after its context; above: trees of the lesser depths.
+
+        From the root down, each depth takes the distinct codes of that many bytes: sorted by their bytes from the nearest on, these
+        are runs. Per bit, `given` is what the lesser depths add, `left` the weight that they leave, and p the probability if no
+        further depth has seen the context; what one depth has not seen, no further one has. Each bit halves the range of a
+        context's grams.
+        """
+        if not len(codes):
+            return np.zeros(0)
+        order = np.argsort(codes.byteswap())
+        codes = codes[order]
+        run, p = np.zeros(len(codes), np.int64), np.full((8, 1), 0.5)  # each code's run at the depth so far
+        given, left, place = np.zeros((8, 1)), np.ones((8, 1)), np.zeros(1, np.int64)
+        for tree, i in [(t, i) for t in (*above[::-1], self) for i in range(len(t.grams))]:
+            g, cum, weight = tree.grams[i], tree.cum[i], tree.weight[i]
+            own = codes & _mask(8 * (tree.top + i) + 8)
+            new = np.concatenate([[True], own[1:] != own[:-1]])
+            own, parent = own[new], run[new]
+            run, p = np.cumsum(new) - 1, p[:, parent]
+            context = own & ~_mask(8)
+            lo, hi = np.searchsorted(g, context), np.searchsorted(g, context | _mask(8), side="right")
+            met = np.flatnonzero(hi > lo)
+            own, lo, first, last = own[met], lo[met], cum[lo[met]], cum[hi[met]]
+            given, left = given[:, place[parent[met]]], left[:, place[parent[met]]]
+            place = np.zeros(len(parent), np.int64)
+            place[met] = np.arange(len(met))
+            for j in range(8):
+                on = ((own >> np.uint64(7 - j)) & np.uint64(1)).astype(bool)
+                mid = np.searchsorted(g, (own & ~_mask(8 - j)) | np.uint64(1 << (7 - j)))
+                cut = cum[mid]
+                n = last - first
+                est = (np.where(on, last - cut, cut - first) + 0.5) / (n + 1.0)
+                p[j, met] = np.where(n > 0, given[j] + left[j] * est, p[j, met])
+                w = weight[np.minimum(lo, len(g) - 1), j].astype(float)
+                given[j] += left[j] * w * est
+                left[j] *= 1 - w
+                lo, first, last = np.where(on, mid, lo), np.where(on, cut, first), np.where(on, last, cut)
+        out = np.empty(len(codes))
+        out[order] = np.log10(p.prod(axis=0))[run]
         return out
 
 
@@ -316,9 +328,11 @@ def _bucket_totals(depth: int):
 
 
 def _log10(tree: Tree, keys: np.ndarray, top: Tree) -> np.ndarray:
-    out = np.empty(len(keys))
+    """tree.log10 in blocks of codes that share their nearest bytes."""
+    out, order = np.empty(len(keys)), np.argsort(keys.byteswap())
     for lo in range(0, len(keys), BUCKET):
-        out[lo : lo + BUCKET] = tree.log10(keys[lo : lo + BUCKET], top)
+        at = order[lo : lo + BUCKET]
+        out[at] = tree.log10(keys[at], top)
     return out
 
 
