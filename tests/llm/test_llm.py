@@ -328,10 +328,11 @@ def test_pipeline_brute_force(spark, odd, tmp_path):
     rows = [(i, f"{said}\n" + " ".join(f"own{chr(97 + i)}{w}" for w in words["mine"]), "en", "a", 1) for i in range(12)]
     rows += [(20, None, None, None, None), (21, "", "en", "a", 0), (22, " 12 \n\t!", "en", "a", 7), (23, said, "en", "b", 31)]
     rows += [(30, copy, "en", "a", 1), (30, copy, "en", "a", 1), (31, copy.upper(), "en", None, 1), (32, copy + " extra", "en", "b", 1), (33, "x", "en", "b", 1)]
+    rows += [(50 + i, " ".join(f"été{chr(97 + i)}{w}" for w in words["mine"][: 20 + i]), "fr", "cba"[i % 3], 1) for i in range(6)]
     rows += [(40, "before " + " ".join(words["leak"][5:20]) + " after", "en", "b", 1), (41, " ".join(words["leak"][:9]), "en", "b", 1)]
     spark.createDataFrame(rows, DOC).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(0, 0, 0), (3, 1, 0), (3, 0, 0), (50, 1, 0), (51, None, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
 
     left = [r for r in rows if re.search("[^\\W\\d_]", r[1] or "")]
     often = Counter(k for r in left for k in {lower(x.strip(" \t\n\x0b\x0c\r")) for x in r[1].split("\n")})
@@ -346,9 +347,15 @@ def test_pipeline_brute_force(spark, odd, tmp_path):
     grams = {tuple(words["leak"][i : i + 10]) for i in range(51)}
     cut = [r for r in cut if not any(tuple(w[i : i + 10]) in grams for w in [re.findall(WORDS, lower(r[1]))] for i in range(len(w)))]
     want = sorted((i, repr(s), len(re.findall(WORDS, x))) for i, x, s in cut)
-    assert [i for i, _, _ in want] == [*range(12), 30, 30, 33, 41]
+    assert [i for i, _, _ in want] == [*range(12), 30, 30, 33, 41, *range(50, 56)]
     got = C.run(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, repr(r.source), r["size"]) for r in got) == want
+    target, taken = brute_mix([(i, x, s, {0: 0.5, 3: 2.0, 50: 2.0}.get(i)) for i, x, s in cut])
+    assert all(r.target == pytest.approx(target[r.source]) for r in got)
+    mine = {}
+    for r in got:
+        mine.setdefault((r.doc_id, r.source), []).append(r.taken)
+    assert {k: sorted(v) for k, v in mine.items()} == {k: sorted(v) for k, v in taken.items()}
 
 
 def test_line_index_keeps_ties(tmp_path):
@@ -532,7 +539,7 @@ def test_language_model_brute_force(spark, odd):
 
 
 def brute_mix(rows, weights=(5, 2, 1), share=1.5, most=2):
-    """{(doc_id, size): taken} and targets, by sorting each source. rows: (doc_id, text, source, quality)."""
+    """Targets by source and {(doc_id, source): [taken, ...]}, by sorting each source. rows: (doc_id, text, source, quality)."""
     import hashlib
 
     sized = []
@@ -567,7 +574,7 @@ def brute_mix(rows, weights=(5, 2, 1), share=1.5, most=2):
         late = [(abs(r[3] - gap), k) for k, r in enumerate(own) if k >= len(more) and r[3] and abs(r[3] - gap) < gap]
         more |= {min(late)[1]} if late else set()
         for k, r in enumerate(own):
-            taken[r[2], s] = r[3] * (epochs + (k in more))
+            taken.setdefault((r[2], s), []).append(r[3] * (epochs + (k in more)))
     return target, taken
 
 
@@ -582,7 +589,7 @@ def test_mixing_brute_force(spark, monkeypatch, span):
     quality = spark.createDataFrame([(r[0], r[3]) for r in rows if r[0] is not None], "doc_id long, q double")
     target, taken = brute_mix(rows)
     got = mixing.mix(docs, quality=quality).collect()
-    assert len(got) == len(rows) and {(r.doc_id, r.source): r.taken for r in got} == taken
+    assert len(got) == len(rows) and {(r.doc_id, r.source): [r.taken] for r in got} == taken
     assert all(r.target == pytest.approx(target[r.source]) for r in got)
 
 
