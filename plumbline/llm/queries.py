@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_dedup, html_text, language_id, language_model, line_dedup, mixing, near_dedup, quality, token_counts
+from . import decontamination, embedding_dedup, exact_dedup, html_text, language_id, language_model, line_dedup, mixing, near_dedup, quality, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,5 +90,10 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(docs.withColumn("held_out", held), model, ["doc_id", "held_out"])
 
 
-QUERIES = {"op1_html_text": op1_html_text, "op2_line_dedup": op2_line_dedup, "op3_decontamination": op3_decontamination, "op4_token_counts": op4_token_counts, "op5_language_id": op5_language_id, "op6_quality": op6_quality, "op7_near_dedup": op7_near_dedup, "op8_mixing": op8_mixing, "op9_embedding_dedup": op9_embedding_dedup, "op10_language_model": op10_language_model}
-SQL = {"op2_line_dedup": OP2_SQL, "op3_decontamination": decontamination.SQL, "op7_near_dedup": near_dedup.SQL, "op8_mixing": mixing.SQL, "op9_embedding_dedup": embedding_dedup.SQL}
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts among all documents; see exact_dedup."""
+    return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_html_text": op1_html_text, "op2_line_dedup": op2_line_dedup, "op3_decontamination": op3_decontamination, "op4_token_counts": op4_token_counts, "op5_language_id": op5_language_id, "op6_quality": op6_quality, "op7_near_dedup": op7_near_dedup, "op8_mixing": op8_mixing, "op9_embedding_dedup": op9_embedding_dedup, "op10_language_model": op10_language_model, "op13_exact_dedup": op13_exact_dedup}
+SQL = {"op2_line_dedup": OP2_SQL, "op3_decontamination": decontamination.SQL, "op7_near_dedup": near_dedup.SQL, "op8_mixing": mixing.SQL, "op9_embedding_dedup": embedding_dedup.SQL, "op13_exact_dedup": exact_dedup.SQL}

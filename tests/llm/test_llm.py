@@ -1,5 +1,6 @@
 """Small fixtures with nulls, empties, repeats, ties and clashing names; brute force where SQL can't say it."""
 
+import hashlib
 import math
 import re
 import zlib
@@ -7,7 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from plumbline.llm import decontamination, embedding_dedup, html_text, language_id, language_model, line_dedup, mixing, near_dedup, quality, queries, token_counts
+from plumbline.llm import decontamination, embedding_dedup, exact_dedup, html_text, language_id, language_model, line_dedup, mixing, near_dedup, quality, queries, token_counts
 from plumbline.llm import _base as B
 from pyspark.sql import functions as F
 
@@ -688,3 +689,46 @@ def test_clashing_columns(spark, odd):
     assert {r.doc_id: r.n_hit for r in hit}[4] == 2
     assert near_dedup.near_duplicates(docs.withColumn("band", F.lit(1)).withColumn("kept", F.lit(0)).withColumn("node", F.lit(0))).count() == 11
     assert mixing.mix(docs.withColumn("src", F.lit(1)).withColumn("key", F.lit(0)).withColumn("part", F.lit(0))).count() == 11
+
+
+def brute_exact(rows):
+    groups = {}
+    for i, x in rows:
+        groups.setdefault(lower(x), []).append(i)
+    out = []
+    for i, x in rows:
+        own = groups[lower(x)]
+        ids = [k for k in own if k is not None]
+        keep = max(ids) if ids else None
+        out.append((i, keep, len(own), i == keep, hashlib.sha256(lower(x).encode()).hexdigest()))
+    return Counter(out)
+
+
+def exact_result(df):
+    return Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in df.collect())
+
+
+def test_exact_fingerprint_composes():
+    rng = np.random.default_rng(1)
+    b = rng.integers(0, 256, 50_000, dtype=np.uint8)
+    whole = exact_dedup.fingerprint(b)
+    slow = [0] * 4
+    for x in b[:3000].tolist():
+        slow = [(v * p + x) % exact_dedup.PRIME for v, p in zip(slow, exact_dedup.POINTS)]
+    assert slow == exact_dedup.fingerprint(b[:3000])
+    for at in (0, 1, 8191, 8192, 8193, 30_000, 50_000):
+        tail = b[at:]
+        assert exact_dedup.combine(exact_dedup.fingerprint(b[:at]), exact_dedup.fingerprint(tail), exact_dedup.shift(exact_dedup.POINTS, len(tail))) == whole
+
+
+@pytest.mark.parametrize("how", [{}, {"points": (0, 0, 0, 0)}, {"part": 3, "chunk": 7}, {"points": (0, 0, 0, 0), "part": 2, "chunk": 5}, {"huge": 64}, {"huge": 40, "part": 2, "chunk": 16, "classes": 0}])
+def test_exact_dedup_brute_force(spark, odd, how):
+    """Also with fingerprints that tell only the last byte, small parts and chunks, and texts hashed in pieces."""
+    rows = [(r.doc_id, r.text) for r in odd.collect()]
+    rows += [(100 + i, "Copy of one text, " + "abc"[i % 3] * 30 + "!") for i in range(60)] + [(None, "lonely"), (None, "LONELY"), (300, "ÉA"), (301, "éa"), (302, "Éa"), (303, "x" * 200 + "y"), (304, "X" * 200 + "Y"), (305, "x" * 199 + "yy")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("sha", F.lit(1)).withColumn("size", F.lit("a"))
+    assert exact_result(exact_dedup.exact_duplicates(df, **how)) == brute_exact(rows)
+
+
+def test_exact_dedup_empty(none):
+    assert exact_dedup.exact_duplicates(none).count() == 0
