@@ -33,11 +33,16 @@ def duck():
 
 
 def plain(v):
-    if v is None or v != v:
+    import pandas as pd
+
+    if v is None or v is pd.NA or v != v:
         return None
     if hasattr(v, "item"):
         v = v.item()
-    return float(f"{v:.9g}") if isinstance(v, float) else v
+    if isinstance(v, float):
+        v = float(f"{v:.9g}")
+        return int(v) if v.is_integer() else v  # pandas reads whole numbers with nulls among them as floats
+    return v
 
 
 def rows(frame, columns):
