@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_dedup, exact_dedup, html_text, language_id, language_model, line_dedup, mixing, near_dedup, quality, token_counts
+from . import decontamination, embedding_dedup, exact_dedup, html_text, language_id, language_model, lexical_search, line_dedup, mixing, near_dedup, prefix_trie, quality, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,10 +90,21 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(docs.withColumn("held_out", held), model, ["doc_id", "held_out"])
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of all rebuilt conversations; see prefix_trie."""
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item; see lexical_search."""
+    index = lexical_search.build_index(_table(spark, sf_dir, "documents"))
+    return lexical_search.search(index, _table(spark, sf_dir, "benchmark"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts among all documents; see exact_dedup."""
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_html_text": op1_html_text, "op2_line_dedup": op2_line_dedup, "op3_decontamination": op3_decontamination, "op4_token_counts": op4_token_counts, "op5_language_id": op5_language_id, "op6_quality": op6_quality, "op7_near_dedup": op7_near_dedup, "op8_mixing": op8_mixing, "op9_embedding_dedup": op9_embedding_dedup, "op10_language_model": op10_language_model, "op13_exact_dedup": op13_exact_dedup}
-SQL = {"op2_line_dedup": OP2_SQL, "op3_decontamination": decontamination.SQL, "op7_near_dedup": near_dedup.SQL, "op8_mixing": mixing.SQL, "op9_embedding_dedup": embedding_dedup.SQL, "op13_exact_dedup": exact_dedup.SQL}
+QUERIES = {"op1_html_text": op1_html_text, "op2_line_dedup": op2_line_dedup, "op3_decontamination": op3_decontamination, "op4_token_counts": op4_token_counts, "op5_language_id": op5_language_id, "op6_quality": op6_quality, "op7_near_dedup": op7_near_dedup, "op8_mixing": op8_mixing, "op9_embedding_dedup": op9_embedding_dedup, "op10_language_model": op10_language_model, "op11_prefix_trie": op11_prefix_trie, "op12_lexical_search": op12_lexical_search, "op13_exact_dedup": op13_exact_dedup}
+SQL = {"op2_line_dedup": OP2_SQL, "op3_decontamination": decontamination.SQL, "op7_near_dedup": near_dedup.SQL, "op8_mixing": mixing.SQL, "op9_embedding_dedup": embedding_dedup.SQL, "op11_prefix_trie": prefix_trie.SQL, "op12_lexical_search": lexical_search.SQL, "op13_exact_dedup": exact_dedup.SQL}

@@ -8,7 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from plumbline.llm import decontamination, embedding_dedup, exact_dedup, html_text, language_id, language_model, line_dedup, mixing, near_dedup, quality, queries, token_counts
+from plumbline.llm import decontamination, embedding_dedup, exact_dedup, html_text, language_id, language_model, lexical_search, line_dedup, mixing, near_dedup, prefix_trie, quality, queries, token_counts
 from plumbline.llm import _base as B
 from pyspark.sql import functions as F
 
@@ -732,3 +732,101 @@ def test_exact_dedup_brute_force(spark, odd, how):
 
 def test_exact_dedup_empty(none):
     assert exact_dedup.exact_duplicates(none).count() == 0
+
+
+def brute_search(docs, queries, count):
+    def terms(x):
+        return re.findall("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", lower(x))
+
+    own = [(i, Counter(terms(x)), len(terms(x))) for i, x in docs if terms(x)]
+    n, total, df = len(own), sum(k for *_, k in own), Counter(t for _, c, _ in own for t in c)
+    asked = {}
+    for i, x in queries:
+        asked.setdefault(i, Counter()).update(terms(x))
+    out = []
+    for item, q in asked.items():
+        found = []
+        for i, c, k in own:
+            m = 75 + 25 * k * n // total
+            s = sum(r * math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 12 * m)) for t, r in q.items() if t in c)
+            if s > 0:
+                found.append((-s, i is None, i or 0, i))
+        out += [(item, r + 1, i, -s) for r, (s, _, _, i) in enumerate(sorted(found)[:count])]
+    return Counter(out)
+
+
+@pytest.mark.parametrize("how", [{}, {"shard": 64, "block": 1}, {"rows": 2, "block": 2, "few": 0, "held": 3}, {"count": 2, "rows": 3, "held": 0}])
+def test_lexical_search_brute_force(spark, odd, how):
+    """Ties, repeated ids and terms, nulls, and shards and blocks of few rows."""
+    docs = [(r.doc_id, r.text) for r in odd.collect()]
+    docs += [(50 + i, "same words here") for i in range(30)] + [(90, "Été-2024 ünï\x00here"), (91, "here here here!"), (None, "same words")]
+    queries = [(1, "same words"), (1, "same"), (2, "HERE été 2024"), (3, None), (4, ""), (5, "absent"), (None, "word1 word2 word1"), (6, "x longword")]
+    build = {k: v for k, v in how.items() if k in ("shard", "rows")}
+    index = lexical_search.build_index(spark.createDataFrame(docs, "doc_id long, text string").withColumn("ids", F.lit(1)), **build)
+    got = lexical_search.search(index, spark.createDataFrame(queries, "item_id long, text string"), **{k: v for k, v in how.items() if k not in build})
+    assert Counter((r.item_id, r["rank"], r.doc_id, r.score) for r in got.collect()) == brute_search(docs, queries, how.get("count", 20))
+
+
+def test_lexical_search_empty(spark, none):
+    asked = spark.createDataFrame([(1, "word")], "item_id long, text string")
+    assert lexical_search.search(lexical_search.build_index(none), asked).count() == 0
+    docs = spark.createDataFrame([(1, "word")], "doc_id long, text string")
+    assert lexical_search.search(lexical_search.build_index(docs), asked.limit(0)).count() == 0
+
+
+def brute_trie(rows):
+    own = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            own.setdefault(c, []).append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [(r, t) for _, _, r, t in sorted(x)] for c, x in own.items()}
+    full = {}
+    for c, x in own.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        full[c] = own.get(c - int(math.fmod(c, 20)), [])[:h] + x[h:]
+    nodes = {}
+    for c, x in full.items():
+        for d in range(len(x) + 1):
+            nodes.setdefault(tuple(x[:d]), []).append(c)
+    kids, leaves, saved = Counter(q[:-1] for q in nodes if q), Counter(), Counter()
+    for q, members in nodes.items():
+        for d in range(len(q) + 1):
+            leaves[q[:d]] += kids[q] == 0
+            saved[q[:d]] += (len(members) - 1) * len(re.findall(WORDS, q[-1][1])) if q else 0
+    ends = {q: ",".join(str(c) for c in sorted(m) if len(full[c]) == len(q)) for q, m in nodes.items()}
+    return Counter((min(m), len(q), min(nodes[q[:-1]]) if q else None, len(m), kids[q], leaves[q], saved[q], hashlib.sha256(ends[q].encode()).hexdigest()) for q, m in nodes.items())
+
+
+def odd_conversations():
+    rng, rows = np.random.default_rng(5), []
+    for c in [*range(-25, 45), *range(1000, 1030)]:
+        same = "abc"[int(rng.integers(0, 3))]
+        rows += [(c, t, "user" if t % 2 else None, f"{same} turn {t} " * int(rng.integers(1, 3))) for t in range(int(rng.integers(0, 6)))]
+    rows += [(2000 + c, t, "user", f"all the same {t}") for c in range(0, 60) for t in range(9)]
+    rows += [(5001, t, "user", f"one long tail {t}") for t in range(70)] + [(5002, None, "x", None), (5002, None, "a", ""), (5002, 3, "b", "tie"), (5002, 3, "a", "tie"), (None, 1, "user", "nobody")]
+    rows += [(c, t, "user", f"shared {t}" if t < 20 else f"own {c} {t}") for c in (6001, 6002, 6004) for t in range(26)] + [(7003, 0, "user", "gone")]
+    return rows
+
+
+@pytest.mark.parametrize("limit", [1, 6, 40, 1 << 14])
+def test_prefix_trie_brute_force(spark, limit, monkeypatch):
+    """Copies, long private and shared tails, short and absent bases, ties, and upper nodes of every kind."""
+    monkeypatch.setattr(prefix_trie, "PACK_BITS", 2)
+    rows = odd_conversations()
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("pos", F.lit("x")).withColumn("conv", F.lit("y"))
+    got = Counter(tuple(r) for r in prefix_trie.prefix_trie(df, limit).collect())
+    assert got == brute_trie(rows)
+
+
+def test_prefix_trie_empty(spark):
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert prefix_trie.prefix_trie(none).count() == 0
+    bare = [(3, 0, "user", "only")]  # 3 keeps nothing after its first turns, and 0 is absent
+    df = spark.createDataFrame(bare, "conv_id long, turn long, role string, text string")
+    assert Counter(tuple(r) for r in prefix_trie.prefix_trie(df).collect()) == brute_trie(bare)
+
+
+def test_trie_bits():
+    """Two tops, the first with two children."""
+    bits = np.packbits([1, 1, 0, 1, 1, 0, 0, 0, 0]).tobytes()
+    assert prefix_trie.parents_of(bits, 4).tolist() == [-1, -1, 0, 0]
