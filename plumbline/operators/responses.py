@@ -1,7 +1,7 @@
 """Model responses as input tables: choice of attempt, JSON repair, normalised findings, page merge.
 
 Repair runs in one Arrow UDF: Spark's own JSON functions accept text after a value and refuse repeated keys, which strict
-parsing does the other way round.
+parsing does the other way round. Its time grows with the length of a text, whatever stands in it.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ import itertools
 import json
 import re
 import sys
+from decimal import Decimal
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -22,8 +23,10 @@ from plumbline.functions import text as X
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
 
 FINDING = "array<struct<type:string,severity:string,description:string,section_id:string,code_citation:string,affected_sheets:array<string>,location_hint:string>>"
-_FENCE = re.compile(r"```(?:json)?\s*([\s\S]*?)```", re.I)
-_OUTER = re.compile(r"[\[{].*[\]}]", re.S)  # from the first opening to the last closing bracket
+FENCE = "```"
+# fixed values: what trimming takes off both ends
+BLANK = "\t\n\v\f\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+_HALF = re.compile("[\ud800-\udfff]")  # half of a pair
 _TEXT_FIELDS = ("section_id", "code_citation", "location_hint")
 
 
@@ -38,16 +41,66 @@ def _refuse(name: str):
     raise ValueError(f"{name} is no JSON")
 
 
+#: a token of JSON, with the white space before it
+_JSON = re.compile(r'[ \t\n\r]*(?:([\[\]{},:])|("(?:[^"\\\x00-\x1f]|\\["\\/bfnrt]|\\u[0-9a-fA-F]{4})*+")|(-?(?:0|[1-9]\d*+)(?:\.\d++)?(?:[eE][+-]?\d++)?)|(true|false|null))')
+
+
+def _deep(s: str):
+    """The value of strict JSON whatever its depth: one pass over the tokens, with a stack of open arrays and objects."""
+    top: list = []
+    stack, key, at, wanted = [(top, None)], None, 0, "value"
+    while len(stack) > 1 or not top:
+        m = _JSON.match(s, at)
+        if not m:
+            raise ValueError("no token")
+        at, sign, text = m.end(), m[1], m[2]
+        into, _ = stack[-1]
+        if sign in ("]", "}"):
+            if type(into) is not (list if sign == "]" else dict) or len(stack) == 1 or wanted not in ("end", "first"):
+                raise ValueError("out of place")
+            stack.pop()
+            wanted = "end"
+            continue
+        if sign == "," and wanted == "end" and len(stack) > 1:
+            wanted = "key" if isinstance(into, dict) else "value"
+            continue
+        if sign == ":" and wanted == "colon":
+            wanted = "value"
+            continue
+        if isinstance(into, dict) and wanted in ("key", "first") and text:
+            key, wanted = json.loads(text), "colon"
+            continue
+        if wanted not in (("value",) if isinstance(into, dict) else ("value", "first")) or sign in (",", ":"):
+            raise ValueError("out of place")
+        value = [] if sign == "[" else {} if sign == "{" else json.loads(text) if text else float(m[3]) if m[3] else {"true": True, "false": False, "null": None}[m[4]]
+        if isinstance(into, dict):
+            into[key] = value
+        else:
+            into.append(value)
+        wanted = "end"
+        if sign:
+            stack.append((value, None))
+            wanted = "first"
+    if s[at:].strip(" \t\n\r"):
+        raise ValueError("text after a value")
+    return top[0]
+
+
 def _load(s: str):
-    """(value, True), or (None, False) for what isn't strict JSON or is nested too deeply."""
+    """(value, True), or (None, False) for what isn't strict JSON. Numbers are doubles, however long."""
     try:
-        return json.loads(s, parse_constant=_refuse), True
-    except (ValueError, RecursionError):
+        return json.loads(s, parse_constant=_refuse, parse_int=float), True
+    except RecursionError:
+        try:
+            return _deep(s), True
+        except ValueError:
+            return None, False
+    except ValueError:
         return None, False
 
 
 #: an escaped sign, a string with what is left of an open one, or a brace
-_TOKEN = re.compile(r'\\.|"(?:[^"\\]|\\.)*(?:"|\\?\Z)|[{}]', re.S)
+_TOKEN = re.compile(r'\\.|"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|\\?\Z)|[{}]', re.S)
 
 
 def complete_objects(s: str) -> list[str]:
@@ -59,31 +112,84 @@ def complete_objects(s: str) -> list[str]:
     return [s[a : z + 1] for a, z in zip(starts, ends)]  # they alternate; the last start may have no end
 
 
+def _fenced(body: str) -> str:
+    """What stands in the first fence, or the whole text."""
+    begin = body.find(FENCE)
+    end = body.find(FENCE, begin + len(FENCE)) if begin >= 0 else -1
+    if end < 0:
+        return body
+    inner = body[begin + len(FENCE) : end]
+    return (inner[4:] if inner[:4].lower() == "json" else inner).strip(BLANK)
+
+
 def repair(raw: str | None):
-    """The JSON value in a model's text, an empty list if there is none."""
-    body = raw.strip() if raw else ""
-    fence = _FENCE.search(body)
-    body = fence[1].strip() if fence else body
-    inner = _OUTER.search(body)
-    tries = [body, inner[0] if inner else None, None]
-    if body.startswith("["):
-        parts = complete_objects(body[1:])
-        tries[2] = "[" + ",".join(parts) + "]" if parts else None
+    """The JSON value in a model's text, an empty list if there is none.
+
+    Tried in turn: the fenced or whole text, what lies between its first opening and its last closing bracket, and the closed
+    objects of an array that was cut off. Each is one pass over the text.
+    """
+    body = _fenced(raw.strip(BLANK)) if raw else ""
+    tries = [body, None, None]
+    first, last = min((at for at in map(body.find, "[{") if at >= 0), default=-1), max(map(body.rfind, "]}"))
+    if 0 <= first < last:
+        tries[1] = body[first : last + 1]
     for attempt in filter(None, tries):
         value, ok = _load(attempt)
         if ok:
             return value
-    return []
+    parts = complete_objects(body[1:]) if body.startswith("[") else []
+    value, ok = _load("[" + ",".join(parts) + "]") if parts else (None, False)
+    return value if ok else []
+
+
+def number(x: float) -> str:
+    """A double as JSON: the shortest digits, an exponent from 1e21 on and below 1e-6; null if it isn't finite."""
+    if x - x != 0:
+        return "null"
+    if x == 0 or 1e-6 <= abs(x) < 1e21:
+        return format(Decimal(repr(abs(x) or 0.0) if x == 0 else repr(x)).normalize(), "f")
+    return re.sub(r"e([+-])0*", r"e\1", repr(x))
+
+
+def to_text(value) -> str:
+    """JSON without white space; half a pair stays escaped. Open arrays and objects are on a stack, so depth is no limit."""
+    out, todo = [], [value]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, Raw):
+            out.append(v)
+        elif isinstance(v, str):
+            out.append(_HALF.sub(lambda m: f"\\u{ord(m[0]):04x}", json.dumps(v, ensure_ascii=False)))
+        elif isinstance(v, bool) or v is None:
+            out.append({True: "true", False: "false", None: "null"}[v])
+        elif isinstance(v, (int, float)):
+            out.append(number(float(v)))
+        else:
+            parts = [[k, Raw(":"), x] for k, x in v.items()] if isinstance(v, dict) else [[x] for x in v]
+            for i, part in enumerate(parts):
+                part[:0] = [Raw(",")] if i else []
+            ends = "{}" if isinstance(v, dict) else "[]"
+            todo += [Raw(ends[1]), *[x for part in reversed(parts) for x in reversed(part)], Raw(ends[0])]
+    return "".join(out)
+
+
+class Raw(str):
+    """Punctuation of to_text."""
+
+
+def _whole(x) -> str | None:
+    """A text that UTF-8 can hold: half a pair becomes the replacement sign; None for what is no text."""
+    return _HALF.sub("\ufffd", x) if isinstance(x, str) else None
 
 
 def _finding(r: dict) -> dict | None:
     d = r.get("description")
-    d = d.strip() if isinstance(d, str) else ""
+    d = d.strip(BLANK) if isinstance(d, str) else ""
     if not d:
         return None
-    out = {k: r[k] if isinstance(r.get(k), str) else None for k in ("type", "severity", *_TEXT_FIELDS)}
     sheets = r.get("affected_sheets")
-    return out | {"description": d, "affected_sheets": [x for x in sheets if isinstance(x, str)] if isinstance(sheets, list) else None}
+    out = {k: _whole(r.get(k)) for k in ("type", "severity", *_TEXT_FIELDS)}
+    return out | {"description": _whole(d), "affected_sheets": [_whole(x) for x in sheets if isinstance(x, str)] if isinstance(sheets, list) else None}
 
 
 def _findings(raw: pd.Series) -> pd.Series:
@@ -96,7 +202,7 @@ def _findings(raw: pd.Series) -> pd.Series:
 
 
 def _repaired(raw: pd.Series) -> pd.Series:
-    return raw.map(lambda t: json.dumps(repair(t), separators=(",", ":"), ensure_ascii=False))
+    return raw.map(lambda t: to_text(repair(t)))
 
 
 def parse_findings(raw: Column) -> Column:

@@ -409,21 +409,25 @@ def display_caps(spark, sf):
 
 # --- responses -----------------------------------------------------------------------------------
 OBJ = "concat('{\"type\":\"Compliance issue\",\"severity\":\"', CASE d % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'minimal' ELSE 'x' END, '\",\"description\":\" d', d, ' \",\"section_id\":', CASE d % 2 WHEN 0 THEN concat('\"9.', d % 9, '\"') ELSE '3' END, '}')"
-LLM_TEXT = f"SELECT d, CASE d % 5 WHEN 0 THEN concat('[', o, ']') WHEN 1 THEN concat('```json', chr(10), '[', o, ',', o, ']', chr(10), '```') WHEN 2 THEN concat('Here: [', o, '] done') WHEN 3 THEN concat('[', o, ',{{\"descr') ELSE 'no json' END AS raw FROM (SELECT d, {OBJ} AS o FROM (SELECT doc_id AS d FROM documents) a) b".replace("{{", "{")
+# Of ten: half a pair and a long number, only openings, and twice each: one object, two in a fence, one among words, one before a cut; the last is no JSON.
+LLM_TEXT = (
+    f"CASE WHEN d % 10 = 9 THEN concat('[{{\"description\":\"x', chr(92), 'ud83d', d, '\",\"n\":', repeat('9', 5000), '}}]') WHEN d % 20 = 4 THEN repeat('[', 2000) WHEN d % 5 = 0 THEN concat('[', {OBJ}, ']') "
+    f"WHEN d % 5 = 1 THEN concat('```json', chr(10), '[', {OBJ}, ',', {OBJ}, ']', chr(10), '```') WHEN d % 5 = 2 THEN concat('Here: [', {OBJ}, '] done') WHEN d % 5 = 3 THEN concat('[', {OBJ}, ',{{\"descr') ELSE 'no json' END"
+)
+FOUND = "CASE WHEN doc_id % 5 = 1 THEN 2 WHEN doc_id % 10 = 4 THEN 0 ELSE 1 END"
 
 
 def responses(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("d"))
-    return docs.select("d", F.expr(LLM_TEXT.split("SELECT d, ", 1)[1].split(" AS raw FROM ")[0].replace("o,", OBJ + ",").replace(", o", ", " + OBJ)).alias("raw"))
+    return run(spark, sf, "SELECT doc_id AS d FROM documents").select("d", F.expr(LLM_TEXT).alias("raw"))
 
 
-@query("SELECT d, CASE d % 3 WHEN 0 THEN 'critical' WHEN 1 THEN 'minor' ELSE 'major' END AS severity, 'compliance' AS type, 'd' || d AS description, CASE d % 2 WHEN 0 THEN '9.' || (d % 9) END AS section_id, 'S' || d AS sheets FROM (SELECT doc_id AS d, unnest(range(CASE doc_id % 5 WHEN 1 THEN 2 WHEN 4 THEN 0 ELSE 1 END)) AS pos FROM documents)")
+@query(f"SELECT d, CASE WHEN d % 10 = 9 THEN 'major' WHEN d % 3 = 0 THEN 'critical' WHEN d % 3 = 1 THEN 'minor' ELSE 'major' END AS severity, 'compliance' AS type, CASE WHEN d % 10 = 9 THEN 'x' || chr(65533) ELSE 'd' END || d AS description, CASE d % 2 WHEN 0 THEN '9.' || (d % 9) END AS section_id, 'S' || d AS sheets FROM (SELECT doc_id AS d, unnest(range({FOUND})) AS pos FROM documents)")
 def normalize_violations(spark, sf):
     x = responses(spark, sf).withColumn("sheet", F.concat(F.lit("S"), F.col("d").cast("string")))
     return P.normalize(x, "raw", "sheet").select("d", "severity", "type", "description", "section_id", F.array_join("affected_sheets", ",").alias("sheets"))
 
 
-@query("SELECT doc_id AS d, (CASE doc_id % 5 WHEN 1 THEN 2 WHEN 4 THEN 0 ELSE 1 END)::BIGINT AS objects FROM documents")
+@query(f"SELECT doc_id AS d, ({FOUND})::BIGINT AS objects FROM documents")
 def json_repair(spark, sf):
     return responses(spark, sf).select("d", F.json_array_length(P.repaired_json(F.col("raw"))).cast("long").alias("objects"))
 

@@ -1,5 +1,6 @@
 import json
 import re
+import time
 
 import pytest
 from plumbline.functions import text as X
@@ -198,6 +199,31 @@ def test_repair_odd(raw, want):
     assert P.repair(raw) == want
 
 
+@pytest.mark.parametrize("raw", ["[" * 200_000, "{" * 200_000, "x" + "[" * 200_000 + "x", "```" + " " * 200_000, '["' + "\\\\" * 100_000, '[{"a":1},' * 50_000, "[" * 100_000 + "]" * 100_000, "`" * 200_000])
+def test_repair_is_linear(raw):
+    start = time.process_time()
+    P.repair(raw)
+    assert time.process_time() - start < 2
+
+
+def test_repair_deep_and_long():
+    deep = '{"description":"d","x":' + "[" * 60_000 + "]" * 60_000 + ', "n": [1, -2.5e3, true, null, "\\u00e9", {}]}'
+    value = P.repair(deep)
+    assert value["description"] == "d" and value["n"] == [1, -2500, True, None, "é", {}] and P.to_text(value).count("[") == 60_001
+    for broken in (deep[:-1], deep + "]", deep.replace(':"d"', '"d"'), deep.replace("true,", "true"), deep.replace("{}", "{,}"), deep.replace("null", "nul"), deep.replace(', "n"', ", n")):
+        assert not P._load(broken)[1]
+    long = '[{"description":"a","n":' + "9" * 5000 + '},{"description":"b","n":12345678901234567890}]'
+    assert P.to_text(P.repair(long)) == '[{"description":"a","n":null},{"description":"b","n":12345678901234567000}]'
+    assert P.to_text(P.repair('[1.0,-0,1e21,1.5e-7,0.000001,"\\ud83d x","\\ud83d\\ude00","a\\"b"]')) == '[1,0,1e+21,1.5e-7,0.000001,"\\ud83d x","😀","a\\"b"]'
+
+
+def test_half_pairs_dont_stop_the_job(spark):
+    rows = spark.createDataFrame([(1, '[{"description":"\\ud83d","affected_sheets":["\\udc00",1],"section_id":"9\\ud800"}]')], "k int, raw string").withColumn("sheet", F.lit("s"))
+    got = P.normalize(rows, "raw", "sheet").first()
+    assert (got.description, got.affected_sheets, got.section_id) == ("\ufffd", ["\ufffd"], "9\ufffd")
+    assert rows.select(P.repaired_json(F.col("raw")).alias("j")).first().j == rows.first().raw
+
+
 def test_split_brute_force(spark):
     """Greedy packing of paragraphs, against a loop."""
     def packed(content, limit):
