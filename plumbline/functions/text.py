@@ -135,10 +135,13 @@ def approx_tokens(text: Column) -> Column:
     return F.ceil(F.length(text) / 4)
 
 
+TERM = 4  # fixed value: signs of the shortest keyword
+
+
 def keyword_terms(query: Column, limit: int = 4) -> Column:
-    """The first distinct terms of four or more ASCII characters that are no stop words."""
+    """The first distinct terms of TERM or more ASCII characters that are no stop words."""
     parts = F.split(F.lower(query), "[^a-z0-9]+")
-    return F.slice(F.array_distinct(F.filter(parts, lambda t: (F.length(t) >= 4) & ~t.isin(STOP_WORDS))), 1, limit)
+    return F.slice(F.array_distinct(F.filter(parts, lambda t: (F.length(t) >= TERM) & ~t.isin(STOP_WORDS))), 1, limit)
 
 
 def section_ids(text: Column, part: str = r"\d+") -> Column:

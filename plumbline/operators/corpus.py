@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions import text as X
+from plumbline.operators import dictionary as D
+from plumbline.sources import shared
 
 # fixed values: what a heading line looks like
 HEADING = r"^\s*(\d+(?:\.\d+){1,4})\s+(.{2,160}?)\s*$"
@@ -66,8 +68,8 @@ def cosine(a: str, b: str) -> Column:
 BETWEEN, NONE_FOUND = "\n\n---\n\n", "(no code sections retrieved)"
 #: rows packed into one block, queries that may be broadcast, and matches a task holds before it passes them on
 BLOCK, BROADCAST, HELD = 1024, 20_000, 1 << 18
-#: keyword terms that may be broadcast, cited texts in one array
-TERMS, CITED = 200_000, 256
+#: blank cited texts in one array
+CITED = 256
 
 
 def _packed(df: DataFrame) -> DataFrame:
@@ -214,29 +216,46 @@ def similar_in_part(queries: DataFrame, chunks: DataFrame, prefix: str | None, k
     return wide.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("rank"))).where(F.col("rank") <= k).drop("own", "any_own")
 
 
-def keyword_search(queries: DataFrame, chunks: DataFrame, limit: int, prefix: str | None = None) -> DataFrame:
+def keyword_search(queries: DataFrame, chunks: DataFrame, limit: int, prefix: str | None = None, index: str | None = None) -> DataFrame:
     """(query_id, id, rank): chunks that hold any of a query's terms in content or title, first by id.
 
     queries: (query_id, query), or (query_id, query, prefix) where each has a prefix of its own, or null. A term is a run
-    of ASCII letters and digits, so it lies within one such run of a text: the parts of each distinct run that are as long as some
-    term meet the terms in a hash join, whose work doesn't grow with the number of terms.
+    of ASCII letters and digits, so it lies within one such run of a text: terms meet the distinct runs of all chunks, and
+    chunks join those runs that hold one. index: where keyword_index has stored these chunks; it is read in place of their texts.
     """
-    own = "prefix" in queries.columns
-    terms = queries.select("query_id", *["prefix"] * own, F.explode(X.keyword_terms(F.col("query"))).alias("term"))
+    own = ["prefix"] if "prefix" in queries.columns else []
+    terms = queries.select("query_id", *own, F.explode(X.keyword_terms(F.col("query"))).alias("term"))
     pool = chunks.where(F.col("section_id").startswith(prefix)) if prefix else chunks
-    sizes = F.array(*[F.lit(r[0]) for r in terms.select(F.length("term")).distinct().collect()] or [F.lit(0)])
-    low = F.lower(F.concat_ws("\n", "content", "section_title"))
-    runs = F.array_distinct(F.filter(F.split(low, "[^a-z0-9]+"), lambda w: F.length(w) >= F.array_min(sizes)))
-    words = pool.select("id", *["section_id"] * own, F.explode(runs).alias("word"))
-    starts = F.filter(sizes, lambda n: n <= F.length("word"))
-    parts = F.flatten(F.transform(starts, lambda n: F.transform(F.sequence(F.lit(1), F.length("word") - n + 1), lambda i: F.substring(F.col("word"), i, n))))
-    parts = words.select("id", *["section_id"] * own, F.explode(parts).alias("term"))
-    listed = terms.count()
-    met = parts.join(F.broadcast(terms) if listed <= TERMS else terms, "term")
+    section = ["section_id"] * (bool(own) or bool(index and prefix))
+    rows = D.words(pool, ["id", *section], _low_chunk(), D.KEYWORD_GAP, X.TERM)
+    vocabulary = chunks.sparkSession.read.parquet(f"{index}/words") if index else shared.stored(rows.select("word").distinct(), "vocabulary")
+    met = shared.stored(D.holding(terms.select(F.col("term").alias("text")), vocabulary), "matches").withColumnRenamed("text", "term")
+    held = D.postings(chunks.sparkSession, index, met) if index else rows
+    if index and prefix:
+        held = held.where(F.col("section_id").startswith(prefix))
+    found = held.join(D.few(met), "word").select("id", *section, "term")
+    long = F.length("term") > D.OVERLAP + 1
+    if not terms.where(long).isEmpty():  # only their beginning was looked up
+        texts = pool.select(F.col("id").alias("own_id"), _low_chunk().alias("low"))
+        sure = found.where(long).join(texts, F.col("id").eqNullSafe(F.col("own_id")) & F.contains("low", "term"))
+        found = found.where(~long).unionByName(sure.select(*found.columns))
     if own:
-        met = met.where(F.col("prefix").isNull() | F.coalesce("section_id", F.lit("")).startswith(F.col("prefix")))
-    met = met.select("query_id", "id").distinct()
-    return met.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("id"))).where(F.col("rank") <= limit)
+        found = found.join(D.few(terms.select("term", "prefix").distinct()), "term").where(F.col("prefix").isNull() | F.coalesce("section_id", F.lit("")).startswith(F.col("prefix")))
+    # a query's first chunks are among the first of its terms, so no more of a term leave a task
+    first = found.withColumn("n", F.dense_rank().over(W.partitionBy("term", *own).orderBy("id"))).where(F.col("n") <= limit).select("id", "term", *own).distinct()
+    same = F.col("f.term") == F.col("t.term")
+    same = same & F.col("f.prefix").eqNullSafe(F.col("t.prefix")) if own else same
+    found = first.alias("f").join(terms.alias("t"), same).select("t.query_id", "f.id").distinct()
+    return found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("id"))).where(F.col("rank") <= limit)
+
+
+def _low_chunk() -> Column:
+    return F.lower(F.concat_ws("\n", "content", "section_title"))
+
+
+def keyword_index(chunks: DataFrame, path: str) -> None:
+    """Store the dictionary of chunks (id, section_id, section_title, content) for keyword_search."""
+    D.build(chunks, ["id", "section_id"], _low_chunk(), D.KEYWORD_GAP, path, X.TERM)
 
 
 def category_queries(sheets: DataFrame, key: str) -> DataFrame:
@@ -300,19 +319,37 @@ def register_match(spark, view: str = "building_code_chunks") -> None:
 
 
 def cited_in(cited: DataFrame, docs: DataFrame, column: str, text: str) -> DataFrame:
-    """cited with `found`: whether its text occurs in any document, whatever the case.
+    """cited with `found`: whether its text occurs in any document, whatever the case; null is not found.
 
-    Documents stream past the cited texts, which are dealt to arrays of about CITED; up to BROADCAST of them are sent to all
-    tasks.
+    A text without white space is looked up among the distinct words of all documents. Of one with white space the longest
+    piece is, and the documents with a word that holds it are searched for the whole; so are those that may hold a text longer than
+    the windows of long words share. Texts of nothing but white space, arrays of about CITED of them, are searched for everywhere.
     """
-    once = cited.select(F.lower(column).alias("low")).where("low is not null").distinct()
-    n = once.count()
-    blocks = once.groupBy(F.pmod(F.xxhash64("low"), F.lit(n // CITED + 1)).alias("block")).agg(F.collect_list("low").alias("words")).select("words")
-    blocks = F.broadcast(blocks) if n <= BROADCAST else blocks
-    texts = docs.select(F.lower(text).alias("body"))
-    seen = texts.crossJoin(blocks).select(F.explode(F.filter("words", lambda w: F.col("body").contains(w))).alias("low")).distinct()
-    marked = cited.withColumn("low", F.lower(column)).join(seen.withColumn("found", F.lit(True)), "low", "left")
-    return marked.withColumn("found", F.coalesce("found", F.lit(False))).drop("low")
+    once = cited.select(F.lower(column).alias("text")).where("text is not null").distinct()
+    pieces = F.filter(F.split("text", D.BLANK_GAP), lambda p: p != "")
+    longest = F.array_sort(F.transform(pieces, lambda p: F.struct((-F.length(p)).alias("n"), p.alias("piece"))))
+    asked = shared.stored(once.select("text", F.try_element_at(longest, F.lit(1)).getField("piece").alias("piece")), "cited")
+    body = F.lower(text)
+    texts = docs.where(F.col(text).isNotNull())
+    words = D.words(texts, [F.xxhash64(body).alias("k"), F.xxhash64(F.lit(1), body).alias("k2")], body, D.BLANK_GAP)
+    vocabulary = shared.stored(words.select("word").distinct(), "vocabulary")
+    met = shared.stored(D.holding(asked.where("piece is not null").select(F.col("piece").alias("text")), vocabulary).withColumnRenamed("text", "piece"), "matches")
+    met = asked.join(met, "piece")
+    whole = (F.col("text") == F.col("piece")) & (F.length("piece") <= D.OVERLAP + 1)
+    seen = met.where(whole).select("text")
+    rest = met.where(~whole).select("text", "word")
+    if not rest.isEmpty():
+        likely = shared.stored(words.join(D.few(rest), "word").select("k", "k2", F.col("text").alias("wanted")).distinct(), "likely")
+        bodies = texts.select(F.xxhash64(body).alias("k"), F.xxhash64(F.lit(1), body).alias("k2"), body.alias("body"))
+        seen = seen.union(bodies.join(D.few(likely), ["k", "k2"]).where(F.contains("body", "wanted")).select("wanted"))
+    blank = asked.where("piece is null").select("text")
+    n = blank.count()
+    if n:
+        blocks = blank.groupBy(F.pmod(F.xxhash64("text"), F.lit(n // CITED + 1)).alias("block")).agg(F.collect_list("text").alias("blanks")).select("blanks")
+        blocks = F.broadcast(blocks) if n <= BROADCAST else blocks
+        seen = seen.union(texts.select(body.alias("body")).crossJoin(blocks).select(F.explode(F.filter("blanks", lambda w: F.col("body").contains(w)))))
+    marked = cited.withColumn("__low", F.lower(column)).join(seen.distinct().toDF("__low").withColumn("found", F.lit(True)), "__low", "left")
+    return marked.withColumn("found", F.coalesce("found", F.lit(False))).drop("__low")
 
 
 def verified(cited: DataFrame) -> DataFrame:
