@@ -5,7 +5,8 @@ parts, comments, markup and invisible parts give no text; character references a
 white space inside a block becomes one space, blocks are trimmed and empty ones go. A block's features are its
 number of words and the share of them inside links, the same of the blocks before and after it, whether it is a
 heading, whether it lies in an article, and how strongly its nearest containers are named as something else (menu,
-footer, notice, comments, ...) with their share of the page's words. The names of the page's body and of
+footer, notice, comments, ...), with their share of the page's words where only a part of a name says so and no text of
+the page comes before, and whether it is a line on rights outside an article. The names of the page's body and of
 whatever holds the article say nothing about the blocks inside. A decision tree learned from the small labelled pages
 below keeps or drops a block. Kept blocks are joined by two line feeds.
 
@@ -48,6 +49,8 @@ HINTS = (
 ).split()
 # fixed values: hints that count only as a whole name, being parts of the article's own names as well
 WHOLE = "header meta tag tags legal search hidden text".split()
+# fixed values: hints that say how an element is shown, not what it holds; they are never more than parts
+SHOWN = "modal popup overlay dropdown widget widgets toolbar".split()
 # fixed values: first parts of names that say what a page has or lacks, not what the element is
 ABOUT = "has no not is with without hide show".split()
 KEEP_HINTS = "article content main post story entry body text articlebody".split()
@@ -62,7 +65,7 @@ _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORDS = re.compile(r"[\s_\-:]+")
 _SPACE = re.compile(r"\s+")
-_RAW, _PARTS, _BLOCK, _NESTED, _VOID, _HEADINGS, _ASIDE, _HINTS, _KEEP, _WHOLE, _ABOUT = map(frozenset, (RAW, PARTS, BLOCK, NESTED, VOID, HEADINGS, ASIDE, HINTS, KEEP_HINTS, WHOLE, ABOUT))
+_RAW, _PARTS, _BLOCK, _NESTED, _VOID, _HEADINGS, _ASIDE, _HINTS, _KEEP, _WHOLE, _SHOWN, _ABOUT = map(frozenset, (RAW, PARTS, BLOCK, NESTED, VOID, HEADINGS, ASIDE, HINTS, KEEP_HINTS, WHOLE, SHOWN, ABOUT))
 _RAW_END = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for n in RAW}
 _EVENT = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{'|'.join(n for n in RAW if n != 'head')})(?=[\s/>]).*?(?:</(?P=raw)(?=[\s/>])|\Z)|<(?P<end>/?)(?P<name>{'|'.join([*PARTS, *NESTED])})(?=[\s/>])", re.S | re.I)
 
@@ -119,7 +122,7 @@ def _attributes(attrs: str) -> tuple[int, bool, bool]:
         elif k in ("class", "id"):
             for p in v.lower().split():
                 pieces = _WORDS.split(p)
-                if p in _HINTS:
+                if (p in _HINTS or all(x in _HINTS and x not in _WHOLE for x in pieces)) and not _SHOWN.issuperset(pieces):
                     level = 2
                 elif pieces[0] not in _ABOUT:
                     if any(x in _HINTS and x not in _WHOLE for x in pieces):
@@ -273,12 +276,18 @@ def surroundings(found: list, elements: list[Element]) -> np.ndarray:
     while at >= 0:
         elements[at].wraps = True
         at = elements[at].parent
+    # a name's part may say nothing of what holds most of a page, but only where the page's text doesn't begin before it
+    inside = [False] * len(elements)
+    for i, e in enumerate(elements):
+        inside[i] = e.level > 0 and not e.wraps or e.parent >= 0 and inside[e.parent]
+    begun = next((e for _, words, linked, e, heading in found if not (e >= 0 and inside[e]) and (heading or words - linked >= BEGINS)), None)
+    first = len(elements) if begun is None else begun
     # (level, share, in an article) of each element from its own and its parent's
     known: list[tuple[int, float, bool]] = []
-    for e in elements:
+    for i, e in enumerate(elements):
         level, share, article = known[e.parent] if e.parent >= 0 else (0, 0.0, False)
         if e.level and not e.wraps and e.level >= level:
-            level, share = e.level, 0.0 if best >= 0 else e.words / max(page, 1)
+            level, share = e.level, 0.0 if best >= 0 or e.level > 1 or i > first else e.words / max(page, 1)
         known.append((level, share, article or e.article > 0))
     x = np.array([known[e] if e >= 0 else (0, 0.0, False) for *_, e, _ in found], float).reshape(-1, 3)
     if best >= 0 and elements[best].article == 2:
@@ -286,7 +295,10 @@ def surroundings(found: list, elements: list[Element]) -> np.ndarray:
     return x
 
 
-FEATURES = "words, linked share, words before, linked share before, words after, linked share after, hint level, share of the hinted container, in an article, heading".split(", ")
+BEGINS = 10  # unlinked words of a block, or a heading, with which a page's text begins
+# fixed values: how a line on rights begins
+_RIGHTS = re.compile(r"(?i)(?:©|\(c\)\s|copyright\b|all rights\b)")
+FEATURES = "words, linked share, words before, linked share before, words after, linked share after, hint level, share of the hinted container, in an article, heading, line on rights".split(", ")
 
 
 def table(found: list, elements: list[Element]) -> np.ndarray:
@@ -300,6 +312,7 @@ def table(found: list, elements: list[Element]) -> np.ndarray:
     x[:-1, 4], x[:-1, 5] = words[1:], dense[1:]
     x[:, 6:9] = surroundings(found, elements)
     x[:, 9] = [f[4] for f in found]
+    x[:, 10] = (x[:, 8] <= 0) & [f[1] <= 2 * BEGINS and bool(_RIGHTS.match(f[0])) for f in found]
     return x
 
 
@@ -321,6 +334,9 @@ LABELLED = [
     "<div><a>home</a> <a>about</a></div><div>you are here</div><div><a>news</a> <a>today</a></div><h1>+title of it</h1><p>+{L}</p><p>+{X}</p><div>read on</div><div><a>one more title</a></div><div><a>yet another title</a></div>",
     "<div>site name</div><div><a>home</a> <a>news</a> <a>contact</a></div><p>+{X}</p><p>+{L}</p><p>+no.</p><p>+{L}</p><div>share this</div><div><a>one place</a> <a>another place</a></div><div>copyright of the owner</div>",
     "<div>the name of the site</div><div><a>home</a></div><div><a>news</a></div><h1>+a title</h1><p>+{M}</p><p>+{L}</p><p>+{M}</p><div>most read</div><div><a>a title of something</a></div><div><a>and one more</a></div><div>all rights reserved</div>",
+    "<div><a>home</a> <a>news</a></div><div>today on the site</div><p>+{L}</p><p>+{M}</p>",
+    "<div><a>home</a></div><div>the monday edition</div><h1>+title</h1><p>+{L}</p><p>+short text.</p>",
+    "<ul><li><a>log in</a></li></ul><div>the site of it</div><p>+{X}</p><p>+short text.</p><p>+{L}</p>",
     "<div>welcome</div><div><a>log in</a> <a>join</a></div><p>+{L}</p><p>+{X}<a>+with a link</a></p><div>tags</div><div><a>one</a> <a>two</a></div><div>copyright</div>",
     "<p>+{L}</p><p>+{M}</p><p>+{L}</p>",
     "<p>+{M}</p><p>+{L}</p><p>+{X}</p><p>+{M}</p>",
@@ -357,6 +373,13 @@ LABELLED = [
     "<h1>+title</h1><p>+{X}</p><p>+{L}</p><div class='comment-list'><p>{L}</p><p>{M}</p></div>",
     "<h1>+title</h1><p>+{L}</p><p>+{M}</p><div id='comments'><p>{X}</p><p>{L}</p><p>{L}</p></div><footer><p>{L}</p></footer>",
     "<aside><p>{X}</p><p>{L}</p></aside><p>+{L}</p>",
+    # however much they hold
+    "<h1>+title</h1><p>+{M}</p><div id='comments'><p>{L}</p><p>{X}</p><p>{L}</p><p>{X}</p><p>{L}</p><p>{X}</p><p>{L}</p><p>{X}</p></div>",
+    "<div class='cookie-notice'>{X}{X}</div><h1>+title</h1><p>+short text of the day.</p>",
+    "<h1>+title</h1><p>+{M}</p><div class='comment-list'><p>{X}</p><p>{L}</p><p>{X}</p><p>{L}</p><p>{X}</p><p>{L}</p></div>",
+    "<p>+{L}</p><p>+{M}</p><div>copyright 2024 somebody</div>",
+    "<article><h1>+title</h1><p>+{L}</p><p>+all rights reserved.</p></article>",
+    "<h1>+title</h1><p>+{L}</p><div>copyright 2024 the owner of the site</div>",
 ]
 
 

@@ -420,6 +420,23 @@ def test_html_keeps_the_article(inside, before, after):
     assert html_text.main_text(_page(before, inside, after)) == "\n\n".join(["A title", *_SENTENCES])
 
 
+@pytest.mark.parametrize("many", [1, 3, 12, 40, 400])
+@pytest.mark.parametrize("name", ["id='comments'", "class='comment-list'", "class='cookie-notice'", "class='x related'", "role='navigation'"])
+def test_html_names_hold_whatever_the_size(many, name):
+    """Comments and notices go, few or many, behind the text or before it."""
+    said = "".join(f"<p>Comment {i} which says something at some length about what stands above it.</p>" for i in range(many))
+    short = "<h1>Title</h1><p>Short news of today in one line, and that is all there is to say of it here, as of now.</p>"
+    whole = "Title\n\nShort news of today in one line, and that is all there is to say of it here, as of now."
+    assert html_text.main_text(f"{short}<div {name}>{said}</div>") == whole
+    if name != "class='comment-list'":  # a part of a name holds only behind a text
+        assert html_text.main_text(f"<div {name}>{said}</div>{short}") == whole
+
+
+def test_html_line_on_rights():
+    for line in ("Copyright 2024 someone", "© the owner", "All rights reserved."):
+        assert html_text.main_text(f"<h1>A title</h1>{''.join(f'<p>{x}</p>' for x in _SENTENCES)}<div>{line}</div>") == "\n\n".join(["A title", *_SENTENCES])
+
+
 def test_html_tree_reads_neighbours():
     """The learned tree splits on words and links of a block and of its neighbours, and fits its small table."""
     text = html_text.tree().text()
