@@ -25,12 +25,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = r"""
-WITH l AS (SELECT doc_id, i, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
-           FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce("text", ''), chr(10)) AS ls FROM documents))),
-c AS (SELECT k FROM l WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
-SELECT l.doc_id, count(*)::BIGINT AS n_lines, count(c.k)::BIGINT AS n_dropped,
+WITH l AS (SELECT rid, doc_id, i, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+           FROM (SELECT rid, doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce("text", ''), chr(10)) AS ls FROM documents))),
+c AS (SELECT k FROM l WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT rid) >= 10)
+SELECT any_value(l.doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(c.k)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(CASE WHEN c.k IS NULL THEN l.line END, chr(10) ORDER BY l.i), '')) AS kept_sha256
-FROM l LEFT JOIN c ON l.k = c.k GROUP BY l.doc_id
+FROM l LEFT JOIN c ON l.k = c.k GROUP BY l.rid
 """
 
 

@@ -847,3 +847,15 @@ def test_trie_bits():
     """Two tops, the first with two children."""
     bits = np.packbits([1, 1, 0, 1, 1, 0, 0, 0, 0]).tobytes()
     assert prefix_trie.parents_of(bits, 4).tolist() == [-1, -1, 0, 0]
+
+
+def test_line_dedup_rows_of_one_id(spark, tmp_path):
+    """Rows are documents: ten rows of one id lose their common line, in the query as in its SQL; nine keep theirs."""
+    import duckdb
+
+    rows = [(1, f"Same line\nown {i}") for i in range(10)] + [(2, f"other line\nown {i} too") for i in range(9)] + [(None, " SAME LINE\n"), (3, None), (3, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = Counter(tuple(r) for r in queries.op2_line_dedup(spark, str(tmp_path)).collect())
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert got == Counter(c.execute(queries.OP2_SQL).fetchall()) and sum(n for (i, _, dropped, _), n in got.items() if i == 1 and dropped == 1) == 10
