@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -72,9 +74,12 @@ BLOCK, BROADCAST, HELD = 1024, 20_000, 1 << 18
 CITED = 256
 
 
-def _packed(df: DataFrame) -> DataFrame:
-    """df in blocks of at most BLOCK rows, each an Arrow stream in one binary."""
+def _packed(df: DataFrame, key: str | None = None) -> DataFrame:
+    """df in blocks of at most BLOCK rows, each an Arrow stream in one binary; with a whole number as key, (key, block) for runs of each key."""
     size = BLOCK
+    columns = [c for c in df.columns if c != key]
+    if key:
+        df = df.select(key, *columns).sortWithinPartitions(key)
 
     def run(batches):
         import pyarrow as pa
@@ -86,19 +91,37 @@ def _packed(df: DataFrame) -> DataFrame:
                 w.write_table(table.combine_chunks())
             return pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block"])
 
-        held, n = [], 0
-        for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                part = batch.slice(at, size - n)
-                held, n, at = [*held, part], n + part.num_rows, at + part.num_rows
-                if n == size:
-                    yield row(held)
-                    held, n = [], 0
-        if held:
-            yield row(held)
+        def blocks(batches):
+            held, n = [], 0
+            for batch in batches:
+                at = 0
+                while at < batch.num_rows:
+                    part = batch.slice(at, size - n)
+                    held, n, at = [*held, part], n + part.num_rows, at + part.num_rows
+                    if n == size:
+                        yield row(held)
+                        held, n = [], 0
+            if held:
+                yield row(held)
+
+        if not key:
+            yield from blocks(batches)
+            return
+        for k, run_of in itertools.groupby(((k, part) for batch in batches for k, part in runs(batch)), lambda x: x[0]):
+            for block in blocks(part for _, part in run_of):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), block.column(0)], [key, "block"])
+
+    def runs(batch):
+        import numpy as np
+        import pyarrow as pa
+
+        own = batch.column(0).cast(pa.int64()).to_numpy(False)
+        cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1), len(own)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if hi > lo:
+                yield int(own[lo]), batch.slice(lo, hi - lo).select(columns)
 
-    return df.mapInArrow(run, "block binary")
+    return df.mapInArrow(run, f"`{key}` long, block binary" if key else "block binary")
 
 
 def _best(threshold: float, count: int, names: list[str]):
@@ -197,11 +220,30 @@ def similar(queries: DataFrame, chunks: DataFrame, threshold: float = 0.5, count
     """
     n = queries.count()
     few = n <= BROADCAST
-    queries = queries.withColumn("q", F.col("q").cast("array<double>"))
-    chunks = chunks.withColumn("embedding", F.col("embedding").cast("array<double>"))
-    schema = T.StructType([f for f in [*chunks.schema.fields, *queries.schema.fields] if f.name not in ("q", "embedding")]).add("similarity", "double")
+    queries, chunks, schema = _as_doubles(queries, chunks)
     left, right = _packed(chunks).toDF("chunks"), _packed(queries.repartition(n // 128 + 1) if few else queries.repartition("query_id")).toDF("queries")
     met = left.crossJoin(F.broadcast(right) if few else right).select("queries", "chunks")
+    return _ranked(met, threshold, count, schema)
+
+
+def similar_by(queries: DataFrame, chunks: DataFrame, key: str, threshold: float = 0.5, count: int = 10) -> DataFrame:
+    """The same where a query meets only the chunks with one of its keys, whole numbers. queries: (query_id, q, key), a row for each key."""
+    n = queries.count()
+    queries, chunks, schema = _as_doubles(queries, chunks)
+    schema = T.StructType([f for f in schema.fields if f.name != key])
+    right = _packed(queries.repartition(key), key).toDF(key, "queries")
+    met = _packed(chunks, key).toDF(key, "chunks").join(F.broadcast(right) if n <= BROADCAST else right, key).select("queries", "chunks")
+    return _ranked(met, threshold, count, schema)
+
+
+def _as_doubles(queries: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame, T.StructType]:
+    """Both with vectors of doubles, and what their matches hold."""
+    queries, chunks = queries.withColumn("q", F.col("q").cast("array<double>")), chunks.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    once = {f.name: f for f in [*chunks.schema.fields, *queries.schema.fields] if f.name not in ("q", "embedding")}
+    return queries, chunks, T.StructType([*once.values()]).add("similarity", "double")
+
+
+def _ranked(met: DataFrame, threshold: float, count: int, schema: T.StructType) -> DataFrame:
     best = met.mapInArrow(_best(threshold, count, schema.names), schema)
     ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "id")))
     return ranked.where(F.col("rank") <= count)

@@ -9,7 +9,7 @@ looked up, and whoever asks checks what it finds.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.sources import shared
@@ -65,13 +65,18 @@ def holding(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def build(chunks: DataFrame, keep: list[str], low: Column, gap: str, path: str, least: int = 1) -> None:
     """Store the dictionary of a corpus at path: `words` and `postings` (word, and keep of its document), dealt to BUCKETS parts by word."""
     rows = words(chunks, keep, low, gap, least)
-    part = F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int")
-    rows.withColumn("bucket", part).repartition("bucket", F.pmod(F.xxhash64(*keep), F.lit(8))).write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
-    stored = chunks.sparkSession.read.parquet(f"{path}/postings")
-    stored.select("word").distinct().write.mode("overwrite").parquet(f"{path}/words")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int"))
+    rows.limit(0).write.mode("overwrite").parquet(f"{path}/shape")
+    rows.repartition("bucket", F.pmod(F.xxhash64(*keep), F.lit(8))).write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
+    _postings(chunks.sparkSession, path).select("word").distinct().write.mode("overwrite").parquet(f"{path}/words")
 
 
-def postings(spark, path: str, met: DataFrame) -> DataFrame:
+def _postings(spark: SparkSession, path: str) -> DataFrame:
+    shape = spark.read.parquet(f"{path}/shape").schema  # postings of nothing have no file
+    return spark.read.schema(shape).parquet(f"{path}/postings")
+
+
+def postings(spark: SparkSession, path: str, met: DataFrame) -> DataFrame:
     """Rows of the stored dictionary for the words of met; only the parts that hold one of them are read."""
     buckets = [r.b for r in met.select(F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int").alias("b")).distinct().collect()]  # at most BUCKETS rows
-    return spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(buckets)).drop("bucket").join(few(met.select("word").distinct()), "word", "left_semi")
+    return _postings(spark, path).where(F.col("bucket").isin(buckets)).drop("bucket").join(few(met.select("word").distinct()), "word", "left_semi")

@@ -9,9 +9,11 @@ from plumbline.operators import annotations as A
 from plumbline.operators import corpus as C
 from plumbline.operators import rules as R
 from plumbline.operators import sheets as H
+from plumbline.operators import vector_index as V
 from plumbline.plans.inputs import run
 from plumbline.plans.queries import NOTES, PART, ROUTED, SECTIONS, STOP, code_text, notes, query
 from plumbline.sources import files as S
+from plumbline.sources import shared
 from plumbline.sources import sinks as K
 
 # --- retrieval -------------------------------------------------------------------------------
@@ -61,6 +63,24 @@ def vector_topk_table_function(spark, sf):
     return out.withColumn("similarity", F.round("similarity", 6))
 
 
+@query("SELECT query_id, id, section_id, round(sim, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS n FROM (SELECT a.vec_id AS query_id, CAST(b.vec_id AS VARCHAR) AS id, 's' || b.label AS section_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0) WHERE sim > 0.1) WHERE n <= 10")
+def vector_topk_lateral(spark, sf):
+    """match_code_chunks for every vector with vec_id % 100 = 0, each a row of a table that calls it."""
+    run(spark, sf, "SELECT vec_id AS id, concat('s', label) AS section_id, '' AS section_title, '' AS content, embedding FROM embeddings").createOrReplaceTempView("code_chunks_of_test")
+    C.register_match(spark, "code_chunks_of_test")
+    asked = run(spark, sf, "SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 100 = 0")
+    return spark.sql("SELECT query_id, m.id, m.section_id, round(m.similarity, 6) AS similarity FROM {asked} a, LATERAL match_code_chunks(a.embedding, 0.1D, 10) m", asked=asked)
+
+
+@query()
+def vector_index_topk(spark, sf):
+    """The search of vector_topk through an index of lists, built here; test_vector_index.py measures its recall."""
+    path = shared.new_path(spark, "lists")
+    V.build(run(spark, sf, "SELECT vec_id AS id, embedding FROM embeddings"), path)
+    asked = run(spark, sf, "SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0")
+    return V.search(spark, path, asked, 0.1, 10).select("query_id", "id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
+
+
 CTX_BLOCK = "'[' || section_id || '] ' || section_title || chr(10) || substr(trim(regexp_replace(content, '\\s+', ' ', 'g')), 1, 1200)"
 
 

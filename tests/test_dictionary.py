@@ -49,6 +49,8 @@ def test_keyword_search_brute_force(spark, tmp_path, monkeypatch, few):
             for r in C.keyword_search(asked, chunks, 7, prefix, where).orderBy("rank").collect():
                 got.setdefault(r.query_id, []).append(r.id)
             assert got == want
+    C.keyword_index(chunks.limit(0), index + "-none")
+    assert C.keyword_search(asked, chunks.limit(0), 7, index=index + "-none").count() == 0
     assert C.keyword_search(asked.limit(0), chunks, 7).count() == 0 and C.keyword_search(asked, chunks.limit(0), 7).count() == 0
 
 
