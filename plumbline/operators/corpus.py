@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions import text as X
 from plumbline.operators import dictionary as D
+from plumbline.operators import scan as S
 from plumbline.sources import shared
 
 # fixed values: what a heading line looks like
@@ -26,14 +27,17 @@ CATEGORIES = {
 }
 
 
-def sections(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, ordinal, section_id, section_title, content): lines gathered under the heading above them."""
-    lines = docs.select(key, F.posexplode(F.split(text, r"\r?\n")).alias("pos", "line")).withColumn("line", F.replace("line", F.lit(" "), F.lit(" ")))
+def sections(docs: DataFrame, key: str, text: str, block: int | None = None) -> DataFrame:
+    """(key, ordinal, section_id, section_title, content): lines gathered under the heading above them.
+
+    block: lines of a long document that one task numbers.
+    """
+    long = (S.breaks(F.col(text)) >= (block or S.SIZE)).alias("__many")
+    lines = docs.select(key, long, text).select(key, "__many", F.posexplode(F.split(text, r"\r?\n")).alias("pos", "line")).withColumn("line", F.replace("line", F.lit("\u00a0"), F.lit(" ")))
     by_id = F.coalesce(X.blank_null(F.regexp_extract("line", HEADING, 1)), X.blank_null(F.regexp_extract("line", ARTICLE, 1)))
     title = F.when(F.col("line").rlike(HEADING), F.regexp_extract("line", HEADING, 2)).otherwise(F.regexp_extract("line", ARTICLE, 2))
     lines = lines.withColumn("sid", by_id).withColumn("title", X.trim(title))
-    order = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    lines = lines.withColumn("ordinal", F.count("sid").over(order))
+    lines = S.carried(lines, key, "pos", F.col("__many"), {"ordinal": F.col("sid").isNotNull()}, {}, block)
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("sid").isNull(), F.struct("pos", "line")))), lambda x: x["line"]), "\n")
     out = lines.groupBy(key, "ordinal").agg(F.max("sid").alias("section_id"), F.max(F.when(F.col("sid").isNotNull(), F.col("title"))).alias("section_title"), X.trim(body).alias("content"))
     return out.where("content <> ''").select(key, "ordinal", F.coalesce("section_id", F.lit("preamble")).alias("section_id"), F.coalesce("section_title", F.lit("Preamble")).alias("section_title"), "content")
@@ -435,11 +439,15 @@ def context(blocks: DataFrame, keys: DataFrame, key: str, order: list[str], bloc
     return keys.join(own, key, "left").select(key, F.coalesce(text, F.lit(NONE_FOUND)).alias("context"))
 
 
-def rule_draft(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, pos, section, direction, value, unit, snippet): dimensional clauses with the last section named so far."""
-    clauses = docs.select(key, F.posexplode(F.split(text, r"(?<=[.;:])\s+|\n{2,}")).alias("pos", "clause"))
+def rule_draft(docs: DataFrame, key: str, text: str, block: int | None = None) -> DataFrame:
+    """(key, pos, section, direction, value, unit, snippet): dimensional clauses with the last section named so far.
+
+    block: clauses of a long document that one task reads.
+    """
+    long = (F.length(text) >= 2 * (block or S.SIZE)).alias("__many")  # a clause that another follows has a sign and white space
+    clauses = docs.select(key, long, text).select(key, "__many", F.posexplode(F.split(text, r"(?<=[.;:])\s+|\n{2,}")).alias("pos", "clause"))
     named = F.try_element_at(X.section_ids(F.col("clause"), "9"), F.lit(-1))
-    clauses = clauses.withColumn("section", F.last(named, ignorenulls=True).over(W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)))
+    clauses = S.carried(clauses, key, "pos", F.col("__many"), {}, {"section": named}, block)
     measure = rf"(?i)(\d+(?:\.\d+)?)\s*(mm|m{X.END})"
     found = clauses.where(F.col("clause").rlike(r"(?i)not\s+less\s+than|not\s+more\s+than|at\s+least|minimum|maximum|min\.|max\.") & F.col("clause").rlike(measure))
     value = F.regexp_extract("clause", measure, 1).cast("double") * F.when(F.lower(F.regexp_extract("clause", measure, 2)) == "m", 1000).otherwise(1)

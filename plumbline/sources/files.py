@@ -8,9 +8,10 @@ from decimal import ROUND_HALF_UP, Context, Decimal
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.operators import scan
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
 
 ACCEPTED = "pdf dxf dwg png jpg jpeg tif tiff".split()
@@ -77,16 +78,24 @@ def fixed2(x: Column) -> Column:
 CODES = {"8": "layer", "10": "x0", "20": "y0", "11": "x1", "21": "y1", "42": "measurement", "1": "text"}
 
 
-def dxf_entities(files: DataFrame, key: str, text: str) -> DataFrame:
+def dxf_entities(files: DataFrame, key: str, text: str, block: int | None = None) -> DataFrame:
     """(key, id, type, layer, x0, y0, x1, y1, measurement, text) of the entities of drawing files, which are pairs of lines:
     a group code and its value. Code 0 starts an entity or a section; an entity's own codes follow it, the first of each counts.
+
+    block: pairs of a large drawing that one task numbers.
     """
-    lines = files.select(key, F.posexplode(F.split(text, r"\r?\n")).alias("i", "line"))
-    pairs = lines.groupBy(key, F.floor(F.col("i") / 2).alias("pair")).agg(F.max(F.when(F.col("i") % 2 == 0, F.trim("line"))).alias("code"), F.max(F.when(F.col("i") % 2 == 1, F.trim("line"))).alias("value"))
-    along = W.partitionBy(key).orderBy("pair").rowsBetween(W.unboundedPreceding, 0)
-    section = F.when((F.col("code") == "2") & (F.lag("value").over(W.partitionBy(key).orderBy("pair")) == "SECTION"), F.col("value"))
-    pairs = pairs.withColumn("section", section).withColumn("section", F.last("section", ignorenulls=True).over(along))
-    pairs = pairs.withColumn("id", F.count_if(F.col("code") == "0").over(along)).where("section = 'ENTITIES'")
+    size = block or scan.SIZE
+    lines = files.select(key, (scan.breaks(F.col(text)) >= 2 * size).alias("many"), text).select(key, "many", F.posexplode(F.split(text, r"\r?\n")).alias("i", "line"))
+    even, none = F.col("i") % 2 == 0, F.lit(None).cast("string")
+    pair, line = F.expr("i div 2"), F.trim("line")
+    # SECTION and the code 0 before it go to their own pair and to the next
+    own = F.struct(pair.alias("pair"), F.when(even, line).alias("code"), F.when(~even, line).alias("value"), none.alias("code0"), none.alias("value0"))
+    behind = F.struct((pair + 1).alias("pair"), none.alias("code"), none.alias("value"), F.when(even, line).alias("code0"), F.when(~even, line).alias("value0"))
+    passed = (even & (line == "0")) | (~even & (line == "SECTION"))
+    rows = lines.select(key, "many", F.explode(F.when(passed, F.array(own, behind)).otherwise(F.array(own))).alias("p")).select(key, "many", "p.*")
+    pairs = rows.groupBy(key, "many", "pair").agg(*[F.max(c).alias(c) for c in ("code", "value", "code0", "value0")]).where("code is not null")
+    section = F.when((F.col("code") == "2") & (F.col("code0") == "0") & (F.col("value0") == "SECTION"), F.col("value"))
+    pairs = scan.carried(pairs, key, "pair", F.col("many"), {"id": F.col("code") == "0"}, {"section": section}, size).where("section = 'ENTITIES'")
     fields = [F.min_by(F.when(F.col("code") == c, F.col("value")), F.when(F.col("code") == c, F.col("pair"))).alias(n) for c, n in {"0": "type", **CODES}.items()]
     out = pairs.groupBy(key, "id").agg(*fields).where(F.col("type").isNotNull() & ~F.col("type").isin("SECTION", "ENDSEC", "EOF"))
     return out.withColumns({c: F.col(c).try_cast("double") for c in ("x0", "y0", "x1", "y1", "measurement")})

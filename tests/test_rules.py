@@ -279,3 +279,30 @@ def test_files_and_sizes(spark, tmp_path):
     assert [(r.w, r.g) for r in rows if r.w != r.g] == []
     codes = spark.createDataFrame([(200,), (429,), (503,), (404,), (None,)], "s int").select("s", X.is_transient(F.col("s")).alias("t")).collect()
     assert [r.s for r in codes if r.t] == [429, 503]
+
+
+def test_long_documents_in_blocks(spark):
+    """Sections, drafts and drawings are the same however few lines a task reads; null keys too."""
+    docs = Q.code_text(spark, SF).unionByName(spark.createDataFrame([(None, "9.1.1 First heading\n" + "\n".join(f"line {i}" for i in range(95)) + "\n\n9.2.3 Second heading\r\nmore.\nx"), (-1, None), (-2, "")], "doc_id long, body string"))
+    docs = docs.withColumn("body", F.concat("body", F.lit(". See 9.8.2.1; at least 3 mm. And more: at most\n\nminimum 2 m")))
+    want = sorted(map(str, C.sections(docs, "doc_id", "body").collect()))
+    assert sorted(map(str, C.sections(docs, "doc_id", "body", 10).collect())) == want and len(want) > 700
+    drafts = sorted(map(str, C.rule_draft(docs, "doc_id", "body").collect()))
+    assert sorted(map(str, C.rule_draft(docs, "doc_id", "body", 3).collect())) == drafts and len(drafts) > 300
+    lines = ["0", "SECTION", " 2", "HEADER", "9", "x", "0", "ENDSEC", "0", "SECTION", "2", "ENTITIES", *[v for i in range(40) for v in ("0", "LINE", "8", f"layer {i}", "10", "1.5", "1", "SECTION", "2", "no section")], "0", "ENDSEC", "0", "EOF", "0"]
+    drawn = spark.createDataFrame([(1, "\n".join(lines)), (None, "\r\n".join(lines)), (2, None), (3, "")], "k int, t string")
+    found = sorted(map(str, files.dxf_entities(drawn, "k", "t").collect()))
+    assert sorted(map(str, files.dxf_entities(drawn, "k", "t", 3).collect())) == found and len(found) == 80
+
+
+def test_carried_brute_force(spark):
+    from plumbline.operators import scan
+
+    rows = [(k, i, None if (i * 7 + k) % 5 else f"v{i}", i % 3 == 0) for k in range(4) for i in range(k * 13)]
+    df = spark.createDataFrame(rows, "k int, i int, v string, c boolean").repartition(3)
+    got = {(r.k, r.i): (r.n, r.last) for r in scan.carried(df, "k", "i", F.col("k") > 1, {"n": F.col("c")}, {"last": F.col("v")}, 4).collect()}
+    want, n, last = {}, 0, None
+    for k, i, v, c in rows:
+        n, last = (n if i else 0) + c, v or (last if i else None)
+        want[k, i] = (n, last)
+    assert got == want
