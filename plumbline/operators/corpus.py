@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,22 +44,45 @@ def sections(docs: DataFrame, key: str, text: str, block: int | None = None) ->
     return out.where("content <> ''").select(key, "ordinal", F.coalesce("section_id", F.lit("preamble")).alias("section_id"), F.coalesce("section_title", F.lit("Preamble")).alias("section_title"), "content")
 
 
-def split_oversized(found: DataFrame, max_tokens: int = 500) -> DataFrame:
-    """Sections over the limit as greedily packed paragraphs #1, #2, ...; one paragraph is never cut."""
-    limit = max_tokens * 4
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+def _packs(limit: int):
+    """Numbers of the paragraphs that open a part, from the paragraphs' lengths: a walk from break to break over their sums."""
+
+    def run(sizes: pd.Series) -> pd.Series:
+        import numpy as np
+
+        def one(n):
+            total = np.cumsum(np.asarray(n, np.int64) + 2)
+            starts, at = [], 0
+            while at < len(total):
+                starts.append(at)
+                base = total[at - 1] if at else 0
+                at = max(at + 1, int(np.searchsorted(total, base + limit, side="right")))
+            return starts
+
+        return sizes.map(one)
 
-    def step(acc: Column, p: Column) -> Column:
-        full = (F.length(acc["open"]) + F.length(p) + 2 > limit) & (F.length(acc["open"]) > 0)
-        done = F.when(full, F.concat(acc["done"], F.array(X.trim(acc["open"])))).otherwise(acc["done"])
-        return F.struct(done.alias("done"), F.concat(F.when(full, F.lit("")).otherwise(acc["open"]), p, F.lit("\n\n")).alias("open"))
+    return F.pandas_udf(run, "array<int>")
 
-    packed = F.aggregate(F.split("content", r"\n\s*\n"), start, step, lambda a: F.when(X.trim(a["open"]) != "", F.concat(a["done"], F.array(X.trim(a["open"])))).otherwise(a["done"]))
+
+def split_oversized(found: DataFrame, max_tokens: int = 500) -> DataFrame:
+    """Sections over the limit as greedily packed paragraphs #1, #2, ...; one paragraph is never cut.
+
+    A part takes paragraphs while their lengths, and two for each, stay within the limit. Only lengths go to Python.
+    """
     small = X.approx_tokens(F.col("content")) <= max_tokens
-    parts = found.withColumn("parts", F.when(small, F.array("content")).otherwise(packed))
-    rows = parts.select(*[c for c in parts.columns if c not in ("content", "parts")], F.size("parts").alias("__n"), F.posexplode("parts").alias("__k", "content"))
+    paragraphs = F.split("content", r"\n\s*\n")
+    keep = [c for c in found.columns if c != "content"]
+    whole = found.where(F.coalesce(small, F.lit(True))).select(*keep, F.lit(1).alias("__n"), F.lit(0).alias("__k"), "content")
+    large = found.where(~small).select(*keep, paragraphs.alias("__p"))
+    starts = _packs(max_tokens * 4)(F.transform("__p", lambda p: F.length(p)))
+    large = large.select(*keep, "__p", starts.alias("__s"))
+    ends = F.concat(F.slice("__s", 2, F.size("__s")), F.array(F.size("__p")))
+    parts = F.zip_with("__s", ends, lambda a, z: X.trim(F.array_join(F.slice("__p", a + 1, z - a), "\n\n")))
+    large = large.select(*keep, F.filter(parts, lambda x: x != "").alias("__parts"))
+    large = large.select(*keep, F.size("__parts").alias("__n"), F.posexplode("__parts").alias("__k", "content"))
+    rows = whole.union(large)
     ident = F.when(F.col("__n") > 1, F.concat("section_id", F.lit("#"), (F.col("__k") + 1).cast("string"))).otherwise(F.col("section_id"))
-    return rows.withColumn("section_id", ident).drop("__n", "__k")
+    return rows.withColumn("section_id", ident).select(*found.columns)
 
 
 def cosine(a: str, b: str) -> Column:

@@ -175,17 +175,39 @@ def select_violations(found: DataFrame, severity: str = "all", kind: str = "all"
     return found if kind == "all" else found.where(F.col("type") == kind)
 
 
+ELEMENT = ["type", "id", "attribute"]
+
+
+def conflict_members(elements: DataFrame) -> DataFrame:
+    """(type, id, attribute, sheet, value_mm) of the elements that have several values, each sheet and value once."""
+    once = elements.select(*ELEMENT, "sheet", "value_mm").distinct()
+    several = once.groupBy(*ELEMENT).agg((F.min("value_mm") < F.max("value_mm")).alias("differ")).where("differ").select(*ELEMENT)
+    return once.join(several, ELEMENT, "left_semi")
+
+
+def conflict_classes(elements: DataFrame) -> DataFrame:
+    """One row for each value of an element that has several: (type, id, attribute, value_mm, sheets, first_sheet, n_values, pairs).
+
+    sheets have this value, first_sheet is the first of them; pairs of entries of different sheets disagree on the element, which is
+    counted, not made: of all pairs, those of one value and those of one sheet are taken off. Everything is summed in each task first,
+    so an element on any number of sheets gives no more rows than it has values; conflict_members has the sheets.
+    """
+    entries = elements.select(*ELEMENT, "sheet", "value_mm").distinct()
+    values = entries.groupBy(*ELEMENT, "value_mm").agg(F.count("*").alias("sheets"), F.min("sheet").alias("first_sheet"))
+    of = values.groupBy(*ELEMENT).agg(F.count("*").alias("n_values"), F.sum("sheets").alias("n"), F.sum(F.col("sheets") * F.col("sheets")).alias("same")).where("n_values > 1")
+    own = entries.groupBy(*ELEMENT, "sheet").agg(F.count("*").alias("m")).groupBy(*ELEMENT).agg(F.sum(F.col("m") * F.col("m")).alias("own"))
+    pairs = F.expr("(n * n - same - own + n) div 2").alias("pairs")
+    return values.join(of.join(own, ELEMENT).select(*ELEMENT, "n_values", pairs), ELEMENT).select(*ELEMENT, "value_mm", "sheets", "first_sheet", "n_values", "pairs")
+
+
 def conflicts(elements: DataFrame) -> DataFrame:
     """The same element with different values on two sheets: (type, id, attribute, sheet_a, value_a, sheet_b, value_b).
 
-    Only elements with several values are paired, each sheet and value once; both sides share one shuffle.
+    All pairs of the members, as many as conflict_classes counts; both sides share one shuffle.
     """
-    key = ["type", "id", "attribute"]
-    once = elements.select(*key, "sheet", "value_mm").distinct()
-    several = once.groupBy(*key).agg((F.min("value_mm") < F.max("value_mm")).alias("differ")).where("differ").select(*key)
-    once = once.join(several, key, "left_semi")
+    once = conflict_members(elements)
     a, b = once.alias("a"), once.alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in key]
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ELEMENT]
     met = a.join(b, same[0] & same[1] & same[2] & (F.col("a.sheet") < F.col("b.sheet")) & (F.col("a.value_mm") != F.col("b.value_mm")))
     return met.select("a.type", "a.id", "a.attribute", F.col("a.sheet").alias("sheet_a"), F.col("a.value_mm").alias("value_a"), F.col("b.sheet").alias("sheet_b"), F.col("b.value_mm").alias("value_b"))
 

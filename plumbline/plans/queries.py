@@ -232,11 +232,33 @@ def filter_violations(spark, sf):
 OWN_SHEETS = "e2 AS (SELECT DISTINCT sheet, type, split_part(id, '-', 2) || '-' || split_part(id, '-', 3) AS id, attribute, value_mm FROM el WHERE value_mm IS NOT NULL)"
 
 
+def own_parts(e):
+    """Elements known by part and supplier, so that orders share them."""
+    return e.withColumn("id", F.concat_ws("-", F.split_part("id", F.lit("-"), F.lit(2)), F.split_part("id", F.lit("-"), F.lit(3))))
+
+
 @query(f"WITH {ELEMENTS}, {OWN_SHEETS} SELECT DISTINCT a.type, a.id, a.attribute, a.sheet AS sheet_a, round(a.value_mm, 6) AS value_a, b.sheet AS sheet_b, round(b.value_mm, 6) AS value_b FROM e2 a JOIN e2 b ON a.type = b.type AND a.id = b.id AND a.attribute = b.attribute AND a.sheet < b.sheet AND a.value_mm <> b.value_mm")
 def consistency_conflicts(spark, sf):
     e = elements(spark, sf)
-    e = e.withColumn("id", F.concat_ws("-", F.split_part("id", F.lit("-"), F.lit(2)), F.split_part("id", F.lit("-"), F.lit(3)))).select("sheet", "type", "id", "attribute", "value_mm").distinct()
-    return R.conflicts(e).withColumn("value_a", F.round("value_a", 6)).withColumn("value_b", F.round("value_b", 6))
+    return R.conflicts(own_parts(e)).withColumn("value_a", F.round("value_a", 6)).withColumn("value_b", F.round("value_b", 6))
+
+
+CLASSES = (
+    "vc AS (SELECT type, id, attribute, value_mm, count(*) AS sheets, min(sheet) AS first_sheet FROM e2 GROUP BY type, id, attribute, value_mm), sm AS (SELECT type, id, attribute, sum(m * m) AS own FROM (SELECT type, id, attribute, sheet, count(*) AS m FROM e2 GROUP BY type, id, attribute, sheet) GROUP BY type, id, attribute), "
+    "kc AS (SELECT type, id, attribute, count(*) AS n_values, sum(sheets) AS entries, sum(sheets * sheets) AS same FROM vc GROUP BY type, id, attribute HAVING count(*) > 1)"
+)
+
+
+@query(f"WITH {ELEMENTS}, {OWN_SHEETS}, {CLASSES} SELECT type, id, attribute, round(value_mm, 6) AS value_mm, sheets::BIGINT AS sheets, first_sheet, n_values::BIGINT AS n_values, ((entries * entries - same - own + entries) // 2)::BIGINT AS pairs FROM vc JOIN kc USING (type, id, attribute) JOIN sm USING (type, id, attribute)")
+def consistency_classes(spark, sf):
+    """The values that an element has on different sheets, and how many pairs of sheets disagree on it."""
+    return R.conflict_classes(own_parts(elements(spark, sf))).withColumn("value_mm", F.round("value_mm", 6))
+
+
+@query(f"WITH {ELEMENTS}, {OWN_SHEETS}, {CLASSES} SELECT type, id, attribute, sheet, round(value_mm, 6) AS value_mm FROM e2 JOIN kc USING (type, id, attribute)")
+def consistency_members(spark, sf):
+    """The sheets of those values."""
+    return R.conflict_members(own_parts(elements(spark, sf))).withColumn("value_mm", F.round("value_mm", 6))
 
 
 PROJECT = "SELECT DISTINCT o_custkey % 50 AS project, concat('S-', o_orderkey % 7) AS sheet, o_orderpriority AS type, concat(o_custkey, '') AS id FROM orders"
@@ -253,7 +275,19 @@ def chunk_sections(spark, sf):
     return C.sections(code_text(spark, sf), "doc_id", "body")
 
 
-@query()
+# one paragraph after the other: the part it goes to, and what this part then holds
+PACKED = (
+    f"WITH RECURSIVE {SECTIONS}, pp AS (SELECT doc_id, ordinal, section_id, section_title, content, regexp_split_to_array(content, '\\n\\s*\\n') AS p FROM sc WHERE ceil(length(content) / 4) > 100), "
+    "wk AS (SELECT doc_id, ordinal, p, 1 AS i, 1 AS part, length(p[1]) + 2 AS held FROM pp UNION ALL SELECT doc_id, ordinal, p, i + 1, CASE WHEN held + length(p[i + 1]) + 2 > 400 THEN part + 1 ELSE part END, "
+    "CASE WHEN held + length(p[i + 1]) + 2 > 400 THEN 0 ELSE held END + length(p[i + 1]) + 2 FROM wk WHERE i < len(p)), "
+    "pk AS (SELECT doc_id, ordinal, part, trim(string_agg(p[i], chr(10) || chr(10) ORDER BY i), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)) AS content FROM wk GROUP BY doc_id, ordinal, part), "
+    "pn AS (SELECT *, row_number() OVER (PARTITION BY doc_id, ordinal ORDER BY part) AS k, count(*) OVER (PARTITION BY doc_id, ordinal) AS n FROM pk WHERE content <> '') "
+    "SELECT pn.doc_id, pn.ordinal, pp.section_id || CASE WHEN n > 1 THEN '#' || k ELSE '' END AS section_id, pp.section_title, pn.content FROM pn JOIN pp ON pn.doc_id = pp.doc_id AND pn.ordinal = pp.ordinal "
+    "UNION ALL SELECT doc_id, ordinal, section_id, section_title, content FROM sc WHERE ceil(length(content) / 4) <= 100"
+)
+
+
+@query(PACKED)
 def split_oversized(spark, sf):
     return C.split_oversized(C.sections(code_text(spark, sf), "doc_id", "body"), 100)
 

@@ -306,3 +306,19 @@ def test_carried_brute_force(spark):
         n, last = (n if i else 0) + c, v or (last if i else None)
         want[k, i] = (n, last)
     assert got == want
+
+
+def test_conflict_classes_count_their_pairs(spark):
+    """Classes against all pairs: sheets with several values of an element, values of one sheet only, and no conflict."""
+    import random
+
+    rng = random.Random(3)
+    rows = [("door", f"D{rng.randint(0, 9)}", "width_mm", f"S{rng.randint(0, 12)}", float(rng.randint(1, 3))) for _ in range(150)] + [("door", "X", "width_mm", "S1", v) for v in (1.0, 2.0)] + [("door", "Y", "width_mm", s, 1.0) for s in ("S1", "S2")]
+    e = spark.createDataFrame(rows, "type string, id string, attribute string, sheet string, value_mm double")
+    pairs = {}
+    for r in R.conflicts(e).collect():
+        pairs[r.id] = pairs.get(r.id, 0) + 1
+    classes = R.conflict_classes(e).collect()
+    assert {r.id: r.pairs for r in classes if r.pairs} == pairs and {r.id: r.pairs for r in classes}["X"] == 0 and not any(r.id == "Y" for r in classes)
+    members = {(r.id, r.value_mm, r.sheet) for r in R.conflict_members(e).collect()}
+    assert {(r.id, r.value_mm): (r.sheets, r.first_sheet) for r in classes} == {(i, v): (len(s := [x for j, w, x in members if (j, w) == (i, v)]), min(s)) for i, v, _ in members}
