@@ -161,12 +161,34 @@ def summary(found: DataFrame, *by: str) -> DataFrame:
     return found.groupBy(*by).agg(*one, *[F.count_if(F.col("type") == t).alias(t) for t in ("compliance", "consistency")])
 
 
-def checked(rules: DataFrame) -> DataFrame:
-    """The rules, numbered by i; raises with all errors that validate finds."""
-    errors = [r["error"] for r in validate(rules).orderBy("i").limit(1000).collect()]
-    if errors:
-        raise ValueError("\n".join(errors))
-    return rules
+class RuleErrors(ValueError):
+    """Rules that fail validation: how many errors there are, and where all of them are stored (None: all are in the message)."""
+
+    def __init__(self, lines: list[str], count: int, path: str | None):
+        self.count, self.path = count, path
+        rest = f"\n({len(lines)} of {count} errors; all of them are in {path})" if count > len(lines) else ""
+        super().__init__("\n".join(lines) + rest)
+
+
+def _by_number(c: str) -> list[Column]:
+    return [F.regexp_extract(c, r"^\[(\d+)\]", 1).cast("long"), F.col(c)]
+
+
+def checked(rules: DataFrame, path: str | None = None, shown: int = 100) -> DataFrame:
+    """The rules, numbered by i; raises RuleErrors if validate finds any.
+
+    With a path all errors are written there as text, and the message has the first `shown` of them; without one it has them all.
+    """
+    errors = validate(rules)
+    if errors.isEmpty():
+        return rules
+    if path is None:
+        lines = [r.error for r in errors.orderBy(*_by_number("error")).collect()]
+        raise RuleErrors(lines, len(lines), None)
+    errors.select("error").write.mode("overwrite").text(path)
+    stored = rules.sparkSession.read.text(path)
+    first = [r.value for r in stored.orderBy(*_by_number("value")).limit(shown).collect()]
+    raise RuleErrors(first, stored.count(), path)
 
 
 def select_violations(found: DataFrame, severity: str = "all", kind: str = "all") -> DataFrame:

@@ -293,7 +293,7 @@ def ingest_counters(spark, sf):
     """Chunks parsed and, of those with a vector, stored."""
     s = C.sections(code_text(spark, sf), "doc_id", "body")
     s = s.withColumn("embedding", F.when(F.col("doc_id") % 4 > 1, F.array(F.lit(1.0))).when(F.col("doc_id") % 4 == 1, F.array(F.lit(0.5))).otherwise(F.array().cast("array<double>")))
-    return K.ingest_counts(s, K.chunk_rows(s))
+    return K.ingest_counts(s)
 
 
 REQUESTS = "SELECT page_id, CASE page_id % 5 WHEN 0 THEN concat('/data/', page_id, '.pdf') WHEN 1 THEN './a.pdf' WHEN 2 THEN 'bucket/a.pdf' WHEN 3 THEN '' END AS file_path, CASE WHEN page_id % 2 = 0 THEN 'AB' END AS jurisdiction FROM pages"

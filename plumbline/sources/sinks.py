@@ -5,7 +5,7 @@ Parquet has no updates: states are appended and the last one holds. Every write
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -54,18 +54,41 @@ def violation_rows(found: DataFrame, plan: str = "plan_id") -> DataFrame:
     return found.select(F.col(plan).alias("plan_id"), *cols)
 
 
-def chunk_rows(chunks: DataFrame, jurisdiction: str = "NBC") -> DataFrame:
+def embedded() -> Column:
+    return F.coalesce(F.size("embedding"), F.lit(0)) > 0
+
+
+def chunk_rows(chunks: DataFrame, jurisdiction: str = "NBC", run: str = "", place: tuple[str, ...] = ()) -> DataFrame:
     """Rows of embedded chunks; those without a vector are left out. chunks: section_id, section_title, content, embedding.
 
-    Append-only: what is ingested twice is there twice, with ids of its place in the run.
+    Append-only: what is ingested twice is there twice. The id is made of the run's name, the columns of `place` and the
+    content: give each ingest a name, and the columns that tell a document's chunks apart (its key, ordinal), and every row has an
+    id of its own, the same when the run is repeated after a failure. Without them equal chunks share one.
     """
-    rows = chunks.where(F.coalesce(F.size("embedding"), F.lit(0)) > 0)
-    return rows.select(ident("section_id", "section_title", "content").alias("id"), "section_id", "section_title", "content", "embedding", F.lit(jurisdiction).alias("jurisdiction"), X.topics(F.col("section_title")).alias("topic"))
+    rows = chunks.where(embedded())
+    made = ident(F.lit(run), *place, "section_id", "section_title", "content") if run or place else ident("section_id", "section_title", "content")
+    return rows.select(made.alias("id"), "section_id", "section_title", "content", "embedding", F.lit(jurisdiction).alias("jurisdiction"), X.topics(F.col("section_title")).alias("topic"))
+
+
+def ingest_counts(chunks: DataFrame) -> DataFrame:
+    """(chunks_parsed, chunks_ingested), in one pass."""
+    return chunks.agg(F.count("*").alias("chunks_parsed"), F.count_if(embedded()).alias("chunks_ingested"))
 
 
-def ingest_counts(chunks: DataFrame, rows: DataFrame) -> DataFrame:
-    """(chunks_parsed, chunks_ingested)."""
-    return chunks.agg(F.count("*").alias("chunks_parsed")).crossJoin(rows.agg(F.count("*").alias("chunks_ingested")))
+def write_guarded(rows: DataFrame, checks: dict[str, Column], path: str, rejected: str) -> dict[str, int]:
+    """Append the rows that meet all checks to path, the others with the names of those they fail (`failed`) to rejected.
+
+    Returns how many rows there were and were written, and how many fail each check, counted while they are written: only where
+    some fail are rows read a second time. A check that is null fails.
+    """
+    failed = F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in checks.items()]))
+    marked, seen = rows.withColumn("failed", failed), Observation()
+    counts = [F.count(F.lit(1)).alias("rows"), F.count_if(F.size("failed") == 0).alias("written"), *[F.count_if(F.array_contains("failed", n)).alias(n) for n in checks]]
+    marked.observe(seen, *counts).where(F.size("failed") == 0).drop("failed").write.mode("append").parquet(path)
+    found = seen.get
+    if found["written"] < found["rows"]:
+        marked.where(F.size("failed") > 0).write.mode("append").parquet(rejected)
+    return found
 
 
 def ingest_request(requests: DataFrame) -> DataFrame:
@@ -85,8 +108,11 @@ def count_chunks(spark: SparkSession, path: str) -> int:
 
 
 def upsert_rules(spark: SparkSession, rules: DataFrame, path: str, out: str) -> int:
-    """Validate rules, put them in the place of those at path with their ids, write all to out; returns how many came."""
-    R.checked(rules.withColumn("i", F.row_number().over(W.orderBy("id")) - 1))
+    """Validate rules, put them in the place of those at path with their ids, write all to out; returns how many came.
+
+    Where rules fail, nothing is written but all errors, to `<out>-errors`. A rule's number is its place in its file.
+    """
+    R.checked(rules.withColumn("i", F.monotonically_increasing_id()), f"{out.rstrip('/')}-errors")
     R.upsert(spark.read.schema(R.RULE).parquet(path), rules).write.mode("overwrite").parquet(out)
     return rules.count()
 

@@ -322,3 +322,56 @@ def test_conflict_classes_count_their_pairs(spark):
     assert {r.id: r.pairs for r in classes if r.pairs} == pairs and {r.id: r.pairs for r in classes}["X"] == 0 and not any(r.id == "Y" for r in classes)
     members = {(r.id, r.value_mm, r.sheet) for r in R.conflict_members(e).collect()}
     assert {(r.id, r.value_mm): (r.sheets, r.first_sheet) for r in classes} == {(i, v): (len(s := [x for j, w, x in members if (j, w) == (i, v)]), min(s)) for i, v, _ in members}
+
+
+def test_all_rule_errors_are_reported(spark, tmp_path):
+    """1,001 errors: every one is stored, and the message names the first; without a path it has them all."""
+    bad = spark.createDataFrame([tuple([f"r{i}", "9.1", "t", "9", None, "door", "a", "near", 1.0, None, None, "major", "m"]) for i in range(1001)], R.RULE)
+    old, out = str(tmp_path / "old"), str(tmp_path / "new")
+    R.curated_rules(spark).write.parquet(old)
+    with pytest.raises(R.RuleErrors, match="100 of 1001 errors") as e:
+        sinks.upsert_rules(spark, bad, old, out)
+    stored = [r.value for r in spark.read.text(e.value.path).collect()]
+    assert e.value.count == len(stored) == 1001 and all('bad operator "near"' in x for x in stored) and not (tmp_path / "new").exists()
+    with pytest.raises(R.RuleErrors) as e:
+        R.checked(bad.withColumn("i", F.substring("id", 2, 9).cast("int")))
+    lines = str(e.value).split("\n")
+    assert len(lines) == 1001 and lines[999].startswith("[999]")
+
+
+def test_two_ingests_and_guarded_writes(spark, tmp_path):
+    """Ids of runs and places; what fails a check goes to a folder of its own, counted while the rest is written."""
+    chunks = spark.createDataFrame([(1, 0, "9.1", "t", "same", [1.0]), (1, 1, "9.1", "t", "same", [1.0]), (1, 2, "9.2", "t", "none", []), (2, 0, None, "t", "x", [2.0]), (2, 1, "9.3", "t", "y", None)], "doc int, ordinal int, section_id string, section_title string, content string, embedding array<double>")
+    ids = [{r.id for r in sinks.chunk_rows(chunks, run=run, place=("doc", "ordinal")).collect()} for run in ("monday", "tuesday", "monday")]
+    assert [len(x) for x in ids] == [3, 3, 3] and ids[0] == ids[2] and not ids[0] & ids[1]
+    assert len({r.id for r in sinks.chunk_rows(chunks).collect()}) == 2
+    good, bad = str(tmp_path / "good"), str(tmp_path / "bad")
+    checks = {"embedding": sinks.embedded(), "section": F.col("section_id") != ""}
+    counts = sinks.write_guarded(chunks, checks, good, bad)
+    assert counts == {"rows": 5, "written": 2, "embedding": 2, "section": 1} and spark.read.parquet(good).count() == 2
+    assert sorted((r.doc, r.ordinal, r.failed) for r in spark.read.parquet(bad).collect()) == [(1, 2, ["embedding"]), (2, 0, ["section"]), (2, 1, ["embedding"])]
+    assert sinks.write_guarded(chunks.limit(1), checks, good, bad)["written"] == 1 and spark.read.parquet(good).count() == 3 and spark.read.parquet(bad).count() == 3
+    assert sinks.ingest_counts(chunks).first() == (5, 3)
+
+
+def test_streams_restart(spark, tmp_path):
+    """A stream that stops between files, and one whose last batch is repeated, store each violation once; counts add up over restarts."""
+    from plumbline.streaming import sheets as T
+
+    source, out, sums = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "sums")
+    source.mkdir()
+    rules = R.curated_rules(spark)
+    for i in range(3):
+        (source / f"{i}.json").write_text(json.dumps({**SHEET, "sheet_name": f"S{i % 2}"}))
+        T.write_batches(T.violations_of_stream(spark, str(source), rules), out, str(tmp_path / "c1")).awaitTermination()
+        T.write_summaries(T.violations_of_stream(spark, str(source), rules), sums, str(tmp_path / "c2")).awaitTermination()
+    once = R.violations(R.flatten_sheets(spark.read.schema(R.SHEET).json(str(source))), rules)
+    stored = spark.read.parquet(out)
+    assert sorted(map(str, stored.drop("batch").collect())) == sorted(map(str, once.collect()))
+    (tmp_path / "c1" / "commits" / "2").unlink()  # the last batch was stored, and then the driver was lost
+    (tmp_path / "c1" / "commits" / ".2.crc").unlink(missing_ok=True)
+    T.write_batches(T.violations_of_stream(spark, str(source), rules), out, str(tmp_path / "c1")).awaitTermination()
+    assert spark.read.parquet(out).count() == once.count()
+    want = R.summary(once.withColumn("sheet", F.element_at("affected_sheets", 1)), "sheet").collect()
+    got = T.summaries(spark, sums).select("sheet", "critical", "major", "minor", "compliance", "consistency").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 2
