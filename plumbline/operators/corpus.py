@@ -366,11 +366,15 @@ def retrieve_for_sheets(sheets: DataFrame, vectors: DataFrame, chunks: DataFrame
 
     vectors: (query, q), the embedded query texts; a text without one is searched by its keywords.
     """
-    asked = category_queries(sheets, key)
-    texts = asked.select("query_id", "query", "prefix").distinct()  # a few for each code part, however many sheets
-    found = retrieve(texts.join(vectors, "query", "left"), chunks, k, threshold)
-    found = asked.select(key, "category", "place", "query_id").join(found, "query_id")
-    return first_seen(found, [key, "id"], ["place", "rank"]).select(key, "id", "section_id", "category", "rank", "path")
+    part = F.coalesce(X.building_part(F.col("occupancy_type"), F.col("building_type")), F.lit(""))
+    own = sheets.select(key, "occupancy_type", "building_type", part.alias("__part"))
+    kinds = own.groupBy("__part").agg(F.first(F.struct("occupancy_type", "building_type")).alias("u")).select("__part", "u.*")
+    asked = category_queries(kinds, "__part")  # a few queries for each code part, however many sheets
+    found = retrieve(asked.select("query_id", "query", "prefix").distinct().join(vectors, "query", "left"), chunks, k, threshold)
+    found = asked.select("__part", "category", "place", "query_id").join(found, "query_id")
+    once = first_seen(found, ["__part", "id"], ["place", "rank"])
+    # k rows at most for each of a few parts and five categories
+    return own.select(key, "__part").join(F.broadcast(once), "__part").select(key, "id", "section_id", "category", "rank", "path")
 
 
 def register_match(spark, view: str = "building_code_chunks") -> None:

@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-import sys
-from decimal import ROUND_HALF_UP, Context, Decimal
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions import text as X
 from plumbline.operators import scan
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
-
 ACCEPTED = "pdf dxf dwg png jpg jpeg tif tiff".split()
 # fixed value: what is said of DWG files
 DWG_ERROR = "DWG files are proprietary and not supported. Please convert to DXF and re-upload."
@@ -56,22 +50,24 @@ def uploads(requests: DataFrame) -> DataFrame:
     return rows.select("request", "project_name", "f.name", "f.content", F.when(F.col("f").isNull(), "no files uploaded").alias("error"))
 
 
-def _fixed2(x: pd.Series) -> pd.Series:
-    wide = Context(prec=400)
-
-    def one(v):
-        if v is None or v != v:
-            return None
-        if abs(v) == float("inf"):
-            return "Infinity" if v > 0 else "-Infinity"
-        return str(Decimal(float(v)).quantize(Decimal("0.01"), ROUND_HALF_UP, wide))
-
-    return x.map(one)
-
-
 def fixed2(x: Column) -> Column:
-    """Two decimals of the exact binary value, ties away from zero."""
-    return F.pandas_udf(_fixed2, "string")(x)
+    """Two decimals of the exact binary value, ties away from zero; from 1e21 on the number's own text, null for NaN.
+
+    200 x is p + e with p rounded and e exact, since x is cut in two halves whose products are; its floor, and with it the rounded
+    number of hundredths, is known without a decimal of the whole. What is above 2^40 is taken off first.
+    """
+    a = F.abs(x)
+    high = F.floor(F.when(a < 1e21, a) / 2.0**40)
+    rest = a - high.cast("double") * 2.0**40
+    upper = rest * 134217729.0 - (rest * 134217729.0 - rest)
+    p = rest * 200.0
+    e = (upper * 200.0 - p) + (rest - upper) * 200.0
+    n = F.floor(p) - F.when((F.floor(p).cast("double") == p) & (e < 0), 1).otherwise(0)
+    cents = F.floor((n + 1) / 2) + high.cast("decimal(10,0)") * F.lit(100 << 40).cast("decimal(15,0)")
+    digits = cents.cast("decimal(38,0)").cast("string")
+    digits = F.when(F.length(digits) < 3, F.lpad(digits, 3, "0")).otherwise(digits)
+    text = F.concat(F.when(x < 0, "-").otherwise(""), F.left(digits, F.length(digits) - 2), F.lit("."), F.right(digits, F.lit(2)))
+    return F.when(F.isnan(x), None).when(a == float("inf"), F.concat(F.when(x < 0, "-").otherwise(""), F.lit("Infinity"))).when(a >= 1e21, X.number_text(x)).otherwise(text)
 
 
 # fixed values: group codes of drawing files

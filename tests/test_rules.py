@@ -274,7 +274,7 @@ def test_files_and_sizes(spark, tmp_path):
         (tmp_path / name).write_bytes(b"x" * 5)
     got = {r.path.rsplit("/", 1)[1]: r for r in files.read_files(spark, str(tmp_path)).collect()}
     assert {k: r.file_type for k, r in got.items()} == {"a.PDF": "pdf", "b.dwg": "dwg", "c.tiff": "image"} and got["b.dwg"].error == files.DWG_ERROR and bytes(got["a.PDF"].content) == b"xxxxx"
-    nums = [(1.005, "1.00"), (2.675, "2.67"), (0.125, "0.13"), (1e30, "1000000000000000019884624838656.00"), (float("inf"), "Infinity"), (None, None)]
+    nums = [(1.005, "1.00"), (2.675, "2.67"), (0.125, "0.13"), (1e30, "1e+30"), (1.5e20, "150000000000000000000.00"), (-0.001, "-0.00"), (-0.0, "0.00"), (float("nan"), None), (float("-inf"), "-Infinity"), (99.995, "100.00"), (2.0**44 + 0.125, "17592186044416.13"), (float("inf"), "Infinity"), (None, None)]
     rows = spark.createDataFrame([(v, w) for v, w in nums], "v double, w string").select("w", files.fixed2(F.col("v")).alias("g")).collect()
     assert [(r.w, r.g) for r in rows if r.w != r.g] == []
     codes = spark.createDataFrame([(200,), (429,), (503,), (404,), (None,)], "s int").select("s", X.is_transient(F.col("s")).alias("t")).collect()
@@ -375,3 +375,14 @@ def test_streams_restart(spark, tmp_path):
     want = R.summary(once.withColumn("sheet", F.element_at("affected_sheets", 1)), "sheet").collect()
     got = T.summaries(spark, sums).select("sheet", "critical", "major", "minor", "compliance", "consistency").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 2
+
+
+def test_fixed2_against_decimals(spark):
+    """Random numbers and near ties of all sizes below 1e21, rounded from their exact binary value."""
+    import random
+    from decimal import ROUND_HALF_UP, Context, Decimal
+
+    rng = random.Random(8)
+    values = [rng.uniform(-1, 1) * 10 ** rng.randint(-4, 20) for _ in range(4000)] + [(rng.randint(0, 10 ** rng.randint(1, 14)) * 2 + 1) / 200 for _ in range(4000)] + [rng.randint(0, 10**9) / 2 ** rng.randint(0, 12) for _ in range(2000)]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", files.fixed2(F.col("v")).alias("t")).collect()
+    assert [(r.v, r.t) for r in got if r.t != str(Decimal(r.v).quantize(Decimal("0.01"), ROUND_HALF_UP, Context(prec=400)))] == []
