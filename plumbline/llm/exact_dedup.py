@@ -3,7 +3,7 @@
 Contract. Texts are equal when they are identical after lower-casing A-Z; null counts as empty. Of equal texts
 the row with the largest doc_id stays. One row comes back for each row of the input.
 
-Cases: rows that repeat an id are rows of their own in group_size, and those of equal text stay together (they are the same
+Cases: ids are whole numbers, what can't be read as one raises an error; rows that repeat an id are rows of their own in group_size, and those of equal text stay together (they are the same
 document); a null id never wins over another, and stays where all its equals have none; null and empty texts are one
 group; an empty table gives an empty result; only the id and the text are read, so other columns can't clash.
 

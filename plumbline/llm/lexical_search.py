@@ -6,7 +6,7 @@ weighs w = floor(1000 * ln((2N + 2) / (2df + 1))) and has the impact (10^9 tf) d
 m = 75 + (25 n N) div L. A document's score is the sum of w * impact over a query's terms, repeats included; the `count` best
 above 0 come back, equal scores by ascending id.
 
-Cases: null and termless texts match nothing and don't count in N; rows that repeat a document's id are documents of their own;
+Cases: ids are whole numbers, what can't be read as one raises an error; null and termless texts match nothing and don't count in N; rows that repeat a document's id are documents of their own;
 rows that repeat a query's id, null too, are one query with all their terms; a null document id comes after all others; an
 empty table, of documents or queries, gives an empty result; only ids and texts are read, so other columns can't clash.
 

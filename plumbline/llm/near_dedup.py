@@ -5,7 +5,7 @@ is its distinct 5-word shingles (fewer words: the whole sequence is one shingle)
 at least one word and intersection/union >= threshold are linked; a component's id is its
 smallest doc_id.
 
-Cases: null, empty or blank text has an empty set and is linked with nothing (the row is its own
+Cases: ids are whole numbers, what can't be read as one raises an error; null, empty or blank text has an empty set and is linked with nothing (the row is its own
 component); rows with words that repeat a doc_id, with equal or other texts, are one vertex: the links of all their
 texts are its links and they get the same component; a null doc_id keeps its row, with a null component, and is
 kept. Ties at the threshold are links. An empty table gives an empty result. Only the id and text columns are

@@ -162,7 +162,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     posterior = np.zeros(3 ** len(LABELLERS))
     posterior[k] = post
     every = max(1, int(n.sum()) // sample)
-    some = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(every)) == 0).select(F.col(text_col)).limit(2 * sample)
+    own = F.xxhash64(F.col(id_col), F.col(text_col))
+    some = docs.where(F.pmod(own, F.lit(every)) == 0).select(F.col(text_col)).orderBy(own).limit(2 * sample)  # the same rows in every run
     got = some.mapInArrow(B.lean(_sampled), "pattern long, ids array<int>, shares array<float>").toArrow().combine_chunks()
     weights, bias = np.zeros(BUCKETS), 0.0
     if len(got):
