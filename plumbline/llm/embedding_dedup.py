@@ -5,7 +5,7 @@ Contract. Vectors of equal length are linked if their cosine in double precision
 Pairs are retrieved by binary codes and reranked with the original vectors, so no link is below
 `least`; retrieval is approximate above it (expected recall 0.97 at the threshold, more above).
 
-Cases: exact copies form one class and are expanded by count alone; each row is a vector of its
+Cases: ids are whole numbers, what can't be read as one raises an error; exact copies form one class and are expanded by count alone; each row is a vector of its
 own, so rows that repeat an id are linked, counted and kept by their own vectors, equal or not, and share a
 component only where links join them; a null id links with nothing; ties at `least` are links; an
 empty table gives an empty result; only the id and vector columns are read, so others can't clash.

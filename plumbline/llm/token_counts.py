@@ -6,7 +6,7 @@ blocks of a fixed number of tokens; documents straddle blocks. `count_tokens` fi
 separators of each block at once and stitches what lies across borders: the tokens that precede a
 block's first separator since the last one come from a prefix scan over the blocks' tails.
 
-Cases: null and empty texts are a lone separator and count 0; a document may span many blocks
+Cases: ids are whole numbers, what can't be read as one raises an error; null and empty texts are a lone separator and count 0; a document may span many blocks
 or end on a border; identifiers of the separator never come from text; repeated rows are counted
 each; an empty table gives no blocks and no rows. Only id and text are read.
 
