@@ -13,10 +13,6 @@ ELEMENT_INPUT = (
     f"{RAW} AS raw, CASE o.o_custkey % 5 WHEN 0 THEN 'residential dwelling' WHEN 1 THEN 'assembly hall' WHEN 2 THEN 'warehouse industrial' WHEN 3 THEN c.c_mktsegment END AS occupancy "
     "FROM (SELECT *, 500 + 20 * CAST(l_quantity AS INT) AS n FROM lineitem) l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey"
 )
-CODE_TEXT = (
-    "SELECT doc_id, {agg} AS body FROM (SELECT doc_id, i, CASE WHEN i % 3 = 1 THEN concat('9.', doc_id % 10, '.', i, ' Stair width', chr(10)) ELSE '' END AS head, "
-    "line, CASE WHEN i % 4 = 0 THEN chr(10) ELSE '' END AS gap FROM ({lines}) x) y GROUP BY doc_id"
-)
 
 
 def spark_sql(sql: str) -> str:

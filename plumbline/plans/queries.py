@@ -99,9 +99,20 @@ def parse_to_mm(spark, sf):
 QUIRKS = ["850-900mm", "1,100 mm", '36 1/2"', "3'-6 1/2\"", "12 m²", "3 ft", ".9 m", "3500mm x 4000mm", "2'10", "7 feet 6 inches", "900mm", "0.9 m", "900", '36"', "90cm", "3'-0\"", "varies", "", "2.03 m", "36 in", "-5 cm", " 7 M "]
 
 
-@query("WITH q(raw) AS (VALUES " + ", ".join("('" + q.replace("'", "''") + "')" for q in QUIRKS) + f") SELECT raw, {mm_sql('raw')} AS mm FROM q")
+SOME = len(QUIRKS) + 3
+
+
+def quirk(quote: str) -> str:
+    """SQL of a part's text; quote: how a quote is written inside one."""
+    listed = " ".join(f"WHEN p_partkey % {SOME} = {i} THEN '" + q.replace("'", quote) + "'" for i, q in enumerate(QUIRKS))
+    return f"CASE {listed} WHEN p_partkey % {SOME} = {len(QUIRKS)} THEN concat(p_size, '-', p_size + 5, ' cm') WHEN p_partkey % {SOME} = {len(QUIRKS) + 1} THEN concat(p_size, chr(39), '-', p_size % 12, ' 1/2', chr(34)) ELSE concat('approx. ', p_size, ',', p_size, ' mm') END"
+
+
+@query(f"SELECT p_partkey, raw, round({mm_sql('raw')}, 6) AS mm FROM (SELECT p_partkey, {quirk(chr(39) * 2)} AS raw FROM part)")
 def parse_to_mm_quirks(spark, sf):
-    return spark.createDataFrame([(q,) for q in QUIRKS], "raw string").select("raw", X.parse_to_mm(F.col("raw")).alias("mm"))
+    """Texts that the parser reads in a way of its own, some of them made of a part's size."""
+    raw = F.expr(quirk("\\'"))
+    return run(spark, sf, "SELECT p_partkey, p_size FROM part").select("p_partkey", raw.alias("raw")).select("p_partkey", "raw", F.round(X.parse_to_mm(F.col("raw")), 6).alias("mm"))
 
 
 PART_IN = "SELECT c_custkey, concat(o_orderpriority, ' ', c_mktsegment) AS occupancy, CASE o_orderkey % 6 WHEN 0 THEN 'high-rise' WHEN 1 THEN 'Part 9 residential' WHEN 2 THEN 'assembly' WHEN 3 THEN '' END AS building, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey"
@@ -417,12 +428,18 @@ def annotation_buckets(spark, sf):
     return A.categorize(notes(spark, sf), "k", "text").select("k", "bucket", "text")
 
 
-@query(f"WITH {ROUTED} SELECT k, count(*)::BIGINT AS total, count(*) FILTER (bucket = 'other')::BIGINT AS other, count(*) > 0 AS usable FROM routed WHERE bucket IS NOT NULL GROUP BY k")
+@query(
+    f"WITH {ROUTED}, g AS (SELECT k, count(*)::BIGINT AS total, count(*) FILTER (bucket = 'other')::BIGINT AS other FROM routed WHERE bucket IS NOT NULL AND k % 3 > 0 GROUP BY k), r AS (SELECT DISTINCT k FROM nt) "
+    "SELECT r.k, coalesce(total, 0)::BIGINT AS total, coalesce(other, 0)::BIGINT AS other, coalesce(total, 0) > 0 OR r.k % 4 = 0 AS usable FROM r LEFT JOIN g ON r.k = g.k"
+)
 def usable_sheets(spark, sf):
-    b = A.buckets(A.categorize(notes(spark, sf), "k", "text"), "k")
-    for c in ("rooms", "doors", "corridors", "stairs", "egress_paths", "dimensions"):
+    """Sheets of which a third have no annotation, and a quarter a stair."""
+    b = A.buckets(A.categorize(notes(spark, sf).where("k % 3 > 0"), "k", "text"), "k")
+    b = notes(spark, sf).select("k").distinct().join(b, "k", "left")
+    for c in ("rooms", "doors", "corridors", "egress_paths", "dimensions"):
         b = b.withColumn(c, F.array().cast("array<string>"))
-    return b.select("k", A.total().cast("long").alias("total"), F.size("annotations.other").cast("long").alias("other"), A.usable().alias("usable"))
+    b = b.withColumn("stairs", F.when(F.col("k") % 4 == 0, F.array(F.lit("stair"))))
+    return b.select("k", A.total().cast("long").alias("total"), F.coalesce(F.size("annotations.other"), F.lit(0)).cast("long").alias("other"), A.usable().alias("usable"))
 
 
 FLAG = "CASE o_orderkey % 5 WHEN 0 THEN 'PARSE_ERROR: x' WHEN 1 THEN 'VISION_ERROR: y' WHEN 2 THEN 'EXTRACT_FALLBACK' WHEN 3 THEN 'EXTRACT_EMPTY' ELSE 'note' END"
@@ -474,6 +491,15 @@ def model_chain(spark, sf):
     return P.choose_attempt(run(spark, sf, ATTEMPTS), ["conv_id"]).select("conv_id", "attempt", "text", "valid")
 
 
+STATUS = "SELECT event_id, CASE user_id % 9 WHEN 0 THEN 429 WHEN 1 THEN 500 WHEN 2 THEN 502 WHEN 3 THEN 503 WHEN 4 THEN 504 WHEN 5 THEN 404 WHEN 6 THEN 401 WHEN 7 THEN 200 END AS status FROM events"
+
+
+@query(f"SELECT event_id, status::INTEGER AS status, coalesce(status IN (429, 500, 502, 503, 504), false) AS again FROM ({STATUS})")
+def transient_statuses(spark, sf):
+    """Which answers of a model service are worth another attempt."""
+    return run(spark, sf, STATUS).select("event_id", F.col("status").cast("int").alias("status"), X.is_transient(F.col("status")).alias("again"))
+
+
 PAGES = "SELECT conv_id, turn AS page, role, CASE WHEN turn % 2 = 0 THEN '' ELSE concat(role, turn) END AS name FROM conversations"
 
 

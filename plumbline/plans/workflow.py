@@ -265,10 +265,10 @@ def plan_states(spark, sf):
     return K.current(made.unionByName(done)).select("id", "project_name", "status")
 
 
-STORED = "SELECT o_orderkey AS n, concat('p', o_custkey) AS plan_id, 'compliance' AS type, 'minor' AS severity, concat('d', o_orderkey) AS description, CASE WHEN o_orderkey % 2 = 0 THEN '9.5.3' END AS section_id FROM orders"
+STORED = "SELECT o_orderkey AS n, concat('p', o_custkey) AS plan_id, 'compliance' AS type, 'minor' AS severity, concat('d', o_orderkey) AS description, CASE WHEN o_orderkey % 2 = 0 THEN '9.5.3' END AS section_id, CASE WHEN o_orderkey % 3 = 0 THEN concat('NBC ', o_orderkey) END AS code_citation, CASE WHEN o_orderkey % 5 > 0 THEN 'rule_engine' END AS source FROM orders"
 
 
-@query(f"SELECT plan_id, type, severity, description, section_id, CAST(NULL AS VARCHAR) AS code_citation, CAST(NULL AS VARCHAR) AS source FROM ({STORED}) WHERE plan_id IN (SELECT 'p' || c_custkey FROM customer WHERE c_custkey % 3 = 0)")
+@query(f"SELECT plan_id, type, severity, description, section_id, code_citation, source FROM ({STORED}) WHERE plan_id IN (SELECT 'p' || c_custkey FROM customer WHERE c_custkey % 3 = 0)")
 def violation_rows_of_plans(spark, sf):
     """Rows to store, of the plans that are left after a deletion."""
     rows = K.violation_rows(run(spark, sf, STORED))
