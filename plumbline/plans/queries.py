@@ -13,6 +13,7 @@ from plumbline.operators import rules as R
 from plumbline.operators import sheets as H
 from plumbline.plans.inputs import ELEMENT_INPUT, run
 from plumbline.sources import files as S
+from plumbline.sources import shared
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -345,10 +346,27 @@ def keyword_terms(spark, sf):
     return run(spark, sf, "SELECT item_id, text FROM benchmark").select("item_id", F.array_join(X.keyword_terms(F.col("text")), ",").alias("terms")).where("terms <> ''")
 
 
-@query("WITH " + TERMS.format(k="item_id", q='"text"', f="benchmark") + ", m AS (SELECT DISTINCT query_id, doc_id AS id FROM documents JOIN terms ON contains(lower(\"text\"), t) OR contains(lower(source), t)) SELECT query_id, id, n AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY id) AS n FROM m) WHERE n <= 8")
+KEYWORD_SQL = "WITH " + TERMS.format(k="item_id", q='"text"', f="benchmark") + ", m AS (SELECT DISTINCT query_id, doc_id AS id FROM documents JOIN terms ON contains(lower(\"text\"), t) OR contains(lower(source), t)) SELECT query_id, id, n AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY id) AS n FROM m) WHERE n <= 8"
+
+
+def keyword_input(spark, sf):
+    docs = run(spark, sf, "SELECT doc_id AS id, CAST(NULL AS STRING) AS section_id, text AS content, source AS section_title FROM documents")
+    return run(spark, sf, "SELECT item_id AS query_id, text AS query FROM benchmark"), docs
+
+
+@query(KEYWORD_SQL)
 def keyword_fallback(spark, sf):
-    docs = run(spark, sf, "SELECT doc_id AS id, text AS content, source AS section_title FROM documents")
-    return C.keyword_search(run(spark, sf, "SELECT item_id AS query_id, text AS query FROM benchmark"), docs, 8).withColumn("rank", F.col("rank").cast("long"))
+    asked, docs = keyword_input(spark, sf)
+    return C.keyword_search(asked, docs, 8).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(KEYWORD_SQL)
+def keyword_fallback_indexed(spark, sf):
+    """The same through a stored dictionary of the documents."""
+    asked, docs = keyword_input(spark, sf)
+    path = shared.new_path(spark, "dictionary")
+    C.keyword_index(docs, path)
+    return C.keyword_search(asked, docs, 8, index=path).withColumn("rank", F.col("rank").cast("long"))
 
 
 HARVEST = f"{SECTIONS}, al AS (SELECT DISTINCT doc_id, unnest(list_append(regexp_extract_all(content, '\\b\\d+\\.\\d+(?:\\.\\d+){{0,3}}\\b'), split_part(section_id, '#', 1))) AS allowed FROM sc)"
