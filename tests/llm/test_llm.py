@@ -859,3 +859,37 @@ def test_line_dedup_rows_of_one_id(spark, tmp_path):
     c = duckdb.connect()
     c.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     assert got == Counter(c.execute(queries.OP2_SQL).fetchall()) and sum(n for (i, _, dropped, _), n in got.items() if i == 1 and dropped == 1) == 10
+
+
+def test_quality_scorer_brute_force(spark, monkeypatch):
+    """The linear scorer against steps in plain Python over dictionaries, and the same sample whatever the partitions."""
+    monkeypatch.setattr(quality, "EPOCHS", 12)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where("doc_id < 60")
+    posterior, weights, bias = quality.fit(docs)
+    rows = []
+    for r in docs.collect():
+        raw = (r.text or "").encode()
+        b, offs = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
+        h, s, e, _ = B.word_spans(b, offs)
+        counts = Counter(quality.features(b, h, s, e).tolist())
+        kept = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: quality.FEATURES]
+        rows.append(({k: float(np.float32(c / max(1, 3 * len(h)))) for k, c in kept}, float(posterior[quality.pattern(quality.votes(b, offs)[0])[0]])))
+    good = sum(y >= 0.5 for _, y in rows)
+    w, seen, b0, b_seen = Counter(), {}, 0.0, 1e-8
+    for _ in range(12):
+        grad, total = Counter(), 0.0
+        for own, y in rows:
+            z = sum(w[k] * x for k, x in own.items()) + b0
+            d = (1 / (1 + math.exp(-max(-50, min(50, z)))) - y) * (0.5 / max(good, 1) if y >= 0.5 else 0.5 / max(len(rows) - good, 1))
+            total += d
+            for k, x in own.items():
+                grad[k] += x * d
+        for k in set(grad) | set(w):
+            g = grad[k] + 1e-7 * w[k]
+            seen[k] = seen.get(k, 1e-8) + g * g
+            w[k] -= 2.0 * g / math.sqrt(seen[k])
+        b_seen += total**2
+        b0 -= 0.2 * total / math.sqrt(b_seen)
+    assert bias == pytest.approx(b0, abs=1e-6) and all(weights[k] == pytest.approx(w[k], abs=1e-5) for k in w) and np.count_nonzero(weights) == sum(v != 0 for v in w.values())
+    some = [quality.fit(df, sample=9) for df in (docs.repartition(1), docs.repartition(7))]
+    assert some[0][2] == pytest.approx(some[1][2]) and np.allclose(some[0][1], some[1][1])
