@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as X
@@ -82,6 +83,27 @@ def dxf_entities(files: DataFrame, key: str, text: str, block: int | None = None
     """
     size = block or scan.SIZE
     lines = files.select(key, (scan.breaks(F.col(text)) >= 2 * size).alias("many"), text).select(key, "many", F.posexplode(F.split(text, r"\r?\n")).alias("i", "line"))
+    return _entities(lines, key, size)
+
+
+def read_drawings(spark: SparkSession, path: str, block: int | None = None) -> DataFrame:
+    """The same of the drawing files under path, key `path`, read by lines: a file is split between tasks wherever Spark cuts it.
+
+    Lines are numbered within each split and the splits of a file stitched by their counts, so no task holds a large drawing.
+    """
+    size = block or scan.SIZE
+    raw = spark.read.option("recursiveFileLookup", "true").text(path)
+    raw = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    counts = raw.groupBy("path", "start").agg(F.count("*").alias("n"))
+    of = W.partitionBy("path").orderBy("start")
+    counts = counts.select("path", "start", F.coalesce(F.sum("n").over(of.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"), (F.sum("n").over(W.partitionBy("path")) >= 2 * size).alias("many"))
+    own = raw.withColumn("i", F.row_number().over(W.partitionBy("path", "start").orderBy("at")) - 1)
+    lines = own.join(counts, ["path", "start"]).select("path", "many", (F.col("i") + F.col("before")).alias("i"), "line")
+    return _entities(lines, "path", size)
+
+
+def _entities(lines: DataFrame, key: str, size: int) -> DataFrame:
+    """lines: key, many (whether a drawing may have more than size pairs), i (a line's place from 0 on), line."""
     even, none = F.col("i") % 2 == 0, F.lit(None).cast("string")
     pair, line = F.expr("i div 2"), F.trim("line")
     # SECTION and the code 0 before it go to their own pair and to the next

@@ -386,3 +386,26 @@ def test_fixed2_against_decimals(spark):
     values = [rng.uniform(-1, 1) * 10 ** rng.randint(-4, 20) for _ in range(4000)] + [(rng.randint(0, 10 ** rng.randint(1, 14)) * 2 + 1) / 200 for _ in range(4000)] + [rng.randint(0, 10**9) / 2 ** rng.randint(0, 12) for _ in range(2000)]
     got = spark.createDataFrame([(v,) for v in values], "v double").select("v", files.fixed2(F.col("v")).alias("t")).collect()
     assert [(r.v, r.t) for r in got if r.t != str(Decimal(r.v).quantize(Decimal("0.01"), ROUND_HALF_UP, Context(prec=400)))] == []
+
+
+def test_drawings_read_in_splits(spark, tmp_path):
+    """Files of both line ends, cut every 64 bytes, against the same texts in one row each."""
+    def drawing(n):
+        return ["0", "SECTION", "2", "HEADER", "9", "x", "0", "ENDSEC", "0", "SECTION", "2", "ENTITIES", *[v for i in range(n) for v in ("0", "LINE", "8", f"layer {i}", "10", f"{i}.5", "11", "2", "20", "0", "21", "7")], "0", "ENDSEC", "0", "EOF"]
+
+    texts = {"a.dxf": "\n".join(drawing(60)), "b.dxf": "\r\n".join(drawing(25)), "c.dxf": "\n".join(drawing(0)), "d.dxf": ""}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    whole = files.dxf_entities(spark.createDataFrame([(k, v) for k, v in texts.items()], "path string, text string"), "path", "text")
+    want = sorted(map(str, whole.collect()))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for size in ("64", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            got = files.read_drawings(spark, str(tmp_path), 8)
+            assert size != "64" or got.sparkSession.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+            assert sorted(map(str, got.withColumn("path", F.element_at(F.split("path", "/"), -1)).collect())) == want and len(want) == 85
+        finally:
+            for k, v in old.items():
+                spark.conf.set(k, v)
