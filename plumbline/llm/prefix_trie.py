@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,14 +91,9 @@ def scan(rows: DataFrame, by: list[str], order: list[str], keep: list, what: str
     edges = made.groupBy("part").agg(F.array_distinct(F.array(F.min("conv"), F.max("conv"))).alias("c")).select("part", F.explode("c").alias("conv"))
     # two rows a part at most
     totals = made.join(F.broadcast(edges), ["part", "conv"]).groupBy("conv", "part").agg(*[F.max_by(c, "pos").alias(c) for c in ("pos", "x1", "x2", "sum")])
-    parts = totals.groupBy("conv").agg(F.collect_list(F.struct("part", "pos", "x1", "x2", "sum")).alias("all")).where(F.size("all") > 1)
-    each = parts.select("conv", F.explode("all").alias("own"), "all")
-
-    def before(c: str, add) -> F.Column:
-        return F.aggregate(F.filter("all", lambda t: t["part"] < F.col("own.part")), F.lit(0).cast("long"), lambda a, t: add(a, t[c])).alias("b_" + c)
-
-    sums = [before(c, lambda a, x: a + x) for c in ("pos", "sum")] + [before(c, lambda a, x: a.bitwiseXOR(x)) for c in ("x1", "x2")]
-    over = B.store(each.select("conv", F.col("own.part").alias("part"), *sums), what)
+    order = W.partitionBy("conv").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    before = [F.sum(c).over(order).alias("b_" + c) for c in ("pos", "sum")] + [F.bit_xor(c).over(order).alias("b_" + c) for c in ("x1", "x2")]
+    over = B.store(totals.select("conv", "part", *before).where("b_pos is not null"), what)
     out = made.join(F.broadcast(over), ["conv", "part"], "left")
     zero = {c: F.coalesce("b_" + c, F.lit(0)) for c in ("pos", "x1", "x2", "sum")}
     return out.withColumns({**{c: F.col(c) + zero[c] for c in ("pos", "sum")}, **{c: F.col(c).bitwiseXOR(zero[c]) for c in ("x1", "x2")}}).drop("part", *["b_" + c for c in zero])

@@ -893,3 +893,23 @@ def test_quality_scorer_brute_force(spark, monkeypatch):
     assert bias == pytest.approx(b0, abs=1e-6) and all(weights[k] == pytest.approx(w[k], abs=1e-5) for k in w) and np.count_nonzero(weights) == sum(v != 0 for v in w.values())
     some = [quality.fit(df, sample=9) for df in (docs.repartition(1), docs.repartition(7))]
     assert some[0][2] == pytest.approx(some[1][2]) and np.allclose(some[0][1], some[1][1])
+
+
+def test_trie_scan_over_ranges(spark, monkeypatch):
+    """Places, xors and sums of conversations that span many ranges."""
+    rng = np.random.default_rng(2)
+    rows = [(c, t, int(rng.integers(-(1 << 62), 1 << 62)), int(rng.integers(-(1 << 62), 1 << 62)), int(rng.integers(0, 9))) for c, n in ((1, 3000), (2, 1), (3, 40), (4, 900)) for t in range(n)]
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows, "conv long, t long, v1 long, v2 long, words long").repartition(5)
+        made = prefix_trie.scan(df, ["conv", "t"], ["conv", "t"], ["conv", "t", "v1", "v2", "words"], "test")
+        got = {(r.conv, r.t): (r.pos, r.x1, r.x2, r.sum) for r in made.collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    want, last = {}, None
+    for c, t, v1, v2, words in rows:
+        pos, x1, x2, total = (0, 0, 0, 0) if c != last else now
+        now, last = (pos + 1, x1 ^ v1, x2 ^ v2, total + words), c
+        want[c, t] = now
+    assert got == want
