@@ -150,9 +150,10 @@ def validate(rules: DataFrame) -> DataFrame:
     return rules.select("i", F.explode(F.array_compact(F.array(*checks))).alias("e")).select("i", F.concat(F.lit("["), F.col("i").cast("string"), F.lit("] "), F.col("e")).alias("error"))
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """new replaces the rows of old with its keys."""
-    return old.join(new.select(key), key, "left_anti").unionByName(new)
+def upsert(old: DataFrame, new: DataFrame, key: str | list[str] = "id") -> DataFrame:
+    """new replaces the rows of old with its keys, of one column or several."""
+    keys = [key] if isinstance(key, str) else key
+    return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
 def summary(found: DataFrame, *by: str) -> DataFrame:

@@ -153,6 +153,16 @@ def test_rules_from_json(spark, tmp_path):
     assert not (tmp_path / "never").exists()
 
 
+def test_upsert_of_more_than_a_million_parts(spark, tmp_path, duck):
+    """Ids of added rows that are ids of parts too: none of the parts is lost."""
+    spark.range(999_990, 1_000_020).unionByName(spark.range(0, 30)).selectExpr("id AS p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    got = Q.QUERIES["rule_upsert"](spark, str(tmp_path)).collect()
+    want = duck.execute(Q.SQL["rule_upsert"].replace("FROM part", f"FROM '{tmp_path}/part.parquet/*.parquet'")).fetchall()
+    assert sorted((r.id, r.version) for r in got) == sorted(want) and len(got) == 80
+    old, new = spark.createDataFrame([("a", 1, "o"), ("b", 1, "o"), ("a", None, "o")], "k string, id int, v string"), spark.createDataFrame([("a", 1, "n"), ("c", 1, "n")], "k string, id int, v string")
+    assert sorted(map(tuple, R.upsert(old, new, ["k", "id"]).collect()), key=str) == [("a", 1, "n"), ("a", None, "o"), ("b", 1, "o"), ("c", 1, "n")]
+
+
 def test_number_text(spark):
     want = {900.0: "900", 914.4000000000001: "914.4000000000001", 1e7: "10000000", 12345678.5: "12345678.5", 1.5e20: "150000000000000000000", 1e21: "1e+21", 0.0005: "0.0005", 1.5e-5: "0.000015", 1e-6: "0.000001", 1.5e-7: "1.5e-7", -2.5e-4: "-0.00025", 0.0: "0"}
     got = spark.createDataFrame([(v,) for v in want], "d double").select("d", X.number_text(F.col("d")).alias("t")).collect()
