@@ -278,6 +278,17 @@ def _ranked(met: DataFrame, threshold: float, count: int, schema: T.StructType)
 
 
 def similar_in_part(queries: DataFrame, chunks: DataFrame, prefix: str | None, k: int, threshold: float) -> DataFrame:
+def match_chunks(queries: DataFrame, chunks: DataFrame, threshold: float = 0.5, count: int = 10) -> DataFrame:
+    """match_code_chunks for each row of a table: (query_id, id, section_id, section_title, content, similarity), ties by id as text.
+
+    queries: (query_id, q), each id once. Blocks of vectors are compared as in similar, where a lateral call of the SQL function
+    makes a row for each query and chunk.
+    """
+    named = chunks.withColumn("id", F.col("id").cast("string"))
+    best = similar(queries.select("query_id", "q"), named.select("id", "section_id", "section_title", "content", "embedding"), threshold, count)
+    return best.select("query_id", "id", "section_id", "section_title", "content", "similarity")
+
+
     """Over-fetch, keep the sections of a part, fall back to the unfiltered ranking where none is left."""
     if not prefix:
         return similar(queries, chunks, threshold, k)
@@ -378,7 +389,7 @@ def retrieve_for_sheets(sheets: DataFrame, vectors: DataFrame, chunks: DataFrame
 
 
 def register_match(spark, view: str = "building_code_chunks") -> None:
-    """The SQL table function match_code_chunks(query_embedding, match_threshold, match_count) over a view of chunks."""
+    """The SQL table function match_code_chunks(query_embedding, match_threshold, match_count) over a view of chunks; match_chunks is for many queries."""
     def total(x: str) -> str:
         return f"aggregate({x}, 0D, (s, t) -> s + t)"
 

@@ -11,6 +11,7 @@ from plumbline.operators import rules as R
 from plumbline.operators import sheets as H
 from plumbline.plans import queries as Q
 from plumbline.sources import files, sinks
+from plumbline.plans import workflow
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -181,6 +182,20 @@ def test_sql_functions(spark):
 
 
 def test_retrieve_branches(spark):
+def test_match_for_a_table_of_queries(spark):
+    """The same as the SQL function called laterally, odd vectors and ties by id as text included; no join of each query with each chunk."""
+    rows = [(i, f"9.{i % 3}", "t", f"c{i}", [float(i % 7) - 3, float(i % 5) - 2]) for i in range(60)] + [(100, None, None, None, None), (101, "9", "t", "c", [0.0, 0.0]), (102, "9", "t", "c", [1.0, None]), (103, "9", "t", "c", [])]
+    pool = spark.createDataFrame(rows, "id long, section_id string, section_title string, content string, embedding array<float>")
+    pool.createOrReplaceTempView("lateral_chunks")
+    C.register_match(spark, "lateral_chunks")
+    asked = pool.selectExpr("id AS query_id", "embedding AS q").where("id % 10 = 0 OR id > 100")
+    got = C.match_chunks(asked, pool, 0.2, 4)
+    want = spark.sql("SELECT query_id, m.* FROM {asked} a, LATERAL match_code_chunks(a.q, 0.2D, 4) m", asked=asked)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 15
+    plan = workflow.vector_topk_lateral(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "aggregate(" not in plan and "row_number" in plan
+
+
     """Prefix kept, prefix without a match, no vector above the threshold, no vector at all, and nothing found."""
     chunks = spark.createDataFrame([("a", "9.1", "Stairs", "rise and run", [1.0, 0.0]), ("b", "3.1", "Doors", "swing of the door", [0.9, 0.1]), ("c", "3.2", "Exits", "corridor width", [0.0, 1.0]), ("d", None, "Door", "door", None)], "id string, section_id string, section_title string, content string, embedding array<float>")
     queries = spark.createDataFrame([("own", "x", [1.0, 0.0], "3."), ("none", "x", [1.0, 0.0], "5."), ("free", "x", [1.0, 0.0], None), ("low", "door swing", [-1.0, 0.0], "3."), ("words", "the door", None, None), ("nothing", "zzzz", None, "9.")], "query_id string, query string, q array<float>, prefix string")
