@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions import text as X
 from plumbline.operators import scan
@@ -79,11 +80,54 @@ def dxf_entities(files: DataFrame, key: str, text: str, block: int | None = None
     """(key, id, type, layer, x0, y0, x1, y1, measurement, text) of the entities of drawing files, which are pairs of lines:
     a group code and its value. Code 0 starts an entity or a section; an entity's own codes follow it, the first of each counts.
 
-    block: pairs of a large drawing that one task numbers.
+    Drawings of fewer than `block` pairs are read in their own row; the lines of larger ones are dealt out, so many tasks read one.
     """
     size = block or scan.SIZE
-    lines = files.select(key, (scan.breaks(F.col(text)) >= 2 * size).alias("many"), text).select(key, "many", F.posexplode(F.split(text, r"\r?\n")).alias("i", "line"))
-    return _entities(lines, key, size)
+    marked = files.select(key, (scan.breaks(F.col(text)) >= 2 * size).alias("many"), text)
+    found = _short_entities(marked.where("not many"), key, text)
+    large = marked.where("many")
+    if not files.isStreaming and large.isEmpty():
+        return found
+    lines = large.select(key, "many", F.posexplode(F.split(text, r"\r?\n")).alias("i", "line"))
+    return found.unionByName(_entities(lines, key, size))
+
+
+def _short_entities(files: DataFrame, key: str, text: str) -> DataFrame:
+    """dxf_entities of drawings that are read in their row: an entity begins at a code 0 and holds the pairs up to the next."""
+    names = {c: n for n, c in enumerate(["0", *CODES])}
+
+    def entities(body: str):
+        lines = [x.strip(" ") for x in body.replace("\r\n", "\n").split("\n")]
+        lines += [None] * (len(lines) % 2)
+        section, before, own, number = None, None, None, 0
+        for code, value in zip(lines[::2], lines[1::2]):
+            if code == "2" and before == ("0", "SECTION") and value is not None:
+                section = value
+            if code == "0":
+                if own:
+                    yield own
+                number += 1
+                own = [number, *[None] * len(names)] if section == "ENTITIES" and value not in (None, "SECTION", "ENDSEC", "EOF") else None
+                seen = set()
+            if own and code in names and code not in seen:
+                seen.add(code)
+                own[names[code] + 1] = value
+            before = code, value
+        if own:
+            yield own
+
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = [pa.int64(), *[pa.string()] * len(names)]
+        for batch in batches:
+            found = [(i, e) for i, body in enumerate(batch.column(1).to_pylist()) if body is not None for e in entities(body)]
+            keys = batch.column(0).take(pa.array([i for i, _ in found], pa.int64()))
+            columns = zip(*[e for _, e in found]) if found else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([keys, *[pa.array(c, k) for c, k in zip(columns, kinds)]], [key, "id", "type", *CODES.values()])
+
+    schema = T.StructType([T.StructField(key, files.schema[key].dataType), T.StructField("id", T.LongType()), *[T.StructField(n, T.StringType()) for n in ("type", *CODES.values())]])
+    return _with_numbers(files.select(key, text).mapInArrow(run, schema))
 
 
 def read_drawings(spark: SparkSession, path: str, block: int | None = None) -> DataFrame:
@@ -116,7 +160,11 @@ def _entities(lines: DataFrame, key: str, size: int) -> DataFrame:
     pairs = scan.carried(pairs, key, "pair", F.col("many"), {"id": F.col("code") == "0"}, {"section": section}, size).where("section = 'ENTITIES'")
     fields = [F.min_by(F.when(F.col("code") == c, F.col("value")), F.when(F.col("code") == c, F.col("pair"))).alias(n) for c, n in {"0": "type", **CODES}.items()]
     out = pairs.groupBy(key, "id").agg(*fields).where(F.col("type").isNotNull() & ~F.col("type").isin("SECTION", "ENDSEC", "EOF"))
-    return out.withColumns({c: F.col(c).try_cast("double") for c in ("x0", "y0", "x1", "y1", "measurement")})
+    return _with_numbers(out)
+
+
+def _with_numbers(entities: DataFrame) -> DataFrame:
+    return entities.withColumns({c: F.col(c).try_cast("double") for c in ("x0", "y0", "x1", "y1", "measurement")})
 
 
 def dxf_dimensions(entities: DataFrame) -> DataFrame:

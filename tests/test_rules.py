@@ -1,4 +1,5 @@
 import json
+import random
 import re
 import time
 
@@ -320,6 +321,18 @@ def test_long_documents_in_blocks(spark):
     assert sorted(map(str, files.dxf_entities(drawn, "k", "t", 3).collect())) == found and len(found) == 80
 
 
+def test_short_drawings_are_read_in_their_row(spark):
+    """As in blocks: sections in sections, codes without values, entities before the first code 0; no drawing is shuffled."""
+    rng = random.Random(5)
+    lines = ["0", " 0 ", "2", "8", "10", "1", "42", "SECTION", "ENTITIES", "BLOCKS", "ENDSEC", "EOF", "LINE", "TEXT", "1.5", "", "x"]
+    heads = [["0", "SECTION", "2", "ENTITIES"], ["0", "SECTION", "2", "BLOCKS"], ["0", "ENDSEC"], ["0", "LINE", "8", "a"], ["0", "SECTION"], ["0", "SECTION", "8", "ENTITIES"], ["2", "ENTITIES"], ["0"]]
+    texts = [rng.choice(["\n", "\r\n"]).join(v for _ in range(rng.randint(0, 12)) for v in (rng.choice(heads) if rng.random() < 0.7 else rng.choices(lines, k=rng.randint(1, 4)))) for _ in range(600)]
+    drawn = spark.createDataFrame([*enumerate(texts), (None, texts[0]), (-1, None), (-2, "")], "k int, t string")
+    got, want = files.dxf_entities(drawn, "k", "t"), files.dxf_entities(drawn, "k", "t", 1)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 60
+
+
 def test_carried_brute_force(spark):
     from plumbline.operators import scan
 
