@@ -260,7 +260,8 @@ def similar_by(queries: DataFrame, chunks: DataFrame, key: str, threshold: float
     queries, chunks, schema = _as_doubles(queries, chunks)
     schema = T.StructType([f for f in schema.fields if f.name != key])
     right = _packed(queries.repartition(key), key).toDF(key, "queries")
-    met = _packed(chunks, key).toDF(key, "chunks").join(F.broadcast(right) if n <= BROADCAST else right, key).select("queries", "chunks")
+    # a query is a row for each of its keys, of which Spark's own estimate knows nothing: without the hint it would broadcast them all
+    met = _packed(chunks, key).toDF(key, "chunks").join(F.broadcast(right) if n <= BROADCAST else right.hint("merge"), key).select("queries", "chunks")
     return _ranked(met, threshold, count, schema)
 
 
@@ -277,7 +278,6 @@ def _ranked(met: DataFrame, threshold: float, count: int, schema: T.StructType)
     return ranked.where(F.col("rank") <= count)
 
 
-def similar_in_part(queries: DataFrame, chunks: DataFrame, prefix: str | None, k: int, threshold: float) -> DataFrame:
 def match_chunks(queries: DataFrame, chunks: DataFrame, threshold: float = 0.5, count: int = 10) -> DataFrame:
     """match_code_chunks for each row of a table: (query_id, id, section_id, section_title, content, similarity), ties by id as text.
 
@@ -289,6 +289,7 @@ def match_chunks(queries: DataFrame, chunks: DataFrame, threshold: float = 0.5,
     return best.select("query_id", "id", "section_id", "section_title", "content", "similarity")
 
 
+def similar_in_part(queries: DataFrame, chunks: DataFrame, prefix: str | None, k: int, threshold: float) -> DataFrame:
     """Over-fetch, keep the sections of a part, fall back to the unfiltered ranking where none is left."""
     if not prefix:
         return similar(queries, chunks, threshold, k)

@@ -98,6 +98,21 @@ def _listed(df: DataFrame, column: str, centres: np.ndarray, probes: int) -> Dat
     return rows.mapInArrow(_nearest(column, rows.columns, centres, probes), schema)
 
 
+def _drawn(rows: DataFrame, column: str, n: int, sample: int) -> DataFrame:
+    """Those `sample` rows of n whose hashes are the smallest, the same in every run; equal rows count once.
+
+    A task of an ordered limit sends up to `sample` rows to the driver, so all but a quarter more than those wanted are left out
+    before, by their hash.
+    """
+    low, span = -(1 << 63), 1 << 64
+    own = F.xxhash64(*[f.name for f in rows.schema.fields if "map<" not in f.dataType.simpleString()])
+    hashed = rows.select(column, own.alias("__hash"))
+    share = 1.25 * sample / n if n else 1.0
+    if share < 1:
+        hashed = hashed.where(F.col("__hash") < low + int(share * span))
+    return hashed.dropDuplicates(["__hash"]).orderBy("__hash").limit(sample).select(column)
+
+
 def build(chunks: DataFrame, path: str, lists: int | None = None, sample: int = SAMPLE, target: float = TARGET, column: str = "embedding") -> dict:
     """Store chunks at path by lists; returns what is stored beside them: centres, and the number of lists to ask for.
 
@@ -107,8 +122,7 @@ def build(chunks: DataFrame, path: str, lists: int | None = None, sample: int =
     rows = chunks.withColumn(column, F.col(column).cast("array<double>"))
     sizes = rows.where(F.size(column) > 0).groupBy(F.size(column).alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     dims, n = (sizes.d, sizes.n) if sizes else (1, 0)
-    fit = rows.where(_comparable(F.col(column), dims)).select(column).orderBy(F.xxhash64(column)).limit(sample)
-    x = np.array([r[0] for r in fit.collect()], float).reshape(-1, dims)  # `sample` rows at most
+    x = np.array([r[0] for r in _drawn(rows.where(_comparable(F.col(column), dims)), column, n, sample).collect()], float).reshape(-1, dims)  # `sample` rows at most
     x = _unit(x) if len(x) else x
     k = max(1, min(lists or int(np.sqrt(n)) or 1, LISTS, len(x) or 1))
     centres = _centres(x, k) if len(x) else np.zeros((1, dims))

@@ -47,6 +47,24 @@ def test_only_wanted_lists_are_read(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(list" in out._jdf.queryExecution().executedPlan().toString() or "list#" in out._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
 
 
+def test_little_is_sent_to_the_driver(spark, tmp_path):
+    """A build and a search of 40 tasks: about the sample, not a sample of each task, and no query once for each of its lists."""
+    rng = np.random.default_rng(6)
+    spark.createDataFrame([(i, v.tolist(), "n") for i, v in enumerate(rng.normal(size=(8000, 64)).astype(np.float32))], ROW).repartition(40).write.parquet(str(tmp_path / "v"))
+    chunks = spark.read.parquet(str(tmp_path / "v")).repartition(40)
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def sent():
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return sum(stages.apply(i).resultSize() for i in range(stages.size()))
+
+    before = sent()
+    V.build(chunks, str(tmp_path / "i"), sample=256)
+    assert sent() - before < 2_500_000
+    out = V.search(spark, str(tmp_path / "i"), chunks.where("id % 4 = 0").selectExpr("id AS query_id", "embedding AS q"), 0.1, 10, probes=12)
+    assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 20_000
+
+
 def test_odd_vectors(spark, tmp_path, monkeypatch):
     """Nulls, zeros, infinities, other lengths, copies beyond a block, and nothing at all."""
     monkeypatch.setattr(C, "BLOCK", 16)
