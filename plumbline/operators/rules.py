@@ -203,11 +203,22 @@ ELEMENT = ["type", "id", "attribute"]
 
 def conflict_members(elements: DataFrame) -> DataFrame:
     """(type, id, attribute, sheet, value_mm) of the elements that have several values, each sheet and value once."""
-    once = elements.select(*ELEMENT, "sheet", "value_mm").distinct()
+    once = _differing(elements).select(*ELEMENT, "sheet", "value_mm").distinct()
     several = once.groupBy(*ELEMENT).agg((F.min("value_mm") < F.max("value_mm")).alias("differ")).where("differ").select(*ELEMENT)
     return once.join(several, ELEMENT, "left_semi")
 
 
+def _differing(elements: DataFrame) -> DataFrame:
+    """The rows of elements that may have several values: all of those that have, told by a hash of the element.
+
+    Most elements have one value; of each only two numbers are shuffled.
+    """
+    own = elements.withColumn("__hash", F.xxhash64(*ELEMENT))
+    several = own.groupBy("__hash").agg(F.min("value_mm").alias("low"), F.max("value_mm").alias("high"), F.bool_or(F.col("value_mm").isNull()).alias("some_null"))
+    several = several.where("low < high or (some_null and low is not null)").select("__hash")
+    return own.join(several, "__hash", "left_semi").drop("__hash")
+
+
 def conflict_classes(elements: DataFrame) -> DataFrame:
     """One row for each value of an element that has several: (type, id, attribute, value_mm, sheets, first_sheet, n_values, pairs).
 
@@ -215,7 +226,7 @@ def conflict_classes(elements: DataFrame) -> DataFrame:
     counted, not made: of all pairs, those of one value and those of one sheet are taken off. Everything is summed in each task first,
     so an element on any number of sheets gives no more rows than it has values; conflict_members has the sheets.
     """
-    entries = elements.select(*ELEMENT, "sheet", "value_mm").distinct()
+    entries = _differing(elements).select(*ELEMENT, "sheet", "value_mm").distinct()
     values = entries.groupBy(*ELEMENT, "value_mm").agg(F.count("*").alias("sheets"), F.min("sheet").alias("first_sheet"))
     of = values.groupBy(*ELEMENT).agg(F.count("*").alias("n_values"), F.sum("sheets").alias("n"), F.sum(F.col("sheets") * F.col("sheets")).alias("same")).where("n_values > 1")
     own = entries.groupBy(*ELEMENT, "sheet").agg(F.count("*").alias("m")).groupBy(*ELEMENT).agg(F.sum(F.col("m") * F.col("m")).alias("own"))

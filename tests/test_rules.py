@@ -11,8 +11,8 @@ from plumbline.operators import responses as P
 from plumbline.operators import rules as R
 from plumbline.operators import sheets as H
 from plumbline.plans import queries as Q
-from plumbline.sources import files, sinks
 from plumbline.plans import workflow
+from plumbline.sources import files, sinks
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -182,7 +182,6 @@ def test_sql_functions(spark):
     assert [r.id for r in spark.sql("SELECT * FROM match_code_chunks(array(1F, 0F), 0.0D, 1)").collect()] == ["a"]
 
 
-def test_retrieve_branches(spark):
 def test_match_for_a_table_of_queries(spark):
     """The same as the SQL function called laterally, odd vectors and ties by id as text included; no join of each query with each chunk."""
     rows = [(i, f"9.{i % 3}", "t", f"c{i}", [float(i % 7) - 3, float(i % 5) - 2]) for i in range(60)] + [(100, None, None, None, None), (101, "9", "t", "c", [0.0, 0.0]), (102, "9", "t", "c", [1.0, None]), (103, "9", "t", "c", [])]
@@ -197,6 +196,7 @@ def test_match_for_a_table_of_queries(spark):
     assert "aggregate(" not in plan and "row_number" in plan
 
 
+def test_retrieve_branches(spark):
     """Prefix kept, prefix without a match, no vector above the threshold, no vector at all, and nothing found."""
     chunks = spark.createDataFrame([("a", "9.1", "Stairs", "rise and run", [1.0, 0.0]), ("b", "3.1", "Doors", "swing of the door", [0.9, 0.1]), ("c", "3.2", "Exits", "corridor width", [0.0, 1.0]), ("d", None, "Door", "door", None)], "id string, section_id string, section_title string, content string, embedding array<float>")
     queries = spark.createDataFrame([("own", "x", [1.0, 0.0], "3."), ("none", "x", [1.0, 0.0], "5."), ("free", "x", [1.0, 0.0], None), ("low", "door swing", [-1.0, 0.0], "3."), ("words", "the door", None, None), ("nothing", "zzzz", None, "9.")], "query_id string, query string, q array<float>, prefix string")
@@ -362,6 +362,15 @@ def test_conflict_classes_count_their_pairs(spark):
     assert {(r.id, r.value_mm): (r.sheets, r.first_sheet) for r in classes} == {(i, v): (len(s := [x for j, w, x in members if (j, w) == (i, v)]), min(s)) for i, v, _ in members}
 
 
+def test_conflict_classes_shuffle_few_elements(spark):
+    """Of elements with one value, only a hash and numbers are shuffled; null beside a value is a class as before, and null keys are none."""
+    rows = [("door", f"D{i // 2 if i < 20 else i}", "width_mm", f"S{i}", float(i % 3)) for i in range(4000)] + [("door", "N", "width_mm", s, v) for s, v in (("S1", None), ("S2", 1.0))] + [("door", None, "width_mm", s, v) for s, v in (("S1", 1.0), ("S2", 2.0))]
+    e = spark.createDataFrame(rows, "type string, id string, attribute string, sheet string, value_mm double").localCheckpoint()
+    out = R.conflict_classes(e)
+    assert {(r.id, r.value_mm, r.n_values, r.pairs) for r in out.collect()} == {(f"D{i // 2}", float(i % 3), 2, 1) for i in range(20)} | {("N", v, 2, 1) for v in (None, 1.0)}
+    assert "LeftSemi" in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_all_rule_errors_are_reported(spark, tmp_path):
     """1,001 errors: every one is stored, and the message names the first; without a path it has them all."""
     bad = spark.createDataFrame([tuple([f"r{i}", "9.1", "t", "9", None, "door", "a", "near", 1.0, None, None, "major", "m"]) for i in range(1001)], R.RULE)
