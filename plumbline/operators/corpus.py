@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
+import operator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -304,26 +306,33 @@ def keyword_search(queries: DataFrame, chunks: DataFrame, limit: int, prefix: st
     queries: (query_id, query), or (query_id, query, prefix) where each has a prefix of its own, or null. A term is a run
     of ASCII letters and digits, so it lies within one such run of a text: terms meet the distinct runs of all chunks, and
     chunks join those runs that hold one. index: where keyword_index has stored these chunks; it is read in place of their texts.
+    Of a term's runs, those whose first chunk is behind as many others as are asked for can't give one of the first, and aren't joined.
     """
     own = ["prefix"] if "prefix" in queries.columns else []
     terms = queries.select("query_id", *own, F.explode(X.keyword_terms(F.col("query"))).alias("term"))
     pool = chunks.where(F.col("section_id").startswith(prefix)) if prefix else chunks
     section = ["section_id"] * (bool(own) or bool(index and prefix))
     rows = D.words(pool, ["id", *section], _low_chunk(), D.KEYWORD_GAP, X.TERM)
-    vocabulary = chunks.sparkSession.read.parquet(f"{index}/words") if index else shared.stored(rows.select("word").distinct(), "vocabulary")
+    vocabulary = chunks.sparkSession.read.parquet(f"{index}/words") if index else shared.stored(D.vocabulary(rows, "id"), "vocabulary")
     met = shared.stored(D.holding(terms.select(F.col("term").alias("text")), vocabulary), "matches").withColumnRenamed("text", "term")
+    long = F.length("term") > D.OVERLAP + 1
+    if own or index and prefix:  # a run's first chunk may be of another section
+        met = met.select("term", "word", F.lit(None).cast(vocabulary.schema["first"].dataType).alias("last"))
+    else:  # nor may it hold the rest of a long term
+        met = _to_last(met.withColumn("first", F.when(~long, F.col("first"))), ["term"], "first", limit)
+        met = shared.stored(met.select("term", "word", "last"), "matches")
     held = D.postings(chunks.sparkSession, index, met) if index else rows
     if index and prefix:
         held = held.where(F.col("section_id").startswith(prefix))
-    found = held.join(D.few(met), "word").select("id", *section, "term")
-    long = F.length("term") > D.OVERLAP + 1
+    found = held.join(D.few(met), "word").where(_within("id")).select("id", *section, "term")
     if not terms.where(long).isEmpty():  # only their beginning was looked up
         texts = pool.select(F.col("id").alias("own_id"), _low_chunk().alias("low"))
         sure = found.where(long).join(texts, F.col("id").eqNullSafe(F.col("own_id")) & F.contains("low", "term"))
         found = found.where(~long).unionByName(sure.select(*found.columns))
     if own:
         found = found.join(D.few(terms.select("term", "prefix").distinct()), "term").where(F.col("prefix").isNull() | F.coalesce("section_id", F.lit("")).startswith(F.col("prefix")))
-    # a query's first chunks are among the first of its terms, so no more of a term leave a task
+    # a query's first chunks are among the first of its terms; few rows beyond them are sorted
+    found = _to_last(shared.stored(found.select("id", "term", *own), "found"), ["term", *own], "id", limit).drop("last")
     first = found.withColumn("n", F.dense_rank().over(W.partitionBy("term", *own).orderBy("id"))).where(F.col("n") <= limit).select("id", "term", *own).distinct()
     same = F.col("f.term") == F.col("t.term")
     same = same & F.col("f.prefix").eqNullSafe(F.col("t.prefix")) if own else same
@@ -331,6 +340,24 @@ def keyword_search(queries: DataFrame, chunks: DataFrame, limit: int, prefix: st
     return found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("id"))).where(F.col("rank") <= limit)
 
 
+def _to_last(df: DataFrame, keys: list[str], c: str, limit: int) -> DataFrame:
+    """df with last, a bound on the first limit values of c for each of keys, without rows beyond it; null, and no bound, where few values were seen.
+
+    Values are dealt to eight cells for each one wanted; the least ones of the cells differ, so the first limit values are no greater
+    than the limit-th of them. Rows are only summed up for that, not sorted.
+    """
+    cell = F.pmod(F.xxhash64(c), F.lit(8 * max(limit, 1)))
+    least = df.where(F.col(c).isNotNull()).groupBy(*keys, cell.alias("__cell")).agg(F.min(c).alias("last"))
+    last = least.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy("last"))).where(F.col("__n") == limit)
+    last = last.select(*[F.col(k).alias(f"__{k}") for k in keys], "last")
+    same = functools.reduce(operator.and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    return df.join(D.few(last), same, "left").where(_within(c)).select(*df.columns, "last")
+
+
+def _within(c: str) -> Column:
+    return F.col("last").isNull() | F.col(c).isNull() | (F.col(c) <= F.col("last"))
+
+
 def _low_chunk() -> Column:
     return F.lower(F.concat_ws("\n", "content", "section_title"))
 

@@ -9,6 +9,8 @@ looked up, and whoever asks checks what it finds.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ FEW = 200_000
 KEYWORD_GAP, BLANK_GAP = r"[^a-z0-9]+", r"[\x09-\x0D\x20]+"
 #: parts by which stored postings are pruned
 BUCKETS = 256
+#: postings at most, on average, that a task stores
+ROWS = 2_000_000
 
 
 def words(docs: DataFrame, keep: list, low: Column, gap: str, least: int = 1) -> DataFrame:
@@ -37,38 +41,52 @@ def few(df: DataFrame) -> DataFrame:
 
 
 def _grams(df: DataFrame, c: str, sizes: list[int]) -> DataFrame:
-    """df with n and gram: the pieces of c of each size, as often as they occur."""
+    """df with n and gram: the pieces of c of each size, each once."""
     sized = df.withColumn("n", F.explode(F.array(*[F.lit(n) for n in sizes]))).where(F.length(c) >= F.col("n"))
-    return sized.withColumn("__at", F.explode(F.sequence(F.lit(1), F.length(c) - F.col("n") + 1))).withColumn("gram", F.substring(F.col(c), F.col("__at"), F.col("n"))).drop("__at")
+    pieces = F.transform(F.sequence(F.lit(1), F.length(c) - F.col("n") + 1), lambda at: F.substring(F.col(c), at, F.col("n")))
+    return sized.withColumn("gram", F.explode(F.array_distinct(pieces)))
+
+
+def vocabulary(rows: DataFrame, id: str) -> DataFrame:
+    """(word, first): the distinct words of rows, each with its least id, or null if one of its ids is null."""
+    return rows.groupBy("word").agg(F.when(F.count(id) == F.count("*"), F.min(id)).alias("first"))
 
 
 def holding(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(text, word): the words that hold each text, or the first OVERLAP + 1 signs of a longer one.
 
-    texts: (text), not empty and without gaps; vocabulary: (word). Each text is joined by that of its grams that the fewest words
-    have, texts shorter than GRAM by themselves; a text with a gram that no word has is in no word.
+    texts: (text), not empty and without gaps; vocabulary: (word), each once, with any further columns, which are kept. Each text is
+    joined by that of its grams that the fewest words have, texts shorter than GRAM by themselves; a text with a gram that no word has is in no word.
     """
     asked = shared.stored(texts.select("text").distinct().withColumn("probe", F.left("text", F.lit(OVERLAP + 1))), "texts")
     asked = asked.withColumn("size", F.least(F.length("probe"), F.lit(GRAM)))
     sizes = sorted(r.size for r in asked.select("size").distinct().collect())  # GRAM rows at most
     if not sizes:
-        return asked.select("text", F.lit(None).cast("string").alias("word"))
-    each = _grams(asked, "probe", sizes).where("n = size").select("text", "probe", "gram").distinct()
+        return asked.select("text", *[F.lit(None).cast(kind).alias(c) for c, kind in vocabulary.dtypes])
+    each = _grams(asked, "probe", sizes).where("n = size").select("text", "probe", "gram")
     wanted = each.select("gram").distinct()
-    listed = _grams(vocabulary.select("word"), "word", sizes).select("word", "gram").join(few(wanted), "gram", "left_semi")
+    listed = _grams(vocabulary, "word", sizes).drop("n").join(few(wanted), "gram", "left_semi")
     counts = listed.groupBy("gram").agg(F.count("*").alias("words"))
     best = each.join(counts, "gram", "left").groupBy("text", "probe").agg(F.min("words").alias("words"), F.min_by("gram", "words").alias("gram"), F.bool_and(F.col("words").isNotNull()).alias("known"))
     best = shared.stored(best.where("known").select("text", "probe", "gram"), "keys")
-    return listed.join(few(best), "gram").where(F.contains("word", "probe")).select("text", "word").distinct()
+    return listed.join(few(best), "gram").where(F.contains("word", "probe")).select("text", *vocabulary.columns)
 
 
 def build(chunks: DataFrame, keep: list[str], low: Column, gap: str, path: str, least: int = 1) -> None:
-    """Store the dictionary of a corpus at path: `words` and `postings` (word, and keep of its document), dealt to BUCKETS parts by word."""
+    """Store the dictionary of a corpus at path: `words` (word, and first of keep's first column) and `postings` (word, and keep of its document), dealt to BUCKETS parts by word.
+
+    Tasks that store postings are as many as the length of the texts asks for, so that none has more to sort where there are more texts.
+    """
+    spark = chunks.sparkSession
     rows = words(chunks, keep, low, gap, least)
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int"))
     rows.limit(0).write.mode("overwrite").parquet(f"{path}/shape")
-    rows.repartition("bucket", F.pmod(F.xxhash64(*keep), F.lit(8))).write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
-    _postings(chunks.sparkSession, path).select("word").distinct().write.mode("overwrite").parquet(f"{path}/words")
+    most = (chunks.agg(F.sum(F.length(low) + 1)).first()[0] or 0) // (least + 1)  # a word has a gap behind it
+    pieces = max(8, math.ceil(most / (BUCKETS * ROWS)))  # of a bucket
+    tasks = min(BUCKETS * pieces, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(most / ROWS)))
+    place = F.col("bucket") * pieces + F.pmod(F.xxhash64(*keep), F.lit(pieces)).cast("int")
+    rows.repartitionById(tasks, place).write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
+    vocabulary(_postings(spark, path), keep[0]).write.mode("overwrite").parquet(f"{path}/words")
 
 
 def _postings(spark: SparkSession, path: str) -> DataFrame:

@@ -75,3 +75,49 @@ def test_one_long_run_is_linear(spark):
     assert sorted((r.query_id, r.id) for r in C.keyword_search(asked, chunks, 5).collect()) == [(1, 1), (1, 2)]
     assert C.cited_in(asked.select(F.split_part("query", F.lit(" "), F.lit(1)).alias("q")), chunks, "q", "content").where("found").count() == 1
     assert time.time() - start < 60
+
+
+def test_tasks_of_postings_follow_the_corpus(spark, tmp_path, monkeypatch):
+    """With a fixed number of shuffle partitions, a task that stores postings gets no more where there are more texts."""
+    monkeypatch.setattr(D, "ROWS", 500, raising=False)
+    monkeypatch.setattr(D, "BUCKETS", 16)
+    chunks = spark.range(300).select("id", F.lit("9.1").alias("section_id"), F.lit(None).cast("string").alias("section_title"), F.expr("array_join(transform(sequence(1, 40), i -> concat('w', i, 'x', id % 7 * i)), ' ')").alias("content"))
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        C.keyword_index(chunks, index := str(tmp_path / "index"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    stored = spark.read.parquet(f"{index}/postings").select("word", "id", F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1).alias("task"))
+    want = chunks.select("id", F.explode(F.array_distinct(F.split("content", " "))).alias("word")).where(F.length("word") >= X.TERM)
+    assert sorted(map(tuple, stored.select("word", "id").collect())) == sorted((r.word, r.id) for r in want.collect())
+    assert max(r["count"] for r in stored.groupBy("task").count().collect()) <= 1500
+    words = {r.word: r.first for r in spark.read.parquet(f"{index}/words").collect()}
+    assert words == {r.word: r.first for r in want.groupBy("word").agg(F.min("id").alias("first")).collect()}
+
+
+@pytest.mark.parametrize("stored", [False, True])
+def test_words_behind_the_first_chunks_are_not_joined(spark, tmp_path, monkeypatch, stored):
+    """A term in hundreds of words, and one in a word of all chunks: only what may hold their first chunks is joined and sorted."""
+    rng, sizes, plain = random.Random(3), {}, C.shared.stored
+    ids = rng.sample(range(10_000), 400)
+    rows = [(i, "9.1", None, f"common {'x' * rng.randint(0, 9)}flat{i}y {'rare' if i % 97 == 0 else ''}") for i in ids] + [(None, "9.2", None, "unflattened"), (20_000, "9.1", "Flat common", None)]
+    chunks, asked = spark.createDataFrame(rows, CHUNK).repartition(5), [(1, "flat"), (2, "common"), (3, "rare"), (4, "flat rare"), (5, "none")]
+
+    def noted(df, what, path=None):
+        out = plain(df, what, path)
+        sizes[what] = out.count()  # the last of a name
+        return out
+
+    monkeypatch.setattr(C.shared, "stored", noted)
+    index = str(tmp_path / "index") if stored else None
+    if index:
+        C.keyword_index(chunks, index)
+    for limit in (1, 5):
+        got = {}
+        for r in C.keyword_search(spark.createDataFrame(asked, "query_id long, query string"), chunks, limit, index=index).orderBy("rank").collect():
+            got.setdefault(r.query_id, []).append(r.id)
+        assert got == searched(asked, rows, limit)
+        assert sizes["matches"] < 40  # of 403
+    whole = C.keyword_search(spark.createDataFrame(asked, "query_id long, query string"), chunks, 1000, index=index)
+    assert whole.count() == sum(map(len, searched(asked, rows, 1000).values()))
